@@ -188,9 +188,10 @@ def link_edges(distinct: DataFrame, distance: int = 3, n: int | None = None) ->
     def run(batches):
         import numpy as np
 
-        pdf = pd.concat(list(batches), ignore_index=True)
-        if not len(pdf):
+        frames = [b for b in batches if len(b)]
+        if not frames:
             return
+        pdf = pd.concat(frames, ignore_index=True)
         fps, us, vs = pdf.fp.to_numpy(np.int64).view(np.uint64), [], []
         order = np.lexsort((pdf.b, pdf.a, pdf.value, pdf.k))
         sorted_keys = pdf[["k", "value", "a", "b"]].to_numpy()[order]

@@ -13,6 +13,8 @@ from array import array
 
 #: Distinct chunks kept by one Python worker before its cache starts anew.
 CACHE_ENTRIES = 400_000
+#: Marks that are a pre-token of their own after a word.
+PLAIN_MARKS = frozenset(".,;:!?")
 
 #: The split pattern of the tokenizer file (its pre_tokenizer section).
 WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -67,8 +69,8 @@ class WordTokens:
         if low.isalpha():
             return self._word(low)
         words = self.words
-        if low[:-1].isalpha():
-            return words[low[:-1]] + words[low[-1]] if not low[-1].isspace() else words[low[:-1]]
+        if low[-1:] in PLAIN_MARKS and low[:-1].isalpha():
+            return words[low[:-1]] + words[low[-1]]
         return b"".join([words[w] for w in self.split(low)])
 
     def ids(self, text: str | None) -> bytes:
