@@ -53,7 +53,7 @@ class WordTokens:
         self.words = _Cache(self._word)
 
     def _word(self, word: str) -> bytes:
-        mapped = word if word.isascii() else word.encode().decode("latin-1").translate(self.to_char)
+        mapped = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.to_char)
         return array(self.code, [t.id for t in self.tokenizer.model.tokenize(mapped)]).tobytes()
 
     def _whole(self, text: str) -> bytes:
