@@ -63,3 +63,31 @@ def radius_dedup(df, id_col, priority, size="re_arcsec", factor=1.5, least=1.0):
     parts = connected_components(pairs.select("u", "v"), df.select(id_col))
     best = Window.partitionBy("component").orderBy(F.col(priority).desc_nulls_last(), id_col)
     return df.join(parts.withColumnRenamed("node", id_col), id_col).withColumn("rn", F.row_number().over(best)).where("rn = 1").drop("rn")
+
+
+def duplicate_report(df, id_col, priority, max_sep):
+    """Members of groups of two or more: the best member's id and whether the row is it."""
+    parts = connected_components(radius_pairs(df, max_sep, id_col, inclusive=True).select("u", "v"), df.select(id_col)).withColumnRenamed("node", id_col)
+    joined = df.join(parts, id_col)
+    best = joined.groupBy("component").agg(F.count("*").alias("members"), F.max(F.struct(F.col(priority).alias("p"), (-F.col(id_col)).alias("i"))).alias("b")).where("members > 1")
+    return joined.join(best, "component").select(id_col, "component", "members", (-F.col("b.i")).alias("best_id"), (F.col(id_col) == -F.col("b.i")).alias("is_best"))
+
+
+def fill_missing_ids(target, cat, id_col, known="id_known", max_sep=10.0):
+    """NULL ids take the id of the nearest catalog row within max_sep, borders included."""
+    from skycat.operators.match import nearest_match
+
+    found = nearest_match(target.where(F.col(known).isNull()), cat, max_sep, id_col, "id", inclusive=True).select(F.col("left_id").alias(id_col), "right_id")
+    return target.join(found, id_col, "left").withColumn(known, F.coalesce(known, "right_id")).drop("right_id")
+
+
+def reference_join(det, max_sep=15.0, reference="r", others=("g", "i"), id_col="det_id"):
+    """Reference-band rows with their nearest row in every other band."""
+    from skycat.operators.match import nearest_match
+
+    base = det.where(F.col("band") == reference)
+    out = base.select(F.col(id_col).alias(f"{reference}_id"))
+    for b in others:
+        near = nearest_match(base, det.where(F.col("band") == b), max_sep, id_col, id_col).select(F.col("left_id").alias(f"{reference}_id"), F.col("right_id").alias(f"{b}_id"))
+        out = out.join(near, f"{reference}_id")
+    return out

@@ -42,3 +42,34 @@ def exclusive_negatives(det, k=5, keys=("tile_x", "tile_y")):
         return pd.DataFrame(out, columns=["positive_id", "negative_id"])
 
     return det.select("det_id", "ra", "dec", "lsb", *keys).groupBy(*keys).applyInPandas(run, "positive_id long, negative_id long")
+
+
+def fit_linear_separator(df, x, y, quantile=0.95, positive_weight=10.0):
+    """(slope, offset): weighted least squares with squared weights, shifted so that the given share of positives lies above.
+
+    Sums give the line in one pass; the shift is the (1 - quantile) percentile of the
+    residuals of the positives below the line.
+    """
+    w = F.when(F.col(y) == 1, positive_weight * positive_weight).otherwise(1.0)
+    v = F.col("v")
+    s = df.agg(F.sum(w).alias("w"), *(F.sum(w * e).alias(n) for n, e in (("sx", F.col(x)), ("sv", v), ("sxx", F.col(x) * F.col(x)), ("sxv", F.col(x) * v))))
+    line = s.select(((F.col("w") * F.col("sxv") - F.col("sx") * F.col("sv")) / (F.col("w") * F.col("sxx") - F.col("sx") * F.col("sx"))).alias("slope"), "sx", "sv", "w").select("slope", ((F.col("sv") - F.col("slope") * F.col("sx")) / F.col("w")).alias("offset"))
+    residual = v - F.col("slope") * F.col(x) - F.col("offset")
+    # the line is one row
+    low = df.where(F.col(y) == 1).crossJoin(F.broadcast(line)).where(residual < 0).agg(F.percentile(residual, 1 - quantile).alias("shift"))
+    return line.crossJoin(F.broadcast(low)).select("slope", (F.col("offset") + F.coalesce("shift", F.lit(0.0))).alias("offset"))
+
+
+def axis_ratio_pca(df, keys, x="x", y="y"):
+    """sqrt(l2 / l1) of the covariance of each group's points, and the minor axis."""
+    c = df.groupBy(*keys).agg(F.var_samp(x).alias("a"), F.var_samp(y).alias("b"), F.covar_samp(x, y).alias("c"))
+    half, root = (F.col("a") + F.col("b")) / 2, F.sqrt(F.pow((F.col("a") - F.col("b")) / 2, F.lit(2.0)) + F.col("c") * F.col("c"))
+    small = F.greatest(half - root, F.lit(0.0))
+    return c.select(*keys, F.sqrt(F.try_divide(small, half + root)).alias("axis_ratio"), F.sqrt(small).alias("minor"))
+
+
+def percentile_for_target(df, keys, value, target):
+    """First percentile from 100 down in steps of 0.01 whose value is at most the target, else 100."""
+    steps = [i / 10000 for i in range(10001)]
+    p = df.groupBy(*keys).agg(F.percentile(value, F.array(*map(F.lit, steps))).alias("p"))
+    return p.select(*keys, (F.coalesce(F.array_max(F.transform("p", lambda v, i: F.when(v <= target, i))), F.lit(10000)) / 100).alias("percentile"))

@@ -496,3 +496,91 @@ def accumulate_positives(spark, d):
 
     stored = fixture(spark, d, "D").where("id_known is not null and k % 3 = 0").select(F.col("id_known").alias("id"))
     return new_positives(fixture(spark, d, "R").select("id"), stored, "id")
+
+
+# --- footprints, reports, fits ---------------------------------------------------------
+_AVAIL = ", av as (select distinct cast(floor(ra*2e0*cos(radians(dec))) as int) as x, cast(floor((dec+90e0)*2e0) as int) as y from D), ac as (select x, y, y/2e0-90e0 as dec, x/2e0/cos(radians(y/2e0-90e0)) as ra from av), pr as (select r.id, a.x, a.y, " + SEP.format(a="r", b="a") + " as sep, radians(r.ra-a.ra) as da, radians(r.dec) as dr, radians(a.dec) as d0 from R r, ac a where abs(r.dec-a.dec)<0.6e0), tc as (select id, x, y, sep from (select *, 5000e0-degrees(cos(dr)*sin(da)/" + _CC + ")/5.160234650248e-05 as px, 5000e0+degrees((cos(d0)*sin(dr)-sin(d0)*cos(dr)*cos(da))/" + _CC + ")/5.160234650248e-05 as py from pr where " + _CC + ">0) where px between 0.5e0 and 10000.5e0 and py between 0.5e0 and 10000.5e0)"
+
+
+def _available(spark, d):
+    return fixture(spark, d, "D").select(F.col("tile_x").alias("x"), F.col("tile_y").alias("y")).distinct()
+
+
+@query(_AVAIL + " select id, x, y, round(sep,4) as sep from tc", ["R", "D"])
+def tiles_containing(spark, d):
+    from skycat.operators.footprint import tiles_containing as containing
+
+    return containing(fixture(spark, d, "R"), _available(spark, d), "id").select("id", "x", "y", F.round("sep", 4).alias("sep"))
+
+
+@query(_AVAIL + " select R.id, t.x, t.y from R left join (select *, row_number() over (partition by id order by round(sep,6), x, y) as rn from tc) t on R.id=t.id and t.rn=1", ["R", "D"])
+def assign_tile(spark, d):
+    from skycat.operators.footprint import assign_tile as assign
+
+    return assign(fixture(spark, d, "R"), _available(spark, d), "id").select("id", "x", "y")
+
+
+@query(_AVAIL + " select id, lpad(cast(x as varchar),3,'0')||'_'||lpad(cast(y as varchar),3,'0') as tile from tc", ["R", "D"])
+def known_in_footprint(spark, d):
+    from skycat.operators.footprint import known_in_footprint as inside
+
+    return inside(fixture(spark, d, "R"), _available(spark, d), "id")
+
+
+@query(_FOF.format(lim="10e0").split(" select det_id, component from (")[0] + ", g as (select q.det_id, component, mag, count(*) over (partition by component) as members, first_value(q.det_id) over (partition by component order by mag desc, q.det_id) as best_id from q join t on q.det_id=t.node) select det_id, component, members, best_id, det_id=best_id as is_best from g where members>1", ["D"])
+def duplicate_report(spark, d):
+    return catalog.duplicate_report(fixture(spark, d, "D").where("band='r'").select("det_id", "ra", "dec", "mag"), "det_id", "mag", 10.0)
+
+
+@query(", c as (select a.det_id, r.id, row_number() over (partition by a.det_id order by " + SEP.format(a="a", b="r") + ", r.id) as rn from D a, R r where a.id_known is null and abs(a.dec-r.dec)<0.02e0 and " + SEP.format(a="a", b="r") + "<=40e0) select D.det_id, coalesce(D.id_known, c.id) as id_known from D left join c on D.det_id=c.det_id and c.rn=1", ["D", "R"])
+def fill_missing_ids(spark, d):
+    return catalog.fill_missing_ids(fixture(spark, d, "D"), fixture(spark, d, "R"), "det_id", max_sep=40.0).select("det_id", "id_known")
+
+
+def _near_band(b):
+    return "(select l, v as " + b + "_id from (select a.det_id as l, c.det_id as v, row_number() over (partition by a.det_id order by " + SEP.format(a="a", b="c") + ", c.det_id) as rn from D a, D c where a.band='r' and c.band='" + b + "' and abs(a.dec-c.dec)<0.005e0 and " + SEP.format(a="a", b="c") + "<15e0) where rn=1)"
+
+
+@query("select g.l as r_id, g_id, i_id from " + _near_band("g") + " g join " + _near_band("i") + " i on g.l=i.l", ["D"])
+def reference_join(spark, d):
+    return catalog.reference_join(fixture(spark, d, "D").select("det_id", "band", "ra", "dec"))
+
+
+@query(", s as (select segment_id, var_samp(x*value) as a, var_samp(y) as b, covar_samp(x*value,y) as c from X where segment_id is not null group by 1), e as (select segment_id, (a+b)/2 as h, sqrt(power((a-b)/2,2)+c*c) as r from s) select segment_id, round(sqrt(greatest(h-r,0e0)/(h+r)),6) as axis_ratio, round(sqrt(greatest(h-r,0e0)),6) as minor from e", ["X"])
+def axis_ratio_pca(spark, d):
+    from skycat.operators.training import axis_ratio_pca as pca
+
+    px = fixture(spark, d, "X").where("segment_id is not null").withColumn("x", F.col("x") * F.col("value"))
+    return pca(px, ["segment_id"]).select("segment_id", r6("axis_ratio").alias("axis_ratio"), r6("minor").alias("minor"))
+
+
+@query(", s as (select k, p, y, 0.5e0*p+(k % 7)/10e0 as v, case when y=1 then 100e0 else 1e0 end as w from P), l as (select (sum(w)*sum(w*p*v)-sum(w*p)*sum(w*v))/(sum(w)*sum(w*p*p)-sum(w*p)*sum(w*p)) as m, sum(w) as w, sum(w*p) as sx, sum(w*v) as sv from s), o as (select m, (sv-m*sx)/w as b from l), q as (select quantile_cont(v-m*p-b, 0.05e0) as sh from s, o where y=1 and v-m*p-b<0) select round(m,6)+0e0 as slope, round(b+coalesce(sh,0),6)+0e0 as \"offset\" from o, q", ["P"])
+def fit_linear_separator(spark, d):
+    from skycat.operators.training import fit_linear_separator as fit
+
+    out = fit(fixture(spark, d, "P").withColumn("v", 0.5 * F.col("p") + (F.col("k") % 7) / 10), "p", "y")
+    return out.select(r6("slope").alias("slope"), r6("offset").alias("offset"))
+
+
+@query("select det_id, m < 9 as bright, case when m < 8.0001e0 then 30 when m < 9 then 10 else 5 end as factor, case when m <= 8 then 50 else 100 end as box from (select source_id as det_id, gmag as m from S)", ["S"])
+def field_background_scale(spark, d):
+    bright, factor, box = ph.field_background_scale(F.col("gmag"))
+    return fixture(spark, d, "S").select(F.col("source_id").alias("det_id"), bright.alias("bright"), factor.alias("factor"), box.alias("box"))
+
+
+@query("select det_id, mag, cast(null as double) as zspec, band from D where band='r' union all select det_id, null, mag/10e0, band from D where band='g'", ["D"])
+def union_bands(spark, d):
+    det = fixture(spark, d, "D")
+    r, g = det.where("band='r'").select("det_id", "mag", "band"), det.where("band='g'").select("det_id", (F.col("mag") / 10.0).alias("zspec"), "band")
+    return r.unionByName(g, allowMissingColumns=True)
+
+
+@query("select band, count(*) filter (k % 4 = 0) as matched, count(*) filter (id_known is null) as no_id, count(*) filter (id_known is not null and k % 4 <> 0) as other from D group by band", ["D"])
+def id_tally(spark, d):
+    n = lambda c: F.count_if(F.expr(c))
+    return fixture(spark, d, "D").groupBy("band").agg(n("k % 4 = 0").alias("matched"), n("id_known is null").alias("no_id"), n("id_known is not null and k % 4 <> 0").alias("other"))
+
+
+@query("select distinct lpad(cast(tile_x as varchar),3,'0')||'_'||lpad(cast(tile_y as varchar),3,'0') as tile from D order by 1 limit 3", ["D"])
+def first_tiles(spark, d):
+    return fixture(spark, d, "D").select(tiles.tile_key(F.col("tile_x"), F.col("tile_y")).alias("tile")).distinct().orderBy("tile").limit(3)
