@@ -269,7 +269,9 @@ def training_page(rng) -> tuple[str, list[bool]]:
         out = []
         if rng.random() < 0.85:
             out.append(leaf(rng.choice(["h1", "h1", "h2"]), words(2, 10), True))
-        for _ in range(rng.randint(1, 9)):
+        sizes = rng.choice([((1, 4), (10, 60), (40, 120)), ((1, 4), (10, 60), (40, 120)), ((1, 2), (1, 3), (2, 8))])
+        again = words(1, 6) if rng.random() < 0.08 else None  # pages of repeated lines
+        for _ in range(rng.randint(1, 9) if rng.random() < 0.8 else rng.randint(10, 45)):
             kind = rng.random()
             if kind < 0.12:
                 out.append(noise())
@@ -282,7 +284,7 @@ def training_page(rng) -> tuple[str, list[bool]]:
             elif kind < 0.34:
                 out.append("<table><tr>" + "".join(leaf("td", words(1, 4), True) for _ in range(3)) + "</tr></table>")
             else:
-                out.append(leaf("p", rng.choice(["", "<b>", "<i>"]) + words(*rng.choice([(1, 4), (10, 60), (40, 120)])) + ".", True))
+                out.append(leaf("p", rng.choice(["", "<b>", "<i>"]) + (again or words(*rng.choice(sizes))) + rng.choice([".", ".", ".", "", " |"]), True))
         return "".join(out)
 
     page = "".join(noise() for _ in range(rng.randint(0, 3)))
