@@ -12,9 +12,9 @@ from skycat.plans import registry
 
 def rows(df):
     def cell(v):
-        if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+        if pd.isna(v):
             return None
-        return str(v) if isinstance(v, (str, bool, pd.Timestamp)) else float(v)
+        return str(v) if isinstance(v, (str, pd.Timestamp)) else float(v)
 
     return sorted(str(tuple(map(cell, r))) for r in df[sorted(df.columns)].astype(object).itertuples(index=False, name=None))
 
