@@ -41,6 +41,8 @@ SYLLABLES = {
 }
 FEMALE = r"^(?:Mrs|Ms|Frau|Madame|Señora)\b"
 ROUNDS = 8
+#: Largest measured size of the redrawn rows that are sent to every task.
+BROADCAST_BYTES = 16 << 20
 
 
 def kind_of(value: Column) -> Column:
@@ -81,10 +83,15 @@ def surrogate(value: Column, key: str, attempt: Column) -> Column:
     return let(F.sha2(F.concat_ws("\x1f", F.lit(key), value, attempt.cast("string")), 256), drawn)
 
 
+def places(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(text_key, value): the distinct detected values of every distinct text."""
+    matches = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(f"({ANY})"), F.lit(1))
+    return docs.select(F.xxhash64(F.col(text)).alias("text_key"), F.explode(F.array_distinct(matches)).alias("value")).distinct()
+
+
 def entities(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(value, places): every distinct detected value of the corpus."""
-    found = docs.select(F.explode(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(f"({ANY})"), F.lit(1))).alias("value"))
-    return found.groupBy("value").agg(F.count("*").alias("places"))
+    """(value, texts): every distinct detected value and the number of distinct texts that hold it."""
+    return places(docs, text).groupBy("value").agg(F.count("*").alias("texts"))
 
 
 def surrogate_table(values: DataFrame, key: str) -> DataFrame:
@@ -108,21 +115,24 @@ def surrogate_table(values: DataFrame, key: str) -> DataFrame:
 def replace_personal_data(docs: DataFrame, key: str = "surrogate-key-1", text: str = "text", count: str | None = None) -> DataFrame:
     """Rewrites ``text``; with ``count`` also adds the number of replaced places under that name.
 
-    Surrogates at attempt 0 are computed in the row; only documents that hold a value
-    whose surrogate was drawn anew need the (value, surrogate) rows of that small rest.
+    Surrogates at attempt 0 are computed in the row; only texts that hold a value whose
+    surrogate was drawn anew need the (value, surrogate) rows of that rest.  Those rows are
+    broadcast while they measure at most ``BROADCAST_BYTES``; beyond that the join shuffles.
     """
-    values = written(entities(docs, text), "entities")
-    table = surrogate_table(values, key)
+    found_in = written(places(docs, text), "places")
+    table = surrogate_table(found_in.select("value").distinct(), key)
     redrawn = table.where(F.col("surrogate") != surrogate(F.col("value"), key, F.lit(0)))
-    matches = F.regexp_extract_all(F.col(text), F.lit(f"({ANY})"), F.lit(1))
-    marked = docs.withColumn("_found", matches)
+    marked = docs.withColumn("_found", F.regexp_extract_all(F.col(text), F.lit(f"({ANY})"), F.lit(1)))
+    empty_map = F.expr("cast(map() as map<string,string>)")
     if redrawn.isEmpty():
-        marked = marked.withColumn("_map", F.expr("cast(map() as map<string,string>)"))
+        marked = marked.withColumn("_map", empty_map)
     else:
-        keyed = F.xxhash64(F.col(text))
-        hits = docs.select(keyed.alias("_key"), F.explode(F.array_distinct(matches)).alias("value")).distinct().join(redrawn, "value")
-        maps = hits.groupBy("_key").agg(F.map_from_entries(F.collect_set(F.struct("value", "surrogate"))).alias("_map"))
-        marked = marked.withColumn("_key", keyed).join(maps, "_key", "left").drop("_key").withColumn("_map", F.coalesce("_map", F.expr("cast(map() as map<string,string>)")))
+        hits = found_in.join(redrawn, "value")
+        maps = written(hits.groupBy("text_key").agg(F.map_from_entries(F.collect_set(F.struct("value", "surrogate"))).alias("_map")).withColumnRenamed("text_key", "_key"), "redrawn")
+        letters = F.aggregate(F.map_entries("_map"), F.lit(16).cast("long"), lambda total, e: total + F.octet_length(e["key"]) + F.octet_length(e["value"]) + 32)
+        size = maps.agg(F.sum(letters)).first()[0] or 0
+        maps = F.broadcast(maps) if size <= BROADCAST_BYTES else maps
+        marked = marked.withColumn("_key", F.xxhash64(F.col(text))).join(maps, "_key", "left").drop("_key").withColumn("_map", F.coalesce("_map", empty_map))
 
     def rewritten(found: Column) -> Column:
         new = F.transform(found, lambda v: F.coalesce(F.element_at(F.col("_map"), v), surrogate(v, key, F.lit(0))))
