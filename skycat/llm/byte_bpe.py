@@ -20,7 +20,9 @@ from pyspark.sql import types as T
 
 from skycat.llm.word_tokens import _Cache
 
-CACHE_ENTRIES = 400_000
+#: Entries of each of a worker's two caches before they are emptied, and rows turned into Python objects at once.
+CACHE_ENTRIES = 200_000
+BATCH_ROWS = 500
 #: The letter that stands for byte 0; byte b is shown as the b-th letter after it (CJK, free of white space).
 FIRST_LETTER = 0x4E00
 
@@ -75,7 +77,7 @@ class ByteBpe:
         import regex
         import sentencepiece
 
-        self.vocabulary = read_ranks(path)
+        self.vocabulary = vocabulary(path)
         self.rank = {t: r for r, t in enumerate(self.vocabulary)}
         self.model = sentencepiece.SentencePieceProcessor(model_proto=sentencepiece_model(self.vocabulary))
         self.split = regex.compile(pattern).findall
@@ -117,6 +119,19 @@ class ByteBpe:
 
 
 _OPEN: dict[tuple[str, str], ByteBpe] = {}
+_VOCABULARIES: dict[str, list[bytes]] = {}
+
+
+def vocabulary(path: str) -> list[bytes]:
+    """The rank file, read once per worker; decoding needs no model."""
+    if path not in _VOCABULARIES:
+        _VOCABULARIES[path] = read_ranks(path)
+    return _VOCABULARIES[path]
+
+
+def slices(batch: pa.RecordBatch, rows: int = BATCH_ROWS):
+    """The batch in parts, so that only one part's values are held as Python objects."""
+    return (batch.slice(at, rows) for at in range(0, batch.num_rows, rows))
 
 
 def byte_bpe(path: str, pattern: str) -> ByteBpe:
@@ -134,7 +149,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: st
         import numpy as np
 
         bpe = byte_bpe(path, pattern)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             raw = [bpe.encode(t) for t in batch.column(text).to_pylist()]
             bpe.trim()
             offsets = np.concatenate([[0], np.cumsum([len(r) // 4 for r in raw])]).astype("int32")
@@ -150,10 +165,10 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids", out: s
     schema = T.StructType([*kept, T.StructField(out, T.BinaryType())])
 
     def run(batches):
-        bpe = byte_bpe(path, pattern)
-        for batch in batches:
+        pieces = vocabulary(path)
+        for batch in (part for whole in batches for part in slices(whole)):
             lists = batch.column(ids)
-            data = [bpe.decode(lists[i].values.to_numpy(zero_copy_only=False).tolist()) if lists[i].is_valid else None for i in range(len(lists))]
+            data = [b"".join(map(pieces.__getitem__, lists[i].values.to_numpy(zero_copy_only=False).tolist())) if lists[i].is_valid else None for i in range(len(lists))]
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), pa.array(data, pa.binary())], names=schema.names)
 
     return encoded.select(*(f.name for f in kept)).mapInArrow(run, schema)
@@ -168,7 +183,7 @@ def digests(decoded: DataFrame, ids: str = "ids", data: str = "decoded") -> Data
 
         import numpy as np
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             lists = batch.column(ids)
             arrays = [np.asarray(lists[i].values.to_numpy(zero_copy_only=False), "<u4") if lists[i].is_valid else np.empty(0, "<u4") for i in range(len(lists))]
             yield pa.RecordBatch.from_arrays(
