@@ -22,7 +22,7 @@ from skycat.llm.common import let, written
 
 #: What is detected, by type, in order of preference at one place.
 PATTERNS: dict[str, str] = {
-    "email": r"[\p{L}\p{N}_%+\-]++(?:\.[\p{L}\p{N}_%+\-]++)*+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?:\G|(?<![\p{L}\p{N}_%+\-]))[\p{L}\p{N}_%+\-]++(?:\.[\p{L}\p{N}_%+\-]++)*+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}",
     "secret": r"(?i:token|secret|api[_-]?key|password|passwd)\s*[=:]\s*[\"'][^\"'\s]{8,}[\"']",
     "key": r"\b(?:AKIA[0-9A-Z]{12,}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9]{20,})",
     "phone": r"(?<![\p{L}\p{N}])\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{2,4}(?:[ .\-]?\d{2,4}){1,4}(?!\d)|(?<![\p{L}\p{N}])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\p{L}\p{N}])\d{3}-\d{3}-\d{4}(?!\d)",
@@ -33,6 +33,9 @@ PATTERNS: dict[str, str] = {
     "name": r"\b(?:Mr|Mrs|Ms|Herr|Frau|Monsieur|Madame|Señor|Señora)\.? \p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+NO_EMAIL = "|".join(f"(?:{p})" for k, p in PATTERNS.items() if k != "email")
+#: Every match of ``NO_EMAIL`` holds one of these, so texts without them and without @ need no search.
+SIGNS = r"[0-9]|[=:]\s*[\"']|AKIA|gh[pousr]_|sk-|M(?:rs?|s|onsieur|adame)\b|Herr\b|Frau\b|Señora?\b"
 #: Given-name and family-name parts for titled names, by gender of the title.
 SYLLABLES = {
     "f": ["Ada", "Bea", "Cora", "Dora", "Elsa", "Flora", "Greta", "Hanna"],
@@ -83,10 +86,20 @@ def surrogate(value: Column, key: str, attempt: Column) -> Column:
     return let(F.sha2(F.concat_ws("\x1f", F.lit(key), value, attempt.cast("string")), 256), drawn)
 
 
+def _searched(text: Column, search, otherwise: Column) -> Column:
+    """``search(pattern)`` with the least pattern that finds all of ``ANY`` in the text; ``otherwise`` where none can match."""
+    return F.when(text.contains("@"), search(ANY)).when(text.rlike(SIGNS), search(NO_EMAIL)).otherwise(otherwise)
+
+
+def detected(text: Column) -> Column:
+    """The values of a text from left to right, repeats included; null text has none."""
+    return _searched(text, lambda p: F.regexp_extract_all(text, F.lit(f"({p})"), F.lit(1)), F.expr("cast(array() as array<string>)"))
+
+
 def places(docs: DataFrame, text: str = "text") -> DataFrame:
     """(text_key, value): the distinct detected values of every distinct text."""
-    matches = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(f"({ANY})"), F.lit(1))
-    return docs.select(F.xxhash64(F.col(text)).alias("text_key"), F.explode(F.array_distinct(matches)).alias("value")).distinct()
+    matches = F.array_distinct(detected(F.col(text)))
+    return docs.select(F.xxhash64(F.col(text)).alias("text_key"), F.explode(matches).alias("value")).distinct()
 
 
 def entities(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -122,7 +135,7 @@ def replace_personal_data(docs: DataFrame, key: str = "surrogate-key-1", text: s
     found_in = written(places(docs, text), "places")
     table = surrogate_table(found_in.select("value").distinct(), key)
     redrawn = table.where(F.col("surrogate") != surrogate(F.col("value"), key, F.lit(0)))
-    marked = docs.withColumn("_found", F.regexp_extract_all(F.col(text), F.lit(f"({ANY})"), F.lit(1)))
+    marked = docs.withColumn("_found", detected(F.col(text)))
     empty_map = F.expr("cast(map() as map<string,string>)")
     if redrawn.isEmpty():
         marked = marked.withColumn("_map", empty_map)
@@ -136,7 +149,7 @@ def replace_personal_data(docs: DataFrame, key: str = "surrogate-key-1", text: s
 
     def rewritten(found: Column) -> Column:
         new = F.transform(found, lambda v: F.coalesce(F.element_at(F.col("_map"), v), surrogate(v, key, F.lit(0))))
-        between = F.split(F.col(text), ANY, -1)
+        between = _searched(F.col(text), lambda p: F.split(F.col(text), p, -1), F.array(F.col(text)))
         return F.array_join(F.flatten(F.zip_with(between, new, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
 
     new_text = F.when(F.size("_found") > 0, rewritten(F.col("_found"))).otherwise(F.col(text))
