@@ -294,3 +294,13 @@ def test_pipeline(spark, docs, texts):
     assert seen <= rules
     packed = cp.STAGES[-1][1](spark, kept, DATA).toPandas()
     assert set(packed.doc_id) == seen and packed.length.sum() == packed[packed.start == 0].doc_tokens.sum()
+
+
+def test_pii_search_needs_no_signs_it_does_not_test(spark):
+    rows = ["", "plain words", "x@y.example.com", "ab+c.d@e.org f-g@h.com", "+1 555 123 4567abc@x.com", 'Token = "abcdefghij"', "AKIA" + "B" * 12, "sk-" + "a" * 20, "ghp_" + "c" * 20,
+            "Mr Ada Holm met Frau Berg, Mrs. Dora and Señora Flora", "call 555-123-4567 or 10.1.2.3", "a" * 5000 + "@", "4111 1111 1111 1111", None]
+    old = pii.PATTERNS["email"].replace(r"(?:\G|(?<![\p{L}\p{N}_%+\-]))", "")
+    whole = pii.ANY.replace(pii.PATTERNS["email"], old)
+    docs = spark.createDataFrame([(r,) for r in rows], "text string")
+    both = docs.select(pii.detected(F.col("text")).alias("new"), F.coalesce(F.regexp_extract_all("text", F.lit(f"({whole})"), F.lit(1)), F.array()).alias("old")).collect()
+    assert [r.new for r in both] == [r.old for r in both] and sum(len(r.new) for r in both) >= 13
