@@ -17,7 +17,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 STATISTICS = (
@@ -138,6 +138,19 @@ def score(stats: DataFrame, model: Discriminant) -> DataFrame:
     return stats.mapInPandas(run, "doc_id long, score double")
 
 
+def text_score(text: Column, model: Discriminant) -> Column:
+    """The score of each row's own text; no key is needed."""
+
+    @F.pandas_udf("double")
+    def run(texts: pd.Series) -> pd.Series:
+        import numpy as np
+
+        x = np.array([document_statistics(t) for t in texts]).reshape(-1, DIM)
+        return pd.Series(model.scores(x))
+
+    return run(text)
+
+
 def held_out(doc_id="doc_id"):
     """Whether a document belongs to the held-out fold: crc32(doc_id as text) mod 5 = 0."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0

@@ -1,13 +1,14 @@
 """Stages of the pipeline against brute force, with null and repeated doc_ids."""
 
 import random
-from collections import Counter
+from collections import Counter, defaultdict
 
+import numpy as np
 from conftest import DATA
 from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
-from skycat.llm import near_copies
+from skycat.llm import near_copies, packing, quality_classifier, quality_rules
 
 
 def shingle_set(text):
@@ -73,3 +74,56 @@ def test_near_dedup_on_null_and_repeated_ids(spark):
     assert Counter((i is None, i or 0) for i, _ in kept) == brute_kept(rows)
     assert Counter(kept) == Counter([rows[0], rows[2], rows[4], rows[5], (7, ""), rows[10]])
     assert cp.near_dedup_stage(spark, docs.where(F.lit(False)), DATA).count() == 0
+
+
+def edge_rows(spark):
+    """Good and bad texts, each under an id of its own, under no id, and twice under one id with another text."""
+    texts = [r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").orderBy("doc_id").limit(60).collect()]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, t) for t in texts[:30]] + [(7, t) for t in texts[30:]] + [(7, texts[30]), (None, None), (1, None), (2, "")]
+    return rows, spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+def pairs_of(df):
+    return Counter((r.doc_id, r.text) for r in df.select("doc_id", "text").collect())
+
+
+def test_rules_judge_each_row(spark):
+    rows, docs = edge_rows(spark)
+    alone = {t: bool(quality_rules.ledger(spark.createDataFrame([(0, t)], "doc_id long, text string")).where(quality_rules.STRICT.keeps()).count()) for t in (rows[0][1], rows[31][1], None, "")}
+    kept = pairs_of(cp.quality_rule_stage(spark, docs, DATA))
+    assert all((kept[r] == Counter(rows)[r]) if alone[r[1]] else r not in kept for r in rows if r[1] in alone)
+    by_text = defaultdict(set)
+    for r in rows:
+        by_text[r[1]].add(kept[r] == Counter(rows)[r] if r in kept else None)
+    assert all(v in ({True}, {None}) for v in by_text.values()) and kept and kept != Counter(rows)
+
+
+def test_classifier_judges_each_row(spark):
+    rows, docs = edge_rows(spark)
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    model = quality_classifier.fit_on_labels(quality_classifier.statistics(spark.read.parquet(f"{DATA}/documents.parquet")), labels)
+    score = {t: float(model.scores(np.array([quality_classifier.document_statistics(t)]))[0]) for _, t in rows}
+    want = Counter(r for r in rows if score[r[1]] >= 0.3)
+    assert 0 < want.total() < len(rows) and any(i is None for i, _ in want)
+    kept = cp.classifier_stage(spark, docs, DATA)
+    assert kept.columns == docs.columns and pairs_of(kept) == want
+    assert cp.classifier_stage(spark, docs.where(F.lit(False)), DATA).count() == 0
+
+
+def test_pii_and_packing_hold_every_row(spark):
+    rows, docs = edge_rows(spark)
+    out = cp.pii_stage(spark, docs, DATA)
+    assert out.columns == docs.columns and Counter(r.doc_id for r in out.select("doc_id").collect()) == Counter(i for i, _ in rows)
+    assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in out.collect())
+    whole = [(r.doc_id, r.text) for r in out.collect()]
+    one = {r.text for r in out.where("doc_id is null").collect()}
+    assert one <= {t for i, t in whole if i is not None}
+    packed = cp.packing_stage(spark, out, DATA).toPandas()
+    first = packed[packed.start == 0]
+    assert first.doc_tokens.sum() == packed.length.sum()
+    want = Counter(i for i, _ in whole)  # a text without words has one piece too
+    assert Counter(None if np.isnan(i) else int(i) for i in first.doc_id.astype(float)) == want
+    for _, g in packed.sort_values("offset").groupby("sequence_id"):
+        assert (g.offset.to_numpy()[1:] >= (g.offset + g.length).to_numpy()[:-1]).all() and (g.offset + g.length).max() <= packing.LIMIT
+    for stage in (cp.quality_rule_stage, cp.pii_stage, cp.packing_stage):
+        assert stage(spark, docs.where(F.lit(False)), DATA).count() == 0
