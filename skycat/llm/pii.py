@@ -36,14 +36,16 @@ ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 NO_EMAIL = "|".join(f"(?:{p})" for k, p in PATTERNS.items() if k != "email")
 #: Every match of ``NO_EMAIL`` holds one of these, so texts without them and without @ need no search.
 SIGNS = r"[0-9]|[=:]\s*[\"']|AKIA|gh[pousr]_|sk-|M(?:rs?|s|onsieur|adame)\b|Herr\b|Frau\b|Señora?\b"
-#: Given-name and family-name parts for titled names, by gender of the title.
+#: Given names for titled names, by gender of the title.
 SYLLABLES = {
     "f": ["Ada", "Bea", "Cora", "Dora", "Elsa", "Flora", "Greta", "Hanna"],
     "m": ["Alan", "Boris", "Carl", "Dirk", "Emil", "Felix", "Georg", "Hugo"],
-    "family": ["bach", "berg", "dale", "feld", "gard", "holm", "land", "mont"],
 }
 FEMALE = r"^(?:Mrs|Ms|Frau|Madame|Señora)\b"
-ROUNDS = 8
+#: Family names: each pair of digest digits gives a consonant and a vowel, 64 equally likely pairs.
+CONSONANTS, VOWELS, FAMILY_PAIRS = "bdfghklmnprstvwz", "aeioaeioaeioaeio", 6
+#: Rounds in a row that may end with no fewer clashes than before.
+ROUNDS = 100
 #: Largest measured size of the redrawn rows that are sent to every task.
 BROADCAST_BYTES = 16 << 20
 
@@ -77,7 +79,7 @@ def surrogate(value: Column, key: str, attempt: Column) -> Column:
         lead = F.char_length(F.regexp_extract(value, r"^[^=:]*[=:]\s*[\"']", 0))
         title = F.regexp_extract(value, r"^\S+", 0)
         given = F.when(value.rlike(FEMALE), _pick(d, 1, SYLLABLES["f"])).otherwise(_pick(d, 1, SYLLABLES["m"]))
-        family = F.concat(F.initcap(_pick(d, 3, SYLLABLES["family"])), _pick(d, 5, SYLLABLES["family"]), _pick(d, 7, SYLLABLES["family"]))
+        family = F.initcap(F.concat(*(F.translate(F.substring(d, at, 1), "0123456789abcdef", CONSONANTS if at % 2 else VOWELS) for at in range(3, 3 + 2 * FAMILY_PAIRS))))
         kind = kind_of(value)
         country = F.when(value.startswith("+"), F.char_length(F.regexp_extract(value, r"^\+\d{1,3}(?=[ .\-(])|^\+\d", 0))).otherwise(0)
         fixed = F.when(kind == "secret", lead).when(kind == "phone", country).when(kind == "iban", F.lit(2)).when(kind == "key", F.lit(4)).otherwise(0)
@@ -108,16 +110,24 @@ def entities(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def surrogate_table(values: DataFrame, key: str) -> DataFrame:
-    """(value, surrogate): one-to-one, and no surrogate is a value of the corpus."""
+    """(value, surrogate): one-to-one, and no surrogate is a value of the corpus.
+
+    Rounds go on until no clash is left.  Only a form with too few possible values for the
+    corpus (a phone number of few digits, say) brings no progress; that raises an error.
+    """
     plain = values.select("value")
     table = written(plain.withColumn("attempt", F.lit(0)).withColumn("surrogate", surrogate(F.col("value"), key, F.col("attempt"))), "surrogates")
-    for _ in range(ROUNDS):
+    least, idle = None, 0
+    while idle < ROUNDS:
         # the least value of a shared surrogate keeps it; a window would gather the group
         keeper = table.groupBy("surrogate").agg(F.min("value").alias("keeper"), F.count("*").alias("n"))
         taken = keeper.join(plain.withColumnRenamed("value", "surrogate"), "surrogate", "left_semi").select("surrogate", F.lit(True).alias("taken"))
-        clash = keeper.join(taken, "surrogate", "left").where("n > 1 or taken").select("surrogate", "keeper", "taken")
-        if clash.isEmpty():
+        clash = keeper.join(taken, "surrogate", "left").where("n > 1 or taken").select("surrogate", "keeper", "taken", "n")
+        clash = written(clash, "clashes")
+        left = clash.agg(F.sum(F.col("n") - F.when(F.col("taken"), 0).otherwise(1))).first()[0]
+        if not left:
             return table.select("value", "surrogate")
+        least, idle = (left, 0) if least is None or left < least else (least, idle + 1)
         joined = table.join(clash, "surrogate", "left")
         again = F.col("keeper").isNotNull() & (F.coalesce("taken", F.lit(False)) | (F.col("value") != F.col("keeper")))
         attempt = F.col("attempt") + again.cast("int")
