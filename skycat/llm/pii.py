@@ -3,8 +3,9 @@
 One alternation finds e-mail addresses, phone numbers, card numbers, IP addresses, secrets
 and titled names from left to right without overlap.  A surrogate is drawn from a keyed
 SHA-256 of the value, so one value has one surrogate everywhere (coreference), and it keeps
-type, length, separators, letter case and, for names, the gender of the title and the
-script.  Collision checks run over the distinct values of the whole corpus: a surrogate
+type, length, separators, letter case and script and, for names, the gender of the title
+and the number of words (names in a script other than Latin, Cyrillic, Greek and Armenian
+become Latin).  Collision checks run over the distinct values of the whole corpus: a surrogate
 that two values share, or that is itself a value found in the corpus, is drawn anew with
 the next attempt number until all are distinct.
 
@@ -44,6 +45,19 @@ SYLLABLES = {
 FEMALE = r"^(?:Mrs|Ms|Frau|Madame|Señora)\b"
 #: Family names: each pair of digest digits gives a consonant and a vowel, 64 equally likely pairs.
 CONSONANTS, VOWELS, FAMILY_PAIRS = "bdfghklmnprstvwz", "aeioaeioaeioaeio", 6
+#: Names in other scripts that have capitals: consonants and vowels, four of each pair as above.
+NAME_SCRIPTS = {
+    "Cyrillic": ("бвгдзклмнпрстфхш", "аеиоаеиоаеиоаеио"),
+    "Greek": ("βγδζθκλμνξπρστφχ", "αειοαειοαειοαειο"),
+    "Armenian": ("բգդզթլխկհմնպսվրտ", "աեիոաեիոաեիոաեիո"),
+}
+#: Letters outside ASCII that a masked value gets, by script; those of any other script become Latin.
+LETTERS = {
+    r"(?=\p{IsLatin})\p{Lu}": "ÉÈÊÀÂÎÔÛÄÖÜ", r"\p{IsLatin}": "éèêàâîôûäöü", r"(?=\p{IsCyrillic})\p{Lu}": "БВГДЖЗИКЛМНПРСТУФХЦЧШЭЮЯ", r"\p{IsCyrillic}": "бвгджзиклмнпрстуфхцчшэюя",
+    r"(?=\p{IsGreek})\p{Lu}": "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ", r"\p{IsGreek}": "αβγδεζηθικλμνξοπρστυφχψω", r"(?=\p{IsArmenian})\p{Lu}": "ԲԳԴԶԹԼԽԿՀՄՆՊՍՎՐՏ", r"\p{IsArmenian}": "բգդզթլխկհմնպսվրտ",
+    r"\p{IsHan}": "天地人山水火木金土日月风云花草石", r"\p{IsHiragana}": "あいうえおかきくけこさしすせそたちつてと", r"\p{IsKatakana}": "アイウエオカキクケコサシスセソタチツテト", r"\p{IsHangul}": "가나다라마바사아자차카타파하",
+    r"\p{IsArabic}": "ابتثجحخدذرزسشصضطظعغفقكلمنهوي", r"\p{IsHebrew}": "אבגדהוזחטיכלמנסעפצקרשת", r"\p{IsDevanagari}": "कखगघचछजझटठडढतथदधनपफबभमयरलवशषसह", r"\p{IsThai}": "กขคงจชซญดตถทนบปผฝพฟมยรลวสหอ",
+}
 #: Rounds in a row that may end with no fewer clashes than before.
 ROUNDS = 100
 #: Largest measured size of the redrawn rows that are sent to every task.
@@ -61,11 +75,11 @@ def _pick(digest: Column, at: int, names: list[str]) -> Column:
 
 
 def _masked(value: Column, digest: Column, fixed: Column) -> Column:
-    """Each digit and ASCII letter after the first ``fixed`` characters drawn from the digest in kind."""
+    """Each digit and letter after the first ``fixed`` characters drawn from the digest in kind: case and script stay."""
     def one(c: Column, i: Column) -> Column:
         number = F.conv(F.substring(digest, F.pmod(i, F.lit(60)) + 1, F.lit(4)), 16, 10).cast("int")
         draw = lambda alphabet: F.substring(F.lit(alphabet), F.pmod(number, F.lit(len(alphabet))) + 1, F.lit(1))
-        return F.when(i < fixed, c).when(c.rlike("[0-9]"), draw("0123456789")).when(c.rlike("[a-f]"), draw("abcdef")).when(c.rlike("[g-z]"), draw("ghijklmnopqrstuvwxyz")).when(c.rlike("[A-Z]"), draw("ABCDEFGHIJKLMNOPQRSTUVWXYZ")).when(c.rlike(r"\p{L}"), draw("éèêàâîôûäöü")).otherwise(c)
+        return F.when(i < fixed, c).when(c.rlike("[0-9]"), draw("0123456789")).when(c.rlike("[a-f]"), draw("abcdef")).when(c.rlike("[g-z]"), draw("ghijklmnopqrstuvwxyz")).when(c.rlike("[A-Z]"), draw("ABCDEFGHIJKLMNOPQRSTUVWXYZ")).when(c.rlike(r"\p{L}"), F.coalesce(*(F.when(c.rlike(p), draw(letters)) for p, letters in LETTERS.items()), draw("éèêàâîôûäöü"))).otherwise(c)
 
     return F.array_join(F.transform(F.split(value, ""), one), "")
 
@@ -79,11 +93,17 @@ def surrogate(value: Column, key: str, attempt: Column) -> Column:
         lead = F.char_length(F.regexp_extract(value, r"^[^=:]*[=:]\s*[\"']", 0))
         title = F.regexp_extract(value, r"^\S+", 0)
         given = F.when(value.rlike(FEMALE), _pick(d, 1, SYLLABLES["f"])).otherwise(_pick(d, 1, SYLLABLES["m"]))
-        family = F.initcap(F.concat(*(F.translate(F.substring(d, at, 1), "0123456789abcdef", CONSONANTS if at % 2 else VOWELS) for at in range(3, 3 + 2 * FAMILY_PAIRS))))
+        pairs = lambda first, n, signs: F.initcap(F.concat(*(F.translate(F.substring(d, at, 1), "0123456789abcdef", signs[(at - first) % 2]) for at in range(first, first + 2 * n))))
+        family = pairs(3, FAMILY_PAIRS, (CONSONANTS, VOWELS))
+        for script, signs in NAME_SCRIPTS.items():
+            within = value.rlike(rf"\p{{Is{script}}}")
+            given, family = F.when(within, pairs(3 + 2 * FAMILY_PAIRS, 2, signs)).otherwise(given), F.when(within, pairs(3, FAMILY_PAIRS, signs)).otherwise(family)
+        two = value.rlike(r" \S+ ")
+        named = F.when(two, F.concat_ws(" ", title, given, family)).otherwise(F.concat_ws(" ", title, family))
         kind = kind_of(value)
         country = F.when(value.startswith("+"), F.char_length(F.regexp_extract(value, r"^\+\d{1,3}(?=[ .\-(])|^\+\d", 0))).otherwise(0)
         fixed = F.when(kind == "secret", lead).when(kind == "phone", country).when(kind == "iban", F.lit(2)).when(kind == "key", F.lit(4)).otherwise(0)
-        return F.when(kind == "email", host).when(kind == "ip", ip).when(kind == "name", F.concat_ws(" ", title, given, family)).otherwise(_masked(value, d, fixed))
+        return F.when(kind == "email", host).when(kind == "ip", ip).when(kind == "name", named).otherwise(_masked(value, d, fixed))
 
     return let(F.sha2(F.concat_ws("\x1f", F.lit(key), value, attempt.cast("string")), 256), drawn)
 

@@ -1,6 +1,7 @@
 """Surrogates for titled names in numbers beyond a small name space."""
 
 import re
+import unicodedata
 
 from pyspark.sql import functions as F
 
@@ -25,3 +26,19 @@ def test_clashes_are_drawn_anew_until_none_is_left(spark, monkeypatch):
     values = spark.range(900).select(F.concat(F.lit("v"), "id").alias("value"))
     got = pii.surrogate_table(values, "k").collect()
     assert len(got) == 900 and len({r.surrogate for r in got}) == 900
+
+
+def test_surrogates_keep_script_and_word_count(spark):
+    values = ["Herr Berg", "Mr. John Doe", "Frau Анна Иванова", "Herr Иванов", "Madame Μαρία Παππά", "Mr Արամ Խաչատրյան", 'password = "пароль-Секрет1"', 'token: "αβγδΕΖΗΘ漢字כבÀé"']
+    got = {r.value: r.surrogate for r in pii.surrogate_table(spark.createDataFrame([(v,) for v in values], "value string"), "k").collect()}
+    assert all(v != s and len(v.split()) == len(s.split()) for v, s in got.items())
+
+    def kinds(text):
+        return [(unicodedata.name(c).split()[0], c.isupper()) if c.isalpha() else "9" if c.isdigit() else c for c in text]
+
+    for v, s in got.items():
+        if "=" in v or ":" in v:
+            assert kinds(v) == kinds(s)
+        else:
+            script = {k[0] for k in kinds(v.split(" ", 1)[1]) if isinstance(k, tuple)}
+            assert v.split()[0] == s.split()[0] and {k[0] for k in kinds(s.split(" ", 1)[1]) if isinstance(k, tuple)} == script
