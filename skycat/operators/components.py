@@ -4,43 +4,50 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
+def shared_folder(spark, purpose: str) -> str:
+    """A new folder below spark.checkpoint.dir; only a local session may go without that setting."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         root = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/components-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def _cut(df: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges written and read again, with their count and hash sum from the same pass."""
+    spark, seen = df.sparkSession, Observation()
+    path = shared_folder(spark, "components")
+    state = F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")
+    df.observe(seen, *state).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), (seen.get["n"], seen.get["h"])
 
 
 def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """(node, component): the smallest reachable node; isolated nodes keep their own id.
 
     ``edges`` has columns u and v.  Alternating large-star and small-star rounds (Kiveris et
-    al. 2014), each written to the shared folder; rounds grow with the logarithm of the
-    longest chain.
+    al. 2014); both halves of a round are written to the shared folder, so that a lost
+    executor costs half a round.  Rounds grow with the logarithm of the longest chain.
+    Without ``nodes`` only nodes with an edge to a smaller one are returned.
     """
-    now = _cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
+    now, state = _cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
     before = None
-    while True:
-        state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if state == before:
-            break
+    while state[0] and state != before:
         before = state
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large, _ = _cut(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = _cut(small.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        now, state = _cut(small.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
     found = now.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
     if nodes is None:
         return found
