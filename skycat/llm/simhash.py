@@ -1,18 +1,17 @@
 """SimHash near-duplicates with a Gray-order hierarchical Hamming index.
 
-Equal fingerprints collapse first.  Distinct fingerprints are dealt by blocks: at most
-``distance`` differing bits leave at least one of ``distance + 1`` blocks untouched, so each
-linked pair meets under a shared block value.  Every task sorts the fingerprints of its
-block values by Gray rank and factors them into a tree: an upper node keeps the bits that
-all fingerprints below it share (mask and pattern).  Two nodes are compared on the bits
-that both have settled; a whole pair of groups is dropped once these differ in more than
-``distance`` bits.  A task reports a spanning forest of what it has linked, never all pairs.
-Block values with more than ``HOT`` fingerprints are cut into salted tiles, and each pair of
-tiles becomes a task of its own.  Components are found over the forest edges.
+Equal fingerprints collapse first.  The distinct ones are sorted by Gray rank and cut into
+ranges of even size.  Fingerprints of one range share most of their leading bits; a tree
+over these shared bits tells for each fingerprint which ranges can hold a partner.  Within a
+range a tree of the same kind goes on: an upper node holds the bits (mask and pattern) that
+all codes below it share, a lower node only what is left, so that differences add up on the
+way down and whole groups are dropped once the sum exceeds ``distance``.  A task reports a
+spanning forest of what it has linked, never all pairs; components are found over these
+edges.  A fingerprint has at most 43,744 others within 3 bits, whatever the corpus.
 
 Defined cases: null, empty and word-free texts have fingerprint zero and link like any
-other; fewer than three words make one shingle; repeated rows fall into one class; extra
-columns are ignored; no rows give no rows.
+other; fewer than three words make one shingle; repeated rows fall into one class; null
+doc_ids count last for the component; extra columns are ignored; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -22,9 +21,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skycat.llm.common import written
+from skycat.operators.components import connected_components
 
-HOT = 4000
-LEAF = 16
+#: Children of a tree node; least number of Gray ranges; fingerprints of a range beyond that; probes of a task.
+FAN = 8
+RANGES, RANGE, PROBES = 64, 1 << 20, 1 << 21
+
+
+def majority(h):
+    """The 64-bit code whose bits are set in over half of the hashes ("<u8" array, repeats count)."""
+    import numpy as np
+
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(h), 4096):
+        part = h[at : at + 4096]
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0]
 
 
 def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
@@ -45,12 +57,7 @@ def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
                     hashes = [digest(b" ".join(words), seed)]
                 else:
                     hashes = [digest(s, seed) for s in map(b" ".join, zip(*(words[i:] for i in range(width))))]
-                h = np.array(hashes, "<u8")
-                ones = np.zeros(64, np.int64)
-                for at in range(0, len(h), 4096):
-                    part = h[at : at + 4096]
-                    ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-                out[row] = np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0]
+                out[row] = majority(np.array(hashes, "<u8"))
             yield pd.DataFrame({"doc_id": pdf.doc_id.astype("Int64"), "fp": out.view(np.int64)})
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, fp long")
@@ -67,63 +74,55 @@ def gray_rank(fp):
 
 
 class GrayIndex:
-    """Tree over fingerprints sorted by Gray rank; level 0 holds single fingerprints."""
+    """Tree over codes in Gray order.
 
-    def __init__(self, fps, fan: int = LEAF):
+    A code may be partial: ``masks`` has a one for each bit that is settled.  An upper node
+    takes over the bits that all codes below it share, and a node keeps only what is not
+    already settled above it, so that differences add up on the way down and a whole group
+    is dropped as soon as the sum exceeds the distance.
+    """
+
+    def __init__(self, codes, masks=None, fan: int = FAN):
         import numpy as np
 
-        self.order = np.argsort(gray_rank(fps), kind="stable")
-        self.fps = fps[self.order]
-        pattern, mask = self.fps, np.full(len(fps), ~np.uint64(0))
+        mask = np.full(len(codes), ~np.uint64(0)) if masks is None else masks
+        self.order = np.argsort(gray_rank(codes), kind="stable")
+        pattern, mask = (codes & mask)[self.order], mask[self.order]
         self.levels, self.fan = [(pattern, mask)], fan
-        while len(pattern) > 1:
+        while len(pattern) > fan:
             starts = np.arange(0, len(pattern), fan)
-            ones, zeros = np.bitwise_and.reduceat(pattern & mask, starts), np.bitwise_and.reduceat(~pattern & mask, starts)
-            pattern, mask = ones, ones | zeros
+            ones, zeros = np.bitwise_and.reduceat(pattern, starts), np.bitwise_and.reduceat(~pattern & mask, starts)
+            own = np.arange(len(pattern)) // fan
+            shared = ones | zeros
+            self.levels[-1] = (pattern & ~shared[own], mask & ~shared[own])
+            pattern, mask = ones, shared
             self.levels.append((pattern, mask))
 
-    def children(self, nodes, level):
+    def search(self, queries, distance: int, budget: int = 400_000):
+        """Arrays (i, j): query i lies within ``distance`` bits of code j of the given order, in bounded batches."""
         import numpy as np
 
-        below = len(self.levels[level - 1][0])
-        grid = nodes[:, None] * self.fan + np.arange(self.fan)[None, :]
-        return grid, grid < below
-
-
-def linked_pairs(left: GrayIndex, right: GrayIndex, distance: int, own: bool, budget: int = 400_000):
-    """Arrays (i, j) of positions with at most ``distance`` differing bits, in bounded batches."""
-    import numpy as np
-
-    stack = [(len(left.levels) - 1, len(right.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
-    while stack:
-        a, b, i, j = stack.pop()
-        if len(i) > budget:
-            half = len(i) // 2
-            stack += [(a, b, i[:half], j[:half]), (a, b, i[half:], j[half:])]
-            continue
-        (pa, ma), (pb, mb) = left.levels[a], right.levels[b]
-        near = np.bitwise_count((pa[i] ^ pb[j]) & ma[i] & mb[j]) <= distance
-        if own:
-            near &= (i <= j) if a == b else True
-        i, j = i[near], j[near]
-        if not len(i):
-            continue
-        if a == b == 0:
-            keep = i != j if own else np.ones(len(i), bool)
-            if keep.any():
-                yield i[keep], j[keep]
-            continue
-        step = max(1, budget // (left.fan * right.fan))
-        for at in range(0, len(i), step):
-            x, y = i[at : at + step], j[at : at + step]
-            if own or a >= b:
-                na, nb = (max(a - 1, 0), max(b - 1, 0)) if own else (a - 1, b)
-            else:
-                na, nb = a, b - 1
-            gx, okx = left.children(x, a) if na < a else (x[:, None], np.ones((len(x), 1), bool))
-            gy, oky = right.children(y, b) if nb < b else (y[:, None], np.ones((len(y), 1), bool))
-            ok = okx[:, :, None] & oky[:, None, :]
-            stack.append((na, nb, np.broadcast_to(gx[:, :, None], ok.shape)[ok], np.broadcast_to(gy[:, None, :], ok.shape)[ok]))
+        top, steps = len(self.levels) - 1, np.arange(self.fan)
+        roots = len(self.levels[top][0])
+        step = max(1, budget // max(1, roots))
+        for at in range(0, len(queries), step):
+            q = np.arange(at, min(at + step, len(queries)))
+            stack = [(top, np.repeat(q, roots), np.tile(np.arange(roots), len(q)), np.zeros(len(q) * roots, np.uint8))]
+            while stack:
+                level, i, j, apart = stack.pop()
+                pattern, mask = self.levels[level]
+                apart = apart + np.bitwise_count((queries[i] ^ pattern[j]) & mask[j])
+                near = apart <= distance
+                i, j, apart = i[near], j[near], apart[near]
+                if not level:
+                    if len(i):
+                        yield i, self.order[j]
+                    continue
+                below, width = len(self.levels[level - 1][0]), max(1, budget // self.fan)
+                for cut in range(0, len(i), width):
+                    child = (j[cut : cut + width, None] * self.fan + steps).ravel()
+                    real = child < below
+                    stack.append((level - 1, np.repeat(i[cut : cut + width], self.fan)[real], child[real], np.repeat(apart[cut : cut + width], self.fan)[real]))
 
 
 def _forest(n: int, pairs):
@@ -152,101 +151,57 @@ def _forest(n: int, pairs):
     return root
 
 
-def block_plan(n: int, distance: int = 3) -> tuple[int, int]:
-    """(blocks, blocks that must agree): finer keys once block values would grow crowded.
+def link_edges(distinct: DataFrame, distance: int = 3, n: int | None = None) -> DataFrame:
+    """(u, v): spanning edges between distinct fingerprints (column ``fp``) within ``distance`` bits.
 
-    Every choice is exact: ``distance`` bits spoil at most ``distance`` blocks.
+    The index is one tree: its lowest branches are ranges of the Gray order, one to a task,
+    and its crown is a tree over the bits that the fingerprints of each range share.  The
+    crown (24 bytes a range; ranges hold up to ``RANGE`` fingerprints) goes to every task.
     """
-    for blocks in range(distance + 1, distance + 4):
-        same = blocks - distance
-        if n >> (64 * same // blocks) <= 256:
-            return blocks, same
-    return blocks, same
-
-
-def link_edges(distinct: DataFrame, distance: int = 3, n: int | None = None) -> DataFrame:
-    """(u, v): spanning edges between distinct fingerprints (column ``fp``) within ``distance`` bits."""
-    from itertools import combinations
+    import numpy as np
 
     spark = distinct.sparkSession
-    blocks, same = block_plan(distinct.count() if n is None else n, distance)
-    edges = [64 * b // blocks for b in range(blocks + 1)]
-    keys = []
-    for k, chosen in enumerate(combinations(range(blocks), same)):
-        mask = sum(((1 << edges[b + 1]) - (1 << edges[b])) for b in chosen)
-        mask = mask - (1 << 64) if mask >= 1 << 63 else mask
-        keys.append(F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(mask)).alias("value")))
-    dealt = distinct.select("fp", F.explode(F.array(*keys)).alias("block")).select("fp", "block.k", "block.value")
-    sizes = dealt.groupBy("k", "value").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    tiles = F.ceil(F.col("n") / HOT).cast("int")
-    tiled = dealt.join(sizes, ["k", "value"]).withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
-    # tile t takes part in every pair (t, x): a hot value becomes tiles^2 / 2 tasks
-    other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-    cells = tiled.withColumn("x", other).select("fp", "k", "value", F.least("tile", "x").alias("a"), F.greatest("tile", "x").alias("b"), "tile")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-    def run(batches):
-        import numpy as np
-
-        frames = [b for b in batches if len(b)]
-        if not frames:
-            return
-        pdf = pd.concat(frames, ignore_index=True)
-        fps, us, vs = pdf.fp.to_numpy(np.int64).view(np.uint64), [], []
-        order = np.lexsort((pdf.b, pdf.a, pdf.value, pdf.k))
-        sorted_keys = pdf[["k", "value", "a", "b"]].to_numpy()[order]
-        cuts = np.flatnonzero((sorted_keys[1:] != sorted_keys[:-1]).any(axis=1)) + 1
-        for group in np.split(order, cuts):
-            a, b = pdf.a.iat[group[0]], pdf.b.iat[group[0]]
-            if len(group) < 2:
-                continue
-            if a == b:
-                index = GrayIndex(fps[group])
-                root = _forest(len(group), linked_pairs(index, index, distance, True))
-                nodes = index.fps
-            else:
-                first = pdf.tile.to_numpy()[group] == a
-                if first.all() or not first.any():
-                    continue
-                left, right = GrayIndex(fps[group[first]]), GrayIndex(fps[group[~first]])
-                shift = len(left.fps)
-                root = _forest(len(group), ((i, j + shift) for i, j in linked_pairs(left, right, distance, False)))
-                nodes = np.concatenate([left.fps, right.fps])
-            moved = np.flatnonzero(root != np.arange(len(root)))
-            us.append(nodes[moved])
-            vs.append(nodes[root[moved]])
-        if us:
-            yield pd.DataFrame({"u": np.concatenate(us).view(np.int64), "v": np.concatenate(vs).view(np.int64)})
-
-    return cells.repartition(parts, "k", "value", "a", "b").mapInPandas(run, "u long, v long").distinct()
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(node, component): smallest node reachable, by alternating large-star and small-star.
+    n = distinct.count() if n is None else n
+    ranges = max(RANGES, n // RANGE)
+    rank = F.col("fp")
+    for shift in (1, 2, 4, 8, 16, 32):
+        rank = rank.bitwiseXOR(F.shiftrightunsigned(rank, shift))
+    held = written(distinct.select("fp", rank.alias("rank")).repartitionByRange(ranges, "rank").select("fp", F.spark_partition_id().alias("range")), "gray-ranges")
+    crown = held.groupBy("range").agg(F.bit_and("fp").alias("ones"), F.bit_and(F.bitwise_not("fp")).alias("zeros"), F.count("*").alias("n")).orderBy("range").collect()
+    ones, zeros = (np.array([r[c] for r in crown], np.int64).view(np.uint64) for c in ("ones", "zeros"))
+    number = np.array([r["range"] for r in crown], np.int64)
+    #: a range with very many probes is searched by several tasks
+    salts = max(1, 64 * max((r["n"] for r in crown), default=0) // PROBES)
+
+    def probe(batches):
+        index = GrayIndex(ones, ones | zeros)
+        for pdf in batches:
+            fps = pdf.fp.to_numpy(np.int64)
+            for i, j in index.search(fps.view(np.uint64), distance):
+                # each pair of ranges meets once
+                later = number[j] >= pdf.range.to_numpy()[i]
+                i, j = i[later], j[later]
+                yield pd.DataFrame({"range": number[j], "salt": fps[i] % salts, "fp": fps[i]})
+
+    def search(probes: pd.DataFrame, leaves: pd.DataFrame) -> pd.DataFrame:
+        q, codes = (x.fp.to_numpy(np.int64).view(np.uint64) for x in (probes, leaves))
+        nodes = np.concatenate([q, codes])
+        root = _forest(len(nodes), ((i, j + len(q)) for i, j in GrayIndex(codes).search(q, distance))) if len(q) and len(codes) else np.arange(len(nodes))
+        moved = np.flatnonzero(nodes[root] != nodes)
+        return pd.DataFrame({"u": nodes[moved].view(np.int64), "v": nodes[root[moved]].view(np.int64)})
 
-    Each round is written to the shared folder, so that a lost executor costs one round.
-    """
-    now = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "links")
-    before = None
-    while True:
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(state) == before:
-            break
-        before = tuple(state)
-        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = written(small.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "links")
-    return now.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = ["range", "salt"]
+    probes = held.mapInPandas(probe, "range long, salt long, fp long").repartition(parts, *keys)
+    leaves = held.select(F.col("range").cast("long").alias("range"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"), "fp").repartition(parts, *keys)
+    return probes.groupBy(*keys).cogroup(leaves.groupBy(*keys)).applyInPandas(search, "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, distance: int = 3) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every document."""
     marked = written(fingerprints(docs), "fingerprints")
     classes = marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    parts = components(link_edges(classes.select("fp"), distance))
+    parts = connected_components(link_edges(classes.select("fp"), distance))
     labelled = classes.join(parts, classes.fp == parts.node, "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
     least = labelled.groupBy("component").agg(F.min("first_id").alias("component_id"))
     labelled = labelled.join(least, "component").select("fp", "component_id")

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from skycat.llm import byte_bpe, html_text, licences, media, packing, pii, quality_classifier, quality_rules, queries, simhash, token_files
 from skycat.llm.word_tokens import word_tokens
+from skycat.operators.components import connected_components
 
 WORD_FILE, RANKS = P.path("word_bpe_49k.json"), P.path("byte_bpe_multi_50k.tiktoken")
 EDGE = [
@@ -179,11 +180,11 @@ def test_simhash(spark, texts, edge, empty, monkeypatch):
     assert Counter(map(tuple, queries.op6_simhash(spark, DATA).collect())) == brute_components(rows)
     assert Counter(map(tuple, simhash.near_duplicates(edge).collect())) == brute_components(EDGE)
     assert simhash.near_duplicates(empty).count() == 0
-    monkeypatch.setattr(simhash, "HOT", 7)  # many tiles per block value give the same links
+    monkeypatch.setattr(simhash, "PROBES", 40)  # many salts per range give the same links
     rng = random.Random(3)
     ball = sorted({rng.choice([0, 2**40 - 1]) ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 5))) for _ in range(120)})
     signed = [(f - (1 << 64) if f >> 63 else f,) for f in ball]
-    got = {r.node: r.component for r in simhash.components(simhash.link_edges(spark.createDataFrame(signed, "fp long"))).collect()}
+    got = {r.node: r.component for r in connected_components(simhash.link_edges(spark.createDataFrame(signed, "fp long"))).collect()}
     group = {f[0]: f[0] for f in signed}
     for _ in range(len(ball)):
         for a, (x,) in zip(ball, signed):
