@@ -260,6 +260,27 @@ def test_html(spark, empty):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def brute_spans(w, words):
+    """Best (anchor, covered) of each cluster of anchors: aligned places of one template, straight from the words."""
+    places = defaultdict(list)
+    for j in range(len(words) - 1):
+        places[words[j], words[j + 1]].append(j)
+    found = defaultdict(list)
+    for i in range(len(w) - 1):
+        for j in places.get((w[i], w[i + 1]), ()):
+            found[i - j].append((i, j))
+    covered = {}
+    for anchor in {d - b for d in found for b in range(licences.BAND + 1)}:
+        at = place = -1
+        seen = set()
+        for i, j in sorted(h for b in range(licences.BAND + 1) for h in found.get(anchor + b, ())):
+            if i > at and j > place:
+                at, place, seen = i, j, seen | {j, j + 1}
+        if len(seen) >= -(-len(words) * 8 // 10):
+            covered[anchor] = len(seen)
+    return {(a, n) for a, n in covered.items() if all((n, -a) >= (m, -b) for b, m in covered.items() if abs(a - b) <= licences.BAND)}
+
+
 def brute_licences(text):
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     w, places, labels = re.findall(licences.WORDS, low), [], set()
@@ -267,17 +288,45 @@ def brute_licences(text):
         p = phrase.split()
         at = [i for i in range(len(w) - len(p) + 1) if w[i : i + len(p)] == p]
         places, labels = places + at, labels | ({label} if at else set())
-    return len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels))
+    more = {name: brute_spans(w, t.split()) for name, t in licences.TEMPLATES.items()}
+    score = max([float(bool(labels)), *(n / len(licences.TEMPLATES[k].split()) for k, v in more.items() for _, n in v)])
+    return len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels)), ",".join(sorted(labels | {k for k, v in more.items() if v})), round(score, 12)
+
+
+def licence_cases():
+    rng, cases = random.Random(9), ["under the " * 30, "mit license " * 4, "of the " * 40, "licensed under the the apache license version 2 0", "version 2 0 apache license the under licensed"]
+    for name, text in licences.TEMPLATES.items():
+        words = text.split()
+        for kind in range(6):
+            out = list(words)
+            for _ in range(kind * max(1, len(words) // 12)):
+                at = rng.randrange(len(out))
+                if kind % 3 == 0:
+                    out[at] = "x"  # other words
+                elif kind % 3 == 1:
+                    out.insert(at, rng.choice(words))  # drift one way
+                else:
+                    del out[at]  # and the other
+            cases.append(f"Before {name}. " + " ".join(out).upper() + " after " + " ".join(words[: len(words) // 2]) + " again " + " ".join(words))
+        cases.append(" ".join(rng.sample(words, len(words))))
+        cases.append(" ".join(words[len(words) // 2 :] + words[: len(words) // 2]))
+    return cases
 
 
 def test_licences(spark, texts, edge, empty):
-    key = lambda r: (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels)
+    key = lambda r: (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, round(r.score, 12))
     for r in queries.op10_licences(spark, DATA).collect():
         assert key(r) == brute_licences(texts[r.doc_id])
-        assert set(r.base_labels.split(",")) - {""} <= set(r.labels.split(",")) and 0 <= r.score <= 1
     assert Counter((r.doc_id, key(r)) for r in licences.scan(edge).collect()) == Counter((i, brute_licences(t)) for i, t in EDGE)
+    cases = dict(enumerate(licence_cases()))
+    got = {r.doc_id: key(r) for r in licences.scan(spark.createDataFrame(list(cases.items()), "doc_id long, text string")).collect()}
+    assert got == {i: brute_licences(t) for i, t in cases.items()}
+    assert {"mit", "mit-text", "gpl-3-header"} <= {x for g in got.values() for x in g[5].split(",")} and not any(got[i][5] for i in (0, 1, 2, 4)) and got[3][5] == "apache-2.0"
     text = "x y Permission is hereby granted, free of charge, to any person obtaining a copy of THE software and associated documentation files z"
     assert licences.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().labels == "mit-grant"
+    found = licences.hits(spark.createDataFrame([(1, cases[5]), (2, cases[5])], "doc_id long, text string")).where("place is not null")
+    for r in licences.spans(found).collect():
+        assert 0 <= r.first < r.last and r.covered <= r.size
     assert licences.scan(empty).count() == 0
 
 
