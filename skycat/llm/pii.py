@@ -1,26 +1,35 @@
 """Personal data: detection and keyed, type-consistent surrogates, in DataFrame functions only.
 
 One alternation finds e-mail addresses, phone numbers, card numbers, IP addresses, secrets
-and titled names from left to right without overlap.  A surrogate is drawn from a keyed
-SHA-256 of the value, so one value has one surrogate everywhere (coreference), and it keeps
-type, length, separators, letter case and script and, for names, the gender of the title
-and the number of words (names in a script other than Latin, Cyrillic, Greek and Armenian
-become Latin).  Collision checks run over the distinct values of the whole corpus: a surrogate
-that two values share, or that is itself a value found in the corpus, is drawn anew with
-the next attempt number until all are distinct.
+and titled names from left to right without overlap; a full name that a text gives a title
+once is also found without it in that text.  A found value stands for one or more entities:
+a name for each of its words (given names by gender, family names), a number for its digits,
+an address for its lower-case form.  An entity's surrogate is drawn from a keyed SHA-256 of
+the entity, so ``Mr. John Doe``, ``Mr John Doe``, ``MR DOE`` and ``John Doe`` stay one
+person, and a number stays one number however it is spaced.  The surrogate takes the shape
+of the value: title, particles, hyphens, capitals, separators, lengths of numbers and of the
+parts of an address, script of the letters, calling code, gender of given names.
+
+Collision checks run over the distinct entities of the whole corpus: a surrogate that two
+entities share, or that is itself an entity of the corpus, is drawn anew with the next
+attempt number until all are distinct; later attempts draw longer names and addresses.
 
 Defined cases: null text stays null; texts without personal data come back unchanged;
-repeated rows are rewritten alike; all other columns are kept.
+repeated rows are rewritten alike; all other columns are kept, whatever their names; names
+in scripts other than Latin, Cyrillic, Greek and Armenian become Latin; initials are
+replaced letter by letter.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from skycat.llm.common import let, written
+from skycat.llm.common import fresh, let, written
 
+_TITLE = r"(?:Mrs?|MRS?|Ms|MS|Herr|HERR|Frau|FRAU|Monsieur|Madame|Señora?)"
+_WORD = r"\p{Lu}(?:['’]\p{Lu})?[\p{L}\p{M}]+(?:-\p{L}[\p{L}\p{M}]+)*"
+_PARTICLES = r"(?:(?:van|von|vom|zu|zur|de|der|den|del|della|di|da|dos|du|la|le|ten|ter) ){0,3}"
 #: What is detected, by type, in order of preference at one place.
 PATTERNS: dict[str, str] = {
     "email": r"(?:\G|(?<![\p{L}\p{N}_%+\-]))[\p{L}\p{N}_%+\-]++(?:\.[\p{L}\p{N}_%+\-]++)*+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}",
@@ -31,26 +40,24 @@ PATTERNS: dict[str, str] = {
     "ssn": r"(?<![\p{L}\p{N}])\d{3}-\d{2}-\d{4}(?!\d)",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}\b",
     "card": r"(?<![\p{L}\p{N}])\d(?:[ \-]?\d){12,18}(?!\d)",
-    "name": r"\b(?:Mr|Mrs|Ms|Herr|Frau|Monsieur|Madame|Señor|Señora)\.? \p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?",
+    "name": rf"\b{_TITLE}\.? (?:\p{{Lu}}\. ){{0,2}}{_PARTICLES}{_WORD}(?: (?:\p{{Lu}}\. ){{0,2}}{_PARTICLES}{_WORD})?",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 NO_EMAIL = "|".join(f"(?:{p})" for k, p in PATTERNS.items() if k != "email")
 #: Every match of ``NO_EMAIL`` holds one of these, so texts without them and without @ need no search.
-SIGNS = r"[0-9]|[=:]\s*[\"']|AKIA|gh[pousr]_|sk-|M(?:rs?|s|onsieur|adame)\b|Herr\b|Frau\b|Señora?\b"
-#: Given names for titled names, by gender of the title.
-SYLLABLES = {
-    "f": ["Ada", "Bea", "Cora", "Dora", "Elsa", "Flora", "Greta", "Hanna"],
-    "m": ["Alan", "Boris", "Carl", "Dirk", "Emil", "Felix", "Georg", "Hugo"],
-}
-FEMALE = r"^(?:Mrs|Ms|Frau|Madame|Señora)\b"
-#: Family names: each pair of digest digits gives a consonant and a vowel, 64 equally likely pairs.
-CONSONANTS, VOWELS, FAMILY_PAIRS = "bdfghklmnprstvwz", "aeioaeioaeioaeio", 6
-#: Names in other scripts that have capitals: consonants and vowels, four of each pair as above.
-NAME_SCRIPTS = {
-    "Cyrillic": ("бвгдзклмнпрстфхш", "аеиоаеиоаеиоаеио"),
-    "Greek": ("βγδζθκλμνξπρστφχ", "αειοαειοαειοαειο"),
-    "Armenian": ("բգդզթլխկհմնպսվրտ", "աեիոաեիոաեիոաեիո"),
+SIGNS = r"[0-9]|[=:]\s*[\"']|AKIA|gh[pousr]_|sk-|M(?:rs?|s|RS?|S|onsieur|adame)\b|H(?:err|ERR)\b|F(?:rau|RAU)\b|Señora?\b"
+FEMALE = r"^(?:Mrs|MRS|Ms|MS|Frau|FRAU|Madame|Señora)\b"
+#: Signs that a hexadecimal digit becomes in turn, consonant and vowel, and endings of given names, by script.
+NAMES = {
+    "Cyrillic": ("бвгдзклмнпрстфхш", "аеиоаеиоаеиоаеио", {"f": ["а", "ина", "ела", "ита"], "m": ["ан", "ор", "ил", "ерт"]}),
+    "Greek": ("βγδζθκλμνξπρστφχ", "αειοαειοαειοαειο", {"f": ["α", "ινα", "ελα", "ιτα"], "m": ["ος", "ης", "ας", "ων"]}),
+    "Armenian": ("բգդզթլխկհմնպսվրտ", "աեիոաեիոաեիոաեիո", {"f": ["ա", "ինա", "ելա", "իտա"], "m": ["ան", "որ", "իլ", "երտ"]}),
+    "Latin": ("bdfghklmnprstvwz", "aeioaeioaeioaeio", {"f": ["a", "ina", "ella", "ita"], "m": ["an", "or", "il", "ert"]}),
 }
+#: Pairs of a consonant and a vowel in a family name (64 ** 6 of them) and before the ending of a given name; later attempts get more.
+FAMILY_PAIRS, GIVEN_PAIRS, MOST_PAIRS = 6, 4, 24
+#: Lengths of calling codes by their first digits.
+CALLING_CODE = r"^\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 #: Letters outside ASCII that a masked value gets, by script; those of any other script become Latin.
 LETTERS = {
     r"(?=\p{IsLatin})\p{Lu}": "ÉÈÊÀÂÎÔÛÄÖÜ", r"\p{IsLatin}": "éèêàâîôûäöü", r"(?=\p{IsCyrillic})\p{Lu}": "БВГДЖЗИКЛМНПРСТУФХЦЧШЭЮЯ", r"\p{IsCyrillic}": "бвгджзиклмнпрстуфхцчшэюя",
@@ -62,6 +69,7 @@ LETTERS = {
 ROUNDS = 100
 #: Largest measured size of the redrawn rows that are sent to every task.
 BROADCAST_BYTES = 16 << 20
+NO_STRINGS = "cast(array() as array<string>)"
 
 
 def kind_of(value: Column) -> Column:
@@ -69,68 +77,169 @@ def kind_of(value: Column) -> Column:
     return F.coalesce(*(F.when(value.rlike(f"^(?:{p})$"), F.lit(k)) for k, p in PATTERNS.items()), F.lit("card"))
 
 
-def _pick(digest: Column, at: int, names: list[str]) -> Column:
-    number = F.conv(F.substring(digest, at, 2), 16, 10).cast("int")
-    return F.element_at(F.array(*map(F.lit, names)), F.pmod(number, F.lit(len(names))) + 1)
+# --- detection -------------------------------------------------------------------------
+def _searched(text: Column, search, otherwise: Column) -> Column:
+    """``search(pattern)`` with the least pattern that finds all of ``ANY`` in the text; ``otherwise`` where none can match."""
+    return F.when(text.contains("@"), search(ANY)).when(text.rlike(SIGNS), search(NO_EMAIL)).otherwise(otherwise)
+
+
+def detected(text: Column) -> Column:
+    """The values of a text from left to right, repeats included, without the untitled mentions; null text has none."""
+    return _searched(text, lambda p: F.regexp_extract_all(text, F.lit(f"({p})"), F.lit(1)), F.expr(NO_STRINGS))
+
+
+def _full_names(values: Column) -> Column:
+    """The titled names of two words and more, as they stand without their title."""
+    titled = F.filter(values, lambda v: v.rlike(rf"^{_TITLE}\.? \S+ \S") & v.rlike(rf"^(?:{PATTERNS['name']})$"))
+    return F.array_distinct(F.transform(titled, lambda v: F.regexp_replace(v, r"^\S+ ", "")))
+
+
+def _pattern(names: Column) -> Column:
+    """Everything that is detected, and these names without title."""
+    return F.concat(F.lit(ANY + r"|(?<![\p{L}\p{N}])(?:"), F.replace(F.array_join(names, "|"), F.lit("."), F.lit("[.]")), F.lit(r")(?![\p{L}\p{N}])"))
+
+
+def found_in(text: Column) -> Column:
+    """struct(between array<string>, found array<struct(value, kind, core, female)>): a text cut at its values.
+
+    ``core`` is a name without its title; an untitled mention has kind ``untitled`` and the
+    gender of the first titled one.
+    """
+    pieces = lambda values, pattern: F.split(text, pattern, -1)  # noqa: E731, ARG005
+
+    def described(values: Column, titled: Column, names: Column) -> Column:
+        def one(v: Column) -> Column:
+            loose = F.array_contains(names, v)
+            kind = F.when(loose, F.lit("untitled")).otherwise(kind_of(v))
+            source = F.when(loose, F.element_at(F.filter(titled, lambda t: t.endswith(F.concat(F.lit(" "), v))), 1)).otherwise(v)
+            return F.struct(v.alias("value"), kind.alias("kind"), F.when(loose, v).otherwise(F.regexp_replace(v, r"^\S+ ", "")).alias("core"), source.rlike(FEMALE).alias("female"))
+
+        return F.transform(values, one)
+
+    def cut(titled: Column) -> Column:
+        def by(names: Column) -> Column:
+            whole = _pattern(names)
+            again = F.struct(F.split(text, whole, -1).alias("between"), described(F.regexp_extract_all(text, F.concat(F.lit("("), whole, F.lit(")")), F.lit(1)), titled, names).alias("found"))
+            once = F.struct(_searched(text, lambda p: pieces(titled, p), F.array(text)).alias("between"), described(titled, titled, names).alias("found"))
+            return F.when(F.size(names) > 0, again).otherwise(once)
+
+        return F.when(F.size(titled) > 0, let(_full_names(titled), by))
+
+    return let(detected(text), cut)
+
+
+# --- entities --------------------------------------------------------------------------
+def _name_parts(core: Column, female: Column) -> Column:
+    """array<struct(text, entity)> of a name: its words and hyphens, with the entity of each part that is one."""
+    words = F.split(core, " ")
+
+    def split(w: Column, at: Column) -> Column:
+        role = F.when(at == F.size(words) - 1, F.lit("family")).otherwise(F.concat(F.lit("given:"), F.when(female, F.lit("f")).otherwise(F.lit("m"))))
+        named = w.rlike(r"^\p{Lu}") & ~w.rlike(r"^\p{Lu}\.$")
+        return F.transform(F.split(w, "-"), lambda p, k: F.struct(p.alias("text"), F.when(named, F.concat(role, F.lit("|"), F.lower(p))).alias("entity"), F.when(k > 0, F.lit("-")).when(at > 0, F.lit(" ")).otherwise(F.lit("")).alias("lead")))
+
+    return F.flatten(F.transform(words, split))
+
+
+def _canonical(v: Column) -> Column:
+    """What of a value that is no name tells it from others of its kind."""
+    value, kind = v["value"], v["kind"]
+    return F.when(kind == "email", F.lower(value)).when(kind == "phone", F.regexp_replace(value, r"[^+0-9]", "")).when(kind.isin("ssn", "card"), F.regexp_replace(value, r"[^0-9]", "")).when(kind == "iban", F.replace(value, F.lit(" "), F.lit(""))).when(kind == "secret", F.regexp_extract(value, r"[\"'](.*)[\"']$", 1)).otherwise(value)
+
+
+def entities_of(v: Column) -> Column:
+    """The entities of a found value, each as kind|canonical form."""
+    names = F.filter(F.transform(_name_parts(v["core"], v["female"]), lambda p: p["entity"]), lambda e: e.isNotNull())
+    return F.when(v["kind"].isin("name", "untitled"), names).otherwise(F.array(F.concat(v["kind"], F.lit("|"), _canonical(v))))
+
+
+# --- surrogates ------------------------------------------------------------------------
+def _number(digest: Column, at, width: int = 4) -> Column:
+    return F.conv(F.substring(digest, at if isinstance(at, Column) else F.lit(at), F.lit(width)), 16, 10).cast("int")
 
 
 def _masked(value: Column, digest: Column, fixed: Column) -> Column:
     """Each digit and letter after the first ``fixed`` characters drawn from the digest in kind: case and script stay."""
+
     def one(c: Column, i: Column) -> Column:
-        number = F.conv(F.substring(digest, F.pmod(i, F.lit(60)) + 1, F.lit(4)), 16, 10).cast("int")
+        number = _number(digest, F.pmod(i, F.lit(60)) + 1)
         draw = lambda alphabet: F.substring(F.lit(alphabet), F.pmod(number, F.lit(len(alphabet))) + 1, F.lit(1))
         return F.when(i < fixed, c).when(c.rlike("[0-9]"), draw("0123456789")).when(c.rlike("[a-f]"), draw("abcdef")).when(c.rlike("[g-z]"), draw("ghijklmnopqrstuvwxyz")).when(c.rlike("[A-Z]"), draw("ABCDEFGHIJKLMNOPQRSTUVWXYZ")).when(c.rlike(r"\p{L}"), F.coalesce(*(F.when(c.rlike(p), draw(letters)) for p, letters in LETTERS.items()), draw("éèêàâîôûäöü"))).otherwise(c)
 
     return F.array_join(F.transform(F.split(value, ""), one), "")
 
 
-def surrogate(value: Column, key: str, attempt: Column) -> Column:
-    """The keyed replacement of a value; another attempt gives another one."""
+def _spoken(digest: Column, signs: tuple[str, str], pairs: Column) -> Column:
+    """A word of so many pairs of a consonant and a vowel."""
+    letters = [F.split(F.translate(F.substring(digest, at, MOST_PAIRS), "0123456789abcdef", s), "") for at, s in zip((2, 2 + MOST_PAIRS), signs)]
+    return F.substring(F.array_join(F.zip_with(*letters, lambda a, b: F.concat(a, b)), ""), F.lit(1), F.least(pairs, F.lit(MOST_PAIRS)) * 2)
+
+
+def surrogate(entity: Column, key: str, attempt: Column) -> Column:
+    """The keyed replacement of an entity, in the same form kind|value; another attempt gives another one."""
+    kind, value = F.substring_index(entity, "|", 1), F.regexp_replace(entity, r"^[^|]*\|", "")
+
     def drawn(d: Column) -> Column:
-        host = F.concat(F.lit("user"), F.substring(d, 1, 12), F.lit("@"), F.lit("mail"), F.substring(d, 13, 2), F.lit(".example.invalid"))
-        part = lambda at: F.pmod(F.conv(F.substring(d, at, 4), 16, 10).cast("int"), F.lit(254)) + 1
-        ip = F.concat_ws(".", F.lit("10"), *(part(at).cast("string") for at in (1, 5, 9)))
-        lead = F.char_length(F.regexp_extract(value, r"^[^=:]*[=:]\s*[\"']", 0))
-        title = F.regexp_extract(value, r"^\S+", 0)
-        given = F.when(value.rlike(FEMALE), _pick(d, 1, SYLLABLES["f"])).otherwise(_pick(d, 1, SYLLABLES["m"]))
-        pairs = lambda first, n, signs: F.initcap(F.concat(*(F.translate(F.substring(d, at, 1), "0123456789abcdef", signs[(at - first) % 2]) for at in range(first, first + 2 * n))))
-        family = pairs(3, FAMILY_PAIRS, (CONSONANTS, VOWELS))
-        for script, signs in NAME_SCRIPTS.items():
+        domain = F.regexp_extract(value, r"@(.*)\.[^.]*$", 1)
+        host = let(F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit("domain"), domain), 256), lambda h: F.concat(F.lit("@"), _masked(domain, h, F.lit(0)), F.lit(".invalid")))
+        email = F.concat(_masked(F.regexp_extract(value, r"^[^@]*", 0), d, F.lit(0)), F.when(attempt > 1, F.pmod(_number(d, 50, 6), F.lit(1000000)).cast("string")).otherwise(F.lit("")), host)
+        # private addresses first, then the range that is reserved for no use
+        lead = F.when(attempt < 2, F.lit(10)).otherwise(240 + F.pmod(_number(d, 20, 2), F.lit(15)))
+        ip = F.concat_ws(".", lead.cast("string"), *((F.pmod(_number(d, at), F.lit(254)) + 1).cast("string") for at in (1, 5, 9)))
+        family = given = None
+        for script, (consonants, vowels, endings) in reversed(NAMES.items()):
+            last, first = (_spoken(d, (consonants, vowels), F.lit(n) + (attempt / 3).cast("int")) for n in (FAMILY_PAIRS, GIVEN_PAIRS))
+            end = lambda g: F.element_at(F.array(*map(F.lit, endings[g])), F.pmod(_number(d, 1, 1), F.lit(4)) + 1)  # noqa: E731, B023
+            first = F.concat(first, F.when(kind == "given:f", end("f")).otherwise(end("m")))
             within = value.rlike(rf"\p{{Is{script}}}")
-            given, family = F.when(within, pairs(3 + 2 * FAMILY_PAIRS, 2, signs)).otherwise(given), F.when(within, pairs(3, FAMILY_PAIRS, signs)).otherwise(family)
-        two = value.rlike(r" \S+ ")
-        named = F.when(two, F.concat_ws(" ", title, given, family)).otherwise(F.concat_ws(" ", title, family))
-        kind = kind_of(value)
-        country = F.when(value.startswith("+"), F.char_length(F.regexp_extract(value, r"^\+\d{1,3}(?=[ .\-(])|^\+\d", 0))).otherwise(0)
-        fixed = F.when(kind == "secret", lead).when(kind == "phone", country).when(kind == "iban", F.lit(2)).when(kind == "key", F.lit(4)).otherwise(0)
-        return F.when(kind == "email", host).when(kind == "ip", ip).when(kind == "name", named).otherwise(_masked(value, d, fixed))
+            family, given = (last, first) if family is None else (F.when(within, last).otherwise(family), F.when(within, first).otherwise(given))
+        fixed = F.when(kind == "phone", F.char_length(F.regexp_extract(value, CALLING_CODE, 0))).when(kind == "iban", F.lit(2)).when(kind == "key", F.lit(4)).otherwise(0)
+        new = F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "family", family).when(kind.startswith("given"), given).otherwise(_masked(value, d, fixed))
+        return F.concat(kind, F.lit("|"), new)
 
-    return let(F.sha2(F.concat_ws("\x1f", F.lit(key), value, attempt.cast("string")), 256), drawn)
+    return let(F.sha2(F.concat_ws("\x1f", F.lit(key), entity, attempt.cast("string")), 256), drawn)
 
 
-def _searched(text: Column, search, otherwise: Column) -> Column:
-    """``search(pattern)`` with the least pattern that finds all of ``ANY`` in the text; ``otherwise`` where none can match."""
-    return F.when(text.contains("@"), search(ANY)).when(text.rlike(SIGNS), search(NO_EMAIL)).otherwise(otherwise)
+def _rendered(v: Column, key: str, look_up) -> Column:
+    """A found value with the surrogates of its entities, in its own shape; ``look_up`` gives an entity's surrogate."""
+    value, kind = v["value"], v["kind"]
+    new = lambda entity: F.regexp_replace(look_up(entity), r"^[^|]*\|", "")
+    initial = lambda text: F.concat(F.substring(F.translate(F.sha2(F.concat_ws("\x1f", F.lit(key), text), 256), "0123456789", "JKLMNOPRST"), 1, 1), F.lit("."))
 
+    def name(p: Column) -> Column:
+        cased = let(new(p["entity"]), lambda s: F.when((p["text"] == F.upper(p["text"])) & (F.char_length(p["text"]) > 1), F.upper(s)).otherwise(F.initcap(s)))
+        return F.concat(p["lead"], F.when(p["entity"].isNotNull(), cased).when(p["text"].rlike(r"^\p{Lu}\.$"), F.upper(initial(p["text"]))).otherwise(p["text"]))
 
-def detected(text: Column) -> Column:
-    """The values of a text from left to right, repeats included; null text has none."""
-    return _searched(text, lambda p: F.regexp_extract_all(text, F.lit(f"({p})"), F.lit(1)), F.expr("cast(array() as array<string>)"))
+    whole = F.array_join(F.transform(_name_parts(v["core"], v["female"]), name), "")
+    titled = F.concat(F.regexp_extract(value, r"^\S+ ", 0), whole)
 
+    def filled(s: Column) -> Column:
+        # the signs of the surrogate go where the value has its own
+        start = F.struct(F.lit("").alias("text"), F.lit(1).alias("at"))
+        step = lambda a, c: F.when(c.rlike("[+0-9A-Za-z]"), F.struct(F.concat(a["text"], F.substring(s, a["at"], F.lit(1))).alias("text"), (a["at"] + 1).alias("at"))).otherwise(F.struct(F.concat(a["text"], c).alias("text"), a["at"].alias("at")))
+        return F.aggregate(F.split(value, ""), start, step, lambda a: a["text"])
 
+    def shaped(s: Column) -> Column:
+        quoted = F.concat(F.regexp_extract(value, r"^[^=:]*[=:]\s*[\"']", 0), s, F.right(value, F.lit(1)))
+        return F.when(kind == "secret", quoted).when(kind == "email", F.when(value == F.upper(value), F.upper(s)).otherwise(s)).when(kind.isin("ip", "key"), s).otherwise(filled(s))
+
+    return F.when(kind == "name", titled).when(kind == "untitled", whole).otherwise(let(new(F.concat(kind, F.lit("|"), _canonical(v))), shaped))
+
+
+# --- tables ----------------------------------------------------------------------------
 def places(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(text_key, value): the distinct detected values of every distinct text."""
-    matches = F.array_distinct(detected(F.col(text)))
-    return docs.select(F.xxhash64(F.col(text)).alias("text_key"), F.explode(matches).alias("value")).distinct()
+    """(text_key, value): the distinct entities of every distinct text."""
+    each = F.array_distinct(F.flatten(F.transform(found_in(F.col(text))["found"], entities_of)))
+    return docs.select(F.xxhash64(F.col(text)).alias("text_key"), F.explode(each).alias("value")).distinct()
 
 
 def entities(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(value, texts): every distinct detected value and the number of distinct texts that hold it."""
+    """(value, texts): every distinct entity and the number of distinct texts that hold it."""
     return places(docs, text).groupBy("value").agg(F.count("*").alias("texts"))
 
 
 def surrogate_table(values: DataFrame, key: str) -> DataFrame:
-    """(value, surrogate): one-to-one, and no surrogate is a value of the corpus.
+    """(value, surrogate) of entities: one-to-one, and no surrogate is an entity of the corpus.
 
     Rounds go on until no clash is left.  Only a form with too few possible values for the
     corpus (a phone number of few digits, say) brings no progress; that raises an error.
@@ -158,30 +267,38 @@ def surrogate_table(values: DataFrame, key: str) -> DataFrame:
 def replace_personal_data(docs: DataFrame, key: str = "surrogate-key-1", text: str = "text", count: str | None = None) -> DataFrame:
     """Rewrites ``text``; with ``count`` also adds the number of replaced places under that name.
 
-    Surrogates at attempt 0 are computed in the row; only texts that hold a value whose
-    surrogate was drawn anew need the (value, surrogate) rows of that rest.  Those rows are
-    broadcast while they measure at most ``BROADCAST_BYTES``; beyond that the join shuffles.
+    Surrogates at attempt 0 are computed in the row; only texts that hold an entity whose
+    surrogate was drawn anew need the (entity, surrogate) rows of that rest.  Those rows are
+    broadcast while they measure at most ``BROADCAST_BYTES``; beyond that the texts with
+    personal data, and no others, are shuffled to them.
     """
-    found_in = written(places(docs, text), "places")
-    table = surrogate_table(found_in.select("value").distinct(), key)
+    held = written(places(docs, text), "places")
+    table = surrogate_table(held.select("value").distinct(), key)
     redrawn = table.where(F.col("surrogate") != surrogate(F.col("value"), key, F.lit(0)))
-    marked = docs.withColumn("_found", detected(F.col(text)))
-    empty_map = F.expr("cast(map() as map<string,string>)")
+    cut, redraws, text_key = fresh(docs, "pii_cut", "pii_map", "pii_key")
+    marked = docs.withColumn(cut, found_in(F.col(text)))
+    no_map = F.expr("cast(map() as map<string,string>)")
+    none = F.coalesce(F.size(f"{cut}.found"), F.lit(0)) <= 0
+    rest = None
     if redrawn.isEmpty():
-        marked = marked.withColumn("_map", empty_map)
+        marked = marked.withColumn(redraws, no_map)
     else:
-        hits = found_in.join(redrawn, "value")
-        maps = written(hits.groupBy("text_key").agg(F.map_from_entries(F.collect_set(F.struct("value", "surrogate"))).alias("_map")).withColumnRenamed("text_key", "_key"), "redrawn")
-        letters = F.aggregate(F.map_entries("_map"), F.lit(16).cast("long"), lambda total, e: total + F.octet_length(e["key"]) + F.octet_length(e["value"]) + 32)
+        maps = held.join(redrawn, "value").groupBy("text_key").agg(F.map_from_entries(F.collect_set(F.struct("value", "surrogate"))).alias(redraws))
+        maps = written(maps.withColumnRenamed("text_key", text_key), "redrawn")
+        letters = F.aggregate(F.map_entries(redraws), F.lit(16).cast("long"), lambda total, e: total + F.octet_length(e["key"]) + F.octet_length(e["value"]) + 32)
         size = maps.agg(F.sum(letters)).first()[0] or 0
-        maps = F.broadcast(maps) if size <= BROADCAST_BYTES else maps
-        marked = marked.withColumn("_key", F.xxhash64(F.col(text))).join(maps, "_key", "left").drop("_key").withColumn("_map", F.coalesce("_map", empty_map))
-
-    def rewritten(found: Column) -> Column:
-        new = F.transform(found, lambda v: F.coalesce(F.element_at(F.col("_map"), v), surrogate(v, key, F.lit(0))))
-        between = _searched(F.col(text), lambda p: F.split(F.col(text), p, -1), F.array(F.col(text)))
-        return F.array_join(F.flatten(F.zip_with(between, new, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
-
-    new_text = F.when(F.size("_found") > 0, rewritten(F.col("_found"))).otherwise(F.col(text))
-    out = marked.select(*(new_text.alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns if c != count), *([F.greatest(F.size("_found"), F.lit(0)).cast("long").alias(count)] if count else []))
-    return out
+        if size <= BROADCAST_BYTES:
+            maps = F.broadcast(maps)
+        else:
+            rest, marked = marked.where(none).withColumn(redraws, no_map), marked.where(~none)
+        marked = marked.withColumn(text_key, F.xxhash64(F.col(text))).join(maps, text_key, "left").drop(text_key).withColumn(redraws, F.coalesce(redraws, no_map))
+        marked = marked if rest is None else marked.unionByName(rest)
+
+    def rewritten(c: Column) -> Column:
+        look_up = lambda e: F.coalesce(F.element_at(F.col(redraws), e), surrogate(e, key, F.lit(0)))
+        new = F.transform(c["found"], lambda v: _rendered(v, key, look_up))
+        return F.array_join(F.flatten(F.zip_with(c["between"], new, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
+
+    new_text = F.when(~none, rewritten(F.col(cut))).otherwise(F.col(text))
+    kept = [new_text.alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns if c != count]
+    return marked.select(*kept, *([F.greatest(F.coalesce(F.size(f"{cut}.found"), F.lit(0)), F.lit(0)).cast("long").alias(count)] if count else []))

@@ -1,20 +1,88 @@
-"""Surrogates for titled names in numbers beyond a small name space."""
+"""Surrogates: brute force over the whole table, coreference, shape, distinctness in great numbers."""
 
 import re
 import unicodedata
+from collections import defaultdict
 
+import regex
+from conftest import DATA as SMALL
 from pyspark.sql import functions as F
 
-from skycat.llm import pii
+from skycat.llm import pii, queries
 
+DATA = SMALL.replace("0.001", "0.01")
+FINDER = regex.compile(pii.ANY)
 
-def test_surrogates_for_many_names_of_one_title(spark):
-    letters = "abcdefghijklmnopqrstuvwxyz"
-    names = [f"Frau Zoe Q{letters[i // 676]}{letters[i // 26 % 26]}{letters[i % 26]}" for i in range(6000)]
-    values = spark.createDataFrame([(n,) for n in names], "value string")
-    got = {r.value: r.surrogate for r in pii.surrogate_table(values, "k").collect()}
-    assert set(got) == set(names) and len(set(got.values())) == 6000 and not set(names) & set(got.values())
-    assert all(re.fullmatch(pii.PATTERNS["name"].replace(r"\p{Lu}", "[A-Z]").replace(r"\p{Ll}", "[a-z]"), s) and s.split()[1] in pii.SYLLABLES["f"] for s in got.values())
+
+def replaced(spark, *texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r.text for r in pii.replace_personal_data(rows).orderBy("doc_id").collect()]
+
+
+def kinds(text):
+    return [(unicodedata.name(c).split()[0], c.isupper()) if c.isalpha() else "9" if c.isdigit() else c for c in text]
+
+
+def test_whole_table_against_brute_force(spark):
+    old = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    new, values = {r.doc_id: r for r in queries.op7_pii(spark, DATA).collect()}, defaultdict(set)
+    assert set(old) == set(new)
+    for i, text in old.items():
+        found, at, parts = list(FINDER.finditer(text)), 0, []
+        for m in found:
+            parts, at = [*parts, text[at : m.start()]], m.end()
+        back = re.fullmatch("(.+?)".join(map(re.escape, [*parts, text[at:]])), new[i].text, re.S)
+        assert back and new[i].n_replaced == len(found)  # nothing else has changed
+        for m, s in zip(found, back.groups()):
+            values[m.group()].add(s)
+    assert len(values) > 30 and all(len(v) == 1 for v in values.values())
+    one = {v: min(s) for v, s in values.items()}
+    assert len(set(one.values())) == len(one) and not set(one) & set(one.values())
+    for v, s in one.items():
+        if "@" in v:
+            assert re.fullmatch(r"[^@]+@([^@.]+\.)+invalid", s) and kinds(v.lower())[: v.index("@")] == kinds(s)[: v.index("@")]
+        elif re.fullmatch(r"[\d.]+\.\d+", v):
+            assert re.fullmatch(r"(\d{1,3}\.){3}\d{1,3}", s)
+        else:
+            assert kinds(v) == kinds(s) and v.split("=")[0] == s.split("=")[0] if "=" in v else kinds(v) == kinds(s)
+
+
+def test_one_person_stays_one(spark):
+    text, other = replaced(spark, "Mr. John Doe met Mr John Doe. MR DOE and John Doe left; Mr Doe too. Frau Doe stayed.", "Herr Doe, Monsieur John Li. John Doe is no one here.")
+    a, b, c, d, e, f = re.fullmatch(r"Mr\. (\w+ \w+) met Mr (\w+ \w+)\. MR (\w+) and (\w+ \w+) left; Mr (\w+) too\. Frau (\w+) stayed\.", text).groups()
+    given, family = a.split()
+    assert a == b == d and c == family.upper() and e == f == family and given.endswith(tuple(pii.NAMES["Latin"][2]["m"]))
+    assert re.fullmatch(rf"Herr {family}, Monsieur {given} \w+\. John Doe is no one here\.", other)
+
+
+def test_one_number_or_address_stays_one(spark):
+    (text,) = replaced(spark, "JOHN@X.COM john@x.com jane@x.com | +1 (132) 555-1352 +11325551352 | 4785 3805 9239 1139 4785380592391139 | token = 'abcdefgh1' password: \"abcdefgh1\"")
+    mails, phones, cards, secrets = text.split(" | ")
+    a, b, c = mails.split()
+    assert a.lower() == b and a == a.upper() and b != c and b.split("@")[1] == c.split("@")[1]
+    assert re.sub("[^+0-9]", "", phones[:17]) == phones[18:] and phones.startswith("+1 (") and cards[:19].replace(" ", "") == cards[20:]
+    assert len(set(re.findall("[a-h]{8}\\d|[a-z]{8}\\d", secrets))) == 1
+
+
+def test_shape_of_names(spark):
+    old = ["Herr MÜLLER sang", "Frau Müller-Lüdenscheid sang", "Frau Anna von der Berg sang", "Mr. J. Doe sang", "Monsieur O'Brien sang", "Herr Berg sang", "Frau Анна Иванова", "Herr Иванов", "Madame Μαρία Παππά", "Mr Արամ Խաչատրյան"]
+    new = replaced(spark, *old)
+    assert re.fullmatch(r"Herr [A-Z]+ sang", new[0]) and re.fullmatch(r"Frau [A-Z][a-z]+-[A-Z][a-z]+ sang", new[1]) and re.fullmatch(r"Frau [A-Z][a-z]+ von der [A-Z][a-z]+ sang", new[2])
+    assert new[1].split()[1].split("-")[0] == new[0].split()[1].capitalize() and new[2].split()[-2] == new[5].split()[1]
+    assert re.fullmatch(r"Mr\. [A-Z]\. [A-Z][a-z]+ sang", new[3]) and re.fullmatch(r"Monsieur [A-Z][a-z]+ sang", new[4])
+    for v, s in zip(old[6:], new[6:]):
+        script = lambda t: {k[0] for k in kinds(t.split(" ", 1)[1]) if isinstance(k, tuple)}
+        assert v.split()[0] == s.split()[0] and script(v) == script(s) and len(v.split()) == len(s.split())
+    assert kinds('"пароль-Секрет1"') == kinds(replaced(spark, 'password = "пароль-Секрет1"')[0].split(" = ")[1])
+    assert kinds('"αβγδΕΖΗΘ漢字כבÀé"') == kinds(replaced(spark, 'token: "αβγδΕΖΗΘ漢字כבÀé"')[0].split(": ")[1])
+
+
+def test_many_names_of_one_title(spark):
+    letters = F.translate(F.lpad(F.lower(F.conv("id", 10, 16)), 6, "0"), "0123456789abcdef", "abcdefghijklmnop")
+    docs = spark.range(100_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("Frau Zoe Q"), letters, F.lit(" came.")).alias("text"))
+    got = pii.replace_personal_data(docs).select("text", F.regexp_extract("text", r"^Frau (\p{Lu}\p{Ll}+) (\p{Lu}\p{Ll}+) came\.$", 2).alias("name"))
+    n, distinct, named = got.agg(F.count("*"), F.count_distinct("name"), F.sum((F.col("name") != "").cast("long"))).first()
+    assert (n, distinct, named) == (100_000, 100_000, 100_000)
 
 
 def test_clashes_are_drawn_anew_until_none_is_left(spark, monkeypatch):
@@ -28,17 +96,18 @@ def test_clashes_are_drawn_anew_until_none_is_left(spark, monkeypatch):
     assert len(got) == 900 and len({r.surrogate for r in got}) == 900
 
 
-def test_surrogates_keep_script_and_word_count(spark):
-    values = ["Herr Berg", "Mr. John Doe", "Frau Анна Иванова", "Herr Иванов", "Madame Μαρία Παππά", "Mr Արամ Խաչատրյան", 'password = "пароль-Секрет1"', 'token: "αβγδΕΖΗΘ漢字כבÀé"']
-    got = {r.value: r.surrogate for r in pii.surrogate_table(spark.createDataFrame([(v,) for v in values], "value string"), "k").collect()}
-    assert all(v != s and len(v.split()) == len(s.split()) for v, s in got.items())
-
-    def kinds(text):
-        return [(unicodedata.name(c).split()[0], c.isupper()) if c.isalpha() else "9" if c.isdigit() else c for c in text]
-
-    for v, s in got.items():
-        if "=" in v or ":" in v:
-            assert kinds(v) == kinds(s)
-        else:
-            script = {k[0] for k in kinds(v.split(" ", 1)[1]) if isinstance(k, tuple)}
-            assert v.split()[0] == s.split()[0] and {k[0] for k in kinds(s.split(" ", 1)[1]) if isinstance(k, tuple)} == script
+def test_both_ways_to_join_redrawn_rows_and_clashing_columns(spark, monkeypatch):
+    rows = [(i, f"number 555-12-{i:04d} of {i % 7}", "a", "b") for i in range(3000)] + [(None, None, "a", "b"), (1, "plain", "a", "b"), (5, "number 555-12-0005 of 5", "a", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, pii_cut string, PII_map string").withColumns({"pii_key": F.lit(1), "_map": F.lit(2), "value": F.lit(3)})
+    # few surrogates for many numbers, so that some are drawn anew
+    real = pii.surrogate
+    monkeypatch.setattr(pii, "surrogate", lambda e, k, a: F.when(a == 0, F.concat(F.lit("ssn|777-"), F.pmod(F.xxhash64(e), F.lit(5000)).cast("string"))).otherwise(real(e, k, a)))
+    out = []
+    for limit in (pii.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(pii, "BROADCAST_BYTES", limit)
+        new = pii.replace_personal_data(docs, count="n")
+        assert new.columns == [*docs.columns, "n"]
+        out.append(sorted(map(str, new.collect())))
+    assert out[0] == out[1] and len(out[0]) == len(rows)
+    texts = {r.text for r in pii.replace_personal_data(docs).where("text like 'number%'").collect()}
+    assert len(texts) == 3000
