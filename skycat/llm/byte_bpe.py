@@ -141,7 +141,7 @@ def byte_bpe(path: str, pattern: str) -> ByteBpe:
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
-    """Adds ``out`` array<int>, the ids of each whole text."""
+    """``out`` array<int>, the ids of each whole text, in place of the text; other columns stay."""
     kept = [f for f in docs.schema.fields if f.name not in (out, text)]
     schema = T.StructType([*kept, T.StructField(out, T.ArrayType(T.IntegerType()))])
 

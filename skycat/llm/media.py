@@ -1,7 +1,9 @@
 """Media columns: Netpbm and BMP to numpy, integral-image resize, NPY tiles, difference hash.
 
-Defined cases: null bytes decode to null results; a broken header raises ValueError in
-``decode_image`` and gives null features in ``media_features``; equal bytes give equal rows.
+Defined cases: null bytes decode to null results; a broken header, samples that are missing
+or too large, and images of no width or height raise an error in ``decode_image`` and give
+null features in ``media_features``; 16-bit samples are scaled to 8 bits for the tile; equal
+bytes give equal rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,30 +19,43 @@ SIDE = 64
 
 
 def decode_netpbm(data: bytes):
-    """P2, P3, P5 and P6 with up to 8 bits a sample."""
+    """P1 to P6; samples as stored, in 8 or 16 bits; bitmaps give 0 for a one (black) and 255 for a zero."""
     import numpy as np
 
-    fields, at = [], 0
-    while len(fields) < 4:
+    kind, fields, at = data[:2], [], 2
+    if kind not in (b"P1", b"P2", b"P3", b"P4", b"P5", b"P6"):
+        raise ValueError("no Netpbm image of a kind from P1 to P6")
+    bitmap, plain, bands = kind in (b"P1", b"P4"), kind in (b"P1", b"P2", b"P3"), 3 if kind in (b"P3", b"P6") else 1
+    while len(fields) < (2 if bitmap else 3):
         while data[at : at + 1].isspace():
             at += 1
         if data[at : at + 1] == b"#":
             at = data.index(b"\n", at) + 1
             continue
         end = at
-        while end < len(data) and not data[end : end + 1].isspace():
+        while data[end : end + 1].isdigit():
             end += 1
         if end == at:
             raise ValueError("the header ends early")
-        fields.append(data[at:end])
+        fields.append(int(data[at:end]))
         at = end
-    kind, width, height, top = fields[0], *map(int, fields[1:])
-    if kind not in (b"P2", b"P3", b"P5", b"P6") or not 0 < top < 256:
-        raise ValueError("no 8-bit PGM or PPM")
-    bands = 3 if kind in (b"P3", b"P6") else 1
-    n = width * height * bands
-    flat = np.array(data[at:].split()[:n], np.uint8) if kind in (b"P2", b"P3") else np.frombuffer(data, np.uint8, n, at + 1)
-    return flat.reshape((height, width, bands)[: 2 + (bands > 1)])
+    width, height, top = *fields[:2], 1 if bitmap else fields[2]
+    if not 0 < top < 65536 or not width * height:
+        raise ValueError("an image without samples, or with an impossible largest sample")
+    n, stored = width * height * bands, np.dtype(np.uint8 if top < 256 else ">u2")
+    shape = (height, width, bands)[: 2 + (bands > 1)]
+    if plain:
+        body = b"\n".join(line.partition(b"#")[0] for line in data[at:].split(b"\n"))
+        found = [c - 48 for c in body if not bytes([c]).isspace()][:n] if bitmap else [int(v) for v in body.split()[:n]]
+        if len(found) < n or min(found) < 0 or max(found) > top:
+            raise ValueError("too few samples, or one beyond the largest")
+        flat = np.array(found, stored.newbyteorder("="))
+    elif bitmap:
+        stride = (width + 7) // 8
+        flat = np.unpackbits(np.frombuffer(data, np.uint8, stride * height, at + 1).reshape(height, stride), axis=1)[:, :width].ravel()
+    else:
+        flat = np.frombuffer(data, stored, n, at + 1)
+    return ((1 - flat) * 255 if bitmap else flat).reshape(shape)
 
 
 def decode_bmp(data: bytes):
@@ -50,12 +65,16 @@ def decode_bmp(data: bytes):
     start, header, width, height, _, bits, packed = struct.unpack("<IIiiHHI", data[10:34])
     if bits not in (8, 24) or packed:
         raise ValueError("no plain 8- or 24-bit BMP")
+    if width <= 0 or not height:
+        raise ValueError("an image without samples")
     stride = (width * bits // 8 + 3) // 4 * 4
     rows = np.frombuffer(data, np.uint8, stride * abs(height), start).reshape(abs(height), stride)[:, : width * bits // 8]
     rows = rows[::-1] if height > 0 else rows
     if bits == 24:
         return rows.reshape(abs(height), width, 3)[:, :, ::-1]
     palette = np.frombuffer(data, np.uint8, (start - 14 - header) // 4 * 4, 14 + header).reshape(-1, 4)[:, 2::-1]
+    if rows.max() >= len(palette):
+        raise ValueError("a sample beyond the palette")
     image = palette[rows]
     return image[:, :, 0] if (palette[:, :1] == palette).all() else image
 
@@ -134,11 +153,11 @@ def media_features(stored: DataFrame) -> DataFrame:
             for doc_id, n, media in zip(pdf.doc_id, pdf.n_bytes, pdf.media):
                 try:
                     image = decode_image(media)
-                except (ValueError, IndexError, TypeError, struct.error):
+                except (ValueError, IndexError, TypeError, OverflowError, struct.error):
                     rows.append((doc_id, n, None, None, None, None if media is None else len(media), None if media is None else sha256(media).hexdigest(), None, None))
                     continue
-                payload = image.tobytes()
-                rows.append((doc_id, n, len(payload), sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), sha256(media).hexdigest(), difference_hash(image), npy_tile(image)))
+                payload, tile = image.tobytes(), image if image.dtype.itemsize == 1 else image / 257
+                rows.append((doc_id, n, len(payload), sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), sha256(media).hexdigest(), difference_hash(image), npy_tile(tile)))
             out = pd.DataFrame(rows, columns=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tile"])
             for c in ("doc_id", "n_bytes", "payload_bytes", "tail_crc32", "media_bytes"):
                 out[c] = out[c].astype("Int64")

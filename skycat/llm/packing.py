@@ -23,11 +23,16 @@ from pyspark.sql.window import Window
 
 LIMIT = 2048
 END_ID = 1
+SUBGROUP = 250
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = END_ID, limit: int = LIMIT, ids: bool = True) -> DataFrame:
-    """(row, doc_id, start, length, doc_tokens, ids_crc32[, ids]) for every piece of every document."""
-    schema = T.StructType([T.StructField("doc_id", T.LongType())] + [T.StructField(c, T.LongType()) for c in ("start", "length", "doc_tokens", "ids_crc32")])
+    """(row, doc_id, start, length, doc_tokens, ids_crc32[, ids]) for every piece of every document.
+
+    ``row`` tells rows apart that share a doc_id; write the pieces down before they are used
+    twice, so that it stays the same.
+    """
+    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("row", "doc_id", "start", "length", "doc_tokens", "ids_crc32")])
     if ids:
         schema = schema.add("ids", T.ArrayType(T.IntegerType()))
 
@@ -39,17 +44,17 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = END_ID, limit: i
         words = word_tokens(tokenizer)
         for pdf in batches:
             rows = []
-            for doc_id, text in zip(pdf.doc_id, pdf.text):
+            for row, doc_id, text in zip(pdf.row, pdf.doc_id, pdf.text):
                 all_ids = np.append(np.frombuffer(words.ids(text), f"<u{words.width}").astype("<u4"), np.uint32(end_id)).astype("<u4")
                 for start in range(0, len(all_ids), limit):
                     part = all_ids[start : start + limit]
-                    rows.append((doc_id, start, len(part), len(all_ids), zlib.crc32(part.tobytes()), *([part.astype("int32")] if ids else [])))
+                    rows.append((row, doc_id, start, len(part), len(all_ids), zlib.crc32(part.tobytes()), *([part.astype("int32")] if ids else [])))
             words.trim()
             out = pd.DataFrame(rows, columns=schema.names)
             out["doc_id"] = out["doc_id"].astype("Int64")
             yield out
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(cut, schema)
+    return docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(cut, schema)
 
 
 def shortest_pack_first(histogram: dict[int, int], limit: int = LIMIT) -> list[tuple[int, tuple[int, ...]]]:
@@ -99,21 +104,23 @@ def plan_slots(histogram: dict[int, int], limit: int = LIMIT) -> list[tuple[int,
 def rank_in_length(pieces: DataFrame) -> DataFrame:
     """Rank of each piece within its length, without bringing a length into one task.
 
-    Each length is dealt over 64 x ceil sub-groups by a hash of the document; only the
-    counts of the sub-groups meet to give each its first rank.
+    Each length is dealt over sub-groups of about ``SUBGROUP`` pieces by a hash of the
+    piece's row key, so that repeated rows and null ids are spread too; only the counts of
+    the sub-groups meet to give each its first rank.  Lengths that hold few pieces share
+    their tasks.
     """
-    total = F.col("n_length")
     counts = pieces.groupBy("length").agg(F.count("*").alias("n_length"))
-    salted = pieces.join(F.broadcast(counts), "length").withColumn("part", F.pmod(F.xxhash64("doc_id", "start", F.lit(7)), F.greatest(F.lit(1), F.floor(total / 2000))).cast("long")).drop("n_length")
+    parts = F.greatest(F.lit(1), F.floor(F.col("n_length") / SUBGROUP))
+    salted = pieces.join(F.broadcast(counts), "length").withColumn("part", F.pmod(F.xxhash64("row", "start"), parts).cast("long")).drop("n_length")
     firsts = salted.groupBy("length", "part").agg(F.count("*").alias("n"))
     firsts = firsts.withColumn("first", F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).drop("n")
-    within = F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "start", "ids_crc32")) - 1
+    within = F.row_number().over(Window.partitionBy("length", "part").orderBy("row", "start")) - 1
     ranked = salted.withColumn("within", within)
     return ranked.join(firsts, ["length", "part"]).withColumn("rank", F.col("first") + F.col("within")).drop("first", "within", "part")
 
 
 def pack(pieces: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """Adds sequence_id and offset to pieces; pieces must be cheap to read twice."""
+    """Adds sequence_id and offset to written pieces (they are read three times)."""
     spark = pieces.sparkSession
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `limit` rows
     slots = plan_slots(histogram, limit)
@@ -121,7 +128,7 @@ def pack(pieces: DataFrame, limit: int = LIMIT) -> DataFrame:
     ranked = rank_in_length(pieces).alias("p")
     # the plan grows with the number of lengths (at most `limit`), never with the documents
     joined = ranked.join(F.broadcast(plan).alias("s"), (F.col("p.length") == F.col("s.length")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
-    return joined.select("p.*", (F.col("first_sequence") + F.col("rank") - F.col("lo")).alias("sequence_id"), "offset").drop("rank")
+    return joined.select(*(f"p.{c}" for c in pieces.columns if c != "row"), (F.col("first_sequence") + F.col("rank") - F.col("lo")).alias("sequence_id"), "offset")
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ reach the driver.
 
 Defined cases: null text counts as empty and gets a score like any other; labels that are
 null, or whose document is missing, are not learnt from; a document labelled twice counts
-once per label; without rows of both classes the score is the share of label 1 (0.5 if
+once per label; a null doc_id is in no fold (held_out is false) and has no label; without rows of both classes the score is the share of label 1 (0.5 if
 none); extra columns are ignored.
 """
 
@@ -73,6 +73,16 @@ def statistics(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, x array<double>")
 
 
+def forward(factor, right):
+    """z of factor @ z = right for a lower triangular factor, by substitution, all columns at once."""
+    import numpy as np
+
+    z = np.empty_like(right)
+    for i in range(len(factor)):
+        z[i] = (right[i] - factor[i, :i] @ z[:i]) / factor[i, i]
+    return z
+
+
 @dataclass
 class Discriminant:
     """Fitted model; ``scores`` takes an (n, DIM) array."""
@@ -89,7 +99,7 @@ class Discriminant:
             return np.full(len(x), self.constant)
         density = []
         for mean, factor in zip(self.means, self.factors):
-            z = np.linalg.solve(factor, (x - mean).T)
+            z = forward(factor, (x - mean).T)
             density.append(-0.5 * (z * z).sum(0) - np.log(np.diag(factor)).sum())
         margin = np.clip(self.log_prior + density[1] - density[0], -30, 30)
         return 1 / (1 + np.exp(-margin))
@@ -168,4 +178,4 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Data
 
     stats = written(statistics(docs), "document-statistics")
     scored = score(stats, fit_on_labels(stats, labels))
-    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

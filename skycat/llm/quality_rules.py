@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skycat.llm.common import WORD, let
+from skycat.llm.common import WORD, fresh, let
 
 #: Rules by bit: name and failure condition over the measurements.
 RULES: dict[str, str] = {
@@ -49,6 +49,8 @@ class Policy:
         return failed.bitwiseAND(F.lit(self.mask)) == 0
 
 
+#: Version 2 of strict, for a corpus whose short documents are wanted too: being short alone is no fault.
+CLEAN = Policy("clean", 2, tuple(r for r in RULES if r != "too_short"))
 BASE = Policy("base", 1, ("too_short", "repeats_itself"))
 STRICT = Policy("strict", 1, tuple(RULES))
 
@@ -88,8 +90,9 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         F.when(F.size(w) < 2, F.lit(0)).otherwise(F.size(F.filter(F.zip_with(w, F.slice(w, 2, F.size(w)), lambda a, b: a == b), lambda same: same))).cast("long").alias("n_runs"),
     )
     line_figures = lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"))
-    out = docs.withColumns({"_w": let(words, word_figures), "_l": let(lines, line_figures), "n_symbols": hits(r"[#*$%&|<>]"), "n_upper": F.char_length(F.regexp_replace(body, r"\P{Lu}+", "")).cast("long"), "n_letters": F.char_length(F.regexp_replace(body, r"\P{L}+", "")).cast("long")})
-    return out.withColumns({c: F.col(f"_w.{c}") for c in ("n_words", "word_chars", "n_repeat_words", "n_runs")} | {c: F.col(f"_l.{c}") for c in ("n_lines", "n_dup_lines")}).drop("_w", "_l")
+    w, l = fresh(docs, "rules_words", "rules_lines")  # noqa: E741
+    out = docs.withColumns({w: let(words, word_figures), l: let(lines, line_figures), "n_symbols": hits(r"[#*$%&|<>]"), "n_upper": F.char_length(F.regexp_replace(body, r"\P{Lu}+", "")).cast("long"), "n_letters": F.char_length(F.regexp_replace(body, r"\P{L}+", "")).cast("long")})
+    return out.withColumns({c: F.col(f"{w}.{c}") for c in ("n_words", "word_chars", "n_repeat_words", "n_runs")} | {c: F.col(f"{l}.{c}") for c in ("n_lines", "n_dup_lines")}).drop(w, l)
 
 
 def ledger(docs: DataFrame, text: str = "text") -> DataFrame:

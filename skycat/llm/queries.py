@@ -72,7 +72,7 @@ def queries():
 #: op8: the whole ledger as DuckDB SQL, from the words and windows of each text.
 OP8_SQL = r"""
 with d as (select doc_id, coalesce(text, '') as body, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w,
-    list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) as l from documents),
+    [x for x in string_split(coalesce(text, ''), chr(10)) if regexp_matches(x, '[^\x20\x09-\x0D]')] as l from documents),
 g as (select doc_id, unnest(range(1, len(w) - 1)) as i, w from d where len(w) >= 3),
 v as (select doc_id, i, w[i] || ' ' || w[i+1] || ' ' || w[i+2] as s from g),
 c as (select doc_id, i, count(*) over (partition by doc_id, s) as n from v),
@@ -82,7 +82,7 @@ m as (select d.doc_id, cast(len(w) as bigint) as n_words, cast(length(array_to_s
     cast(len(l) - len(list_distinct(l)) as bigint) as n_dup_lines, cast(len(l) as bigint) as n_lines,
     cast(coalesce(r.n_repeat_words, 0) as bigint) as n_repeat_words,
     length(regexp_replace(body, '\P{Lu}+', '', 'g')) as n_upper, length(regexp_replace(body, '\P{L}+', '', 'g')) as n_letters,
-    cast(len(list_filter(range(2, len(w) + 1), i -> w[i] = w[i-1])) as bigint) as n_runs
+    cast(len([i for i in range(2, len(w) + 1) if w[i] = w[i-1]]) as bigint) as n_runs
   from d left join r using (doc_id)),
 b as (select *, cast((case when n_words < 50 then 1 else 0 end) + (case when 100 * n_repeat_words > 50 * n_words then 2 else 0 end)
   + (case when 10 * n_symbols > n_words then 4 else 0 end) + (case when 3 * n_dup_lines > n_lines then 8 else 0 end)

@@ -4,16 +4,17 @@ One file per range of documents, one independent frame per document (so a reader
 decompresses only the documents asked for), then a skippable frame with the document ids
 and a trailing seek table in the public zstd seekable layout, with a checksum per frame.
 
-Writers name each file afresh and report it in their result rows; a lost or repeated task
+Writers hold one document at a time; they name each file afresh and report it in their result rows; a lost or repeated task
 leaves an unlisted file behind, never a wrong one.
 
 Defined cases: null text stores the end id alone; null doc_id sorts first; rows with equal
-doc_id stay separate, in an order fixed by their text; no rows give no files.
+doc_id stay separate, in an order fixed by a digest of their text; no rows give no files.
 """
 
 from __future__ import annotations
 
 import struct
+from array import array
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -26,22 +27,46 @@ INDEX_MAGIC = 0x184D2A50  # skippable frame with document ids
 TABLE_MAGIC = 0x184D2A5E  # skippable frame with the seek table
 SEEKABLE_MAGIC = 0x8F92EAB1
 END_ID = 2
+FILE_BYTES = 32 << 20  # text of one file, about
 NULL_ID = -(1 << 63)
 
 
+class TokenWriter:
+    """Writes frame after frame to an open file object; holds only 20 bytes a document until the end."""
+
+    def __init__(self, handle, level: int = 3):
+        import zstandard
+
+        self.handle, self.compress = handle, zstandard.ZstdCompressor(level=level).compress
+        self.doc_ids, self.entries = array("q"), array("I")
+
+    def add(self, doc_id: int, payload: bytes) -> None:
+        import xxhash
+
+        frame = self.compress(payload)
+        self.handle.write(frame)
+        self.doc_ids.append(doc_id)
+        self.entries.extend((len(frame), len(payload), xxhash.xxh64_intdigest(payload) & 0xFFFFFFFF))
+
+    def finish(self) -> None:
+        """The document index, then the seek table."""
+        index = struct.pack(f"<{len(self.doc_ids)}q", *self.doc_ids)
+        index = struct.pack("<II", INDEX_MAGIC, len(index)) + index
+        self.entries.extend((len(index), 0, 0))
+        table = struct.pack(f"<{len(self.entries)}I", *self.entries) + struct.pack("<IBI", len(self.entries) // 3, 0x80, SEEKABLE_MAGIC)
+        self.handle.write(index + struct.pack("<II", TABLE_MAGIC, len(table)) + table)
+
+
 def pack_file(doc_ids: list[int], payloads: list[bytes], level: int = 3) -> bytes:
     """The bytes of one file: frames, document index, seek table."""
-    import xxhash
-    import zstandard
+    import io
 
-    compress = zstandard.ZstdCompressor(level=level).compress
-    frames = [compress(p) for p in payloads]
-    index = struct.pack(f"<{len(doc_ids)}q", *doc_ids)
-    index = struct.pack("<II", INDEX_MAGIC, len(index)) + index
-    entries = [(len(f), len(p), xxhash.xxh64_intdigest(p) & 0xFFFFFFFF) for f, p in zip(frames, payloads)]
-    entries.append((len(index), 0, 0))
-    table = b"".join(struct.pack("<III", *e) for e in entries) + struct.pack("<IBI", len(entries), 0x80, SEEKABLE_MAGIC)
-    return b"".join(frames) + index + struct.pack("<II", TABLE_MAGIC, len(table)) + table
+    out = io.BytesIO()
+    writer = TokenWriter(out, level)
+    for doc_id, payload in zip(doc_ids, payloads):
+        writer.add(doc_id, payload)
+    writer.finish()
+    return out.getvalue()
 
 
 class TokenFile:
@@ -89,35 +114,43 @@ def _open(uri: str, mode: str):
 def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: int = END_ID, files: int | None = None) -> DataFrame:
     """Write all documents in ascending doc_id order; returns the manifest.
 
+    Documents are encoded, compressed and written one at a time.  The number of files goes
+    by the bytes of text; many rows of one doc_id are cut by a digest of their text.
+
     Manifest: file, part, first_id, n_docs, n_tokens, width; one row per file.
     """
     spark = docs.sparkSession
     folder = folder or shared_folder(spark, "token-files")
-    files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(files, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if files is None:
+        size = wanted.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+        files = max(size // FILE_BYTES, spark.sparkContext.defaultParallelism) + 1
+    order = [F.col("doc_id").asc_nulls_first(), F.col("digest")]
+    ordered = wanted.withColumn("digest", F.xxhash64("text")).repartitionByRange(int(files), *order).sortWithinPartitions(*order, "text")
 
     def run(batches):
         import uuid
 
-        import numpy as np
         from pyspark import TaskContext
 
         from skycat.llm.word_tokens import word_tokens
 
-        words, doc_ids, payloads, n = word_tokens(tokenizer), [], [], 0
+        words, writer, out, n = word_tokens(tokenizer), None, None, 0
+        end, part = int(end_id).to_bytes(words.width, "little"), TaskContext.get().partitionId()
+        name = f"{folder}/tokens-{part:06d}-{uuid.uuid4().hex}.zst"
         for pdf in batches:
             for doc_id, text in zip(pdf.doc_id, pdf.text):
-                raw = words.ids(text) + int(end_id).to_bytes(words.width, "little")
-                doc_ids.append(NULL_ID if pd.isna(doc_id) else int(doc_id))
-                payloads.append(np.frombuffer(raw, f"<u{words.width}").tobytes())
+                if writer is None:
+                    out = _open(name, "w")
+                    writer = TokenWriter(out)
+                raw = words.ids(text) + end
+                writer.add(NULL_ID if pd.isna(doc_id) else int(doc_id), raw)
                 n += len(raw) // words.width
             words.trim()
-        if doc_ids:
-            part = TaskContext.get().partitionId()
-            name = f"{folder}/tokens-{part:06d}-{uuid.uuid4().hex}.zst"
-            with _open(name, "w") as out:
-                out.write(pack_file(doc_ids, payloads))
-            yield pd.DataFrame([(name, part, doc_ids[0], len(doc_ids), n, words.width)], columns=["file", "part", "first_id", "n_docs", "n_tokens", "width"])
+        if writer is not None:
+            writer.finish()
+            out.close()
+            yield pd.DataFrame([(name, part, writer.doc_ids[0], len(writer.doc_ids), n, words.width)], columns=["file", "part", "first_id", "n_docs", "n_tokens", "width"])
 
     return written(ordered.mapInPandas(run, "file string, part long, first_id long, n_docs long, n_tokens long, width long"), "token-manifest")
 

@@ -73,9 +73,17 @@ def test_packing(spark, docs, edge, empty, texts):
             assert s.offset.tolist() == [0, *s.length.cumsum().tolist()[:-1]] and s.length.sum() <= 2048
         assert got.length.sum() == got[got.start == 0].doc_tokens.sum()
         assert packing.sequences(packing.pack(pieces)).count() == got.sequence_id.nunique()
-    row = queries.op1_packing(spark, DATA).where("start = 0 and length = doc_tokens").first()
-    ids = np.array(word_tokens(WORD_FILE).tokenizer.encode(texts[row.doc_id], add_special_tokens=False).ids + [1], "<u4")
-    assert (row.length, row.ids_crc32) == (len(ids), zlib.crc32(ids.tobytes()))
+    whole, pieces = {i: np.array(word_tokens(WORD_FILE).tokenizer.encode(t, add_special_tokens=False).ids + [1], "<u4") for i, t in texts.items()}, defaultdict(list)
+    for r in queries.op1_packing(spark, DATA).collect():
+        ids = whole[r.doc_id]
+        assert (r.doc_tokens, r.ids_crc32) == (len(ids), zlib.crc32(ids[r.start : r.start + r.length].tobytes()))
+        pieces[r.doc_id].append((r.start, r.length))
+    for i, cut in pieces.items():
+        assert [s for s, _ in sorted(cut)] == [sum(n for _, n in sorted(cut)[:k]) for k in range(len(cut))] and sum(n for _, n in cut) == len(whole[i])
+    assert set(pieces) == set(whole)
+    alike = spark.createDataFrame([(None, "same row")] * 3000, "doc_id long, text string")
+    got = packing.pack(queries.written(packing.token_pieces(alike, WORD_FILE), "pieces"))
+    assert got.count() == 3000 and got.select("sequence_id", "offset").distinct().count() == 3000
     assert packing.pack(packing.token_pieces(empty, WORD_FILE)).count() == 0
 
 
@@ -107,6 +115,30 @@ def test_classifier_on_held_out_rows(spark, docs, edge, empty):
     assert (quality_classifier.classify(edge, labels.limit(0)).toPandas().score == 0.5).all()
 
 
+def test_classifier_against_brute_force(spark, texts):
+    """Densities by determinant and inverse of plain covariances, over every document."""
+    stats = {i: np.array(quality_classifier.document_statistics(t)) for i, t in texts.items()}
+    labels = [(r.doc_id, r.quality) for r in spark.read.parquet(f"{DATA}/labels.parquet").collect() if zlib.crc32(str(r.doc_id).encode()) % 5]
+    x = {y: np.array([stats[i] for i, q in labels if q == y and i in stats]) for y in (0, 1)}
+    cov = {y: np.cov(v.T, bias=True) for y, v in x.items()}
+    n = {y: len(v) for y, v in x.items()}
+    common = (n[0] * cov[0] + n[1] * cov[1]) / (n[0] + n[1])
+    scale = np.diag(np.diag(common)) + 1e-6 * np.eye(len(common))
+    shrunk = {y: 0.99 * (0.95 * cov[y] + 0.05 * common) + 0.01 * scale for y in (0, 1)}
+
+    def density(v, y):
+        d = v - x[y].mean(0)
+        return np.log(n[y]) - 0.5 * np.linalg.slogdet(shrunk[y])[1] - 0.5 * d @ np.linalg.inv(shrunk[y]) @ d
+
+    for r in queries.op3_quality_classifier(spark, DATA).collect():
+        margin = np.clip(density(stats[r.doc_id], 1) - density(stats[r.doc_id], 0), -30, 30)
+        assert abs(r.score - 1 / (1 + np.exp(-margin))) < 1e-6 and r.predicted == (r.score >= 0.3)
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+    lower = np.tril(np.random.default_rng(1).normal(size=(6, 6))) + 3 * np.eye(6)
+    right = np.random.default_rng(2).normal(size=(6, 4))
+    assert np.allclose(lower @ quality_classifier.forward(lower, right), right)
+
+
 def test_token_files(spark, texts, edge, empty):
     got, start = queries.op4_token_files(spark, DATA).orderBy("doc_id").collect(), 0
     tok = word_tokens(WORD_FILE).tokenizer
@@ -118,6 +150,8 @@ def test_token_files(spark, texts, edge, empty):
     assert token_files.read_tokens(manifest).count() == len(EDGE)
     assert [r.doc_id for r in token_files.read_tokens(manifest, [6]).collect()] == [6, 6]
     assert token_files.read_tokens(token_files.write_tokens(empty, WORD_FILE)).count() == 0
+    one = spark.createDataFrame([(None, f"text {i}") for i in range(400)], "doc_id long, text string")
+    assert token_files.write_tokens(one, WORD_FILE, files=4).count() > 1 and token_files.read_tokens(token_files.write_tokens(one, WORD_FILE, files=4)).count() == 400
     data = bytearray(token_files.pack_file([1, 2], [b"abc" * 9, b"xyz" * 9]))
     assert token_files.TokenFile(io.BytesIO(bytes(data))).payload(1) == b"xyz" * 9
     import zstandard
@@ -149,6 +183,49 @@ def test_media(spark, texts, edge, empty):
     assert all(r.feature is None for r in media.media_features(broken).collect())
 
 
+def mean_cells(image, height, width):
+    """Each target cell's mean by summing covered area pixel by pixel."""
+    gray = image.astype(float) if image.ndim == 2 else image.astype(float).mean(2)
+    out = np.zeros((height, width))
+    for i in range(height):
+        for j in range(width):
+            y0, y1, x0, x1 = i * gray.shape[0] / height, (i + 1) * gray.shape[0] / height, j * gray.shape[1] / width, (j + 1) * gray.shape[1] / width
+            area = [(max(0, min(y + 1, y1) - max(y, y0)) * max(0, min(x + 1, x1) - max(x, x0)), gray[y, x]) for y in range(gray.shape[0]) for x in range(gray.shape[1])]
+            out[i, j] = sum(a * v for a, v in area) / sum(a for a, _ in area)
+    return out
+
+
+def test_media_features_directly(spark, texts):
+    rows = {r.doc_id: r for r in queries.op5_media(spark, DATA).collect()}
+    for i in sorted(texts, key=lambda i: len(texts[i]))[:: max(1, len(texts) // 12)][:10]:
+        raw = texts[i].encode()
+        image = np.frombuffer(raw + bytes(64 * max(1, -(-len(raw) // 64)) - len(raw)), np.uint8).reshape(-1, 64)
+        small = np.round(mean_cells(image, 8, 9), 6)
+        bits = "".join(str(int(a < b)) for line in small for a, b in zip(line, line[1:]))
+        assert rows[i].feature == f"{int(bits, 2):016x}"
+        buffer = io.BytesIO()
+        np.save(buffer, np.clip(np.rint(np.round(mean_cells(image, 16, 16), 9)), 0, 255).astype(np.uint8))
+        assert rows[i].tile_sha256 == hashlib.sha256(buffer.getvalue()).hexdigest()
+
+
+def test_media_formats(spark):
+    bits = np.array([[1, 0, 1, 1, 0, 0, 0, 1, 1, 0], [0, 1, 0, 0, 1, 1, 1, 0, 0, 1]], np.uint8)
+    want = (1 - bits) * 255
+    assert (media.decode_image(b"P1 # two lines\n10 2\n" + b"\n".join(" ".join(map(str, r)).encode() for r in bits)) == want).all()
+    assert (media.decode_image(b"P1 10 2 " + b"".join(b"%d" % v for v in bits.ravel())) == want).all()
+    assert (media.decode_image(b"P4\n10 2\n" + np.packbits(bits, axis=1).tobytes()) == want).all()
+    deep = np.array([[0, 300], [65535, 257]], np.uint16)
+    assert (media.decode_image(b"P5 2 2 65535\n" + deep.astype(">u2").tobytes()) == deep).all()
+    assert (media.decode_image(b"P2 2 2 65535 0 300 65535 257") == deep).all()
+    color = np.arange(12, dtype=np.uint8).reshape(2, 2, 3)
+    assert (media.decode_image(b"P6 2 2 255\n" + color.tobytes()) == color).all() and (media.decode_image(b"P3 2 2 255 " + b" ".join(b"%d" % v for v in color.ravel())) == color).all()
+    palette = b"BM" + struct.pack("<IHHI", 0, 0, 0, 14 + 40 + 8) + struct.pack("<IiiHHIIiiII", 40, 2, 1, 1, 8, 0, 4, 0, 0, 2, 0) + bytes([9, 9, 9, 0, 200, 200, 200, 0]) + bytes([1, 0, 0, 0])
+    assert media.decode_image(palette).tolist() == [[200, 9]]
+    bad = [b"P2 2 1 255 1 300", b"P2 2 1 255 1", b"P5 0 4 255\n", b"P5 4 0 255\n", b"P5 2 2 70000\n1234", b"P5 2 2 255\n1", b"P7 x", b"", b"BM", palette[:-4] + bytes([7, 0, 0, 0]), palette[:18] + struct.pack("<ii", 0, 1) + palette[26:]]
+    stored = spark.createDataFrame([(i, len(m), bytearray(m)) for i, m in enumerate(bad)] + [(99, 0, None)], "doc_id long, n_bytes long, media binary")
+    assert all(r.feature is None and r.payload_bytes is None for r in media.media_features(stored).collect())
+
+
 def brute_components(rows):
     import xxhash
 
@@ -237,6 +314,8 @@ def test_quality_rules(spark, texts, edge, empty):
     fails = [r.failed for r in got.collect()]
     assert report["too_short"].failing == sum(f & 1 for f in fails) and report["too_short"].kept_without == sum(not f & ~1 for f in fails)
     assert quality_rules.ledger(empty).count() == 0
+    clash = edge.withColumns({"_w": F.lit(1), "_l": F.lit(2), "rules_words": F.lit(3), "Rules_Lines": F.lit(4)})
+    assert set(clash.columns) <= set(quality_rules.ledger(clash).columns) and quality_rules.ledger(clash).first().rules_words == 3
 
 
 def test_quality_rules_keep_clean_documents(spark):
