@@ -1,14 +1,15 @@
 """Main text of web pages by a recurrent block labeller.
 
 A page becomes its sequence of leaf blocks (text runs between block-level tags).  Each block
-is a vector of hashed tag-path tokens (tag names, words of class, id and role) and hashed
-words; a numpy bidirectional LSTM reads the whole sequence and labels every block with the
+is a vector of hashed tag-path tokens (tag names, words of class, id and role), hashed
+words, length, punctuation, place and share of links; a numpy bidirectional LSTM reads the whole sequence and labels every block with the
 context of the page.  The model is trained here, on generated pages whose layout and labels
 are known (``TRAINING_PAGES``, a documented bound); nothing about the corpus is learnt.
 
 Defined cases: null and empty html, and pages without a main block, give an empty text;
 unclosed tags end with their container; scripts, styles, comments and the head are not
-blocks; repeated rows are extracted each; extra columns are ignored.
+blocks; a drawing ends where a paragraph or another block starts inside it, and a frame,
+template or other silent element without an end tag holds nothing; repeated rows are extracted each; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,32 +22,44 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PATH_DIM, WORD_DIM, NUMBERS, HIDDEN = 256, 32, 4, 16
-TRAINING_PAGES, EPOCHS, SEED = 900, 12, 7
+PATH_DIM, WORD_DIM, NUMBERS, HIDDEN = 384, 24, 8, 16
+TRAINING_PAGES, EPOCHS, SEED = 1500, 9, 7
 #: Elements that start and end a block, have no end, or hold no text.
 BLOCK = set("address article aside blockquote body button dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html label legend li main nav ol option p pre section select summary table tbody td textarea tfoot th thead tr ul noscript".split())
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
 SILENT = set("script style head title template iframe object svg math canvas".split())
+#: Drawings, and the tags that end an open one because they cannot stand in it.
+DRAWN = set("svg math".split())
+BREAKS_OUT = set("article aside blockquote body div dl footer form h1 h2 h3 h4 h5 h6 header main nav ol p pre section table ul".split())
 #: An opening tag of the first kind ends an open one of the second kind.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 
 class _Blocks(HTMLParser):
-    def __init__(self):
+    def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, tuple[str, ...]]] = []
-        self.blocks: list[tuple[tuple[str, ...], str]] = []
+        self.blocks: list[tuple[tuple[str, ...], str, float]] = []
         self.run: list[str] = []
+        self.linked = self.silent = self.links = 0
         self.path: tuple[str, ...] = ()
+        # end tags still to come: an element of this kind without one would swallow the page
+        low = html.lower()
+        self.ends = {tag: low.count("</" + tag) for tag in SILENT}
+        self.feed(html)
+        self.close()
+        self.cut()
 
     def cut(self):
-        text = " ".join("".join(self.run).split())
-        if text:
-            self.blocks.append((self.path, text))
-        self.run = []
+        words = "".join(self.run).split()
+        if words:
+            self.blocks.append((self.path, " ".join(words), min(1.0, self.linked / sum(map(len, words)))))
+        self.run, self.linked = [], 0
 
     def settle(self):
         self.path = tuple(t for tag, tokens in self.stack for t in tokens)
+        self.silent = sum(tag in SILENT for tag, _ in self.stack)
+        self.links = sum(tag == "a" for tag, _ in self.stack)
 
     def pop_to(self, at: int):
         del self.stack[at:]
@@ -64,9 +77,10 @@ class _Blocks(HTMLParser):
                     break
                 if self.stack[at][0] in BLOCK:
                     break
-        if tag == "body":
-            self.stack = [s for s in self.stack if s[0] not in SILENT]
-        if tag in VOID:
+        if tag == "body" or tag in BREAKS_OUT and self.silent:
+            self.stack = [s for s in self.stack if s[0] not in SILENT or tag != "body" and s[0] not in DRAWN]
+            self.settle()
+        if tag in VOID or tag in SILENT and not self.ends[tag]:
             return
         named = " ".join(v for k, v in attrs if k in ("class", "id", "role", "itemprop") and v)
         tokens = (tag, *("." + w for w in re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", named).lower())))
@@ -74,6 +88,8 @@ class _Blocks(HTMLParser):
         self.settle()
 
     def handle_endtag(self, tag):
+        if tag in SILENT:
+            self.ends[tag] -= 1
         if tag in BLOCK:
             self.cut()
         for at in range(len(self.stack) - 1, -1, -1):
@@ -82,17 +98,15 @@ class _Blocks(HTMLParser):
                 return
 
     def handle_data(self, data):
-        if not any(tag in SILENT for tag, _ in self.stack):
+        if not self.silent:
             self.run.append(data)
+            if self.links:
+                self.linked += sum(map(len, data.split()))
 
 
-def leaf_blocks(html: str | None) -> list[tuple[tuple[str, ...], str]]:
-    """[(tag-path tokens, text)] of a page, in page order."""
-    parser = _Blocks()
-    parser.feed(html or "")
-    parser.close()
-    parser.cut()
-    return parser.blocks
+def leaf_blocks(html: str | None) -> list[tuple[tuple[str, ...], str, float]]:
+    """[(tag-path tokens, text, share of it inside links)] of a page, in page order."""
+    return _Blocks(html or "").blocks
 
 
 _HASH: dict[tuple[str, int], int] = {}
@@ -111,7 +125,7 @@ def vectors(blocks):
     import numpy as np
 
     x = np.zeros((len(blocks), PATH_DIM + WORD_DIM + NUMBERS), np.float32)
-    for i, (path, text) in enumerate(blocks):
+    for i, (path, text, linked) in enumerate(blocks):
         for token in path:
             x[i, _bucket(token, PATH_DIM)] = 1
         words = text.split()
@@ -119,7 +133,7 @@ def vectors(blocks):
             x[i, PATH_DIM + _bucket(w.lower(), WORD_DIM)] += 1
         total = x[i, PATH_DIM : PATH_DIM + WORD_DIM].sum()
         x[i, PATH_DIM : PATH_DIM + WORD_DIM] /= max(1.0, total)
-        x[i, -NUMBERS:] = (np.log1p(len(words)) / 4, text[-1] in ".!?", "©" in text, i / max(1, len(blocks) - 1))
+        x[i, -NUMBERS:] = (np.log1p(len(words)) / 4, text[-1] in ".!?:", "©" in text, i / max(1, len(blocks) - 1), linked, linked > 0.6, min(1.0, len(path) / 12), np.log1p(sum(w[-1] in ",." for w in words)) / 2)
     return x
 
 
@@ -227,38 +241,64 @@ def padded(pages):
     return x, mask
 
 
-#: Names used for boilerplate and for content in the generated pages.
+#: Names of boilerplate, of content and of layout in the generated pages.
 ASIDE_NAMES = "nav navbar menu header masthead topbar footer sidebar aside widget ad ads advert advertisement banner promo sponsor sponsored cookie consent notice alert popup modal comments comment reply discussion respond form login search newsletter subscribe signup related recommended share social breadcrumb pagination pager copyright legal tags meta toolbar disclaimer".split()
-MAIN_NAMES = "article main content post story entry body text page wrapper container single prose".split()
+MAIN_NAMES = "article main content post story entry body text prose".split()
+LAYOUT_NAMES = "page site wrapper container row col columns grid layout inner outer box wrap area item block left right center single news card section list top".split()
 ASIDE_TAGS = "nav header footer aside form".split()
 
 
 def training_page(rng) -> tuple[str, list[bool]]:
-    """A generated page and, in page order, whether each of its blocks is main text."""
+    """A generated page and, in page order, whether each of its blocks is main text.
+
+    A part of the pages names neither content nor layout, so that both must be told by
+    their words, links, lengths and neighbours.
+    """
     labels: list[bool] = []
     stems = [s + e for s in "ba ke li mo ru ta ve zo the an de en la".split() for e in "n r st nd ti on er s".split()]
+    neutral = rng.random() < 0.4
 
     def words(low, high):
         return " ".join("".join(rng.choice(stems) for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(low, high)))
 
+    def named(*names):
+        """A class or id of these words, of nothing that means anything, or none."""
+        kind = rng.random()
+        if kind < 0.3:
+            return ""
+        if kind < 0.6 or not names:
+            names = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(1, 6))) + str(rng.randint(0, 99))]
+        return f' {rng.choice(["class", "class", "id"])}="{rng.choice(["-", " ", "_"]).join(names)}"'
+
+    def layout():
+        return named(*rng.sample(LAYOUT_NAMES, rng.randint(1, 2)))
+
     def leaf(tag, text, main):
         labels.append(main)
         return f"<{tag}>{text}</{tag}>" if rng.random() < 0.93 or tag not in ("p", "li") else f"<{tag}>{text}"
 
+    def links(low, high):
+        tag = rng.choice(["li", "li", "li", "div", "p", "td"])
+        inner = "".join(leaf(tag, f'<a href="/x">{words(1, rng.choice([2, 2, 5]))}</a>', False) for _ in range(rng.randint(low, high)))
+        return f"<ul>{inner}</ul>" if tag == "li" else f"<table><tr>{inner}</tr></table>" if tag == "td" else inner
+
     def noise():
-        name, style = rng.choice(ASIDE_NAMES), rng.random()
-        tag = rng.choice(ASIDE_TAGS) if style < 0.5 else rng.choice(["div", "section", "div", "ul"])
-        if tag in ("div", "section", "ul") or rng.random() < 0.3:
-            attr = f' {rng.choice(["class", "class", "id"])}="{name}{rng.choice(["", "", "-" + rng.choice(["box", "wrap", "list", "inner", "area", "item"])])}"'
+        name, tag, plain = rng.choice(ASIDE_NAMES), rng.choice(ASIDE_TAGS) if rng.random() < 0.5 else rng.choice(["div", "section", "div", "ul"]), False
+        if tag in ("div", "section", "ul") and (neutral or rng.random() < 0.2):
+            plain = True  # only what it holds tells it
+            attr = layout()
+        elif tag in ("div", "section", "ul") or rng.random() < 0.3:
+            attr = f' {rng.choice(["class", "class", "id"])}="{name}{rng.choice(["", "", rng.choice(["-", " "]) + rng.choice(LAYOUT_NAMES)])}"'
         else:
             attr = ""
         kind = rng.random()
-        if tag == "nav" or tag == "ul" or kind < 0.35:
+        if tag == "ul":
             inner = "".join(leaf("li", f'<a href="/x">{words(1, 2)}</a>', False) for _ in range(rng.randint(1, 7)))
-            inner = inner if tag == "ul" else f"<ul>{inner}</ul>"
-        elif tag == "footer" and kind < 0.8 or kind < 0.5:
+        elif tag == "nav" or kind < 0.35 or plain and kind < 0.8:
+            inner = links(1 if tag == "nav" else 2, 7)
+        elif tag == "footer" and kind < 0.8 or kind < 0.5 or plain:
             labels.append(False)
-            inner = rng.choice(["&copy; ", "&copy; example &middot; ", ""]) + words(2, 14) + rng.choice(["", "."])
+            inner = rng.choice(["&copy; ", "&copy; example &middot; ", "&copy; 2020 "] if plain else ["&copy; ", "&copy; example &middot; ", ""]) + words(2, 14) + rng.choice(["", "."])
         elif tag == "form":
             inner = leaf("label", words(1, 3), False) + '<input name="q">' + leaf("button", words(1, 2), False)
         else:
@@ -267,34 +307,53 @@ def training_page(rng) -> tuple[str, list[bool]]:
 
     def body():
         out = []
-        if rng.random() < 0.85:
+        if rng.random() < 0.8:
             out.append(leaf(rng.choice(["h1", "h1", "h2"]), words(2, 10), True))
-        sizes = rng.choice([((1, 4), (10, 60), (40, 120)), ((1, 4), (10, 60), (40, 120)), ((1, 2), (1, 3), (2, 8))])
+        sizes = rng.choice([((1, 4), (10, 60), (40, 120)), ((1, 4), (10, 60), (40, 120)), ((5, 15), (10, 30)), ((1, 2), (1, 3), (2, 8))])
         again = words(1, 6) if rng.random() < 0.08 else None  # pages of repeated lines
+        unit = "div" if rng.random() < 0.12 else "p"
         for _ in range(rng.randint(1, 9) if rng.random() < 0.8 else rng.randint(10, 45)):
             kind = rng.random()
-            if kind < 0.12:
+            if kind < 0.1:
                 out.append(noise())
-            elif kind < 0.2:
+            elif kind < 0.18:
                 out.append("<ul>" + "".join(leaf("li", words(2, 12), True) for _ in range(rng.randint(1, 4))) + "</ul>")
-            elif kind < 0.26:
+            elif kind < 0.24:
                 out.append(leaf("h2", words(1, 6), True))
-            elif kind < 0.3:
+            elif kind < 0.28:
                 out.append(f"<blockquote>{leaf('p', words(4, 20) + '.', True)}</blockquote>")
-            elif kind < 0.34:
+            elif kind < 0.32:
                 out.append("<table><tr>" + "".join(leaf("td", words(1, 4), True) for _ in range(3)) + "</tr></table>")
+            elif kind < 0.36:
+                out.append(leaf(unit, f'{words(5, 20)} <a href="/y">{words(1, 4)}</a> {words(3, 20)}.', True))
             else:
-                out.append(leaf("p", rng.choice(["", "<b>", "<i>"]) + (again or words(*rng.choice(sizes))) + rng.choice([".", ".", ".", "", " |"]), True))
+                text = leaf(unit, rng.choice(["", "<b>", "<i>"]) + (again or words(*rng.choice(sizes))) + rng.choice([".", ".", ".", "", " |"]), True)
+                out.append(f"<section{layout()}>{text}</section>" if rng.random() < 0.05 else text)
         return "".join(out)
 
-    page = "".join(noise() for _ in range(rng.randint(0, 3)))
-    shape = rng.random()
-    tag = "article" if shape < 0.5 else "main" if shape < 0.7 else "div"
-    attr = f' class="{rng.choice(MAIN_NAMES)}{rng.choice(["", "-" + rng.choice(MAIN_NAMES)])}"' if tag == "div" or rng.random() < 0.3 else ""
-    page += f"<{tag}{attr}>{body()}" + (f"</{tag}>" if rng.random() < 0.85 else "")
-    page += "".join(noise() for _ in range(rng.randint(0, 3)))
-    if rng.random() < 0.3:
-        page = f'<div class="{rng.choice(["page", "wrapper", "container", "site"])}">{page}</div>'
+    if rng.random() < 0.06:  # nothing but a paragraph or two
+        inner = "".join(leaf("p", words(8, 60) + ".", True) for _ in range(rng.randint(1, 2)))
+        return f"<html><body><div{layout()}>{inner}</div></body></html>", labels
+    before, shape = "".join(noise() for _ in range(rng.randint(0, 3))), rng.random()
+    if neutral:
+        kind = rng.random()
+        if kind < 0.25:
+            main = body()  # straight in what is around it
+        elif kind < 0.4:
+            side = f"<td{layout()}>{noise()}</td>" if rng.random() < 0.5 else ""
+            main = f"<table{layout()}><tr>{side}<td{layout()}>{body()}</td></tr></table>"
+        else:
+            tag = rng.choice(["div", "div", "div", "section", "article"])
+            main = f"<{tag}{layout()}>{body()}" + (f"</{tag}>" if rng.random() < 0.9 else "")
+    else:
+        tag = "article" if shape < 0.5 else "main" if shape < 0.7 else "div"
+        attr = f' class="{rng.choice(MAIN_NAMES)}{rng.choice(["", "-" + rng.choice(MAIN_NAMES + LAYOUT_NAMES)])}"' if tag == "div" or rng.random() < 0.3 else layout()
+        main = f"<{tag}{attr}>{body()}" + (f"</{tag}>" if rng.random() < 0.85 else "")
+    for _ in range(rng.choice([0, 0, 1, 2])):
+        main = f"<div{layout()}>{main}</div>"
+    page = before + main + "".join(noise() for _ in range(rng.randint(0, 3)))
+    for _ in range(rng.choice([0, 0, 1, 2])):
+        page = f"<div{layout()}>{page}</div>"
     return f"<html><head><title>{words(2, 5)}</title><script>var a='<p>';</script></head><body>{page}</body></html>", labels
 
 
@@ -312,7 +371,7 @@ def train(pages: int = TRAINING_PAGES, epochs: int = EPOCHS, seed: int = SEED) -
         if len(blocks) == len(labels) and blocks:
             made.append((vectors(blocks), np.array(labels, np.float32)))
     made.sort(key=lambda p: len(p[0]))
-    batches = [made[i : i + 16] for i in range(0, len(made), 16)]
+    batches = [made[i : i + 24] for i in range(0, len(made), 24)]
     first = {k: np.zeros_like(v) for k, v in model.w.items()}
     second = {k: np.zeros_like(v) for k, v in model.w.items()}
     step = 0
@@ -351,7 +410,7 @@ def extract(pages: DataFrame, model: Labeller | None = None) -> DataFrame:
         for pdf in batches:
             blocks = [leaf_blocks(h) for h in pdf.html]
             marks = labeller.label([vectors(b) for b in blocks])
-            text = [" ".join(t for (_, t), main in zip(b, m) if main) for b, m in zip(blocks, marks)]
+            text = [" ".join(t for (_, t, _), main in zip(b, m) if main) for b, m in zip(blocks, marks)]
             yield pd.DataFrame({"page_id": pdf.page_id.astype("Int64"), "url": pdf.url, "text": text, "n_chars": [len(t) for t in text]})
 
     return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInPandas(run, "page_id long, url string, text string, n_chars long")
