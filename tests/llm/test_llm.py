@@ -457,8 +457,10 @@ def test_pipeline(spark, docs, texts):
         now = {r.doc_id for r in kept.select("doc_id").collect()}
         assert now <= seen
         seen = now
-    rules = {r.doc_id for r in queries.op8_quality_rules(spark, DATA).where("kept").collect()}
-    assert seen <= rules
+    passed = {r.doc_id for r in quality_rules.ledger(docs).where(quality_rules.CLEAN.keeps()).select("doc_id").collect()}
+    assert seen <= passed
+    clean = {r.doc_id for r in spark.read.parquet(f"{DATA}/labels.parquet").where("quality = 1").collect()}
+    assert len(clean & passed) > 0.99 * len(clean)
     packed = cp.STAGES[-1][1](spark, kept, DATA).toPandas()
     assert set(packed.doc_id) == seen and packed.length.sum() == packed[packed.start == 0].doc_tokens.sum()
 
