@@ -5,9 +5,10 @@ ranges of even size.  Fingerprints of one range share most of their leading bits
 over these shared bits tells for each fingerprint which ranges can hold a partner.  Within a
 range a tree of the same kind goes on: an upper node holds the bits (mask and pattern) that
 all codes below it share, a lower node only what is left, so that differences add up on the
-way down and whole groups are dropped once the sum exceeds ``distance``.  A task reports a
-spanning forest of what it has linked, never all pairs; components are found over these
-edges.  A fingerprint has at most 43,744 others within 3 bits, whatever the corpus.
+way down and whole groups are dropped once the sum exceeds ``distance``.  Each range first
+finds the groups that it holds by itself; between two ranges groups are linked, not
+fingerprints, and a task reports a spanning forest of what it has linked, never all pairs.
+Components are found over these edges.  A fingerprint has at most 43,744 others within 3 bits, whatever the corpus.
 
 Defined cases: null, empty and word-free texts have fingerprint zero and link like any
 other; fewer than three words make one shingle; repeated rows fall into one class; null
@@ -166,7 +167,16 @@ def link_edges(distinct: DataFrame, distance: int = 3, n: int | None = None) ->
     rank = F.col("fp")
     for shift in (1, 2, 4, 8, 16, 32):
         rank = rank.bitwiseXOR(F.shiftrightunsigned(rank, shift))
-    held = written(distinct.select("fp", rank.alias("rank")).repartitionByRange(ranges, "rank").select("fp", F.spark_partition_id().alias("range")), "gray-ranges")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = distinct.select("fp", rank.alias("rank")).repartitionByRange(ranges, "rank").select("fp", F.spark_partition_id().cast("long").alias("range"))
+
+    def inside(leaves: pd.DataFrame) -> pd.DataFrame:
+        codes = leaves.fp.to_numpy(np.int64).view(np.uint64)
+        root = _forest(len(codes), GrayIndex(codes).search(codes, distance))
+        return leaves.assign(root=codes[root].view(np.int64))
+
+    # links inside a range first: between ranges only their groups are linked
+    held = written(ranged.groupBy("range").applyInPandas(inside, "fp long, range long, root long"), "gray-ranges")
     crown = held.groupBy("range").agg(F.bit_and("fp").alias("ones"), F.bit_and(F.bitwise_not("fp")).alias("zeros"), F.count("*").alias("n")).orderBy("range").collect()
     ones, zeros = (np.array([r[c] for r in crown], np.int64).view(np.uint64) for c in ("ones", "zeros"))
     number = np.array([r["range"] for r in crown], np.int64)
@@ -176,25 +186,26 @@ def link_edges(distinct: DataFrame, distance: int = 3, n: int | None = None) ->
     def probe(batches):
         index = GrayIndex(ones, ones | zeros)
         for pdf in batches:
-            fps = pdf.fp.to_numpy(np.int64)
+            fps, roots, own = (pdf[c].to_numpy(np.int64) for c in ("fp", "root", "range"))
             for i, j in index.search(fps.view(np.uint64), distance):
                 # each pair of ranges meets once
-                later = number[j] >= pdf.range.to_numpy()[i]
+                later = number[j] > own[i]
                 i, j = i[later], j[later]
-                yield pd.DataFrame({"range": number[j], "salt": fps[i] % salts, "fp": fps[i]})
+                yield pd.DataFrame({"range": number[j], "salt": fps[i] % salts, "fp": fps[i], "root": roots[i]})
 
-    def search(probes: pd.DataFrame, leaves: pd.DataFrame) -> pd.DataFrame:
+    def between(probes: pd.DataFrame, leaves: pd.DataFrame) -> pd.DataFrame:
         q, codes = (x.fp.to_numpy(np.int64).view(np.uint64) for x in (probes, leaves))
-        nodes = np.concatenate([q, codes])
-        root = _forest(len(nodes), ((i, j + len(q)) for i, j in GrayIndex(codes).search(q, distance))) if len(q) and len(codes) else np.arange(len(nodes))
-        moved = np.flatnonzero(nodes[root] != nodes)
-        return pd.DataFrame({"u": nodes[moved].view(np.int64), "v": nodes[root[moved]].view(np.int64)})
+        groups, number = np.unique(np.concatenate([probes.root.to_numpy(np.int64), leaves.root.to_numpy(np.int64)]), return_inverse=True)
+        linked = ((number[i], number[len(q) + j]) for i, j in GrayIndex(codes).search(q, distance)) if len(q) and len(codes) else ()
+        root = _forest(len(groups), linked)
+        moved = np.flatnonzero(root != np.arange(len(groups)))
+        return pd.DataFrame({"u": groups[moved], "v": groups[root[moved]]})
 
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = ["range", "salt"]
-    probes = held.mapInPandas(probe, "range long, salt long, fp long").repartition(parts, *keys)
-    leaves = held.select(F.col("range").cast("long").alias("range"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"), "fp").repartition(parts, *keys)
-    return probes.groupBy(*keys).cogroup(leaves.groupBy(*keys)).applyInPandas(search, "u long, v long").distinct()
+    probes = held.mapInPandas(probe, "range long, salt long, fp long, root long").repartition(parts, *keys)
+    leaves = held.select("range", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"), "fp", "root").repartition(parts, *keys)
+    across = probes.groupBy(*keys).cogroup(leaves.groupBy(*keys)).applyInPandas(between, "u long, v long")
+    return held.where("fp <> root").select(F.col("fp").alias("u"), F.col("root").alias("v")).union(across).distinct()
 
 
 def near_duplicates(docs: DataFrame, distance: int = 3) -> DataFrame:
