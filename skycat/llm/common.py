@@ -23,6 +23,20 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, purpose: str, shuffle: bool = True) -> DataFrame:
+    """As ``written``, in buckets of the key: joins on it then move the other side only.
+
+    Without ``shuffle`` the rows of a task must belong to one bucket already.
+    """
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = shared_folder(spark, purpose)
+    name = path.rpartition("/")[2].replace("-", "_")
+    dealt = df.repartition(buckets, key) if shuffle else df
+    dealt.write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
 def fresh(df: DataFrame, *stems: str) -> list[str]:
     """A column name for each stem that the table does not have yet, in whatever case."""
     taken = {c.lower() for c in df.columns}
