@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 def photometry(df, pixel_scale, zero_point):
     """Adds arcsecond radii, axis_ratio, mag and mu; an exact zero under a logarithm drops the row."""
     a, b, flux, re = F.col("A"), F.col("B"), F.col("total_flux"), F.col("R_e") * pixel_scale
+    sizes = {c.lower() + "_arcsec" if c[0] == "R" else f"{c}_arcsec": F.col(c) * pixel_scale for c in ("R_fwhm", "A", "B") if c in df.columns} | {f"r_{n}_arcsec": F.col(f"R{n}") * pixel_scale for n in (10, 25, 75, 90, 100) if f"R{n}" in df.columns}
     mag = -2.5 * F.log10(F.when(flux > 0, flux)) + zero_point
     area = F.when((a > 0) & (b > 0), 3.141592653589793 * re * re * b / F.when(a > 0, a)).otherwise(3.141592653589793 * re * re)
-    out = df.withColumns({"re_arcsec": re, "axis_ratio": F.try_divide(F.least(a, b), F.greatest(a, b)), "mag": mag, "mu": mag + 0.752 + 2.5 * F.log10(F.when(area > 0, area))})
+    out = df.withColumns(sizes | {"re_arcsec": re, "axis_ratio": F.try_divide(F.least(a, b), F.greatest(a, b)), "mag": mag, "mu": mag + 0.752 + 2.5 * F.log10(F.when(area > 0, area))})
     return out.where((F.coalesce(flux, F.lit(1.0)) != 0) & (F.coalesce(re, F.lit(1.0)) != 0))
 
 
@@ -29,10 +30,16 @@ def _decay(x, a, b, c, d, cut):
 
 def star_model(gmag):
     """(R_ISO, spike length, thickness) of a star of this magnitude."""
+    # fixed values of the thickness: break, slopes before and after it, value at the break
     thick = F.greatest(F.lit(0.0), F.when(gmag <= 15.6, 1.5 - 0.5 * (gmag - 15.6)).otherwise(1.5 - 0.05 * (gmag - 15.6)))
     return F.sqrt(_decay(gmag, *STAR_AREA) / 3.141592653589793), _decay(gmag, *STAR_SPIKE), thick
 
 
+def star_model_power(gmag, a, b, c, top):
+    """The second model: a power law of the magnitude, never below zero, and never above ``top``."""
+    return F.least(F.greatest(F.pow(a * gmag, F.lit(-float(b))) + c, F.lit(0.0)), F.lit(float(top)))
+
+
 def ratio_feature(a, b, log=False):
     ratio = F.try_divide(a, b)
     return F.ln(F.when(ratio > 0, ratio)) if log else ratio
@@ -45,6 +52,9 @@ def separator_value(kind, x, p):
         "quadratic": lambda: p[0] * x * x + p[1] * x + p[2],
         "cubic": lambda: reduce(lambda s, c: s * x + c, p[1:], F.lit(float(p[0]))),
         "exponential": lambda: p[0] * F.exp(p[1] * x) + p[2],
+        "modified_exponential": lambda: p[0] * F.exp(p[1] * F.pow(x, F.lit(float(p[2])))) + p[3],
+        "sigmoid_exponential": lambda: p[0] * F.exp(p[1] * x) / (1 + F.exp(-p[2] * (x - p[3]))) + p[4],
+        "steep_fall": lambda: p[0] / (1 + F.exp(p[1] * (x - p[2]))) + p[3],
         "exp_poly": lambda: F.exp(p[0] * x * x + p[1] * x + p[2]),
     }
     return curves[kind]()
@@ -69,5 +79,5 @@ def clean_pixels(value, band="r"):
 
 def field_background_scale(brightest):
     """(bright flag, factor, box) by the brightest star."""
-    factor = F.when(brightest < 8.0001, 30).when(brightest < 9, 10).otherwise(5)
+    factor = F.when(brightest < 7, 30).when(brightest < 9, 10).otherwise(5)
     return brightest < 9, factor, F.when(brightest <= 8, 50).otherwise(100)

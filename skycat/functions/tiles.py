@@ -33,6 +33,12 @@ def tile_to_radec(x, y):
     return F.bround(x / 2 / F.cos(F.radians(dec)), 12), F.bround(dec, 12)
 
 
+def tile_centre(x, y):
+    """Right ascension and declination of a tile's centre to six places."""
+    ra, dec = tile_to_radec(x, y)
+    return F.bround(ra, 6), F.bround(dec, 6)
+
+
 def radec_to_tile(ra, dec):
     return (ra * 2 * F.cos(F.radians(dec))).cast("int"), ((dec + 90) * 2).cast("int")
 

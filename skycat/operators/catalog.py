@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from skycat.functions.sphere import ang_sep_arcsec, sky_median
 from skycat.operators.components import connected_components
-from skycat.operators.match import radius_pairs
+from skycat.operators.match import radius_join, radius_pairs
 
 
 def band_groups(det, id_col="det_id", max_sep=10.0, keys=("tile_x", "tile_y")):
@@ -54,13 +54,21 @@ def fof_dedup(df, max_sep, id_col, priority):
 
 
 def radius_dedup(df, id_col, priority, size="re_arcsec", factor=1.5, least=1.0):
-    """As fof_dedup with a threshold of factor x the larger size of the pair, ``least`` at least."""
-    top = df.agg(F.max(size)).first()[0] or 0.0
-    wide = max(least, factor * top)
-    pairs = radius_pairs(df, wide, id_col, inclusive=True)
-    sizes = df.select(F.col(id_col).alias("n"), F.col(size).alias("s"))
-    pairs = pairs.join(sizes.toDF("u", "su"), "u").join(sizes.toDF("v", "sv"), "v").where(F.col("sep") <= F.greatest(F.lit(least), factor * F.greatest("su", "sv")))
-    parts = connected_components(pairs.select("u", "v"), df.select(id_col))
+    """As fof_dedup with a threshold of factor x the larger size of the pair, ``least`` at least.
+
+    Rows are dealt to size classes (powers of two); the rows of a class look for partners of
+    their own and smaller classes on a grid of that class, so one large size does not widen
+    the grid of all others.
+    """
+    reach = F.greatest(F.lit(float(least)), F.coalesce(factor * F.when(F.col(size) < float("inf"), F.col(size)), F.lit(0.0)))
+    sized = df.select(id_col, "ra", "dec", reach.alias("_reach")).withColumn("_class", F.ceil(F.log2(F.col("_reach") / least)).cast("int"))
+    pairs = None
+    for c in sorted(r[0] for r in sized.select("_class").distinct().collect()):  # a handful of powers of two
+        near = radius_join(sized.where(F.col("_class") == c), sized.where(F.col("_class") <= c), least * 2.0**c)
+        near = near.where((F.col(f"l.{id_col}") != F.col(f"r.{id_col}")) & (F.col("sep") <= F.greatest("l._reach", "r._reach"))).select(F.col(f"l.{id_col}").alias("u"), F.col(f"r.{id_col}").alias("v"))
+        pairs = near if pairs is None else pairs.union(near)
+    pairs = df.select(F.col(id_col).alias("u"), F.col(id_col).alias("v")).limit(0) if pairs is None else pairs
+    parts = connected_components(pairs, df.select(id_col))
     best = Window.partitionBy("component").orderBy(F.col(priority).desc_nulls_last(), id_col)
     return df.join(parts.withColumnRenamed("node", id_col), id_col).withColumn("rn", F.row_number().over(best)).where("rn = 1").drop("rn")
 
@@ -73,6 +81,17 @@ def duplicate_report(df, id_col, priority, max_sep):
     return joined.join(best, "component").select(id_col, "component", "members", (-F.col("b.i")).alias("best_id"), (F.col(id_col) == -F.col("b.i")).alias("is_best"))
 
 
+def duplicate_details(df, id_col, priority, max_sep):
+    """duplicate_report with the separation from the best member and whether both lie on one tile."""
+    from skycat.functions.sphere import ang_sep_arcsec
+
+    report = duplicate_report(df, id_col, priority, max_sep)
+    place = lambda p: df.select(F.col(id_col).alias(f"{p}_id"), F.col("ra").alias(f"{p}_ra"), F.col("dec").alias(f"{p}_dec"), F.struct("tile_x", "tile_y").alias(f"{p}_tile"))
+    both = report.join(place("own"), F.col(id_col) == F.col("own_id")).join(place("top"), F.col("best_id") == F.col("top_id"))
+    sep = ang_sep_arcsec(F.col("own_ra"), F.col("own_dec"), F.col("top_ra"), F.col("top_dec"))
+    return both.select(*report.columns, sep.alias("sep_to_best"), (F.col("own_tile") == F.col("top_tile")).alias("same_tile"), F.lit(float(max_sep)).alias("threshold"))
+
+
 def fill_missing_ids(target, cat, id_col, known="id_known", max_sep=10.0):
     """NULL ids take the id of the nearest catalog row within max_sep, borders included."""
     from skycat.operators.match import nearest_match

@@ -37,15 +37,19 @@ def availability_combos(matrix, bands):
 
 def progress_summary(log, available):
     """Status counts per band, and what remains of the available tiles."""
-    statuses = ("completed", "failed", "processing", "downloaded", "skipped_mostly_zeros")
+    statuses = ("completed", "failed", "processing", "downloading", "downloaded", "download_failed", "skipped_mostly_zeros")
     counts = log.groupBy("band").agg(*(F.sum((F.col("status") == s).cast("long")).alias(s) for s in statuses))
     total = available.groupBy("band").agg(F.count_distinct("tile").alias("available"))
-    done = F.coalesce("completed", F.lit(0)) + F.coalesce("skipped_mostly_zeros", F.lit(0)) + F.coalesce("failed", F.lit(0))
+    done = F.coalesce("completed", F.lit(0)) + F.coalesce("skipped_mostly_zeros", F.lit(0)) + F.coalesce("failed", F.lit(0)) + F.coalesce("download_failed", F.lit(0))
     return total.join(counts, "band", "left").select("band", "available", *(F.coalesce(s, F.lit(0)).alias(s) for s in statuses), F.greatest(F.lit(0), F.col("available") - done).alias("remaining"))
 
 
-def pending_jobs(available, log):
-    """Available (tile, band) without a finished job."""
+def pending_jobs(available, log, known_tiles=None, groups=None):
+    """Available (tile, band) without a finished job, on the tiles of known objects or of a group list if given."""
+    from skycat.operators.selection import restrict_tiles
+
+    for tiles in (known_tiles, groups):
+        available = available if tiles is None else restrict_tiles(available, tiles)
     return available.select("tile", "band").distinct().join(log.where(F.col("status").isin(*DONE)), ["tile", "band"], "left_anti")
 
 
@@ -53,6 +57,16 @@ def run_report(log):
     return log.groupBy("band").agg(F.count("*").alias("jobs"), F.avg(F.when(F.col("status") == "completed", F.col("minutes"))).alias("mean_minutes"), F.sum((F.col("status") == "failed").cast("long")).alias("failed"))
 
 
+def failed_jobs(log, n=None):
+    """The failed (tile, band) of the log, the first n in order if given."""
+    failed = log.where(F.col("status") == "failed").select("tile", "band")
+    return failed if n is None else failed.orderBy("tile", "band").limit(n)
+
+
+def run_totals(log):
+    return log.agg(F.count("*").alias("jobs"), F.count_if(F.col("status") == "completed").alias("completed"), F.count_if(F.col("status") == "failed").alias("failed"), F.avg(F.when(F.col("status") == "completed", F.col("minutes"))).alias("mean_minutes"))
+
+
 def band_barrier(rows, bands):
     """Tiles for which all bands have arrived, with the order of the last arrival."""
     first = rows.groupBy("tile", "band").agg(F.min("seq").alias("seq")).where(F.col("band").isin(*bands))

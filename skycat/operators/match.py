@@ -66,10 +66,10 @@ def radius_pairs(df, max_sep, id_col, cross=None, keys=(), inclusive=False):
 def scored_match(known, det, known_id, det_id, max_sep=15.0, k=3.0):
     """Best-scoring detection of each known object within max(max_sep, k re).
 
-    Objects are dealt to radius classes (powers of two), so that one huge radius does not
+    NULL, infinite and negative sizes count as none.  Objects are dealt to radius classes (powers of two), so that one huge radius does not
     widen the grid of all others.
     """
-    radius = F.greatest(F.lit(float(max_sep)), F.when(F.col("re") > 0, k * F.col("re")))
+    radius = F.greatest(F.lit(float(max_sep)), F.when((F.col("re") > 0) & (F.col("re") < float("inf")), k * F.col("re")))
     sized = known.withColumn("radius", radius).withColumn("size_class", F.greatest(F.lit(0), F.ceil(F.log2(F.col("radius") / max_sep))).cast("int"))
     classes = [r[0] for r in sized.select("size_class").distinct().collect()]  # a handful of powers of two
     pairs = None

@@ -39,6 +39,14 @@ def average_precision(df, y="y", p="p"):
     return c.agg(F.try_divide(F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))), F.sum("pos")).alias("average_precision"))
 
 
+def pr_points(df, y="y", p="p"):
+    """(score, precision, recall) at every distinct score as threshold."""
+    c = _cumulative(df, y, p)
+    total = df.agg(F.sum((F.col(y) == 1).cast("long")).alias("all"))
+    # the total is one row
+    return c.crossJoin(F.broadcast(total)).select("score", F.try_divide("tp", F.col("tp") + F.col("fp")).alias("precision"), F.try_divide("tp", "all").alias("recall"))
+
+
 def calibration(df, y="y", p="p", bins=10):
     b = F.least(F.floor(F.col(p) * bins), F.lit(bins - 1)).cast("int")
     return df.groupBy(b.alias("bin")).agg(F.count("*").alias("n"), F.avg(p).alias("mean_p"), F.avg(y).alias("mean_y"))
@@ -49,22 +57,37 @@ def ece(df, y="y", p="p", bins=10):
     return c.agg((F.sum(F.col("n") * F.abs(F.col("mean_p") - F.col("mean_y"))) / F.sum("n")).alias("ece"))
 
 
-def score_errors(df, y="y", p="p"):
+def score_errors(df, y="y", p="p", gamma=2.0):
     e = F.col(p) - F.col(y)
     q = F.least(F.greatest(F.col(p), F.lit(1e-7)), F.lit(1 - 1e-7))
     loss = -(F.col(y) * F.ln(q) + (1 - F.col(y)) * F.ln(1 - q))
-    return df.agg(F.avg(e * e).alias("brier"), F.avg(F.abs(e)).alias("mae"), F.avg(e).alias("mean_error"), F.avg(loss).alias("log_loss"))
+    focal = -(F.col(y) * F.pow(1 - q, F.lit(float(gamma))) * F.ln(q) + (1 - F.col(y)) * F.pow(q, F.lit(float(gamma))) * F.ln(1 - q))
+    return df.agg(F.avg(e * e).alias("brier"), F.avg(F.abs(e)).alias("mae"), F.avg(e).alias("mean_error"), F.avg(loss).alias("log_loss"), F.avg(focal).alias("focal_loss"))
+
+
+def _edge_bin(column, steps):
+    """Number of the last edge i/steps that the value reaches; edges are compared, never divided."""
+    edges = F.filter(F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda i: F.struct(i.alias("bin"), (i / steps).alias("lo"))), lambda e: e["lo"] <= F.col(column))
+    return F.element_at(edges, -1)["bin"]
+
+
+def hist2d(df, x, y, steps=25):
+    """Counts on a grid of steps x steps over [0, 1] squared; the last bins are closed, values outside drop."""
+    inside = df.where(F.col(x).between(0, 1) & F.col(y).between(0, 1))
+    return inside.groupBy(_edge_bin(x, steps).alias("x_bin"), _edge_bin(y, steps).alias("y_bin")).agg(F.count("*").alias("n"))
 
 
 def hist_fixed(df, column, steps=20):
     """Counts on edges i/steps over [0, 1]; the last bin is closed, values outside drop."""
-    edges = F.filter(F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda i: F.struct(i.alias("bin"), (i / steps).alias("lo"))), lambda e: e["lo"] <= F.col(column))
-    b = F.element_at(edges, -1)["bin"]
+    b = _edge_bin(column, steps)
     return df.where(F.col(column).between(0, 1)).groupBy(b.alias("bin")).agg(F.count("*").alias("n"))
 
 
-def performance_by_label(df, y="y", p="p", least=1):
-    return df.groupBy(F.col(y).alias("label")).agg(F.count("*").alias("n"), F.avg(p).alias("mean_p"), F.stddev_pop(p).alias("std_p")).where(F.col("n") >= least)
+def performance_by_label(df, y="y", p="p", least=1, bins=None):
+    """Mean and population deviation of the score per label, or per one of ``bins`` label bins over [0, 1]."""
+    if bins:
+        df = df.where(F.col(y).between(0, 1))
+    return df.groupBy((_edge_bin(y, bins) if bins else F.col(y)).alias("label")).agg(F.count("*").alias("n"), F.avg(p).alias("mean_p"), F.stddev_pop(p).alias("std_p")).where(F.col("n") >= least)
 
 
 def ensemble(scores, key, value):
@@ -82,20 +105,35 @@ def feature_ranges(df, columns):
     return wide.select(F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(f"lo_{c}").cast("double").alias("lo"), F.col(f"hi_{c}").cast("double").alias("hi")) for c in columns))).alias("r")).select("r.*")
 
 
+def _ranked(df, group, order, parts=64):
+    """Adds ``_rank`` (0-based, by ``order`` within ``group``) and ``_size`` of the group.
+
+    ``order[0]`` must be an integer in [0, 1000003): rows are numbered within ranges of it and
+    only the counts per range meet, so that no task numbers a whole group.
+    """
+    cut = df.withColumn("_cut", F.floor(F.col(order[0]) * parts / 1000003))
+    counts = cut.groupBy(*group, "_cut").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*group).orderBy("_cut").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = counts.select(*group, "_cut", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"), F.sum("_n").over(Window.partitionBy(*group)).alias("_size"))
+    within = F.row_number().over(Window.partitionBy(*group, "_cut").orderBy(*order)) - 1
+    return cut.withColumn("_within", within).join(firsts, [*group, "_cut"]).withColumn("_rank", F.col("_first") + F.col("_within")).drop("_cut", "_first", "_within")
+
+
 def balance(df, key, y="y", ratio=3, seed=1):
     """All positives and the ratio x positives negatives that come first in hash order."""
     hashed = F.pmod(F.col(key) * 2654435761 + seed, F.lit(1000003))
-    want = ratio * df.agg(F.sum((F.col(y) == 1).cast("long"))).first()[0]
-    negatives = df.where(F.col(y) == 0).withColumn("_h", hashed).orderBy("_h", key).limit(int(want)).drop("_h")
-    return df.where(F.col(y) == 1).unionByName(negatives)
+    want = ratio * (df.agg(F.sum((F.col(y) == 1).cast("long"))).first()[0] or 0)
+    negatives = _ranked(df.where(F.col(y) == 0).withColumns({"_h": hashed, "_one": F.lit(1)}), ["_one"], ["_h", key])
+    return df.where(F.col(y) == 1).unionByName(negatives.where(F.col("_rank") < want).select(df.columns))
 
 
-def stratified_folds(df, key, value, k=10, bins=5, seed=1):
-    """Fold numbers dealt in hash order within each bin of the value."""
+def stratified_folds(df, key, value, k=10, bins=5, seed=1, test=0.0):
+    """Fold numbers dealt in hash order within each bin of the value; the first ``test`` share of a bin has fold -1."""
     b = F.least(F.floor(F.col(value) * bins), F.lit(bins - 1)).cast("int")
     hashed = F.pmod(F.col(key) * 2654435761 + seed, F.lit(1000003))
-    rn = F.row_number().over(Window.partitionBy("bin").orderBy("h", key)) - 1
-    return df.withColumns({"bin": b, "h": hashed}).withColumn("fold", (rn % k).cast("int")).drop("h")
+    ranked = _ranked(df.withColumns({"bin": b, "h": hashed}), ["bin"], ["h", key])
+    held = F.floor(F.col("_size") * test)
+    return ranked.withColumn("fold", F.when(F.col("_rank") < held, -1).otherwise((F.col("_rank") - held) % k).cast("int")).drop("h", "_rank", "_size")
 
 
 def sample_weights(df, value, bins=10, alpha=0.5, epsilon=1e-6):

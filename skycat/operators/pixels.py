@@ -25,9 +25,13 @@ def light_curve_of_growth(lit, keys=("segment_id",), value="v"):
     return lit.withColumns({"cum": F.sum(value).over(order.rowsBetween(Window.unboundedPreceding, 0)), "rank": F.row_number().over(order) - 1, "total": F.sum(value).over(Window.partitionBy(*keys))})
 
 
-def relabel_segments(px):
-    ids = px.select("segment_id").where("segment_id is not null").distinct().withColumn("new_id", F.dense_rank().over(Window.orderBy("segment_id")))
-    return px.join(ids, "segment_id", "left")
+def relabel_segments(px, width=1000):
+    """Dense ids from 1 in id order; ids are ranked within ranges, only the counts per range meet."""
+    ids = px.select("segment_id").where("segment_id is not null").distinct().withColumn("_range", F.floor(F.col("segment_id") / width))
+    counts = ids.groupBy("_range").agg(F.count("*").alias("n"))
+    firsts = counts.select("_range", (F.sum("n").over(Window.orderBy("_range")) - F.col("n")).alias("first"))
+    ranked = ids.withColumn("rn", F.row_number().over(Window.partitionBy("_range").orderBy("segment_id"))).join(firsts, "_range")
+    return px.join(ranked.select("segment_id", (F.col("first") + F.col("rn")).cast("int").alias("new_id")), "segment_id", "left")
 
 
 def segment_level(px):
@@ -48,17 +52,62 @@ def mostly_zero(px, share=0.95, cell=8):
 
 
 def grid_background(px, cell=25, min_share=0.5, rounds=5, sigma=3.0):
-    """Sigma-clipped mean, median and std of background pixels per cell; thin cells are NULL."""
+    """Sigma-clipped mean, median and std of background pixels per whole cell; thin cells take the nearest valid one.
+
+    The border that does not fill a cell is cut.  Of equally near cells the one with the
+    least (cy, cx) counts.
+    """
     keys = ["cx", "cy"]
     dark = px.withColumns({"cx": F.floor(F.col("x") / cell).cast("int"), "cy": F.floor(F.col("y") / cell).cast("int")})
-    cells = dark.groupBy(*keys).agg(F.count("*").alias("all"), F.sum(F.col("segment_id").isNull().cast("long")).alias("dark"))
+    # one row
+    frame = px.agg(F.floor((F.max("x") + 1) / cell).alias("nx"), F.floor((F.max("y") + 1) / cell).alias("ny"))
+    cells = dark.groupBy(*keys).agg(F.count("*").alias("all"), F.sum(F.col("segment_id").isNull().cast("long")).alias("dark")).crossJoin(F.broadcast(frame)).where("cx < nx and cy < ny")
     now = dark.where("segment_id is null").select(*keys, "value")
     for _ in range(rounds):
         stats = now.groupBy(*keys).agg(F.percentile("value", 0.5).alias("m"), F.stddev_pop("value").alias("s"))
         now = now.join(stats, keys).where(F.abs(F.col("value") - F.col("m")) <= sigma * F.col("s")).select(*keys, "value")
     stats = now.groupBy(*keys).agg(F.avg("value").alias("mean"), F.percentile("value", 0.5).alias("median"), F.stddev_pop("value").alias("std"))
-    ok = F.col("dark") >= min_share * F.col("all")
-    return cells.join(stats, keys, "left").select(*keys, *(F.when(ok, F.col(c)).alias(c) for c in ("mean", "median", "std")))
+    marked = cells.join(stats, keys, "left").select(*keys, (F.coalesce(F.col("dark") >= min_share * F.col("all"), F.lit(False)) & F.col("mean").isNotNull()).alias("ok"), "mean", "median", "std")
+    (marked,) = _written(marked)
+    return nearest_valid(marked, keys, ["mean", "median", "std"])
+
+
+def _written(*tables):
+    from skycat.operators.components import shared_folder
+
+    out = []
+    for df in tables:
+        path = shared_folder(df.sparkSession, "pixels")
+        df.write.parquet(path)
+        out.append(df.sparkSession.read.schema(df.schema).parquet(path))
+    return out
+
+
+def nearest_valid(cells, keys, values):
+    """Cells with ``ok`` false take the values of the nearest one with ``ok`` true; NULL if there is none."""
+    from skycat.operators.selection import near_pixels
+
+    x, y = keys
+    good, open_cells = cells.where("ok"), cells.where("not ok").select(F.col(x).alias("x"), F.col(y).alias("y"))
+    done, radius = good.select(*keys, *values), 1
+    if not good.isEmpty():
+        while not open_cells.isEmpty():
+            gap = F.pow(F.col("x") - F.col("p_x"), F.lit(2)) + F.pow(F.col("y") - F.col("p_y"), F.lit(2))
+            near = near_pixels(open_cells, good.select(F.col(x).alias("x"), F.col(y).alias("y"), *values), radius).withColumn("gap", gap).where(F.col("gap") <= radius * radius)
+            best = near.groupBy("p_x", "p_y").agg(F.min(F.struct("gap", "y", "x", *values)).alias("b")).select(F.col("p_x").alias(x), F.col("p_y").alias(y), *(F.col(f"b.{v}").alias(v) for v in values))
+            (best,) = _written(best)
+            done = done.unionByName(best)
+            open_cells = open_cells.join(best.select(F.col(x).alias("x"), F.col(y).alias("y")), ["x", "y"], "left_anti")
+            radius *= 2
+        return done
+    return cells.select(*keys, *(F.when(F.col("ok"), F.col(v)).alias(v) for v in values))
+
+
+def with_cell_median(px, cells, cell=25):
+    """Adds ``background``, the median of the pixel's cell; pixels of the cut border take the last whole cell."""
+    last = cells.agg(F.max("cx").alias("mx"), F.max("cy").alias("my"))  # one row
+    placed = px.crossJoin(F.broadcast(last)).withColumns({"cx": F.least(F.floor(F.col("x") / cell), F.col("mx")).cast("int"), "cy": F.least(F.floor(F.col("y") / cell), F.col("my")).cast("int")}).drop("mx", "my")
+    return placed.join(cells.select("cx", "cy", F.col("median").alias("background")), ["cx", "cy"], "left").drop("cx", "cy")
 
 
 def haar_details(px):
@@ -68,28 +117,174 @@ def haar_details(px):
     return b.select("bx", "by", F.expr("(a-b+c-d)/2").alias("h"), F.expr("(a+b-c-d)/2").alias("v"), F.expr("(a-b-c+d)/2").alias("dd")).where("h is not null and v is not null")
 
 
-def dilate(mask, rounds=1, square=False):
-    """Pixels (x, y) within ``rounds`` steps of the mask, by cross or square neighbourhood."""
-    steps = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1) if square or not (i and j)]
-    for _ in range(rounds):
+def flat_anomalies(px, limit=0.005, least=50, grow=1):
+    """Pixels (x, y) of regions without fluctuation: 4-connected Haar blocks of one plane below the limit, ``least`` or more, back at full size and grown."""
+    blocks = haar_details(px)
+    planes = F.explode(F.array(*(F.struct(F.lit(n).alias("plane"), F.col(n).alias("d")) for n in ("h", "v", "dd"))))
+    flat = blocks.select("bx", "by", planes.alias("p")).where(F.abs("p.d") <= limit).select(F.col("bx").alias("x"), F.col("by").alias("y"), F.col("p.plane").alias("plane"))
+    parts = label_pixels(flat, False, ("plane",))
+    large = parts.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    found = parts.join(large, "component", "left_semi").select("x", "y").distinct()
+    full = found.select(F.explode(F.array(*(F.struct((2 * F.col("x") + i).alias("x"), (2 * F.col("y") + j).alias("y")) for i in (0, 1) for j in (0, 1)))).alias("p")).select("p.x", "p.y")
+    return dilate(full, grow).join(px.select("x", "y"), ["x", "y"], "left_semi")
+
+
+def dilate(mask, rounds=1, square=False, stride=8):
+    """Pixels (x, y) within ``rounds`` steps of the mask, by cross or square neighbourhood, ``stride`` steps to a shuffle."""
+    while rounds > 0:
+        n = min(rounds, stride)
+        steps = [(i, j) for i in range(-n, n + 1) for j in range(-n, n + 1) if square or abs(i) + abs(j) <= n]
         mask = mask.select(F.explode(F.array(*(F.struct((F.col("x") + i).alias("x"), (F.col("y") + j).alias("y")) for i, j in steps))).alias("p")).select("p.x", "p.y").distinct()
+        rounds -= n
     return mask
 
 
-def threshold_segments(px, level, min_area=4, width=1 << 20):
-    """8-connected pixels above a level, with box, peak and size."""
+def label_pixels(mask, diagonal=True, planes=(), width=1 << 20):
+    """Adds ``component``, the least pixel number of the 8- or 4-connected region (within a plane, if planes are named)."""
     from skycat.operators.components import connected_components
 
-    bright = px.where(F.col("value") > level).withColumn("pid", F.col("y").cast("long") * width + F.col("x"))
-    steps = [(1, 0), (0, 1), (1, 1), (-1, 1)]
-    near = bright.select(F.col("pid").alias("u"), F.explode(F.array(*(F.col("pid") + j * width + i for i, j in steps))).alias("v"))
-    edges = near.join(bright.select(F.col("pid").alias("v")), "v").select("u", "v")
-    parts = connected_components(edges, bright.select("pid"))
-    s = bright.join(parts, bright.pid == parts.node).groupBy("component")
+    layer = F.xxhash64(*planes) % (1 << 20) * width * width if planes else F.lit(0).cast("long")
+    lit = mask.withColumn("pid", layer + F.col("y").cast("long") * width + F.col("x"))
+    steps = [(1, 0), (0, 1), (1, 1), (-1, 1)] if diagonal else [(1, 0), (0, 1)]
+    near = lit.select(F.col("pid").alias("u"), F.explode(F.array(*(F.col("pid") + j * width + i for i, j in steps))).alias("v"))
+    edges = near.join(lit.select(F.col("pid").alias("v")), "v").select("u", "v")
+    return lit.join(connected_components(edges, lit.select("pid")), lit.pid == F.col("node")).drop("pid", "node")
+
+
+def threshold_segments(px, level, min_area=4):
+    """8-connected pixels above a level, with box, peak and size."""
+    s = label_pixels(px.where(F.col("value") > level)).groupBy("component")
     out = s.agg(F.count("*").alias("npix"), *(f(c).alias(f"{c}{n}") for c in ("x", "y") for n, f in (("min", F.min), ("max", F.max))), F.max("value").alias("peak"))
     return out.where(F.col("npix") >= min_area)
 
 
+def hot_pixels(px, level, quiet, max_size=3, share=0.2):
+    """(x, y, component) of small bright regions whose surroundings are quiet.
+
+    A region above ``level`` of at most ``max_size`` 4-connected pixels is hot if at least
+    ``share`` of the pixels around it (square neighbours, other small regions left out) are
+    at most ``quiet``.
+    """
+    parts = label_pixels(px.where(F.col("value") > level).select("x", "y"), False)
+    small = parts.join(parts.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") <= max_size), "component", "left_semi")
+    (small,) = _written(small.select("x", "y", "component"))
+    steps = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j]
+    ring = small.select("component", F.explode(F.array(*(F.struct((F.col("x") + i).alias("x"), (F.col("y") + j).alias("y")) for i, j in steps))).alias("p")).select("component", "p.x", "p.y").distinct()
+    around = ring.join(small.select("x", "y"), ["x", "y"], "left_anti").join(px.select("x", "y", "value"), ["x", "y"])
+    calm = around.groupBy("component").agg(F.avg(F.when(F.col("value") <= quiet, 1.0).otherwise(0.0)).alias("share")).where(F.col("share") >= share)
+    return small.join(calm, "component", "left_semi")
+
+
+def mask_hot_pixels(px, level, sigma=3.0, max_size=3, share=0.2):
+    """px with hot pixels set to the median of the image; quiet is the median plus sigma times the standard deviation."""
+    median, rms = px.agg(F.percentile("value", 0.5), F.stddev_pop("value")).first()
+    hot = hot_pixels(px, level, (median or 0.0) + sigma * (rms or 0.0), max_size, share).select("x", "y", F.lit(True).alias("_hot"))
+    return px.join(hot, ["x", "y"], "left").withColumn("value", F.when(F.col("_hot"), F.lit(median)).otherwise(F.col("value"))).drop("_hot")
+
+
+def ring_mask(px, min_pixels=600, min_ratio=0.2, grow=65):
+    """Background pixels (x, y) around large round objects: touching segments count as one object."""
+    from skycat.operators.training import axis_ratio_pca
+
+    (parts,) = _written(label_pixels(px.where("segment_id is not null").select("x", "y"), False))
+    large = parts.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") >= min_pixels)
+    shape = axis_ratio_pca(parts.join(large, "component", "left_semi"), ["component"]).where(F.col("axis_ratio") >= min_ratio)
+    grown = dilate(parts.join(shape, "component", "left_semi").select("x", "y"), grow)
+    return grown.join(px.where("segment_id is null").select("x", "y"), ["x", "y"], "left_semi")
+
+
+def ring_correction(px, cell=25, min_pixels=600, min_ratio=0.2, grow=65):
+    """px with the ring pixels at the median of their background cell, which leaves the rings out."""
+    ring = ring_mask(px, min_pixels, min_ratio, grow).withColumn("_ring", F.lit(True))
+    (marked,) = _written(px.join(ring, ["x", "y"], "left"))
+    cells = grid_background(marked.withColumn("segment_id", F.when(F.col("_ring"), -1).otherwise(F.col("segment_id"))), cell)
+    filled = with_cell_median(marked, cells, cell)
+    return filled.withColumn("value", F.when(F.col("_ring"), F.coalesce("background", "value")).otherwise(F.col("value"))).select(px.columns)
+
+
+def mask_small(px, objects, cell=25, small=39, medium=100, size=1.5):
+    """px without small objects: their pixels take the median of their cell and lose their segment.
+
+    ``objects`` has segment_id, npix, re and star.  Objects below ``small`` pixels go unless
+    touching small ones are larger together; those below ``medium`` pixels go if their radius
+    is below ``size``; stars stay.
+    """
+    free = objects.where(F.coalesce("star", F.lit(0)) != 1)
+    tiny, middle = free.where(F.col("npix") < small), free.where((F.col("npix") >= small) & (F.col("npix") < medium) & (F.col("re") < size))
+    (parts,) = _written(label_pixels(px.join(tiny.select("segment_id"), "segment_id", "left_semi").select("x", "y", "segment_id"), False))
+    few = parts.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") < small)
+    gone = parts.join(few, "component", "left_semi").select("segment_id").union(middle.select("segment_id")).distinct()
+    # a removed object keeps the pixels that touch others, but no segment
+    pixels = parts.join(few, "component", "left_semi").select("x", "y").union(px.join(middle, "segment_id", "left_semi").select("x", "y")).withColumn("_fill", F.lit(True))
+    cells = grid_background(px, cell)
+    marked = with_cell_median(px.join(pixels, ["x", "y"], "left").join(gone.withColumn("_gone", F.lit(True)), "segment_id", "left"), cells, cell)
+    value = F.when(F.col("_fill"), F.coalesce("background", "value")).otherwise(F.col("value"))
+    return marked.withColumns({"value": value, "segment_id": F.when(F.col("_gone").isNull(), F.col("segment_id"))}).select(px.columns)
+
+
+def mask_stars(px, stars, limit, cell=25, shielded=0.99):
+    """px with faint stars at the median of their cell: a disc of 0.9 x R_ISO and a cross of the spike length.
+
+    ``stars`` has source_id, x, y, gmag, r_iso, spike and thick.  Stars of magnitude
+    ``limit`` and brighter are kept and shield the pixels of their disc; a faint star whose
+    shape is shielded to ``shielded`` or more is left alone.
+    """
+    from skycat.operators.selection import near_pixels
+
+    sized = stars.withColumns({"x": F.rint("x").cast("long"), "y": F.rint("y").cast("long"), "disc": F.greatest(F.rint(0.9 * F.col("r_iso")), F.lit(1.0))})
+    sized = sized.withColumn("_class", F.ceil(F.log2(F.greatest("disc", "spike", F.lit(1.0)))).cast("int"))
+    dx, dy = F.abs(F.col("x") - F.col("p_x")), F.abs(F.col("y") - F.col("p_y"))
+    disc = dx * dx + dy * dy <= F.col("p_disc") * F.col("p_disc")
+    cross = ((dx <= F.col("p_spike")) & (dy <= F.col("p_thick") / 2)) | ((dy <= F.col("p_spike")) & (dx <= F.col("p_thick") / 2))
+    covered = None
+    for c in sorted(r[0] for r in sized.select("_class").distinct().collect()):  # a handful of powers of two
+        near = near_pixels(sized.where(F.col("_class") == c), px.select("x", "y"), 2**c).where(F.when(F.col("p_gmag") > limit, disc | cross).otherwise(disc)).select("x", "y", F.col("p_source_id").alias("source_id"), (F.col("p_gmag") > limit).alias("faint"))
+        covered = near if covered is None else covered.union(near)
+    if covered is None:
+        return px
+    (covered,) = _written(covered)
+    shield = covered.where("not faint").select("x", "y").distinct().withColumn("_shield", F.lit(True))
+    faint = covered.where("faint").join(shield, ["x", "y"], "left")
+    open_stars = faint.groupBy("source_id").agg(F.avg(F.when(F.col("_shield"), 1.0).otherwise(0.0)).alias("share")).where(F.col("share") < shielded)
+    filled = faint.where("_shield is null").join(open_stars, "source_id", "left_semi").select("x", "y").distinct().withColumn("_fill", F.lit(True))
+    marked = with_cell_median(px.join(filled, ["x", "y"], "left"), grid_background(px, cell), cell)
+    return marked.withColumn("value", F.when(F.col("_fill"), F.coalesce("background", "value")).otherwise(F.col("value"))).select(px.columns)
+
+
+def star_case(stars, px, limit=13.5, far=15.0):
+    """(source_id, case) of stars on the image.
+
+    ``undetected``: no segment at the star; ``isolated``: its segment touches no other;
+    ``not_deblended``: the segment is larger than the star's radius ``r`` (or its peak lies
+    ``far`` from its middle and the star is fainter than ``limit``) and no bright star's
+    segment lies around the star's disc; ``adjacent``: there is one, or the segment also
+    touches background; ``embedded``: it touches segments only.
+    """
+    from skycat.operators.selection import near_pixels
+
+    placed = stars.select("source_id", "gmag", "r", F.rint("x").cast("long").alias("x"), F.rint("y").cast("long").alias("y"))
+    at = placed.join(px.select("x", "y", "segment_id"), ["x", "y"])
+    segments = px.where("segment_id is not null").select("x", "y", "segment_id", "value")
+    shape = segments.groupBy("segment_id").agg(F.count("*").alias("npix"), *(f(c).alias(f"{c}{n}") for c in ("x", "y") for n, f in (("min", F.min), ("max", F.max))), F.max(F.struct("value", (-F.col("y")).alias("y"), (-F.col("x")).alias("x"))).alias("peak"))
+    offset = F.hypot(-F.col("peak.x") - F.rint((F.col("xmin") + F.col("xmax")) / 2), -F.col("peak.y") - F.rint((F.col("ymin") + F.col("ymax")) / 2))
+    shape = shape.select("segment_id", F.sqrt(F.col("npix") / 3.141592653589793).alias("r_sep"), offset.alias("offset"))
+    steps = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j]
+    border = segments.select(F.col("segment_id").alias("own"), F.explode(F.array(*(F.struct((F.col("x") + i).alias("x"), (F.col("y") + j).alias("y")) for i, j in steps))).alias("p")).select("own", "p.x", "p.y").distinct()
+    border = border.join(px.select("x", "y", "segment_id"), ["x", "y"]).where("segment_id is null or segment_id <> own")
+    border = border.groupBy(F.col("own").alias("segment_id")).agg(F.max(F.col("segment_id").isNull().cast("int")).alias("open"), F.max(F.col("segment_id").isNotNull().cast("int")).alias("touched"))
+    bright = at.where((F.col("gmag") < limit) & F.col("segment_id").isNotNull()).select("segment_id").distinct()
+    lit = segments.join(bright, "segment_id", "left_semi")
+    reach = int((placed.agg(F.max("r")).first()[0] or 0) + 2)
+    gap = F.hypot(F.col("x") - F.col("p_x"), F.col("y") - F.col("p_y"))
+    ringed = near_pixels(at.where("segment_id is not null").select("source_id", "r", "x", "y", "segment_id"), lit, reach).where((gap > F.col("p_r")) & (gap <= F.col("p_r") + 1.5) & (F.col("segment_id") != F.col("p_segment_id")))
+    neighbour = ringed.select(F.col("p_source_id").alias("source_id")).distinct().withColumn("near_star", F.lit(True))
+    joined = at.join(shape, "segment_id", "left").join(border, "segment_id", "left").join(neighbour, "source_id", "left")
+    blended = (F.col("r_sep") > F.col("r")) | ((F.col("offset") >= far) & (F.col("gmag") > limit))
+    near = F.coalesce("near_star", F.lit(False))
+    case = F.when(F.col("segment_id").isNull(), "undetected").when(F.coalesce("touched", F.lit(0)) == 0, "isolated").when(blended & ~near, "not_deblended").when(blended & near, "adjacent").when(F.col("open") == 1, "adjacent").otherwise("embedded")
+    return joined.select("source_id", case.alias("case"))
+
+
 def convolve(px, kernel):
     """Sum of neighbours by kernel {(dx, dy): weight}; missing neighbours count as zero."""
     spread = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(float(w)).alias("w")) for (i, j), w in kernel.items())))
@@ -97,11 +292,66 @@ def convolve(px, kernel):
     return moved.join(px.select("x", "y"), ["x", "y"], "left_semi").groupBy("x", "y").agg(F.sum("v").alias("value"))
 
 
-def cutouts(objects, px, size=8, id_col="object_id"):
-    """(id, values): a size x size row-major array around floor(v + 0.5); zero outside."""
-    half = size // 2
+def cutouts(objects, px, size=8, id_col="object_id", mode="plain", bands=None, max_nan=0.05):
+    """(id, values[, mask]) or, with bands, (id, band, values[, mask]): a size x size row-major array around floor(v + 0.5); zero outside.
+
+    Modes: ``plain``; ``multiply`` (or ``mask``) keeps only pixels of the object's own
+    segment; ``concatenate`` adds them as an array of 0 and 1.  Bands that the pixels lack
+    give zeros, and so does a cutout with ``max_nan`` or more of its pixels NaN.
+    """
+    if mode not in ("plain", "multiply", "mask", "concatenate"):
+        raise ValueError(f"no cutout mode {mode}")
+    half, keys = size // 2, [id_col, *(["band"] if bands else [])]
     cells = F.explode(F.sequence(F.lit(0), F.lit(size * size - 1)))
-    want = objects.select(id_col, F.floor(F.col("x") + 0.5).cast("int").alias("cx"), F.floor(F.col("y") + 0.5).cast("int").alias("cy")).withColumn("pos", cells)
-    want = want.select(id_col, "pos", (F.col("cx") - half + F.col("pos") % size).alias("x"), (F.col("cy") - half + F.floor(F.col("pos") / size)).cast("int").alias("y"))
-    filled = want.join(px.select("x", "y", "value"), ["x", "y"], "left").select(id_col, "pos", F.coalesce(F.nanvl("value", F.lit(None)), F.lit(0.0)).alias("v"))
-    return filled.groupBy(id_col).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "v"))), lambda p: p["v"]).alias("values"))
+    want = objects.select(id_col, F.floor(F.col("x") + 0.5).cast("int").alias("cx"), F.floor(F.col("y") + 0.5).cast("int").alias("cy"))
+    want = want.withColumn("band", F.explode(F.array(*map(F.lit, bands)))) if bands else want
+    want = want.withColumn("pos", cells).select(*keys, "pos", (F.col("cx") - half + F.col("pos") % size).alias("x"), (F.col("cy") - half + F.floor(F.col("pos") / size)).cast("int").alias("y"))
+    own = F.coalesce(F.col("segment_id") == F.col(id_col), F.lit(False)) if mode != "plain" else F.lit(True)
+    where = ["x", "y", *(["band"] if bands else [])]
+    joined = want.join(px.select(*where, "value", *(["segment_id"] if mode != "plain" else [])), where, "left")
+    value = F.coalesce(F.nanvl("value", F.lit(None)), F.lit(0.0))
+    value = F.when(own, value).otherwise(0.0) if mode in ("multiply", "mask") else value
+    one = joined.select(*keys, F.struct("pos", value.alias("v"), own.cast("int").alias("m")).alias("p"), F.coalesce(F.isnan("value"), F.lit(False)).cast("int").alias("nan"))
+    rows = one.groupBy(*keys).agg(F.sort_array(F.collect_list("p")).alias("ps"), F.avg("nan").alias("nan"))
+    values = F.when(F.col("nan") >= max_nan, F.transform("ps", lambda p: F.lit(0.0))).otherwise(F.transform("ps", lambda p: p["v"]))  # noqa: ARG005
+    return rows.select(*keys, values.alias("values"), *([F.transform("ps", lambda p: p["m"]).alias("mask")] if mode == "concatenate" else []))
+
+
+def fill_channel(red, green, blue):
+    """The three arrays with an empty one (nothing above 1e-10) made from the other two."""
+    empty = lambda a: ~F.exists(a, lambda v: v > 1e-10)
+    mean = lambda a, b: F.zip_with(a, b, lambda u, v: (u + v) / 2)
+    no_red, no_green = empty(red), ~empty(red) & empty(green)
+    no_blue = ~empty(red) & ~empty(green) & empty(blue)
+    return F.when(no_red, green).otherwise(red), F.when(no_red | no_blue, F.when(no_red, mean(green, blue)).otherwise(mean(red, green))).when(no_green, mean(red, blue)).otherwise(green), F.when(no_blue, green).otherwise(blue)
+
+
+def to_rgb(red, green, blue, stretch=125.0, q=7.0, gamma=0.25, scaling="asinh2"):
+    """Three arrays of the image channels.
+
+    ``asinh``: channel x asinh(stretch q m) / (q m) for the mean m of the channels that are
+    not all zero; ``asinh2``: channel x 0.1 asinh(q m / stretch) / (asinh(0.1 q) m), cut to
+    [0, 1]; ``linear``: channel x stretch.  Then the signed power ``gamma``; values up to
+    1e-9 become zero.
+    """
+    some = [F.exists(c, lambda v: v != 0) for c in (red, green, blue)]
+    n = sum((s.cast("int") for s in some), F.lit(0))
+    means = F.transform(F.arrays_zip(red.alias("r"), green.alias("g"), blue.alias("b")), lambda p: F.when(n > 0, (p["r"] + p["g"] + p["b"]) / n).otherwise(0.0))
+
+    def scaled(c, m):
+        if scaling == "linear":
+            return c * stretch
+        factor = F.try_divide(F.asinh(stretch * q * m), q * m) if scaling == "asinh" else F.try_divide(0.1 * F.asinh(q * m / stretch), F.asinh(F.lit(0.1 * q)) * m)
+        out = c * F.coalesce(factor, F.lit(0.0))
+        return out if scaling == "asinh" else F.least(F.greatest(out, F.lit(0.0)), F.lit(1.0))
+
+    def channel(c):
+        def one(v, m):
+            s = scaled(v, m)
+            return s if gamma is None else F.when(F.abs(s) <= 1e-9, 0.0).otherwise(F.signum(s) * F.pow(F.abs(s), F.lit(float(gamma))))
+
+        return F.zip_with(c, means, one)
+
+    if scaling not in ("asinh", "asinh2", "linear"):
+        raise ValueError(f"no scaling {scaling}")
+    return tuple(F.when(s, channel(c)).otherwise(c) for s, c in zip(some, (red, green, blue)))

@@ -1,5 +1,6 @@
 """Rule-based candidate cuts, kept as data and compiled to one filter."""
 
+import re
 from functools import reduce
 
 from pyspark.sql import functions as F
@@ -19,9 +20,12 @@ RELATIONS = {
 
 
 def rule_sql(band, columns):
-    """The whole rule set of a band as one SQL condition over the features present."""
+    """The whole rule set of a band as one SQL condition over the features present; sizes may be named with or without _arcsec."""
+    long_names = "r_10_arcsec" in columns
+    columns = [re.sub("^(r_(?:[0-9]+|fwhm))_arcsec$", r"\1", c) for c in columns]
     basic = [f"{c} {op} {v}e0" for c, (lo, hi) in BOUNDS[band].items() if c in columns for op, v in ((">", lo), ("<", hi)) if v is not None]
-    return " and ".join(basic + RELATIONS[band])
+    text = " and ".join(basic + RELATIONS[band])
+    return re.sub(r"\b(r_(?:[0-9]+|fwhm))\b", r"\1_arcsec", text) if long_names else text
 
 
 def band_rules(df, bands=("r", "g", "i")):

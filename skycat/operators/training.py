@@ -65,7 +65,9 @@ def axis_ratio_pca(df, keys, x="x", y="y"):
     c = df.groupBy(*keys).agg(F.var_samp(x).alias("a"), F.var_samp(y).alias("b"), F.covar_samp(x, y).alias("c"))
     half, root = (F.col("a") + F.col("b")) / 2, F.sqrt(F.pow((F.col("a") - F.col("b")) / 2, F.lit(2.0)) + F.col("c") * F.col("c"))
     small = F.greatest(half - root, F.lit(0.0))
-    return c.select(*keys, F.sqrt(F.try_divide(small, half + root)).alias("axis_ratio"), F.sqrt(small).alias("minor"))
+    # direction of the longer axis
+    slope = F.try_divide(half + root - F.col("a"), F.col("c"))
+    return c.select(*keys, F.sqrt(F.try_divide(small, half + root)).alias("axis_ratio"), F.sqrt(small).alias("minor"), slope.alias("slope"))
 
 
 def percentile_for_target(df, keys, value, target):

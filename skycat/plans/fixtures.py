@@ -18,16 +18,19 @@ d as (select (k*3+bi)*2+dup as det_id, band, bi, k, dup,
  from p, b, c where (k+bi) % 4 <> 0 and (dup = 0 or k % 10 = bi))
 select *, mag + 0.752e0 + 2.5e0*log10(pi()*re_arcsec*re_arcsec*axis_ratio) as mu, power(10e0, 0.4e0*(30e0-mag)) as total_flux,
   0.45e0*re_arcsec as r_10, 0.7e0*re_arcsec as r_25, 1.5e0*re_arcsec as r_75, 1.5e0*(1.1e0+(k%7)/20e0)*re_arcsec as r_90,
-  (2.5e0+(k%5)/4e0)*re_arcsec as r_100, 0.8e0*re_arcsec as r_fwhm,
+  (2.5e0+(k%5)/4e0)*re_arcsec as r_100, 0.8e0*re_arcsec as r_fwhm, power(10e0, 0.4e0*(30e0-mag))/50e0 as mu_max, power(10e0, 0.4e0*(30e0-mag))/n_pix as mu_mean, 0.8e0*power(10e0, 0.4e0*(30e0-mag))/n_pix as mu_median,
   cast(floor(ra*2e0*cos(radians(dec))) as int) as tile_x, cast(floor((dec+90e0)*2e0) as int) as tile_y from d"""
 R = """
 select concat('K', cast(p_partkey as string)) as id, 150e0 + ((p_partkey*7919) % 20011)/10005.5e0 as ra, 30e0 + ((p_partkey*6101) % 20021)/10010.5e0 as dec,
   case when p_partkey % 16 = 3 then null else 1e0 + (p_partkey % 12) end as re,
   case when p_partkey % 3 = 0 then '[''r'', ''g'', ''i'']' when p_partkey % 3 = 1 then '[''r'']' else 'rg' end as bands
 from part where p_partkey % 8 = 3 or p_partkey % 32 = 5"""
+#: A patch of 8 x 8 pixels for every part, 15 patches to a row: the image grows downwards with the table.
 X = """
-with a as (select cast(p_partkey as int) x from part where p_partkey < 120), b as (select cast(p_partkey as int) y from part where p_partkey < 120),
-g as (select x, y, x % 40 - 20 as dx, y % 40 - 20 as dy, cast(floor(x/40e0) as int) as cx, cast(floor(y/40e0) as int) as cy from a, b)
+with a as (select cast(p_partkey % 15 as int) as px, cast(floor(p_partkey/15e0) as int) as py from part),
+i as (select * from (values (0),(1),(2),(3),(4),(5),(6),(7)) v(i)), j as (select * from (values (0),(1),(2),(3),(4),(5),(6),(7)) w(j)),
+c as (select px*8+i as x, py*8+j as y from a, i, j),
+g as (select x, y, x % 40 - 20 as dx, y % 40 - 20 as dy, cast(floor(x/40e0) as int) as cx, cast(floor(y/40e0) as int) as cy from c)
 select x, y, case when x < 8 and y < 8 then 0e0 when x % 40 = 5 and y % 40 = 5 then 500e0
    else 5e0 + ((x*31+y*17) % 7)/10e0 + (50e0+10e0*((cx+2*cy) % 4))*exp(-(dx*dx+dy*dy)/18e0) end as value,
   case when dx*dx+dy*dy <= 64 then cy*3+cx+1 end as segment_id from g"""
@@ -39,7 +42,8 @@ select event_id as seq, cast(user_id % 30 as int) as tile, case event_id % 3 whe
   case when event_type in ('purchase','error') then value end as minutes, ts from events"""
 #: A star list and availability that grow with the tables.
 S = """
-select c_custkey as source_id, 150e0 + ((c_custkey*7919) % 20011)/10005.5e0 as ra, 30e0 + ((c_custkey*6101) % 20021)/10010.5e0 as dec, 8e0 + (c_custkey*37 % 1400)/100e0 as gmag, c_custkey % 11 = 0 as in_galaxy_candidates from customer"""
+select c_custkey as source_id, 150e0 + ((c_custkey*7919) % 20011)/10005.5e0 as ra, 30e0 + ((c_custkey*6101) % 20021)/10010.5e0 as dec, 8e0 + (c_custkey*37 % 1400)/100e0 as gmag, c_custkey % 11 = 0 as in_galaxy_candidates,
+  cast((c_custkey*7) % 120 as int) as x, cast(floor(c_custkey*0.7e0) as int) as y from customer"""
 SOURCE = {"D": ("part", D), "R": ("part", R), "X": ("part", X), "P": ("part", P), "J": ("events", J), "S": ("customer", S)}
 #: Spherical separation of rows a and b, in arcseconds, for brute-force oracles.
 SEP = "(2e0*degrees(asin(sqrt(power(sin(radians({b}.dec-{a}.dec)/2e0),2)+cos(radians({a}.dec))*cos(radians({b}.dec))*power(sin(radians({b}.ra-{a}.ra)/2e0),2))))*3600e0)"
