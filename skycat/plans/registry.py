@@ -429,7 +429,7 @@ def convolve(spark, d):
     return pixels.convolve(fixture(spark, d, "X"), {(0, 0): 0.5, (1, 0): 0.125, (-1, 0): 0.125, (0, 1): 0.125, (0, -1): 0.125}).withColumn("value", r6("value"))
 
 
-@query(", b as (select y*1048576+x as pid, x, y, value from X where value>20e0), e as (select a.pid as u, c.pid as v from b a, (values (-1),(0),(1)) p(i), (values (-1),(0),(1)) q(j), b c where c.x=a.x+p.i and c.y=a.y+q.j and a.pid<>c.pid), t as (with recursive r(node, c) as (select pid, pid from b union select e.v, r.c from r join e on r.node=e.u) select node, min(c) as component from r group by node) select component, count(*) as npix, min(x) as xmin, max(x) as xmax, min(y) as ymin, max(y) as ymax, round(max(value),6) as peak from t join b on b.pid=t.node group by component having count(*)>=4", ["X"])
+@query(", b as (select y*1048576+x as pid, x, y, value from X where value>20e0), t as (with recursive e as materialized (select a.pid as u, c.pid as v from b a, (values (-1),(0),(1)) p(i), (values (-1),(0),(1)) q(j), b c where c.pid=a.pid+q.j*1048576+p.i and a.pid<>c.pid), r(node, c) as (select pid, pid from b union select e.v, r.c from r join e on r.node=e.u) select node, min(c) as component from r group by node) select component, count(*) as npix, min(x) as xmin, max(x) as xmax, min(y) as ymin, max(y) as ymax, round(max(value),6) as peak from t join b on b.pid=t.node group by component having count(*)>=4", ["X"])
 def threshold_segments(spark, d):
     return pixels.threshold_segments(fixture(spark, d, "X"), 20.0).withColumn("peak", r6("peak"))
 
