@@ -38,7 +38,7 @@ ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td",
 class _Blocks(HTMLParser):
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, tuple[str, ...]]] = []
+        self.stack: list[tuple[str, tuple[str, ...], tuple[str, ...], int, int]] = []
         self.blocks: list[tuple[tuple[str, ...], str, float]] = []
         self.run: list[str] = []
         self.linked = self.silent = self.links = 0
@@ -57,9 +57,13 @@ class _Blocks(HTMLParser):
         self.run, self.linked = [], 0
 
     def settle(self):
-        self.path = tuple(t for tag, tokens in self.stack for t in tokens)
-        self.silent = sum(tag in SILENT for tag, _ in self.stack)
-        self.links = sum(tag == "a" for tag, _ in self.stack)
+        """What holds below the open elements: the path, and whether it is silent or linked."""
+        top = self.stack[-1] if self.stack else ("", (), (), 0, 0)
+        _, _, self.path, self.silent, self.links = top
+
+    def push(self, tag, tokens):
+        self.stack.append((tag, tokens, self.path + tokens, self.silent + (tag in SILENT), self.links + (tag == "a")))
+        self.settle()
 
     def pop_to(self, at: int):
         del self.stack[at:]
@@ -78,14 +82,15 @@ class _Blocks(HTMLParser):
                 if self.stack[at][0] in BLOCK:
                     break
         if tag == "body" or tag in BREAKS_OUT and self.silent:
-            self.stack = [s for s in self.stack if s[0] not in SILENT or tag != "body" and s[0] not in DRAWN]
-            self.settle()
+            kept = [s for s in self.stack if s[0] not in SILENT or tag != "body" and s[0] not in DRAWN]
+            self.pop_to(0)
+            for old in kept:
+                self.push(*old[:2])
         if tag in VOID or tag in SILENT and not self.ends[tag]:
             return
         named = " ".join(v for k, v in attrs if k in ("class", "id", "role", "itemprop") and v)
         tokens = (tag, *("." + w for w in re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", named).lower())))
-        self.stack.append((tag, tokens))
-        self.settle()
+        self.push(tag, tokens)
 
     def handle_endtag(self, tag):
         if tag in SILENT:
@@ -109,16 +114,21 @@ def leaf_blocks(html: str | None) -> list[tuple[tuple[str, ...], str, float]]:
     return _Blocks(html or "").blocks
 
 
-_HASH: dict[tuple[str, int], int] = {}
+class _Buckets(dict):
+    """Hash bucket of each token, remembered."""
+
+    def __init__(self, dim: int):
+        super().__init__()
+        self.dim = dim
+
+    def __missing__(self, token: str) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        value = self[token] = zlib.crc32(token.lower().encode("utf-8", "surrogatepass")) % self.dim
+        return value
 
 
-def _bucket(token: str, dim: int) -> int:
-    key = (token, dim)
-    if key not in _HASH:
-        if len(_HASH) > 200_000:
-            _HASH.clear()
-        _HASH[key] = zlib.crc32(token.encode("utf-8", "surrogatepass")) % dim
-    return _HASH[key]
+_PATHS, _WORDS = _Buckets(PATH_DIM), _Buckets(WORD_DIM)
 
 
 def vectors(blocks):
@@ -126,14 +136,10 @@ def vectors(blocks):
 
     x = np.zeros((len(blocks), PATH_DIM + WORD_DIM + NUMBERS), np.float32)
     for i, (path, text, linked) in enumerate(blocks):
-        for token in path:
-            x[i, _bucket(token, PATH_DIM)] = 1
+        x[i, [_PATHS[t] for t in path]] = 1
         words = text.split()
-        for w in words:
-            x[i, PATH_DIM + _bucket(w.lower(), WORD_DIM)] += 1
-        total = x[i, PATH_DIM : PATH_DIM + WORD_DIM].sum()
-        x[i, PATH_DIM : PATH_DIM + WORD_DIM] /= max(1.0, total)
-        x[i, -NUMBERS:] = (np.log1p(len(words)) / 4, text[-1] in ".!?:", "©" in text, i / max(1, len(blocks) - 1), linked, linked > 0.6, min(1.0, len(path) / 12), np.log1p(sum(w[-1] in ",." for w in words)) / 2)
+        x[i, PATH_DIM:-NUMBERS] = np.bincount([_WORDS[w] for w in words], minlength=WORD_DIM) / len(words)
+        x[i, -NUMBERS:] = (np.log1p(len(words)) / 4, text[-1] in ".!?:", "©" in text, i / max(1, len(blocks) - 1), linked, linked > 0.6, min(1.0, len(path) / 12), np.log1p(text.count(",") + text.count(".")) / 2)
     return x
 
 
