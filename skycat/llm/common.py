@@ -33,7 +33,7 @@ def bucketed(df: DataFrame, key: str, purpose: str, shuffle: bool = True) -> Dat
     path = shared_folder(spark, purpose)
     name = path.rpartition("/")[2].replace("-", "_")
     dealt = df.repartition(buckets, key) if shuffle else df
-    dealt.write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
+    dealt.write.option("compression", "zstd").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
     return spark.table(name)
 
 
