@@ -126,7 +126,7 @@ class GrayIndex:
                     stack.append((level - 1, np.repeat(i[cut : cut + width], self.fan)[real], child[real], np.repeat(apart[cut : cut + width], self.fan)[real]))
 
 
-def _forest(n: int, pairs):
+def spanning_forest(n: int, pairs):
     """Edges of a spanning forest over positions 0..n-1; union by smaller root."""
     import numpy as np
 
@@ -172,7 +172,7 @@ def link_edges(distinct: DataFrame, distance: int = 3, n: int | None = None) ->
 
     def inside(leaves: pd.DataFrame) -> pd.DataFrame:
         codes = leaves.fp.to_numpy(np.int64).view(np.uint64)
-        root = _forest(len(codes), GrayIndex(codes).search(codes, distance))
+        root = spanning_forest(len(codes), GrayIndex(codes).search(codes, distance))
         return leaves.assign(root=codes[root].view(np.int64))
 
     # links inside a range first: between ranges only their groups are linked
@@ -197,7 +197,7 @@ def link_edges(distinct: DataFrame, distance: int = 3, n: int | None = None) ->
         q, codes = (x.fp.to_numpy(np.int64).view(np.uint64) for x in (probes, leaves))
         groups, number = np.unique(np.concatenate([probes.root.to_numpy(np.int64), leaves.root.to_numpy(np.int64)]), return_inverse=True)
         linked = ((number[i], number[len(q) + j]) for i, j in GrayIndex(codes).search(q, distance)) if len(q) and len(codes) else ()
-        root = _forest(len(groups), linked)
+        root = spanning_forest(len(groups), linked)
         moved = np.flatnonzero(root != np.arange(len(groups)))
         return pd.DataFrame({"u": groups[moved], "v": groups[root[moved]]})
 

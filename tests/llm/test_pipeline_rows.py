@@ -59,13 +59,28 @@ def test_near_dedup_links_pairs_down_to_similarity(spark):
 def test_near_dedup_equals_brute_force(spark, monkeypatch):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
-    for rounds in (near_copies.HUB_ROUNDS, 0):
+    for rounds, block in ((near_copies.HUB_ROUNDS, near_copies.BLOCK), (0, 3)):
         monkeypatch.setattr(near_copies, "HUB_ROUNDS", rounds)
+        monkeypatch.setattr(near_copies, "BLOCK", block)
         kept = cp.near_dedup_stage(spark, docs, DATA)
         assert kept.columns == docs.columns
         assert Counter((False, r.doc_id) for r in kept.collect()) == brute_kept(rows)
 
 
+def test_near_dedup_compares_a_dense_group_in_blocks(spark, monkeypatch):
+    """Copies of one text of which many pairs lie just below the similarity and some just above."""
+    rng = random.Random(11)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    rows = [(k, changed(rng, words, rng.choice([2, 3, 3, 4, 4, 4]))) for k in range(70)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_kept(rows)
+    assert 3 < want.total() < 60
+    for rounds, block in ((1, 8), (0, 512), (0, 5)):
+        monkeypatch.setattr(near_copies, "HUB_ROUNDS", rounds)
+        monkeypatch.setattr(near_copies, "BLOCK", block)
+        assert Counter((False, r.doc_id) for r in cp.near_dedup_stage(spark, docs, DATA).collect()) == want
+
+
 def test_near_dedup_on_null_and_repeated_ids(spark):
     rows = [(None, "a text without an id of its own here"), (None, "a text without an id of its own here"), (5, "the same row twice in the table"), (5, "the same row twice in the table"),
             (6, "one id"), (6, "and another text under it"), (None, None), (7, ""), (8, " \n"), (None, "copy of a row with an id"), (9, "copy of a row with an id")]
