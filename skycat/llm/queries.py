@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skycat.llm import byte_bpe, html_text, licences, media, packing, pii, quality_classifier, quality_rules, simhash, token_files
+from skycat.llm import byte_bpe, html_text, importance, jaccard, licences, media, packing, pii, quality_classifier, quality_rules, simhash, spelling, token_files
 from skycat.llm.common import table, tokenizer_file, written
 
 
@@ -59,6 +59,18 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -66,7 +78,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op1_packing, op2_byte_bpe, op3_quality_classifier, op4_token_files, op5_media, op6_simhash, op7_pii, op8_quality_rules, op9_html_text, op10_licences, pipeline)}
+    return {f.__name__: f for f in (op1_packing, op2_byte_bpe, op3_quality_classifier, op4_token_files, op5_media, op6_simhash, op7_pii, op8_quality_rules, op9_html_text, op10_licences, op11_importance, op12_spelling, op13_jaccard, pipeline)}
 
 
 #: op8: the whole ledger as DuckDB SQL, from the words and windows of each text.
@@ -92,5 +104,51 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
 """
 
 
+#: CRC-32 of the bytes of a text, from the 256 values of its table.
+_CRC = """tab as (select list(c order by i) as t from (select i, list_reduce([cast(i as bigint), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: case when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end) as c from range(256) r(i)))"""
+_CRC_OF = "xor(list_reduce([4294967295] || [cast('0x' || substr(hex(encode({0})), 2*k+1, 2) as bigint) for k in range(octet_length(encode({0})))], lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295)"
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+
+#: op11: every occurrence joined to the gain of its bucket, and one global window for the ranks.
+OP11_SQL = f"""
+with {_CRC}, d as (select row_number() over () as r, doc_id, regexp_extract_all({_LOW}, {_ALNUM}) as w from documents),
+o as (select r, unnest(w) as w from d), b as (select unnest(regexp_extract_all({_LOW}, {_ALNUM})) as w from benchmark),
+v as (select w, {_CRC_OF.format("w")} % 10000 as slot from (select w from o union select w from b), tab),
+s as (select slot, count(*) as n from o join v using (w) group by 1), t as (select slot, count(*) as n from b join v using (w) group by 1),
+g as (select x.slot, cast(floor(1000*ln(cast((coalesce(t.n,0)+1)*((select coalesce(sum(n),0) from s)+10000) as double)/cast((coalesce(s.n,0)+1)*((select coalesce(sum(n),0) from t)+10000) as double))) as bigint) as gain from range(10000) x(slot) left join s on s.slot=x.slot left join t on t.slot=x.slot),
+k as (select r, cast(sum(gain) as bigint) as weight from o join v using (w) join g using (slot) group by r),
+c as (select d.r, d.doc_id, cast(len(w) as bigint) as n_features, coalesce(weight, 0) as weight, cast('0x' || substr(sha256('2024:' || coalesce(cast(doc_id as varchar), '')), 1, 8) as bigint) as h from d left join k using (r)),
+e as (select *, weight + cast(floor(-1000*ln(-ln((h+0.5e0)/4294967296e0))) as bigint) as score from c),
+p as (select r, row_number() over (order by score desc, doc_id, weight, n_features) as place from e where n_features >= 20)
+select doc_id, n_features, weight, score, case when place <= (select count(*) * 10 // 100 from p) then place end as rank from e left join p using (r)
+"""
+
+#: op12: all words with one letter left out, joined to each other and to the words, and the chain followed by recursion.
+OP12_SQL = f"""
+with recursive {_CRC}, d as (select coalesce(cast(doc_id as varchar), '') as doc_id, unnest(regexp_extract_all({_LOW}, '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')) as w from documents),
+a as (select doc_id, w, count(*) as n from d group by 1, 2), h as (select w, n, {_CRC_OF.format("(doc_id || ':' || w)")} as h from a, tab),
+x as (select case when h % 97 = 0 then substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) else w end as word, n from h),
+w as materialized (select word, cast(sum(n) as bigint) as n from x where length(word) >= 5 group by 1 having sum(n) >= 3),
+l as materialized (select word, k, substr(word, 1, k) || substr(word, k + 2) as rest from w, range(64) r(k) where k < length(word)),
+p as (select a.word, b.word as near from l a join l b on a.k = b.k and a.rest = b.rest and a.word <> b.word union select word, rest from l join w using (word) where rest in (select word from w) union select rest, word from l where rest in (select word from w)),
+q as (select p.word, near, w.n as near_n, row_number() over (partition by p.word order by w.n desc, near) as rn, count(*) over (partition by p.word) as n_near from p join w on w.word = p.near),
+f as materialized (select w.word, w.n, cast(coalesce(n_near, 0) as bigint) as n_near, case when near_n >= 2 * w.n then near end as form, case when near_n >= 2 * w.n then near_n end as form_n from w left join q on w.word = q.word and rn = 1),
+c(word, goal) as (select word, word from f union all select c.word, f.form from c join f on f.word = c.goal where f.form is not null)
+select f.word, form, root, n, n_near, form_n from f join (select c.word, c.goal as root from c join f on f.word = c.goal where f.form is null) using (word)
+"""
+
+#: op13: all pairs of documents that share a shingle, counted in full.
+OP13_SQL = f"""
+with recursive d as (select row_number() over () as r, doc_id, regexp_extract_all({_LOW}, '[^\\x20\\x09-\\x0D]+') as w from documents),
+s as materialized (select distinct r, unnest(case when len(w) >= 4 then [w[i] || ' ' || w[i+1] || ' ' || w[i+2] || ' ' || w[i+3] for i in range(1, len(w) - 2)] when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as g from d),
+z as (select r, count(*) as n from s group by r), o as materialized (select g, r from s where g in (select g from s group by g having count(*) > 1)),
+b as (select a.r as u, c.r as v, count(*) as common from o a join o c on a.g = c.g and a.r <> c.r group by 1, 2),
+e as materialized (select u, v from b join z x on x.r = u join z y on y.r = v where 100 * common >= 85 * (x.n + y.n - common)),
+t(r, c) as (select r, doc_id from d union select e.v, t.c from t join e on e.u = t.r)
+select d.doc_id, coalesce(z.n, 0) as n_shingles, k.c as component_id from d left join z using (r) join (select r, min(c) as c from t group by r) k using (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_quality_rules": OP8_SQL}
+    return {"op8_quality_rules": OP8_SQL, "op11_importance": OP11_SQL, "op12_spelling": OP12_SQL, "op13_jaccard": OP13_SQL}
