@@ -34,7 +34,9 @@ def bucketed(df: DataFrame, key: str, purpose: str, shuffle: bool = True) -> Dat
     name = path.rpartition("/")[2].replace("-", "_")
     dealt = df.repartition(buckets, key) if shuffle else df
     dealt.write.option("compression", "zstd").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
-    return spark.table(name)
+    back = spark.table(name)
+    spark.sql(f"drop table {name}")  # the files stay, and the plan knows them and their buckets
+    return back
 
 
 def fresh(df: DataFrame, *stems: str) -> list[str]:

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skycat.llm.common import written
+from skycat.llm.common import bucketed, written
 from skycat.llm.simhash import spanning_forest
 from skycat.operators.components import connected_components
 
@@ -41,6 +41,8 @@ SLOTS, FILTER, ROW = 1 << 22, 1 << 24, 1 << 12
 OFTEN, KNOWN = 3, 200_000
 #: Members, queries and tokens of a block.
 MEMBERS, QUERIES, TOKENS = 128, 512, 1 << 18
+#: Tokens that one part of the token range holds.
+PART_TOKENS = 1 << 22
 #: Rounds in which one class of each label asks.
 LEADERS = 1
 
@@ -155,12 +157,73 @@ def prefixes(docs: DataFrame, rarity, width: int = WIDTH, percent: int = PERCENT
                 keep = len(t) - needed(len(t), percent) + 1
                 # rare first, then by hash: one order for all sets
                 order = (rare[t % np.uint64(SLOTS)].astype(np.uint64) << np.uint64(56)) | (t >> np.uint64(8))
-                rows.append((digest, t[np.argsort(order, kind="stable")[:keep]].view(np.int64)))
+                rows.append((digest, keep, t[np.argsort(order, kind="stable")[:keep]].tobytes()))
             if len(known) > KNOWN:
                 known.clear()
-            yield pd.DataFrame(rows, columns=["digest", "prefix"])
+            yield pd.DataFrame(rows, columns=["digest", "keep", "prefix"])
 
-    return docs.select("text").mapInPandas(run, "digest binary, prefix array<long>")
+    return docs.select("text").mapInPandas(run, "digest binary, keep long, prefix binary")
+
+
+def _runs(pdf):
+    """Tokens of a batch in order, the rows that hold them, and for each whether the batch holds it more than once and whether it is the first."""
+    import numpy as np
+
+    prefixes = [_place(b) for b in pdf.prefix]
+    t = np.concatenate([*prefixes, np.zeros(0, np.uint64)])
+    row = np.repeat(np.arange(len(prefixes)), [len(x) for x in prefixes])
+    order = np.argsort(t, kind="stable")
+    t, row = t[order], row[order]
+    again = np.append(False, t[1:] == t[:-1]) if len(t) else np.zeros(0, bool)
+    return t, row, again | np.append(again[1:], False)[: len(t)], ~again
+
+
+def shared_tokens(held: DataFrame) -> DataFrame:
+    """(token, uid): all rows that hold a token which more than one row holds.
+
+    Tokens that a batch holds more than once are shared, and the batch says so by itself.  Of
+    every token one holder a batch goes on, in blocks of eight bytes a token and two or four
+    a row, to a part of the token range, where the tokens of several batches come to light.
+    So a token that very many rows hold moves once a batch, not once a row.
+    """
+    spark = held.sparkSession
+    total = held.agg(F.sum("keep")).first()[0] or 0
+    bits = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // PART_TOKENS).bit_length()
+
+    def alone(batches):
+        for pdf in batches:
+            t, row, several, _ = _runs(pdf)
+            yield pd.DataFrame({"token": t[several].view("int64"), "uid": pdf.uid.to_numpy()[row[several]]})
+
+    def blocks(batches):
+        import numpy as np
+
+        for pdf in batches:
+            t, row, several, first = _runs(pdf)
+            t, row, several = t[first], row[first], several[first]
+            base = int(pdf.uid.min()) if len(pdf) else 0
+            offset = (pdf.uid.to_numpy() - base)[row].astype("<u4")
+            part = (t >> np.uint64(64 - bits)).astype(np.int64)
+            cuts = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(t) else np.zeros(0, np.int64)
+            ends = np.append(cuts[1:], len(t))
+            yield pd.DataFrame({"part": part[cuts], "base": base, "tokens": [t[a:b].tobytes() for a, b in zip(cuts, ends)], "offsets": [offset[a:b].tobytes() for a, b in zip(cuts, ends)], "several": [np.packbits(several[a:b]).tobytes() for a, b in zip(cuts, ends)]})
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+
+        each = [_place(b) for b in pdf.tokens]
+        t = np.concatenate(each)
+        uid = np.concatenate([np.frombuffer(o, "<u4").astype(np.int64) + b for o, b in zip(pdf.offsets, pdf.base)])
+        told = np.concatenate([np.unpackbits(np.frombuffer(s, np.uint8), count=len(x)) for s, x in zip(pdf.several, each)]).astype(bool)
+        order = np.argsort(t, kind="stable")
+        t, uid, told = t[order], uid[order], told[order]
+        again = np.append(False, t[1:] == t[:-1])
+        new = (again | np.append(again[1:], False)) & ~told
+        return pd.DataFrame({"token": t[new].view("int64"), "uid": uid[new]})
+
+    rows = held.select("uid", "prefix")
+    met = rows.mapInPandas(blocks, "part long, base long, tokens binary, offsets binary, several binary").groupBy("part").applyInPandas(meet, "token long, uid long")
+    return rows.mapInPandas(alone, "token long, uid long").union(met)
 
 
 def sets_of(docs: DataFrame, bits, width: int = WIDTH) -> DataFrame:
@@ -237,8 +300,7 @@ def inside_links(members: DataFrame, percent: int = PERCENT) -> DataFrame:
         found = [union.partners(s, percent) for s in sets]
         return _forest(pdf.cid.to_numpy(np.int64), [(np.full(len(f), i), f) for i, f in enumerate(found)])
 
-    several = members.groupBy("grp").agg(F.count("*").alias("members")).where("members > 1").select("grp")
-    return members.join(several, "grp", "left_semi").groupBy("grp").applyInPandas(run, "u long, v long")
+    return members.where("several").groupBy("grp").applyInPandas(run, "u long, v long")
 
 
 def matrix(postings: DataFrame) -> DataFrame:
@@ -247,7 +309,7 @@ def matrix(postings: DataFrame) -> DataFrame:
 
 
 def qualifying(postings: DataFrame, leaders: bool, percent: int = PERCENT) -> DataFrame:
-    """(q, grp, q_label): queries with the groups of other labels that can hold a partner."""
+    """(q, q_grp, grp, q_n): queries with the groups of other labels that can hold a partner."""
     rows = matrix(postings)
     queries = postings.select("token", F.col("cid").alias("q"), F.col("grp").alias("q_grp"), F.col("label").alias("q_label"), F.col("n").alias("q_n"))
     if leaders:
@@ -255,53 +317,62 @@ def qualifying(postings: DataFrame, leaders: bool, percent: int = PERCENT) -> Da
     met = queries.join(rows, "token").where(F.expr(f"not (lo = hi and lo = q_label) and grp <> q_grp and 100 * q_n >= {percent} * least and 100 * most >= {percent} * q_n"))
     # later each pair is asked by its first class only
     met = met if leaders else met.where("last > q")
-    return met.groupBy("q", "grp").agg(F.first("q_label").alias("q_label"), F.first("q_n").alias("q_n"))
+    return met.groupBy("q", "grp").agg(F.first("q_grp").alias("q_grp"), F.first("q_n").alias("q_n"))
 
 
 def opened_links(pairs: DataFrame, members: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(u, v): labels to be joined.  Queries meet a group in blocks of bounded tokens, each with the group's sets."""
+    """(u, v): a spanning forest of the links between queries and groups.
+
+    Queries meet a group in blocks of bounded tokens, each with the group's sets.  ``members``
+    lies in buckets of the group, so that only groups that ask or are asked move.
+    """
 
     def run(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
 
         if not len(asked) or not len(held):
             return pd.DataFrame({"u": np.zeros(0, np.int64), "v": np.zeros(0, np.int64)})
-        union, labels = Union([_place(b) for b in held.tokens]), held.label.to_numpy(np.int64)
+        union = Union([_place(b) for b in held.tokens])
         found = [union.partners(_place(b), percent) for b in asked.q_tokens]
-        both = np.concatenate([labels, asked.q_label.to_numpy(np.int64)])
-        return _forest(both, [(np.full(len(f), len(labels) + i), f) for i, f in enumerate(found)])
+        both = np.concatenate([held.cid.to_numpy(np.int64), asked.q.to_numpy(np.int64)])
+        return _forest(both, [(np.full(len(f), len(held) + i), f) for i, f in enumerate(found)])
 
     load = pairs.groupBy("grp").agg(F.count("*").alias("queries"), F.sum("q_n").alias("q_tokens"))
     load = load.select("grp", F.greatest(F.ceil(F.col("queries") / QUERIES), F.ceil(F.col("q_tokens") / TOKENS)).alias("blocks"))
-    asked = pairs.join(load, "grp").select("q", "grp", "q_label", F.pmod(F.xxhash64("q"), "blocks").alias("block"))
-    asked = asked.join(members.select(F.col("cid").alias("q"), F.col("tokens").alias("q_tokens")), "q").select(F.col("grp").alias("q_grp"), F.col("block").alias("q_block"), "q_label", "q_tokens")
-    held = members.join(load, "grp").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    keys = ["grp", "block"]
-    return asked.groupBy("q_grp", "q_block").cogroup(held.select(*keys, "cid", "label", "tokens").groupBy(*keys)).applyInPandas(run, "u long, v long")
+    asking = members.join(pairs.select(F.col("q_grp").alias("grp")).distinct().hint("merge"), "grp", "left_semi").select(F.col("cid").alias("q"), F.col("tokens").alias("q_tokens"))
+    asked = pairs.join(load, "grp").select("q", "grp", F.pmod(F.xxhash64("q"), "blocks").alias("block"))
+    asked = asked.join(asking, "q").select(F.col("grp").alias("q_grp"), F.col("block").alias("q_block"), "q", "q_tokens")
+    held = members.join(load.hint("merge"), "grp").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return asked.groupBy("q_grp", "q_block").cogroup(held.select("grp", "block", "cid", "tokens").groupBy("grp", "block")).applyInPandas(run, "u long, v long")
 
 
 def relabelled(labels: DataFrame, edges: DataFrame) -> DataFrame:
-    """(cid, label) with the labels that the edges join."""
-    parts = connected_components(edges)
+    """(cid, label) with the labels that the edges between classes join."""
+    of = lambda c: labels.select(F.col("cid").alias(c), F.col("label").alias(f"{c}_label"))
+    joined = edges.join(of("u"), "u").join(of("v"), "v").select(F.col("u_label").alias("u"), F.col("v_label").alias("v"))
+    parts = connected_components(joined)
     return written(labels.join(parts, labels.label == parts.node, "left").select("cid", F.coalesce("component", "label").alias("label")), "jaccard-labels")
 
 
 def groups(partnered: DataFrame) -> DataFrame:
-    """Adds ``grp``: families of similar sets, cut by classes and tokens into groups of bounded size."""
+    """Adds ``grp`` and ``several``: families of similar sets, cut by classes and tokens into groups of bounded size, and whether the family has more than one set."""
     size = partnered.groupBy("family").agg(F.count("*").alias("k"), F.sum("n").alias("k_tokens"))
-    size = size.select("family", F.greatest(F.ceil(F.col("k") / MEMBERS), F.ceil(F.col("k_tokens") / TOKENS)).alias("cuts"))
+    size = size.select("family", (F.col("k") > 1).alias("several"), F.greatest(F.ceil(F.col("k") / MEMBERS), F.ceil(F.col("k_tokens") / TOKENS)).alias("cuts"))
     return partnered.join(size, "family").withColumn("grp", F.xxhash64("family", F.pmod(F.xxhash64("cid"), "cuts"))).drop("cuts")
 
 
 def class_labels(docs: DataFrame, classes: DataFrame, seen: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """(cid, label) of the written classes (digest, cid, n, family) that have a partner by their prefixes."""
-    held = written(prefixes(docs, sketch(seen), width, percent).join(classes, "digest").select("cid", "prefix").dropDuplicates(["cid"]), "prefixes")
-    rows = held.select("cid", F.explode("prefix").alias("token"))
+    held = written(prefixes(docs, sketch(seen), width, percent).withColumn("uid", F.monotonically_increasing_id()), "prefixes")
+    rows = written(shared_tokens(held), "shared-tokens")
+    uids = held.select("uid", "digest").join(classes.select("digest", "cid"), "digest").select("uid", "cid")
+    rows = written(rows.join(uids, "uid").select("token", "cid"), "token-classes")
+    # copies of one set in several tasks share their tokens with themselves only
     common = rows.groupBy("token").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("lo < hi").select("token")
-    found = written(rows.join(common, "token"), "shared-tokens")
+    found = written(rows.join(common, "token").distinct(), "shared-tokens")
     partnered = written(groups(classes.join(found.select("cid").distinct(), "cid", "left_semi")), "jaccard-groups")
-    sets = sets_of(docs, filter_bits(partnered.select("digest")), width)
-    members = written(sets.join(partnered, "digest").dropDuplicates(["cid"]).select("cid", "grp", "n", "tokens"), "group-sets")
+    sets = sets_of(docs, filter_bits(partnered.select("digest")), width).join(partnered, "digest").dropDuplicates(["digest"])
+    members = bucketed(sets.select("cid", "grp", "several", "tokens"), "grp", "group-sets")
     placed = written(found.join(partnered.select("cid", "grp", "n"), "cid"), "postings")
     labels = relabelled(partnered.select("cid", F.col("cid").alias("label")), written(inside_links(members, percent), "jaccard-links"))
     for attempt in range(LEADERS + 1):
@@ -310,7 +381,7 @@ def class_labels(docs: DataFrame, classes: DataFrame, seen: DataFrame, width: in
         open_tokens = now.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
         postings = written(now.join(open_tokens, "token"), "open-postings")
         pairs = written(qualifying(postings, attempt < LEADERS, percent), "jaccard-queries")
-        labels = relabelled(labels, written(opened_links(pairs, members.join(labels, "cid"), percent), "jaccard-links"))
+        labels = relabelled(labels, written(opened_links(pairs, members, percent), "jaccard-links"))
     return labels
 
 
