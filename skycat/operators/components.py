@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -21,13 +21,16 @@ def shared_folder(spark, purpose: str) -> str:
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
-def _cut(df: DataFrame) -> tuple[DataFrame, tuple]:
-    """The edges written and read again, with their count and hash sum from the same pass."""
-    spark, seen = df.sparkSession, Observation()
-    path = shared_folder(spark, "components")
-    state = F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")
-    df.observe(seen, *state).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), (seen.get["n"], seen.get["h"])
+def _cut(df: DataFrame) -> DataFrame:
+    """The edges written and read again."""
+    spark, path = df.sparkSession, shared_folder(df.sparkSession, "components")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _state(edges: DataFrame) -> tuple:
+    """Count and hash sum of written edges: an aggregate over the files, for a listener of the write would stay in the session."""
+    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
 def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
@@ -38,16 +41,17 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> Da
     executor costs half a round.  Rounds grow with the logarithm of the longest chain.
     Without ``nodes`` only nodes with an edge to a smaller one are returned.
     """
-    now, state = _cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
-    before = None
+    now = _cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
+    before, state = None, _state(now)
     while state[0] and state != before:
         before = state
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large, _ = _cut(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        large = _cut(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now, state = _cut(small.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        now = _cut(small.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        state = _state(now)
     found = now.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
     if nodes is None:
         return found

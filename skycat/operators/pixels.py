@@ -1,75 +1,89 @@
-"""Pixel-table operators over (tile, band,) y, x, value, segment_id."""
+"""Pixel-table operators over (tile, band,) y, x, value, segment_id.
+
+A table may hold many images: the columns tile and band, as far as it has them, tell the
+images apart, and no operator looks across from one image to another.
+"""
 
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from skycat.functions.noise import normal_noise
+
+#: Columns that tell images apart.
+IMAGE = ("tile", "band")
+PI = 3.141592653589793
+
+
+def image_keys(*tables):
+    """The image columns that all of these tables have."""
+    return [k for k in IMAGE if all(k in t.columns for t in tables)]
+
 
-def segment_photometry(px, keys=("segment_id",)):
-    """Flux, weighted centre, second moments and light radii of each segment."""
-    px = px.where("segment_id is not null")
-    least = px.groupBy(*keys).agg(F.greatest(F.min("value"), F.lit(0.0)).alias("floor"))
-    lit = px.join(least, list(keys)).withColumn("v", F.col("value") - F.col("floor"))
-    sums = lit.groupBy(*keys).agg(F.sum("v").alias("flux"), F.count("*").alias("n_pix"), F.max("v").alias("mu_max"), F.avg("v").alias("mu_mean"), F.percentile("v", 0.5).alias("mu_median"), *(F.sum(F.expr(e)).alias(n) for n, e in {"sx": "v*x", "sy": "v*y", "sxx": "v*x*x", "syy": "v*y*y", "sxy": "v*x*y"}.items()))
-    x, y = F.try_divide("sx", "flux"), F.try_divide("sy", "flux")
-    m = sums.withColumns({"x": x, "y": y}).withColumns({"cxx": F.try_divide("sxx", "flux") - F.col("x") * F.col("x"), "cyy": F.try_divide("syy", "flux") - F.col("y") * F.col("y"), "cxy": F.try_divide("sxy", "flux") - F.col("x") * F.col("y")})
+def segment_photometry(px, keys=None):
+    """Flux, weighted centre, second moments, angle and light radii of each segment, with one shuffle.
+
+    ``theta`` is the angle of the major axis.  A segment without any light above its floor
+    has flux 0 and the plain mean as its centre.
+    """
+    keys = list(keys) if keys else [*image_keys(px), "segment_id"]
+    every = Window.partitionBy(*keys)
+    order = every.orderBy(F.col("v").desc(), "y", "x")
+    lit = px.where("segment_id is not null").withColumn("v", F.col("value") - F.greatest(F.min("value").over(every), F.lit(0.0)))
+    lit = lit.withColumns({"total": F.sum("v").over(every), "peak": F.max("v").over(every), "n": F.count(F.lit(1)).over(every), "cum": F.sum("v").over(order.rowsBetween(Window.unboundedPreceding, 0)), "rank": F.row_number().over(order) - 1})
+    lit = lit.withColumn("w", F.when(F.col("total") == 0, 1.0).otherwise(F.col("v")))
+    middle = (F.col("rank") == F.floor((F.col("n") - 1) / 2)) | (F.col("rank") == F.floor(F.col("n") / 2))
+    radius = lambda n: F.sqrt(n / PI)
+    shares = (("r_10", 0.1), ("r_25", 0.25), ("r_e", 0.5), ("r_75", 0.75), ("r_90", 0.9), ("r_100", 1.0))
+    sums = lit.groupBy(*keys).agg(
+        F.sum("v").alias("flux"), F.count("*").alias("n_pix"), F.max("v").alias("mu_max"), F.avg("v").alias("mu_mean"), F.avg(F.when(middle, F.col("v"))).alias("mu_median"), F.sum("w").alias("sw"),
+        *(F.sum(F.expr(e)).alias(n) for n, e in {"sx": "w*x", "sy": "w*y", "sxx": "w*x*x", "syy": "w*y*y", "sxy": "w*x*y"}.items()),
+        radius(F.count_if(F.col("v") >= 0.5 * F.col("peak"))).alias("r_fwhm"), *(radius(F.min(F.when(F.col("cum") >= q * F.col("total") - 1e-9, F.col("rank")))).alias(n) for n, q in shares),
+    )
+    m = sums.withColumns({"x": F.col("sx") / F.col("sw"), "y": F.col("sy") / F.col("sw")})
+    m = m.withColumns({"cxx": F.expr("sxx/sw - x*x"), "cyy": F.expr("syy/sw - y*y"), "cxy": F.expr("sxy/sw - x*y")})
     half, root = (F.col("cxx") + F.col("cyy")) / 2, F.sqrt(F.pow((F.col("cxx") - F.col("cyy")) / 2, F.lit(2.0)) + F.col("cxy") * F.col("cxy"))
-    m = m.withColumns({"a": F.sqrt(F.greatest(half + root, F.lit(0.0))), "b": F.sqrt(F.greatest(half - root, F.lit(0.0)))})
-    growth = light_curve_of_growth(lit, keys)
-    radii = growth.groupBy(*keys).agg(*(F.sqrt(F.min(F.when(F.col("cum") >= q * F.col("total") - 1e-9, F.col("rank"))) / 3.141592653589793).alias(n) for n, q in (("r_10", 0.1), ("r_e", 0.5), ("r_90", 0.9))))
-    return m.join(radii, list(keys)).select(*keys, "flux", "n_pix", "x", "y", "a", "b", "mu_max", "mu_mean", "mu_median", "r_10", "r_e", "r_90")
+    # a round segment has no angle; on the diagonal it is a quarter turn of the axis
+    turn = F.coalesce(F.atan(F.try_divide(2 * F.col("cxy"), F.col("cxx") - F.col("cyy"))), F.signum("cxy") * PI / 2)
+    theta = F.when((F.col("cxy") < 0) & (F.col("turn") > 0), (F.col("turn") - PI) / 2).when((F.col("turn") < 0) & (F.col("cxy") > 0), (F.col("turn") + PI) / 2).otherwise(F.col("turn") / 2)
+    m = m.withColumns({"a": F.sqrt(F.greatest(half + root, F.lit(0.0))), "b": F.sqrt(F.greatest(half - root, F.lit(0.0))), "turn": turn}).withColumn("theta", theta)
+    return m.select(*keys, "flux", "n_pix", "x", "y", "a", "b", "theta", "mu_max", "mu_mean", "mu_median", "r_fwhm", *(n for n, _ in shares))
 
 
-def light_curve_of_growth(lit, keys=("segment_id",), value="v"):
+def light_curve_of_growth(lit, keys=None, value="v"):
     """Cumulative flux by falling brightness, with the 0-based rank and the total."""
+    keys = list(keys) if keys else [*image_keys(lit), "segment_id"]
     order = Window.partitionBy(*keys).orderBy(F.col(value).desc(), "y", "x")
     return lit.withColumns({"cum": F.sum(value).over(order.rowsBetween(Window.unboundedPreceding, 0)), "rank": F.row_number().over(order) - 1, "total": F.sum(value).over(Window.partitionBy(*keys))})
 
 
 def relabel_segments(px, width=1000):
-    """Dense ids from 1 in id order; ids are ranked within ranges, only the counts per range meet."""
-    ids = px.select("segment_id").where("segment_id is not null").distinct().withColumn("_range", F.floor(F.col("segment_id") / width))
-    counts = ids.groupBy("_range").agg(F.count("*").alias("n"))
-    firsts = counts.select("_range", (F.sum("n").over(Window.orderBy("_range")) - F.col("n")).alias("first"))
-    ranked = ids.withColumn("rn", F.row_number().over(Window.partitionBy("_range").orderBy("segment_id"))).join(firsts, "_range")
-    return px.join(ranked.select("segment_id", (F.col("first") + F.col("rn")).cast("int").alias("new_id")), "segment_id", "left")
+    """Ids of each image, dense from 1 in id order; ids are ranked within ranges, only the counts per range meet."""
+    keys = image_keys(px)
+    ids = px.select(*keys, "segment_id").where("segment_id is not null").distinct().withColumn("_range", F.floor(F.col("segment_id") / width))
+    counts = ids.groupBy(*keys, "_range").agg(F.count("*").alias("n"))
+    firsts = counts.select(*keys, "_range", (F.sum("n").over(Window.partitionBy(*keys).orderBy("_range")) - F.col("n")).alias("first"))
+    ranked = ids.withColumn("rn", F.row_number().over(Window.partitionBy(*keys, "_range").orderBy("segment_id"))).join(firsts, [*keys, "_range"])
+    return px.join(ranked.select(*keys, "segment_id", (F.col("first") + F.col("rn")).cast("int").alias("new_id")), [*keys, "segment_id"], "left")
 
 
 def segment_level(px):
-    least = px.where("segment_id is not null").groupBy("segment_id").agg(F.min("value").alias("level"))
-    return px.join(least, "segment_id", "left").select("x", "y", "segment_id", "level")
+    """The least value of its segment for every pixel of one."""
+    keys = [*image_keys(px), "segment_id"]
+    least = px.where("segment_id is not null").groupBy(*keys).agg(F.min("value").alias("level"))
+    return px.join(least, keys, "left").select(*keys, "x", "y", "level")
 
 
 def rebin(px, n=4):
-    """Means of complete n x n blocks."""
-    blocks = px.groupBy(F.floor(F.col("x") / n).cast("int").alias("bx"), F.floor(F.col("y") / n).cast("int").alias("by")).agg(F.avg("value").alias("value"), F.count("*").alias("n"))
+    """Means of complete n x n blocks of each image."""
+    blocks = px.groupBy(*image_keys(px), F.floor(F.col("x") / n).cast("int").alias("bx"), F.floor(F.col("y") / n).cast("int").alias("by")).agg(F.avg("value").alias("value"), F.count("*").alias("n"))
     return blocks.where(F.col("n") == n * n).drop("n")
 
 
-def mostly_zero(px, share=0.95, cell=8):
-    """Zero share per cell and whether it is above the limit."""
+def mostly_zero(px, share=0.95, cell=None):
+    """Zero share of each image, or of its cells, and whether it is above the limit."""
+    parts = [F.floor(F.col(c) / cell).cast("int").alias(f"c{c}") for c in ("x", "y")] if cell else []
     z = F.avg(F.when(F.col("value") == 0, 1.0).otherwise(0.0))
-    return px.groupBy(F.floor(F.col("x") / cell).cast("int").alias("cx"), F.floor(F.col("y") / cell).cast("int").alias("cy")).agg(z.alias("zero_share")).withColumn("skip", F.col("zero_share") > share)
-
-
-def grid_background(px, cell=25, min_share=0.5, rounds=5, sigma=3.0):
-    """Sigma-clipped mean, median and std of background pixels per whole cell; thin cells take the nearest valid one.
-
-    The border that does not fill a cell is cut.  Of equally near cells the one with the
-    least (cy, cx) counts.
-    """
-    keys = ["cx", "cy"]
-    dark = px.withColumns({"cx": F.floor(F.col("x") / cell).cast("int"), "cy": F.floor(F.col("y") / cell).cast("int")})
-    # one row
-    frame = px.agg(F.floor((F.max("x") + 1) / cell).alias("nx"), F.floor((F.max("y") + 1) / cell).alias("ny"))
-    cells = dark.groupBy(*keys).agg(F.count("*").alias("all"), F.sum(F.col("segment_id").isNull().cast("long")).alias("dark")).crossJoin(F.broadcast(frame)).where("cx < nx and cy < ny")
-    now = dark.where("segment_id is null").select(*keys, "value")
-    for _ in range(rounds):
-        stats = now.groupBy(*keys).agg(F.percentile("value", 0.5).alias("m"), F.stddev_pop("value").alias("s"))
-        now = now.join(stats, keys).where(F.abs(F.col("value") - F.col("m")) <= sigma * F.col("s")).select(*keys, "value")
-    stats = now.groupBy(*keys).agg(F.avg("value").alias("mean"), F.percentile("value", 0.5).alias("median"), F.stddev_pop("value").alias("std"))
-    marked = cells.join(stats, keys, "left").select(*keys, (F.coalesce(F.col("dark") >= min_share * F.col("all"), F.lit(False)) & F.col("mean").isNotNull()).alias("ok"), "mean", "median", "std")
-    (marked,) = _written(marked)
-    return nearest_valid(marked, keys, ["mean", "median", "std"])
+    return px.groupBy(*image_keys(px), *parts).agg(z.alias("zero_share")).withColumn("skip", F.col("zero_share") > share)
 
 
 def _written(*tables):
@@ -83,154 +97,255 @@ def _written(*tables):
     return out
 
 
-def nearest_valid(cells, keys, values):
-    """Cells with ``ok`` false take the values of the nearest one with ``ok`` true; NULL if there is none."""
+def _by_image(df, facts, keys, how="inner"):
+    """df with the facts of its image: one row if there are no image columns."""
+    return df.join(facts, keys, how) if keys else df.crossJoin(F.broadcast(facts))
+
+
+def grid_background(px, cell=25, min_share=0.5, rounds=5, sigma=3.0):
+    """Sigma-clipped mean, median and std of background pixels per whole cell; thin cells take the nearest valid one of their image.
+
+    One grouping gathers the values of a cell, cell x cell at most, and they are clipped in
+    place.  The border of an image that does not fill a cell is cut.  Of equally near cells
+    the one with the least (cy, cx) counts; an image without valid cells has NULLs.
+    """
+    keys = image_keys(px)
+    placed = px.withColumns({"cx": F.floor(F.col("x") / cell).cast("int"), "cy": F.floor(F.col("y") / cell).cast("int")})
+    free = F.col("segment_id").isNull()
+    cells = placed.groupBy(*keys, "cx", "cy").agg(F.count("*").alias("all"), F.count_if(free).alias("dark"), F.max("x").alias("mx"), F.max("y").alias("my"), F.sort_array(F.collect_list(F.when(free, F.col("value")))).alias("v"))
+    every = Window.partitionBy(*keys)
+    # cells, not pixels, meet to find the size of an image
+    cells = cells.withColumns({"_w": F.max("mx").over(every), "_h": F.max("my").over(every)}).where(((F.col("cx") + 1) * cell <= F.col("_w") + 1) & ((F.col("cy") + 1) * cell <= F.col("_h") + 1))
+    median = "(element_at(v, cast(floor((size(v) + 1) / 2) as int)) + element_at(v, cast(floor(size(v) / 2) as int) + 1)) / 2"
+    mean = "aggregate(v, 0d, (s, x) -> s + x) / size(v)"
+    for last in [False] * rounds + [True]:
+        cells = cells.withColumns({"mean": F.expr(f"case when size(v) > 0 then {mean} end"), "median": F.expr(f"case when size(v) > 0 then {median} end")})
+        cells = cells.withColumn("std", F.expr("case when size(v) > 0 then sqrt(aggregate(v, 0d, (s, x) -> s + (x - mean) * (x - mean)) / size(v)) end"))
+        if not last:
+            cells = cells.withColumn("v", F.expr(f"filter(v, x -> abs(x - median) <= {float(sigma)}d * std)"))
+    ok = F.coalesce(F.col("dark") >= min_share * F.col("all"), F.lit(False)) & F.col("mean").isNotNull()
+    (marked,) = _written(cells.select(*keys, "cx", "cy", ok.alias("ok"), "mean", "median", "std"))
+    return nearest_valid(marked, ["cx", "cy"], ["mean", "median", "std"])
+
+
+def nearest_valid(cells, place, values):
+    """Cells with ``ok`` false take the values of the nearest one of their image with ``ok`` true; NULL if there is none."""
     from skycat.operators.selection import near_pixels
 
-    x, y = keys
-    good, open_cells = cells.where("ok"), cells.where("not ok").select(F.col(x).alias("x"), F.col(y).alias("y"))
-    done, radius = good.select(*keys, *values), 1
-    if not good.isEmpty():
-        while not open_cells.isEmpty():
-            gap = F.pow(F.col("x") - F.col("p_x"), F.lit(2)) + F.pow(F.col("y") - F.col("p_y"), F.lit(2))
-            near = near_pixels(open_cells, good.select(F.col(x).alias("x"), F.col(y).alias("y"), *values), radius).withColumn("gap", gap).where(F.col("gap") <= radius * radius)
-            best = near.groupBy("p_x", "p_y").agg(F.min(F.struct("gap", "y", "x", *values)).alias("b")).select(F.col("p_x").alias(x), F.col("p_y").alias(y), *(F.col(f"b.{v}").alias(v) for v in values))
-            (best,) = _written(best)
-            done = done.unionByName(best)
-            open_cells = open_cells.join(best.select(F.col(x).alias("x"), F.col(y).alias("y")), ["x", "y"], "left_anti")
-            radius *= 2
-        return done
-    return cells.select(*keys, *(F.when(F.col("ok"), F.col(v)).alias(v) for v in values))
+    keys, (x, y) = image_keys(cells), place
+    good, rest = cells.where("ok"), cells.where("not ok").select(*keys, F.col(x).alias("x"), F.col(y).alias("y"))
+    some = _by_image(rest, good.groupBy(*keys).agg(F.lit(True).alias("_some")) if keys else good.agg((F.count("*") > 0).alias("_some")).where("_some"), keys)
+    open_cells, done, radius = some.drop("_some"), good.select(*keys, *place, *values), 1
+    while not open_cells.isEmpty():
+        gap = F.pow(F.col("x") - F.col("p_x"), F.lit(2)) + F.pow(F.col("y") - F.col("p_y"), F.lit(2))
+        near = near_pixels(open_cells, good.select(*keys, F.col(x).alias("x"), F.col(y).alias("y"), *values), radius, keys).withColumn("gap", gap).where(F.col("gap") <= radius * radius)
+        best = near.groupBy(*keys, "p_x", "p_y").agg(F.min(F.struct("gap", "y", "x", *values)).alias("b")).select(*keys, F.col("p_x").alias(x), F.col("p_y").alias(y), *(F.col(f"b.{v}").alias(v) for v in values))
+        (best,) = _written(best)
+        done = done.unionByName(best)
+        (open_cells,) = _written(open_cells.join(best.select(*keys, F.col(x).alias("x"), F.col(y).alias("y")), [*keys, "x", "y"], "left_anti"))
+        radius *= 2
+    return cells.select(*keys, *place).join(done, [*keys, *place], "left")
 
 
 def with_cell_median(px, cells, cell=25):
-    """Adds ``background``, the median of the pixel's cell; pixels of the cut border take the last whole cell."""
-    last = cells.agg(F.max("cx").alias("mx"), F.max("cy").alias("my"))  # one row
-    placed = px.crossJoin(F.broadcast(last)).withColumns({"cx": F.least(F.floor(F.col("x") / cell), F.col("mx")).cast("int"), "cy": F.least(F.floor(F.col("y") / cell), F.col("my")).cast("int")}).drop("mx", "my")
-    return placed.join(cells.select("cx", "cy", F.col("median").alias("background")), ["cx", "cy"], "left").drop("cx", "cy")
+    """Adds ``background`` and ``spread``, the median and std of the pixel's cell; pixels of the cut border take the last whole cell."""
+    keys = image_keys(px, cells)
+    last = cells.groupBy(*keys).agg(F.max("cx").alias("mx"), F.max("cy").alias("my"))  # one row an image
+    placed = _by_image(px, last, keys, "left").withColumns({"cx": F.least(F.floor(F.col("x") / cell), F.col("mx")).cast("int"), "cy": F.least(F.floor(F.col("y") / cell), F.col("my")).cast("int")}).drop("mx", "my")
+    return placed.join(cells.select(*keys, "cx", "cy", F.col("median").alias("background"), F.col("std").alias("spread")), [*keys, "cx", "cy"], "left").drop("cx", "cy")
+
+
+def _filled(seed, cap=None):
+    """The background of a pixel's cell, with normal noise of the cell's spread if there is a seed."""
+    if seed is None:
+        return F.col("background")
+    spread = F.col("spread") if cap is None else F.least("spread", F.lit(float(cap)))
+    return F.col("background") + spread * normal_noise(F.col("x"), F.col("y"), seed=seed)
 
 
 def haar_details(px):
     """2 x 2 Haar detail coefficients of complete blocks."""
     at = lambda i, j: F.max(F.when((F.col("x") % 2 == i) & (F.col("y") % 2 == j), F.col("value")))
-    b = px.groupBy(F.floor(F.col("x") / 2).cast("int").alias("bx"), F.floor(F.col("y") / 2).cast("int").alias("by")).agg(at(0, 0).alias("a"), at(1, 0).alias("b"), at(0, 1).alias("c"), at(1, 1).alias("d"))
-    return b.select("bx", "by", F.expr("(a-b+c-d)/2").alias("h"), F.expr("(a+b-c-d)/2").alias("v"), F.expr("(a-b-c+d)/2").alias("dd")).where("h is not null and v is not null")
+    b = px.groupBy(*image_keys(px), F.floor(F.col("x") / 2).cast("int").alias("bx"), F.floor(F.col("y") / 2).cast("int").alias("by")).agg(at(0, 0).alias("a"), at(1, 0).alias("b"), at(0, 1).alias("c"), at(1, 1).alias("d"))
+    return b.select(*image_keys(px), "bx", "by", F.expr("(a-b+c-d)/2").alias("h"), F.expr("(a+b-c-d)/2").alias("v"), F.expr("(a-b-c+d)/2").alias("dd")).where("h is not null and v is not null")
 
 
 def flat_anomalies(px, limit=0.005, least=50, grow=1):
-    """Pixels (x, y) of regions without fluctuation: 4-connected Haar blocks of one plane below the limit, ``least`` or more, back at full size and grown."""
+    """Pixels of regions without fluctuation: 4-connected Haar blocks of one plane below the limit, ``least`` or more, back at full size and grown."""
+    keys = image_keys(px)
     blocks = haar_details(px)
     planes = F.explode(F.array(*(F.struct(F.lit(n).alias("plane"), F.col(n).alias("d")) for n in ("h", "v", "dd"))))
-    flat = blocks.select("bx", "by", planes.alias("p")).where(F.abs("p.d") <= limit).select(F.col("bx").alias("x"), F.col("by").alias("y"), F.col("p.plane").alias("plane"))
-    parts = label_pixels(flat, False, ("plane",))
-    large = parts.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    found = parts.join(large, "component", "left_semi").select("x", "y").distinct()
-    full = found.select(F.explode(F.array(*(F.struct((2 * F.col("x") + i).alias("x"), (2 * F.col("y") + j).alias("y")) for i in (0, 1) for j in (0, 1)))).alias("p")).select("p.x", "p.y")
-    return dilate(full, grow).join(px.select("x", "y"), ["x", "y"], "left_semi")
+    flat = blocks.select(*keys, "bx", "by", planes.alias("p")).where(F.abs("p.d") <= limit).select(*keys, F.col("bx").alias("x"), F.col("by").alias("y"), F.col("p.plane").alias("plane"))
+    (parts,) = _written(label_pixels(flat, False, ("plane",)))
+    region = [*keys, "plane", "component"]
+    large = parts.groupBy(*region).agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    found = parts.join(large, region, "left_semi").select(*keys, "x", "y").distinct()
+    full = found.select(*keys, F.explode(F.array(*(F.struct((2 * F.col("x") + i).alias("x"), (2 * F.col("y") + j).alias("y")) for i in (0, 1) for j in (0, 1)))).alias("p")).select(*keys, "p.x", "p.y")
+    return dilate(full, grow).join(px.select(*keys, "x", "y"), [*keys, "x", "y"], "left_semi")
+
+
+def mask_anomalies(px, limit=0.005, least=50, grow=1):
+    """px with the pixels of flat anomalies set to zero."""
+    keys = [*image_keys(px), "x", "y"]
+    flat = flat_anomalies(px, limit, least, grow).withColumn("_flat", F.lit(True))
+    return px.join(flat, keys, "left").withColumn("value", F.when(F.col("_flat"), 0.0).otherwise(F.col("value"))).select(px.columns)
 
 
-def dilate(mask, rounds=1, square=False, stride=8):
-    """Pixels (x, y) within ``rounds`` steps of the mask, by cross or square neighbourhood, ``stride`` steps to a shuffle."""
-    while rounds > 0:
-        n = min(rounds, stride)
-        steps = [(i, j) for i in range(-n, n + 1) for j in range(-n, n + 1) if square or abs(i) + abs(j) <= n]
-        mask = mask.select(F.explode(F.array(*(F.struct((F.col("x") + i).alias("x"), (F.col("y") + j).alias("y")) for i, j in steps))).alias("p")).select("p.x", "p.y").distinct()
-        rounds -= n
-    return mask
+def _covered(df, line, at, low, high):
+    """Positions ``at`` of each line between low and high of any row, once each: a row gives what the rows before it left open."""
+    order = Window.partitionBy(*line).orderBy("_lo", "_hi").rowsBetween(Window.unboundedPreceding, -1)
+    spans = df.select(*line, low.alias("_lo"), high.alias("_hi"))
+    rest = F.greatest(F.col("_lo"), F.coalesce(F.max("_hi").over(order) + 1, F.col("_lo")))
+    return spans.withColumn("_lo2", rest).where("_lo2 <= _hi").select(*line, F.explode(F.sequence("_lo2", "_hi")).alias(at))
+
+
+def dilate(mask, rounds=1, square=False):
+    """Pixels within ``rounds`` steps of the mask, by cross or square neighbourhood.
+
+    Separable, with two shuffles for any number of steps: columns first, where each pixel
+    gets its distance to the nearest mask pixel above or below, then rows, where it reaches
+    as far as the steps that are left.  No pixel is made twice on the way.
+    """
+    keys = image_keys(mask)
+    x, y = F.col("x").cast("int"), F.col("y").cast("int")
+    if square:
+        tall = _covered(mask.select(*keys, x.alias("x"), y.alias("y")), [*keys, "x"], "y", F.col("y") - rounds, F.col("y") + rounds)
+        return _covered(tall, [*keys, "y"], "x", F.col("x") - rounds, F.col("x") + rounds).select(*keys, "x", "y")
+    column = Window.partitionBy(*keys, "x").orderBy("y")
+    near = mask.select(*keys, x.alias("x"), y.alias("y")).withColumns({"_up": F.lag("y").over(column), "_down": F.lead("y").over(column)})
+    half = lambda a, b: F.floor((a + b) / 2).cast("int")
+    low = F.greatest(F.col("y") - rounds, F.coalesce(half(F.col("_up"), F.col("y")) + 1, F.col("y") - rounds))
+    high = F.least(F.col("y") + rounds, F.coalesce(half(F.col("y"), F.col("_down")), F.col("y") + rounds))
+    tall = near.select(*keys, "x", F.col("y").alias("_from"), low.alias("_lo"), high.alias("_hi")).where("_lo <= _hi")
+    tall = tall.select(*keys, "x", "_from", F.explode(F.sequence("_lo", "_hi")).alias("y")).withColumn("_left", rounds - F.abs(F.col("y") - F.col("_from")))
+    return _covered(tall, [*keys, "y"], "x", F.col("x") - F.col("_left"), F.col("x") + F.col("_left")).select(*keys, "x", "y")
 
 
 def label_pixels(mask, diagonal=True, planes=(), width=1 << 20):
-    """Adds ``component``, the least pixel number of the 8- or 4-connected region (within a plane, if planes are named)."""
+    """Adds ``component``, the least pixel number (y x width + x) of the 8- or 4-connected region within its image (and plane, if planes are named).
+
+    Images and planes are numbered, and a node is the image's number above the pixel's, so
+    that no two images share a node.  A survey has as many images as the sky has tiles and
+    bands, some million; there is room for 8 million.
+    """
     from skycat.operators.components import connected_components
 
-    layer = F.xxhash64(*planes) % (1 << 20) * width * width if planes else F.lit(0).cast("long")
-    lit = mask.withColumn("pid", layer + F.col("y").cast("long") * width + F.col("x"))
+    keys = [*image_keys(mask), *planes]
+    lit, layer = mask, F.lit(0).cast("long")
+    if keys:
+        (images,) = _written(mask.select(*keys).distinct().withColumn("_image", F.row_number().over(Window.orderBy(*keys)).cast("long")))
+        lit, layer = mask.join(images, keys), F.col("_image") * width * width
+    lit = lit.withColumn("pid", layer + F.col("y").cast("long") * width + F.col("x"))
     steps = [(1, 0), (0, 1), (1, 1), (-1, 1)] if diagonal else [(1, 0), (0, 1)]
     near = lit.select(F.col("pid").alias("u"), F.explode(F.array(*(F.col("pid") + j * width + i for i, j in steps))).alias("v"))
     edges = near.join(lit.select(F.col("pid").alias("v")), "v").select("u", "v")
-    return lit.join(connected_components(edges, lit.select("pid")), lit.pid == F.col("node")).drop("pid", "node")
+    parts = connected_components(edges, lit.select("pid"))
+    return lit.join(parts, lit.pid == F.col("node")).withColumn("component", F.col("component") % (width * width)).drop("pid", "node", "_image")
 
 
 def threshold_segments(px, level, min_area=4):
     """8-connected pixels above a level, with box, peak and size."""
-    s = label_pixels(px.where(F.col("value") > level)).groupBy("component")
+    s = label_pixels(px.where(F.col("value") > level)).groupBy(*image_keys(px), "component")
     out = s.agg(F.count("*").alias("npix"), *(f(c).alias(f"{c}{n}") for c in ("x", "y") for n, f in (("min", F.min), ("max", F.max))), F.max("value").alias("peak"))
     return out.where(F.col("npix") >= min_area)
 
 
+def _around(df, keys):
+    """The eight neighbours of every pixel, once for each combination of the keys."""
+    steps = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j]
+    return df.select(*keys, F.explode(F.array(*(F.struct((F.col("x") + i).alias("x"), (F.col("y") + j).alias("y")) for i, j in steps))).alias("p")).select(*keys, "p.x", "p.y").distinct()
+
+
 def hot_pixels(px, level, quiet, max_size=3, share=0.2):
-    """(x, y, component) of small bright regions whose surroundings are quiet.
+    """The pixels, with their component, of small bright regions whose surroundings are quiet.
 
     A region above ``level`` of at most ``max_size`` 4-connected pixels is hot if at least
     ``share`` of the pixels around it (square neighbours, other small regions left out) are
-    at most ``quiet``.
+    at most ``quiet``: a number, or a table of the images with a column ``quiet``.
     """
-    parts = label_pixels(px.where(F.col("value") > level).select("x", "y"), False)
-    small = parts.join(parts.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") <= max_size), "component", "left_semi")
-    (small,) = _written(small.select("x", "y", "component"))
-    steps = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j]
-    ring = small.select("component", F.explode(F.array(*(F.struct((F.col("x") + i).alias("x"), (F.col("y") + j).alias("y")) for i, j in steps))).alias("p")).select("component", "p.x", "p.y").distinct()
-    around = ring.join(small.select("x", "y"), ["x", "y"], "left_anti").join(px.select("x", "y", "value"), ["x", "y"])
-    calm = around.groupBy("component").agg(F.avg(F.when(F.col("value") <= quiet, 1.0).otherwise(0.0)).alias("share")).where(F.col("share") >= share)
-    return small.join(calm, "component", "left_semi")
+    keys = image_keys(px)
+    region = [*keys, "component"]
+    parts = label_pixels(px.where(F.col("value") > level).select(*keys, "x", "y"), False)
+    small = parts.join(parts.groupBy(*region).agg(F.count("*").alias("n")).where(F.col("n") <= max_size), region, "left_semi")
+    (small,) = _written(small.select(*region, "x", "y"))
+    place = [*keys, "x", "y"]
+    around = _around(small, region).join(small.select(*place), place, "left_anti").join(px.select(*place, "value"), place)
+    around = around.withColumn("quiet", F.lit(float(quiet))) if isinstance(quiet, (int, float)) else _by_image(around, quiet, keys)
+    calm = around.groupBy(*region).agg(F.avg(F.when(F.col("value") <= F.col("quiet"), 1.0).otherwise(0.0)).alias("share")).where(F.col("share") >= share)
+    return small.join(calm, region, "left_semi")
 
 
 def mask_hot_pixels(px, level, sigma=3.0, max_size=3, share=0.2):
-    """px with hot pixels set to the median of the image; quiet is the median plus sigma times the standard deviation."""
-    median, rms = px.agg(F.percentile("value", 0.5), F.stddev_pop("value")).first()
-    hot = hot_pixels(px, level, (median or 0.0) + sigma * (rms or 0.0), max_size, share).select("x", "y", F.lit(True).alias("_hot"))
-    return px.join(hot, ["x", "y"], "left").withColumn("value", F.when(F.col("_hot"), F.lit(median)).otherwise(F.col("value"))).drop("_hot")
+    """px with hot pixels set to the median of their image; quiet is the median plus sigma times the standard deviation."""
+    from skycat.operators.quantiles import exact_quantiles
+
+    keys = image_keys(px)
+    median = exact_quantiles(px, keys, "value", {"median": 0.5})
+    spread = px.groupBy(*keys).agg(F.stddev_pop("value").alias("std"))
+    (facts,) = _written(_by_image(spread, median, keys).select(*keys, "median", (F.col("median") + sigma * F.col("std")).alias("quiet")))
+    hot = hot_pixels(px, level, facts.select(*keys, "quiet"), max_size, share).select(*keys, "x", "y", F.lit(True).alias("_hot"))
+    marked = _by_image(px.join(hot, [*keys, "x", "y"], "left"), facts.select(*keys, "median"), keys, "left")
+    return marked.withColumn("value", F.when(F.col("_hot"), F.col("median")).otherwise(F.col("value"))).select(px.columns)
 
 
 def ring_mask(px, min_pixels=600, min_ratio=0.2, grow=65):
-    """Background pixels (x, y) around large round objects: touching segments count as one object."""
+    """Background pixels around large round objects: touching segments count as one object."""
     from skycat.operators.training import axis_ratio_pca
 
-    (parts,) = _written(label_pixels(px.where("segment_id is not null").select("x", "y"), False))
-    large = parts.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") >= min_pixels)
-    shape = axis_ratio_pca(parts.join(large, "component", "left_semi"), ["component"]).where(F.col("axis_ratio") >= min_ratio)
-    grown = dilate(parts.join(shape, "component", "left_semi").select("x", "y"), grow)
-    return grown.join(px.where("segment_id is null").select("x", "y"), ["x", "y"], "left_semi")
+    keys = image_keys(px)
+    region = [*keys, "component"]
+    (parts,) = _written(label_pixels(px.where("segment_id is not null").select(*keys, "x", "y"), False))
+    large = parts.groupBy(*region).agg(F.count("*").alias("n")).where(F.col("n") >= min_pixels)
+    shape = axis_ratio_pca(parts.join(large, region, "left_semi"), region).where(F.col("axis_ratio") >= min_ratio)
+    grown = dilate(parts.join(shape, region, "left_semi").select(*keys, "x", "y"), grow)
+    return grown.join(px.where("segment_id is null").select(*keys, "x", "y"), [*keys, "x", "y"], "left_semi")
 
 
-def ring_correction(px, cell=25, min_pixels=600, min_ratio=0.2, grow=65):
-    """px with the ring pixels at the median of their background cell, which leaves the rings out."""
+def ring_correction(px, cell=25, min_pixels=600, min_ratio=0.2, grow=65, seed=None):
+    """px with the ring pixels at the background of their cell, which leaves the rings out; with a seed, noise of its spread is added."""
+    place = [*image_keys(px), "x", "y"]
     ring = ring_mask(px, min_pixels, min_ratio, grow).withColumn("_ring", F.lit(True))
-    (marked,) = _written(px.join(ring, ["x", "y"], "left"))
+    (marked,) = _written(px.join(ring, place, "left"))
     cells = grid_background(marked.withColumn("segment_id", F.when(F.col("_ring"), -1).otherwise(F.col("segment_id"))), cell)
     filled = with_cell_median(marked, cells, cell)
-    return filled.withColumn("value", F.when(F.col("_ring"), F.coalesce("background", "value")).otherwise(F.col("value"))).select(px.columns)
+    return filled.withColumn("value", F.when(F.col("_ring"), F.coalesce(_filled(seed), "value")).otherwise(F.col("value"))).select(px.columns)
 
 
-def mask_small(px, objects, cell=25, small=39, medium=100, size=1.5):
+def mask_small(px, objects, cell=25, small=39, medium=100, size=1.5, seed=None, most_noise=3.0):
     """px without small objects: their pixels take the median of their cell and lose their segment.
 
-    ``objects`` has segment_id, npix, re and star.  Objects below ``small`` pixels go unless
-    touching small ones are larger together; those below ``medium`` pixels go if their radius
-    is below ``size``; stars stay.
+    ``objects`` has segment_id, npix, re and star, and the image columns of px.  Objects
+    below ``small`` pixels go unless touching small ones are larger together; those below
+    ``medium`` pixels go if their radius is below ``size``; stars stay.  With a seed the fill
+    has noise of the cell's spread, ``most_noise`` at most.
     """
+    keys = image_keys(px)
+    own, region, place = [*keys, "segment_id"], [*keys, "component"], [*keys, "x", "y"]
     free = objects.where(F.coalesce("star", F.lit(0)) != 1)
     tiny, middle = free.where(F.col("npix") < small), free.where((F.col("npix") >= small) & (F.col("npix") < medium) & (F.col("re") < size))
-    (parts,) = _written(label_pixels(px.join(tiny.select("segment_id"), "segment_id", "left_semi").select("x", "y", "segment_id"), False))
-    few = parts.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") < small)
-    gone = parts.join(few, "component", "left_semi").select("segment_id").union(middle.select("segment_id")).distinct()
+    (parts,) = _written(label_pixels(px.join(tiny.select(*own), own, "left_semi").select(*place, "segment_id"), False))
+    few = parts.groupBy(*region).agg(F.count("*").alias("n")).where(F.col("n") < small)
+    gone = parts.join(few, region, "left_semi").select(*own).union(middle.select(*own)).distinct()
     # a removed object keeps the pixels that touch others, but no segment
-    pixels = parts.join(few, "component", "left_semi").select("x", "y").union(px.join(middle, "segment_id", "left_semi").select("x", "y")).withColumn("_fill", F.lit(True))
+    pixels = parts.join(few, region, "left_semi").select(*place).union(px.join(middle, own, "left_semi").select(*place)).withColumn("_fill", F.lit(True))
     cells = grid_background(px, cell)
-    marked = with_cell_median(px.join(pixels, ["x", "y"], "left").join(gone.withColumn("_gone", F.lit(True)), "segment_id", "left"), cells, cell)
-    value = F.when(F.col("_fill"), F.coalesce("background", "value")).otherwise(F.col("value"))
+    marked = with_cell_median(px.join(pixels, place, "left").join(gone.withColumn("_gone", F.lit(True)), own, "left"), cells, cell)
+    value = F.when(F.col("_fill"), F.coalesce(_filled(seed, most_noise), "value")).otherwise(F.col("value"))
     return marked.withColumns({"value": value, "segment_id": F.when(F.col("_gone").isNull(), F.col("segment_id"))}).select(px.columns)
 
 
-def mask_stars(px, stars, limit, cell=25, shielded=0.99):
+def mask_stars(px, stars, limit, cell=25, shielded=0.99, seed=None):
     """px with faint stars at the median of their cell: a disc of 0.9 x R_ISO and a cross of the spike length.
 
-    ``stars`` has source_id, x, y, gmag, r_iso, spike and thick.  Stars of magnitude
-    ``limit`` and brighter are kept and shield the pixels of their disc; a faint star whose
-    shape is shielded to ``shielded`` or more is left alone.
+    ``stars`` has source_id, x, y, gmag, r_iso, spike and thick, and the tile if px has one.
+    Stars of magnitude ``limit`` and brighter are kept and shield the pixels of their disc; a
+    faint star whose shape is shielded to ``shielded`` or more on an image is left alone
+    there.  With a seed the fill has noise of the cell's spread.
     """
     from skycat.operators.selection import near_pixels
 
+    keys = image_keys(px)
+    place, shared = [*keys, "x", "y"], image_keys(px, stars)
     sized = stars.withColumns({"x": F.rint("x").cast("long"), "y": F.rint("y").cast("long"), "disc": F.greatest(F.rint(0.9 * F.col("r_iso")), F.lit(1.0))})
     sized = sized.withColumn("_class", F.ceil(F.log2(F.greatest("disc", "spike", F.lit(1.0)))).cast("int"))
     dx, dy = F.abs(F.col("x") - F.col("p_x")), F.abs(F.col("y") - F.col("p_y"))
@@ -238,76 +353,87 @@ def mask_stars(px, stars, limit, cell=25, shielded=0.99):
     cross = ((dx <= F.col("p_spike")) & (dy <= F.col("p_thick") / 2)) | ((dy <= F.col("p_spike")) & (dx <= F.col("p_thick") / 2))
     covered = None
     for c in sorted(r[0] for r in sized.select("_class").distinct().collect()):  # a handful of powers of two
-        near = near_pixels(sized.where(F.col("_class") == c), px.select("x", "y"), 2**c).where(F.when(F.col("p_gmag") > limit, disc | cross).otherwise(disc)).select("x", "y", F.col("p_source_id").alias("source_id"), (F.col("p_gmag") > limit).alias("faint"))
+        near = near_pixels(sized.where(F.col("_class") == c), px.select(*place), 2**c, shared).where(F.when(F.col("p_gmag") > limit, disc | cross).otherwise(disc)).select(*place, F.col("p_source_id").alias("source_id"), (F.col("p_gmag") > limit).alias("faint"))
         covered = near if covered is None else covered.union(near)
     if covered is None:
         return px
     (covered,) = _written(covered)
-    shield = covered.where("not faint").select("x", "y").distinct().withColumn("_shield", F.lit(True))
-    faint = covered.where("faint").join(shield, ["x", "y"], "left")
-    open_stars = faint.groupBy("source_id").agg(F.avg(F.when(F.col("_shield"), 1.0).otherwise(0.0)).alias("share")).where(F.col("share") < shielded)
-    filled = faint.where("_shield is null").join(open_stars, "source_id", "left_semi").select("x", "y").distinct().withColumn("_fill", F.lit(True))
-    marked = with_cell_median(px.join(filled, ["x", "y"], "left"), grid_background(px, cell), cell)
-    return marked.withColumn("value", F.when(F.col("_fill"), F.coalesce("background", "value")).otherwise(F.col("value"))).select(px.columns)
+    shield = covered.where("not faint").select(*place).distinct().withColumn("_shield", F.lit(True))
+    faint = covered.where("faint").join(shield, place, "left")
+    star = [*keys, "source_id"]
+    open_stars = faint.groupBy(*star).agg(F.avg(F.when(F.col("_shield"), 1.0).otherwise(0.0)).alias("share")).where(F.col("share") < shielded)
+    filled = faint.where("_shield is null").join(open_stars, star, "left_semi").select(*place).distinct().withColumn("_fill", F.lit(True))
+    marked = with_cell_median(px.join(filled, place, "left"), grid_background(px, cell), cell)
+    return marked.withColumn("value", F.when(F.col("_fill"), F.coalesce(_filled(seed), "value")).otherwise(F.col("value"))).select(px.columns)
 
 
-def star_case(stars, px, limit=13.5, far=15.0):
-    """(source_id, case) of stars on the image.
+def star_case(stars, px, objects=None, limit=13.5, far=15.0):
+    """(image, source_id, case) of stars on the images of their tile.
 
     ``undetected``: no segment at the star; ``isolated``: its segment touches no other;
     ``not_deblended``: the segment is larger than the star's radius ``r`` (or its peak lies
     ``far`` from its middle and the star is fainter than ``limit``) and no bright star's
     segment lies around the star's disc; ``adjacent``: there is one, or the segment also
-    touches background; ``embedded``: it touches segments only.
+    touches background; ``embedded``: it touches segments only.  ``objects`` (segment_id,
+    star_cand, gmag_closest) names segments that may be stars: a candidate whose closest star
+    is brighter than ``limit`` counts as bright too.
     """
     from skycat.operators.selection import near_pixels
 
-    placed = stars.select("source_id", "gmag", "r", F.rint("x").cast("long").alias("x"), F.rint("y").cast("long").alias("y"))
-    at = placed.join(px.select("x", "y", "segment_id"), ["x", "y"])
-    segments = px.where("segment_id is not null").select("x", "y", "segment_id", "value")
-    shape = segments.groupBy("segment_id").agg(F.count("*").alias("npix"), *(f(c).alias(f"{c}{n}") for c in ("x", "y") for n, f in (("min", F.min), ("max", F.max))), F.max(F.struct("value", (-F.col("y")).alias("y"), (-F.col("x")).alias("x"))).alias("peak"))
+    keys = image_keys(px)
+    place, own, shared, star = [*keys, "x", "y"], [*keys, "segment_id"], image_keys(px, stars), [*keys, "source_id"]
+    placed = stars.select(*shared, "source_id", "gmag", "r", F.rint("x").cast("long").alias("x"), F.rint("y").cast("long").alias("y"))
+    (at,) = _written(placed.join(px.select(*place, "segment_id"), [*shared, "x", "y"]).select(*star, "gmag", "r", "x", "y", "segment_id"))
+    segments = px.where("segment_id is not null").select(*place, "segment_id", "value")
+    shape = segments.groupBy(*own).agg(F.count("*").alias("npix"), *(f(c).alias(f"{c}{n}") for c in ("x", "y") for n, f in (("min", F.min), ("max", F.max))), F.max(F.struct("value", (-F.col("y")).alias("y"), (-F.col("x")).alias("x"))).alias("peak"))
     offset = F.hypot(-F.col("peak.x") - F.rint((F.col("xmin") + F.col("xmax")) / 2), -F.col("peak.y") - F.rint((F.col("ymin") + F.col("ymax")) / 2))
-    shape = shape.select("segment_id", F.sqrt(F.col("npix") / 3.141592653589793).alias("r_sep"), offset.alias("offset"))
-    steps = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j]
-    border = segments.select(F.col("segment_id").alias("own"), F.explode(F.array(*(F.struct((F.col("x") + i).alias("x"), (F.col("y") + j).alias("y")) for i, j in steps))).alias("p")).select("own", "p.x", "p.y").distinct()
-    border = border.join(px.select("x", "y", "segment_id"), ["x", "y"]).where("segment_id is null or segment_id <> own")
-    border = border.groupBy(F.col("own").alias("segment_id")).agg(F.max(F.col("segment_id").isNull().cast("int")).alias("open"), F.max(F.col("segment_id").isNotNull().cast("int")).alias("touched"))
-    bright = at.where((F.col("gmag") < limit) & F.col("segment_id").isNotNull()).select("segment_id").distinct()
-    lit = segments.join(bright, "segment_id", "left_semi")
+    shape = shape.select(*own, F.sqrt(F.col("npix") / PI).alias("r_sep"), offset.alias("offset"))
+    border = _around(segments.withColumnRenamed("segment_id", "own"), [*keys, "own"])
+    border = border.join(px.select(*place, "segment_id"), place).where("segment_id is null or segment_id <> own")
+    border = border.groupBy(*keys, F.col("own").alias("segment_id")).agg(F.max(F.col("segment_id").isNull().cast("int")).alias("open"), F.max(F.col("segment_id").isNotNull().cast("int")).alias("touched"))
+    bright = at.where((F.col("gmag") < limit) & F.col("segment_id").isNotNull()).select(*own)
+    if objects is not None:
+        bright = bright.union(objects.where((F.col("star_cand") == 1) & (F.col("gmag_closest") < limit)).select(*own))
+    lit = segments.join(bright.distinct(), own, "left_semi")
     reach = int((placed.agg(F.max("r")).first()[0] or 0) + 2)
     gap = F.hypot(F.col("x") - F.col("p_x"), F.col("y") - F.col("p_y"))
-    ringed = near_pixels(at.where("segment_id is not null").select("source_id", "r", "x", "y", "segment_id"), lit, reach).where((gap > F.col("p_r")) & (gap <= F.col("p_r") + 1.5) & (F.col("segment_id") != F.col("p_segment_id")))
-    neighbour = ringed.select(F.col("p_source_id").alias("source_id")).distinct().withColumn("near_star", F.lit(True))
-    joined = at.join(shape, "segment_id", "left").join(border, "segment_id", "left").join(neighbour, "source_id", "left")
+    ringed = near_pixels(at.where("segment_id is not null"), lit, reach, keys).where((gap > F.col("p_r")) & (gap <= F.col("p_r") + 1.5) & (F.col("segment_id") != F.col("p_segment_id")))
+    neighbour = ringed.select(*keys, F.col("p_source_id").alias("source_id")).distinct().withColumn("near_star", F.lit(True))
+    joined = at.join(shape, own, "left").join(border, own, "left").join(neighbour, star, "left")
     blended = (F.col("r_sep") > F.col("r")) | ((F.col("offset") >= far) & (F.col("gmag") > limit))
     near = F.coalesce("near_star", F.lit(False))
     case = F.when(F.col("segment_id").isNull(), "undetected").when(F.coalesce("touched", F.lit(0)) == 0, "isolated").when(blended & ~near, "not_deblended").when(blended & near, "adjacent").when(F.col("open") == 1, "adjacent").otherwise("embedded")
-    return joined.select("source_id", case.alias("case"))
+    return joined.select(*star, case.alias("case"))
 
 
 def convolve(px, kernel):
     """Sum of neighbours by kernel {(dx, dy): weight}; missing neighbours count as zero."""
+    place = [*image_keys(px), "x", "y"]
     spread = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(float(w)).alias("w")) for (i, j), w in kernel.items())))
-    moved = px.select("x", "y", "value", spread.alias("k")).select((F.col("x") + F.col("k.i")).alias("x"), (F.col("y") + F.col("k.j")).alias("y"), (F.col("value") * F.col("k.w")).alias("v"))
-    return moved.join(px.select("x", "y"), ["x", "y"], "left_semi").groupBy("x", "y").agg(F.sum("v").alias("value"))
+    moved = px.select(*place, "value", spread.alias("k")).select(*place[:-2], (F.col("x") + F.col("k.i")).alias("x"), (F.col("y") + F.col("k.j")).alias("y"), (F.col("value") * F.col("k.w")).alias("v"))
+    return moved.join(px.select(*place), place, "left_semi").groupBy(*place).agg(F.sum("v").alias("value"))
 
 
 def cutouts(objects, px, size=8, id_col="object_id", mode="plain", bands=None, max_nan=0.05):
-    """(id, values[, mask]) or, with bands, (id, band, values[, mask]): a size x size row-major array around floor(v + 0.5); zero outside.
+    """(tile, id, values[, mask]) or, with bands, (tile, id, band, values[, mask]): a size x size row-major array around floor(v + 0.5); zero outside.
 
-    Modes: ``plain``; ``multiply`` (or ``mask``) keeps only pixels of the object's own
-    segment; ``concatenate`` adds them as an array of 0 and 1.  Bands that the pixels lack
-    give zeros, and so does a cutout with ``max_nan`` or more of its pixels NaN.
+    Objects and pixels meet on the tile, if both have one, and each object gets one cutout
+    (for each band, if bands are named; without, px holds one band).  Modes: ``plain``;
+    ``multiply`` (or ``mask``) keeps only pixels of the object's own segment; ``concatenate``
+    adds them as an array of 0 and 1.  Bands that the pixels lack give zeros, and so does a
+    cutout with ``max_nan`` or more of its pixels NaN.
     """
     if mode not in ("plain", "multiply", "mask", "concatenate"):
         raise ValueError(f"no cutout mode {mode}")
-    half, keys = size // 2, [id_col, *(["band"] if bands else [])]
+    tile = ["tile"] if "tile" in objects.columns and "tile" in px.columns else []
+    band = ["band"] if bands or ("band" in objects.columns and "band" in px.columns) else []
+    half, keys = size // 2, [*tile, id_col, *band]
     cells = F.explode(F.sequence(F.lit(0), F.lit(size * size - 1)))
-    want = objects.select(id_col, F.floor(F.col("x") + 0.5).cast("int").alias("cx"), F.floor(F.col("y") + 0.5).cast("int").alias("cy"))
+    want = objects.select(*tile, id_col, *([] if bands else band), F.floor(F.col("x") + 0.5).cast("int").alias("cx"), F.floor(F.col("y") + 0.5).cast("int").alias("cy"))
     want = want.withColumn("band", F.explode(F.array(*map(F.lit, bands)))) if bands else want
     want = want.withColumn("pos", cells).select(*keys, "pos", (F.col("cx") - half + F.col("pos") % size).alias("x"), (F.col("cy") - half + F.floor(F.col("pos") / size)).cast("int").alias("y"))
     own = F.coalesce(F.col("segment_id") == F.col(id_col), F.lit(False)) if mode != "plain" else F.lit(True)
-    where = ["x", "y", *(["band"] if bands else [])]
+    where = [*tile, "x", "y", *band]
     joined = want.join(px.select(*where, "value", *(["segment_id"] if mode != "plain" else [])), where, "left")
     value = F.coalesce(F.nanvl("value", F.lit(None)), F.lit(0.0))
     value = F.when(own, value).otherwise(0.0) if mode in ("multiply", "mask") else value

@@ -65,43 +65,59 @@ def split_stars(stars: DataFrame, magnitude: float) -> tuple[DataFrame, DataFram
     return stars.where(F.col("gmag") <= magnitude), stars.where(F.col("gmag") > magnitude)
 
 
-def near_pixels(points: DataFrame, px: DataFrame, radius: int) -> DataFrame:
+def near_pixels(points: DataFrame, px: DataFrame, radius: int, keys=()) -> DataFrame:
     """Each point (x, y and its other columns, prefixed p_) with the pixels of the square of this radius around it.
 
-    Squares are cut by cells of their own width, so a point meets four cells at most.
+    Points meet pixels with the same ``keys`` only.  Squares are cut by cells of their own
+    width, so a point meets four cells at most.
     """
-    side = 2 * radius + 1
+    side, keys = 2 * radius + 1, list(keys)
     cell = lambda c, d: F.floor((F.col(c) + d) / side).cast("long")
     both = lambda c: F.explode(F.array_distinct(F.array(cell(c, -radius), cell(c, radius))))
-    around = points.select(*(F.col(c).alias(f"p_{c}") for c in points.columns), "x", "y").withColumn("_cx", both("x")).withColumn("_cy", both("y")).drop("x", "y")
+    around = points.select(*keys, *(F.col(c).alias(f"p_{c}") for c in points.columns if c not in keys), "x", "y").withColumn("_cx", both("x")).withColumn("_cy", both("y")).drop("x", "y")
     cells = px.withColumns({"_cx": cell("x", 0), "_cy": cell("y", 0)})
-    joined = around.join(cells, ["_cx", "_cy"]).drop("_cx", "_cy")
+    joined = around.join(cells, [*keys, "_cx", "_cy"]).drop("_cx", "_cy")
     return joined.where((F.abs(F.col("x") - F.col("p_x")) <= radius) & (F.abs(F.col("y") - F.col("p_y")) <= radius))
 
 
 def corrupted_at(points: DataFrame, px: DataFrame, id_col: str, radius: int, share: float = 0.6) -> DataFrame:
-    """(id, zero_share, corrupted): zero pixels in the square around each point, as far as the image goes."""
+    """(image, id, zero_share, corrupted): zero pixels in the square around each point, as far as its image goes.
+
+    Points with a tile are looked up on every band of their tile.
+    """
+    from skycat.operators.pixels import image_keys
+
+    keys, shared = image_keys(px), image_keys(px, points)
     zero = F.avg(F.when(F.col("value") == 0, 1.0).otherwise(0.0))
-    whole = points.select(id_col, F.rint("x").cast("long").alias("x"), F.rint("y").cast("long").alias("y"))
-    return near_pixels(whole, px, radius).groupBy(F.col(f"p_{id_col}").alias(id_col)).agg(zero.alias("zero_share")).withColumn("corrupted", F.col("zero_share") > share)
+    whole = points.select(*shared, id_col, F.rint("x").cast("long").alias("x"), F.rint("y").cast("long").alias("y"))
+    near = near_pixels(whole, px.select(*keys, "x", "y", "value"), radius, shared)
+    return near.groupBy(*keys, F.col(f"p_{id_col}").alias(id_col)).agg(zero.alias("zero_share")).withColumn("corrupted", F.col("zero_share") > share)
 
 
 def star_halo_flag(stars: DataFrame, px: DataFrame, radius: int, limit: float = 14.0) -> DataFrame:
-    """(segment_id, source_id, gmag) of segments with a pixel on a bright star's disc, with the bright star closest to their peak.
+    """(image, segment_id, source_id, gmag) of segments with a pixel on a bright star's disc, with the bright star closest to their peak.
 
-    The closest star is looked for among all bright stars within the reach of a segment: a
-    star whose disc touches it lies nearer to its peak than ``radius`` plus the segment's size.
+    The closest star is looked for among all bright stars of the tile within the reach of a
+    segment: a star whose disc touches it lies nearer to its peak than ``radius`` plus the
+    segment's size.
     """
-    bright = stars.where(F.col("gmag") < limit).select("source_id", "gmag", F.rint("x").cast("long").alias("x"), F.rint("y").cast("long").alias("y"))
-    segments = px.where("segment_id is not null")
-    inside = near_pixels(bright, segments, radius).where(F.pow(F.col("x") - F.col("p_x"), F.lit(2)) + F.pow(F.col("y") - F.col("p_y"), F.lit(2)) <= radius * radius)
-    flagged = inside.select("segment_id").distinct()
-    peak = segments.join(flagged, "segment_id", "left_semi").groupBy("segment_id").agg(F.max(F.struct("value", (-F.col("y")).alias("y"), (-F.col("x")).alias("x"))).alias("p"), F.max("x").alias("x1"), F.min("x").alias("x0"), F.max("y").alias("y1"), F.min("y").alias("y0"))
-    peak = peak.select("segment_id", (-F.col("p.x")).alias("x"), (-F.col("p.y")).alias("y"), F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")).alias("size"))
+    from skycat.operators.pixels import image_keys
+
+    keys, shared = image_keys(px), image_keys(px, stars)
+    own = [*keys, "segment_id"]
+    bright = stars.where(F.col("gmag") < limit).select(*shared, "source_id", "gmag", F.rint("x").cast("long").alias("x"), F.rint("y").cast("long").alias("y"))
+    segments = px.where("segment_id is not null").select(*own, "x", "y", "value")
+    inside = near_pixels(bright, segments, radius, shared).where(F.pow(F.col("x") - F.col("p_x"), F.lit(2)) + F.pow(F.col("y") - F.col("p_y"), F.lit(2)) <= radius * radius)
+    flagged = inside.select(*own).distinct()
+    peak = segments.join(flagged, own, "left_semi").groupBy(*own).agg(F.max(F.struct("value", (-F.col("y")).alias("y"), (-F.col("x")).alias("x"))).alias("p"), F.max("x").alias("x1"), F.min("x").alias("x0"), F.max("y").alias("y1"), F.min("y").alias("y0"))
+    peak = peak.select(*own, (-F.col("p.x")).alias("x"), (-F.col("p.y")).alias("y"), F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")).alias("size"))
     reach = int(radius + (peak.agg(F.max("size")).first()[0] or 0) + 1)
     gap = F.pow(F.col("x") - F.col("p_x"), F.lit(2)) + F.pow(F.col("y") - F.col("p_y"), F.lit(2))
     best = F.min(F.struct(gap.alias("gap"), "source_id", "gmag")).alias("b")
-    return near_pixels(peak, bright, reach).groupBy(F.col("p_segment_id").alias("segment_id")).agg(best).select("segment_id", "b.source_id", "b.gmag")
+    # the peaks are the points here, so the columns of the other image key stay theirs
+    others = [k for k in keys if k not in shared]
+    near = near_pixels(peak, bright, reach, shared)
+    return near.groupBy(*shared, *(F.col(f"p_{k}").alias(k) for k in others), F.col("p_segment_id").alias("segment_id")).agg(best).select(*own, "b.source_id", "b.gmag")
 
 
 def count_duplicates(df: DataFrame, key: str) -> DataFrame:

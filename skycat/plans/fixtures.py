@@ -25,14 +25,15 @@ select concat('K', cast(p_partkey as string)) as id, 150e0 + ((p_partkey*7919) %
   case when p_partkey % 16 = 3 then null else 1e0 + (p_partkey % 12) end as re,
   case when p_partkey % 3 = 0 then '[''r'', ''g'', ''i'']' when p_partkey % 3 = 1 then '[''r'']' else 'rg' end as bands
 from part where p_partkey % 8 = 3 or p_partkey % 32 = 5"""
-#: A patch of 8 x 8 pixels for every part, 15 patches to a row: the image grows downwards with the table.
+#: A patch of 8 x 8 pixels for every part, 15 patches to a row and 5 rows to an image; images are the bands r and g of
+#: one tile after the other.  Discs are cut by the borders of images, and segment ids repeat from image to image.
 X = """
-with a as (select cast(p_partkey % 15 as int) as px, cast(floor(p_partkey/15e0) as int) as py from part),
+with a as (select cast(p_partkey % 15 as int) as px, cast(floor(p_partkey/15e0) as int) % 5 as py, cast(floor(p_partkey/75e0) as int) as im from part),
 i as (select * from (values (0),(1),(2),(3),(4),(5),(6),(7)) v(i)), j as (select * from (values (0),(1),(2),(3),(4),(5),(6),(7)) w(j)),
-c as (select px*8+i as x, py*8+j as y from a, i, j),
-g as (select x, y, x % 40 - 20 as dx, y % 40 - 20 as dy, cast(floor(x/40e0) as int) as cx, cast(floor(y/40e0) as int) as cy from c)
-select x, y, case when x < 8 and y < 8 then 0e0 when x % 40 = 5 and y % 40 = 5 then 500e0
-   else 5e0 + ((x*31+y*17) % 7)/10e0 + (50e0+10e0*((cx+2*cy) % 4))*exp(-(dx*dx+dy*dy)/18e0) end as value,
+c as (select im, px*8+i as x, py*8+j as y from a, i, j),
+g as (select im, cast(floor(im/2e0) as int) as t, x, y, x % 40 - 20 as dx, (y + 13*im) % 40 - 20 as dy, cast(floor(x/40e0) as int) as cx, cast(floor((y + 13*im)/40e0) as int) - cast(floor(13*im/40e0) as int) as cy from c)
+select concat(lpad(cast(t as string), 3, '0'), '_000') as tile, case when im % 2 = 0 then 'r' else 'g' end as band, x, y, case when x < 8 and y < 8 then 0e0 when x % 40 = 5 and y % 40 = 5 then 500e0
+   else 5e0 + ((x*31+y*17+t) % 7)/10e0 + (50e0+10e0*((cx+2*cy+im) % 4))*exp(-(dx*dx+dy*dy)/18e0) end as value,
   case when dx*dx+dy*dy <= 64 then cy*3+cx+1 end as segment_id from g"""
 P = """
 select p_partkey as k, ((p_partkey*37) % 1000)/1000e0 as p, case when (p_partkey*53) % 100 < ((p_partkey*37) % 1000)/10e0 then 1 else 0 end as y from part"""
@@ -40,10 +41,10 @@ J = """
 select event_id as seq, cast(user_id % 30 as int) as tile, case event_id % 3 when 0 then 'r' when 1 then 'g' else 'i' end as band,
   case event_type when 'purchase' then 'completed' when 'error' then 'failed' when 'view' then 'processing' when 'click' then 'downloaded' else 'skipped_mostly_zeros' end as status,
   case when event_type in ('purchase','error') then value end as minutes, ts from events"""
-#: A star list and availability that grow with the tables.
+#: A star list that grows with the tables, about 110 stars to a tile.
 S = """
 select c_custkey as source_id, 150e0 + ((c_custkey*7919) % 20011)/10005.5e0 as ra, 30e0 + ((c_custkey*6101) % 20021)/10010.5e0 as dec, 8e0 + (c_custkey*37 % 1400)/100e0 as gmag, c_custkey % 11 = 0 as in_galaxy_candidates,
-  cast((c_custkey*7) % 120 as int) as x, cast(floor(c_custkey*0.7e0) as int) as y from customer"""
+  concat(lpad(cast(cast(floor(c_custkey/110e0) as int) as string), 3, '0'), '_000') as tile, cast((c_custkey*7) % 120 as int) as x, cast((c_custkey*11) % 40 as int) as y from customer"""
 SOURCE = {"D": ("part", D), "R": ("part", R), "X": ("part", X), "P": ("part", P), "J": ("events", J), "S": ("customer", S)}
 #: Spherical separation of rows a and b, in arcseconds, for brute-force oracles.
 SEP = "(2e0*degrees(asin(sqrt(power(sin(radians({b}.dec-{a}.dec)/2e0),2)+cos(radians({a}.dec))*cos(radians({b}.dec))*power(sin(radians({b}.ra-{a}.ra)/2e0),2))))*3600e0)"

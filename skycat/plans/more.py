@@ -1,4 +1,4 @@
-"""Further queries with their DuckDB oracles: labels, flags, selections, pixels, catalogs."""
+"""Further queries with their DuckDB oracles: labels, flags, selections, catalogs."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from skycat.functions import photometry as ph
 from skycat.functions import tiles
-from skycat.operators import catalog, jobs, labels, metrics, pixels, selection, training
+from skycat.operators import catalog, jobs, labels, metrics, selection, training
 from skycat.plans.fixtures import SEP, fixture
 from skycat.plans.registry import _AVAIL, _MX, BANDS, _available, _matrix, query, r6
 
@@ -46,18 +46,6 @@ def tiles_min_bands(spark, d):
     return selection.tiles_min_bands(_matrix(spark, d), BANDS, 2)
 
 
-@query("select x, y, round(avg(case when value=0 then 1e0 else 0e0 end),6) as zero_share, avg(case when value=0 then 1e0 else 0e0 end) > 0.6e0 as corrupted from (select p.x, p.y, b.value from X p, X b where p.x%40=5 and p.y%40=5 and b.x between p.x-3 and p.x+3 and b.y between p.y-3 and p.y+3) group by x, y", ["X"])
-def corrupted_at(spark, d):
-    px = fixture(spark, d, "X")
-    points = px.where("x % 40 = 5 and y % 40 = 5").select(F.struct("x", "y").alias("at"), "x", "y")
-    return selection.corrupted_at(points, px, "at", 3).select("at.x", "at.y", r6("zero_share").alias("zero_share"), "corrupted")
-
-
-@query(", b as (select * from S where gmag<14), h as (select distinct segment_id from X, b where segment_id is not null and X.x between b.x-6 and b.x+6 and X.y between b.y-6 and b.y+6 and power(X.x-b.x,2)+power(X.y-b.y,2)<=36), p as (select segment_id, x, y from (select X.*, row_number() over (partition by segment_id order by value desc, y, x) as rn from X where segment_id in (select segment_id from h)) where rn=1) select segment_id, source_id, gmag from (select p.segment_id, b.source_id, b.gmag, row_number() over (partition by p.segment_id order by power(p.x-b.x,2)+power(p.y-b.y,2), b.source_id) as rn from p, b) where rn=1", ["X", "S"])
-def star_halo_flag(spark, d):
-    return selection.star_halo_flag(fixture(spark, d, "S"), fixture(spark, d, "X"), 6)
-
-
 @query("select det_id, band from D where k % 3 <> 0 except all select det_id, band from D where k % 2 = 0", ["D"])
 def except_ids(spark, d):
     det = fixture(spark, d, "D").select("det_id", "band", "k")
@@ -135,12 +123,6 @@ def best_score_lookup(spark, d):
     return labels.best_score_lookup(fixture(spark, d, "R"), objects, _available(spark, d), "id", "det_id").withColumn("score", r6("score"))
 
 
-@query("select det_id, peak_x, npix from (select (y % 40)*1000+segment_id as det_id, segment_id, min(x) as peak_x, count(*) as npix from X where segment_id is not null group by 1,2) where det_id % 3 <> 0", ["X"])
-def pick_cutouts(spark, d):
-    rows = fixture(spark, d, "X").where("segment_id is not null").groupBy(((F.col("y") % 40) * 1000 + F.col("segment_id")).alias("det_id")).agg(F.min("x").alias("peak_x"), F.count("*").alias("npix"))
-    return labels.pick_cutouts(rows.where("det_id % 3 <> 0").select("det_id", "peak_x"), rows.select("det_id", "npix"), ["det_id"])[0]
-
-
 # --- metrics ---------------------------------------------------------------------------
 @query("select xb as x_bin, yb as y_bin, count(*) as n from (select k, max(a.b) as xb, max(c.b) as yb from (select k, p, (k*29 % 1000)/1000e0 as q from P) s, range(25) a(b), range(25) c(b) where a.b/25e0 <= p and c.b/25e0 <= q group by k) group by 1,2", ["P"])
 def hist2d(spark, d):
@@ -175,14 +157,6 @@ def smooth_label(spark, d):
     return fixture(spark, d, "P").select("k", r6(ph.smooth_label(F.col("y"), 0.1)).alias("label"))
 
 
-@query(", b as (select segment_id, min(x) as x0, max(x) as x1, min(y) as y0, max(y) as y1, count(*) as n from X where segment_id is not null group by 1), p as (select segment_id, x, y from (select *, row_number() over (partition by segment_id order by value desc, y, x) as rn from X where segment_id is not null) where rn=1) select segment_id, round(sqrt(power(x-round_even((x0+x1)/2e0,0),2)+power(y-round_even((y0+y1)/2e0,0),2)),6) as peak_offset, round(sqrt(power(x-round_even((x0+x1)/2e0,0),2)+power(y-round_even((y0+y1)/2e0,0),2))/n,9) as share from b join p using (segment_id)", ["X"])
-def peak_offset(spark, d):
-    top = F.max(F.struct("value", (-F.col("y")).alias("y"), (-F.col("x")).alias("x"))).alias("p")
-    s = fixture(spark, d, "X").where("segment_id is not null").groupBy("segment_id").agg(top, F.count("*").alias("n"), *(f(c).alias(f"{c}{n}") for c in ("x", "y") for n, f in ((0, F.min), (1, F.max))))
-    gap = ph.peak_offset(-F.col("p.x"), -F.col("p.y"), F.col("x0"), F.col("x1"), F.col("y0"), F.col("y1"))
-    return s.select("segment_id", r6(gap).alias("peak_offset"), F.round(gap / F.col("n"), 9).alias("share"))
-
-
 @query("select distinct tile_x, tile_y, round(5.16e-05*4*tile_x,9) as cd, round((tile_y-0.5e0)/4+0.5e0,6) as crpix from D", ["D"])
 def rebin_header(spark, d):
     cd, crpix = ph.rebin_header(5.16e-05 * F.col("tile_x"), F.col("tile_y"), 4)
@@ -209,118 +183,6 @@ def folds_with_test_share(spark, d):
     return metrics.stratified_folds(fixture(spark, d, "P"), "k", "p", test=0.1).select("k", "bin", "fold")
 
 
-# --- pixels ----------------------------------------------------------------------------
-def _clip(n):
-    """CTEs that clip n times at three deviations from the median of a cell."""
-    out = ", k0 as (select cast(floor(x/25e0) as int) as cx, cast(floor(y/25e0) as int) as cy, value from X where segment_id is null)"
-    for i in range(n):
-        out += f", s{i} as (select cx, cy, median(value) as m, stddev_pop(value) as s from k{i} group by 1,2), k{i + 1} as (select k{i}.* from k{i} join s{i} using (cx, cy) where abs(value-m)<=3*s)"
-    return out
-
-
-_GRID = _clip(5) + ", ce as (select cast(floor(x/25e0) as int) as cx, cast(floor(y/25e0) as int) as cy, count(*) as n, count(*) filter (segment_id is null) as dark from X group by 1,2), fr as (select floor((max(x)+1)/25e0) as nx, floor((max(y)+1)/25e0) as ny from X), st as (select cx, cy, avg(value) as mean, median(value) as median, stddev_pop(value) as std from k5 group by 1,2), al as (select ce.cx, ce.cy, coalesce(dark>=0.5e0*n and mean is not null, false) as ok, mean, median, std from ce join fr on cx<nx and cy<ny left join st on ce.cx=st.cx and ce.cy=st.cy), gb as (select a.cx, a.cy, b.mean, b.median, b.std from al a join al b on b.ok qualify row_number() over (partition by a.cx, a.cy order by power(a.cx-b.cx,2)+power(a.cy-b.cy,2), b.cy, b.cx)=1)"
-
-
-@query(_GRID + " select cx, cy, round(mean,6) as mean, round(median,6) as median, round(std,6) as std from gb", ["X"])
-def grid_background(spark, d):
-    return pixels.grid_background(fixture(spark, d, "X")).select("cx", "cy", *(r6(c).alias(c) for c in ("mean", "median", "std")))
-
-
-_OBJ = ", ob as (select segment_id as object_id, cast(floor(avg(x)+0.5e0) as int) as cx, cast(floor(avg(y)+0.5e0) as int) as cy from X where segment_id is not null group by 1), cu as (select object_id, p.pos, X.value, X.segment_id from ob, range(64) p(pos) left join X on X.x=cx-4+p.pos%8 and X.y=cy-4+p.pos//8)"
-
-
-def _objects(px):
-    return px.where("segment_id is not null").groupBy(F.col("segment_id").alias("object_id")).agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
-
-
-@query(_OBJ + " select object_id, pos, round(coalesce(value,0e0),6) as value, case when segment_id=object_id then 1 else 0 end as own, round(case when segment_id=object_id then value else 0e0 end,6) as alone from cu", ["X"])
-def cutouts(spark, d):
-    px = fixture(spark, d, "X")
-    both = pixels.cutouts(_objects(px), px, mode="concatenate").join(pixels.cutouts(_objects(px), px, mode="multiply").withColumnRenamed("values", "alone"), "object_id")
-    rows = both.select("object_id", F.posexplode(F.arrays_zip("values", "mask", "alone")))
-    return rows.select("object_id", F.col("pos").cast("long").alias("pos"), r6("col.values").alias("value"), F.col("col.mask").alias("own"), r6("col.alone").alias("alone"))
-
-
-@query(_OBJ + " select object_id, band, count(*) as n, round(sum(case when band='r' then coalesce(value,0e0) when band='g' then coalesce(value/2e0,0e0) else 0e0 end),4) as total from cu, (values ('r'),('g'),('i')) b(band) group by 1,2", ["X"])
-def cutout_roundtrip(spark, d):
-    from skycat.operators.components import shared_folder
-    from skycat.sources.tables import read_cutouts, write_cutouts
-
-    px = fixture(spark, d, "X").select("x", "y", "segment_id", "value")
-    bands = px.withColumn("band", F.lit("r")).union(px.withColumn("value", F.col("value") / 2).withColumn("band", F.lit("g")))
-    path = shared_folder(spark, "cutouts")
-    # NaN pixels come back as zero
-    write_cutouts(pixels.cutouts(_objects(px), bands, bands=["r", "g", "i"]).withColumn("values", F.transform("values", lambda v: F.when(v == 0, float("nan")).otherwise(v))).withColumn("note", F.lit("x")), path)
-    back = read_cutouts(spark, path, ["object_id", "band", "values"])
-    return back.select("object_id", "band", F.size("values").cast("long").alias("n"), F.round(F.aggregate("values", F.lit(0.0), lambda a, v: a + v), 4).alias("total"))
-
-
-def _channels(spark, d):
-    cut = pixels.cutouts(_objects(fixture(spark, d, "X")), fixture(spark, d, "X"))
-    times = lambda n, lost: F.transform("values", lambda v: F.when(F.col("object_id") % 4 == lost, 0.0).otherwise(v * n))
-    return cut.select("object_id", times(1.0, 0).alias("r"), times(0.8, 1).alias("g"), times(0.5, 2).alias("b"))
-
-
-_CH = _OBJ + ", ch as (select object_id, pos, case when object_id%4=0 then 0e0 else v end as r, case when object_id%4=1 then 0e0 else v*0.8e0 end as g, case when object_id%4=2 then 0e0 else v*0.5e0 end as b from (select object_id, pos, coalesce(value,0e0) as v from cu)), fc as (select object_id, pos, case when object_id%4=0 then g else r end as r, case when object_id%4=0 then (g+b)/2 when object_id%4=1 then (r+b)/2 when object_id%4=2 then (r+g)/2 else g end as g, case when object_id%4=2 then g else b end as b from ch)"
-
-
-@query(_CH + " select object_id, pos, round(r,6) as r, round(g,6) as g, round(b,6) as b from fc", ["X"])
-def fill_channel(spark, d):
-    r, g, b = pixels.fill_channel(F.col("r"), F.col("g"), F.col("b"))
-    rows = _channels(spark, d).select("object_id", r.alias("r"), g.alias("g"), b.alias("b")).select("object_id", F.posexplode(F.arrays_zip("r", "g", "b")))
-    return rows.select("object_id", F.col("pos").cast("long").alias("pos"), *(r6(f"col.{c}").alias(c) for c in "rgb"))
-
-
-@query(_CH + ", m as (select *, (r+g+b)/(case when object_id%4<3 then 2 else 3 end) as m from ch) select object_id, pos, " + ", ".join(f"round(case when {c}=0 or m=0 then 0e0 else power(least(greatest({c}*0.1e0*asinh(7e0*m/125e0)/(asinh(0.7e0)*m),0e0),1e0),0.25e0) end,6) as {c}" for c in "rgb") + " from m", ["X"])
-def to_rgb(spark, d):
-    out = pixels.to_rgb(F.col("r"), F.col("g"), F.col("b"))
-    rows = _channels(spark, d).select("object_id", *(c.alias(n) for n, c in zip("rgb", out))).select("object_id", F.posexplode(F.arrays_zip("r", "g", "b")))
-    return rows.select("object_id", F.col("pos").cast("long").alias("pos"), *(r6(f"col.{c}").alias(c) for c in "rgb"))
-
-
-def _regions(cells, key):
-    """4-connected regions of the CTE ``cells`` (x, y and a key column) as (x, y, key, c)."""
-    return f", t as (with recursive e as (select a.x, a.y, a.{key}, b.x as x2, b.y as y2 from {cells} a, (values (1,0),(-1,0),(0,1),(0,-1)) o(i,j), {cells} b where b.x=a.x+o.i and b.y=a.y+o.j and b.{key}=a.{key}), r(x, y, {key}, c) as (select x, y, {key}, y*1048576+x from {cells} union select e.x2, e.y2, e.{key}, r.c from r join e on r.x=e.x and r.y=e.y and r.{key}=e.{key}) select x, y, {key}, min(c) as c from r group by 1,2,3)"
-
-
-@query(", q as (select x//2 as x, y//2 as y, max(value) filter (x%2=0 and y%2=0) as a, max(value) filter (x%2=1 and y%2=0) as b, max(value) filter (x%2=0 and y%2=1) as c, max(value) filter (x%2=1 and y%2=1) as e from X group by 1,2), f as (select x, y, 'h' as p from q where abs(a-b+c-e)/2<=0.005e0 union all select x, y, 'v' from q where abs(a+b-c-e)/2<=0.005e0 union all select x, y, 'd' from q where abs(a-b-c+e)/2<=0.005e0)" + _regions("f", "p") + ", g as (select distinct x, y from (select *, count(*) over (partition by p, c) as n from t) where n>=10) select distinct X.x, X.y from (select 2*x+i+di as x, 2*y+j+dj as y from g, (values (0),(1)) a(i), (values (0),(1)) b(j), (values (0,0),(1,0),(-1,0),(0,1),(0,-1)) o(di,dj)) s join X on X.x=s.x and X.y=s.y", ["X"])
-def flat_anomalies(spark, d):
-    return pixels.flat_anomalies(fixture(spark, d, "X"), least=10)
-
-
-@query(", f as (select x, y, 1 as one from X where value>70e0)" + _regions("f", "one") + ", s as (select x, y, c from (select *, count(*) over (partition by c) as n from t) where n<=3), o as (select distinct s.c, s.x+i as x, s.y+j as y from s, (values (-1),(0),(1)) a(i), (values (-1),(0),(1)) b(j)), u as (select o.c, X.value from o join X on X.x=o.x and X.y=o.y where (o.x, o.y) not in (select x, y from s)), k as (select c from u group by c having avg(case when value<=20e0 then 1e0 else 0e0 end)>=0.2e0) select x, y from s where c in (select c from k)", ["X"])
-def hot_pixels(spark, d):
-    return pixels.hot_pixels(fixture(spark, d, "X"), 70.0, 20.0).select("x", "y")
-
-
-@query(", l as (select * from (select segment_id, count(*) as n, var_samp(x) as a, var_samp(y) as b, covar_samp(x,y) as c from X where segment_id is not null group by 1) where n>=150), q as (select segment_id, (a+b)/2 as h, sqrt(power((a-b)/2,2)+c*c) as r from l), k as (select segment_id from q where sqrt(greatest(h-r,0e0)/(h+r))>=0.2e0), g as (select distinct x+i as x, y+j as y from X, range(-3,4) a(i), range(-3,4) b(j) where segment_id in (select segment_id from k) and abs(i)+abs(j)<=3) select X.x, X.y from X join g on X.x=g.x and X.y=g.y where X.segment_id is null", ["X"])
-def ring_mask(spark, d):
-    return pixels.ring_mask(fixture(spark, d, "X"), 150, 0.2, 3)
-
-
-@query(_GRID + ", o as (select segment_id, count(*) as npix from X where segment_id is not null group by 1), m as (select segment_id from o where segment_id % 5 <> 0 and npix < 196 and segment_id % 3 = 0), fr2 as (select max(cx) as mx, max(cy) as my from gb) select X.x, X.y, round(case when m.segment_id is not null then gb.median else X.value end,6) as value, case when m.segment_id is null then X.segment_id end as segment_id from X join fr2 on true join gb on gb.cx=least(cast(floor(X.x/25e0) as int),mx) and gb.cy=least(cast(floor(X.y/25e0) as int),my) left join m on X.segment_id=m.segment_id", ["X"])
-def mask_small(spark, d):
-    px = fixture(spark, d, "X")
-    objects = px.where("segment_id is not null").groupBy("segment_id").agg(F.count("*").alias("npix")).selectExpr("segment_id", "npix", "case when segment_id % 3 = 0 then 1d else 2d end as re", "case when segment_id % 5 = 0 then 1 else 0 end as star")
-    return pixels.mask_small(px, objects, medium=196).select("x", "y", r6("value").alias("value"), "segment_id")
-
-
-_SHAPE = ", sp as (select source_id, x, y, gmag, gmag/5e0 as r_iso, gmag/3e0 as spike, 1.5e0 as thick from S), cov as (select p.x, p.y, s.source_id, s.gmag>12 as faint from X p, sp s where p.x between s.x-8 and s.x+8 and p.y between s.y-8 and s.y+8 and (power(p.x-s.x,2)+power(p.y-s.y,2)<=power(greatest(round_even(0.9e0*r_iso,0),1),2) or (s.gmag>12 and ((abs(p.x-s.x)<=spike and abs(p.y-s.y)<=thick/2) or (abs(p.y-s.y)<=spike and abs(p.x-s.x)<=thick/2))))), sh as (select distinct x, y from cov where not faint), op as (select source_id from (select c.source_id, sh.x is not null as hid from cov c left join sh on c.x=sh.x and c.y=sh.y where c.faint) group by 1 having avg(case when hid then 1e0 else 0e0 end)<0.99e0), fi as (select distinct x, y from cov where faint and source_id in (select source_id from op) and (x, y) not in (select x, y from sh)), fr2 as (select max(cx) as mx, max(cy) as my from gb)"
-
-
-@query(_GRID + _SHAPE + " select X.x, X.y, round(case when fi.x is not null then gb.median else X.value end,6) as value from X join fr2 on true join gb on gb.cx=least(cast(floor(X.x/25e0) as int),mx) and gb.cy=least(cast(floor(X.y/25e0) as int),my) left join fi on X.x=fi.x and X.y=fi.y", ["X", "S"])
-def mask_stars(spark, d):
-    stars = fixture(spark, d, "S").selectExpr("source_id", "x", "y", "gmag", "gmag/5d as r_iso", "gmag/3d as spike", "1.5d as thick")
-    return pixels.mask_stars(fixture(spark, d, "X"), stars, 12.0).select("x", "y", r6("value").alias("value"))
-
-
-@query(", st as (select s.source_id, s.gmag, s.x, s.y, X.segment_id, 3e0+s.source_id%7 as r from S s join X on X.x=s.x and X.y=s.y), g as (select x, y, case when segment_id is not null then segment_id*2+(case when x%40>=20 then 1 else 0 end) end as seg, value from X), a2 as (select st.*, g.seg from st join g on g.x=st.x and g.y=st.y), sh as (select seg, sqrt(count(*)/3.141592653589793e0) as rs from g where seg is not null group by 1), bo as (select own, max(case when seg is null then 1 else 0 end) as op, max(case when seg is not null then 1 else 0 end) as touched from (select distinct s.seg as own, t.x, t.y, t.seg from g s, (values (-1),(0),(1)) p(i), (values (-1),(0),(1)) q(j), g t where s.seg is not null and t.x=s.x+p.i and t.y=s.y+q.j) where seg is null or seg<>own group by 1), br as (select distinct seg from a2 where gmag<13.5e0 and seg is not null), nr as (select distinct a2.source_id from a2, g where a2.seg is not null and g.seg in (select seg from br) and g.seg<>a2.seg and g.x between a2.x-12 and a2.x+12 and g.y between a2.y-12 and a2.y+12 and sqrt(power(g.x-a2.x,2)+power(g.y-a2.y,2))>a2.r and sqrt(power(g.x-a2.x,2)+power(g.y-a2.y,2))<=a2.r+1.5e0) select a2.source_id, case when a2.seg is null then 'undetected' when coalesce(touched,0)=0 then 'isolated' when rs>r and nr.source_id is null then 'not_deblended' when rs>r then 'adjacent' when op=1 then 'adjacent' else 'embedded' end as \"case\" from a2 left join sh on a2.seg=sh.seg left join bo on bo.own=a2.seg left join nr on nr.source_id=a2.source_id", ["X", "S"])
-def star_case(spark, d):
-    # every disc is cut into two touching segments
-    px = fixture(spark, d, "X").withColumn("segment_id", F.col("segment_id") * 2 + F.when(F.col("x") % 40 >= 20, 1).otherwise(0))
-    return pixels.star_case(fixture(spark, d, "S").withColumn("r", 3.0 + F.col("source_id") % 7), px)
-
-
 # --- catalogs --------------------------------------------------------------------------
 _TPAIRS = "select a.det_id as u, b.det_id as v from D a join D b on a.tile_x=b.tile_x and a.tile_y=b.tile_y and a.det_id<>b.det_id and a.band<>b.band and abs(a.dec-b.dec)<0.003e0 and " + SEP.format(a="a", b="b") + "<10e0"
 _WIDE = ", ".join(f"max(case when band='{b}' then {c} end) as {c}_{b}" for b in BANDS for c in ("det_id", "mag", "mu", "re_arcsec"))

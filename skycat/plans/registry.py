@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from skycat.functions import photometry as ph
 from skycat.functions import sphere, tiles
 from skycat.functions.nulls import finite_rows, is_new_id
-from skycat.operators import catalog, components, jobs, match, metrics, pixels, rules, selection
+from skycat.operators import catalog, components, jobs, match, metrics, rules, selection
 from skycat.plans.fixtures import SEP, fixture, with_fixtures
 
 QUERIES, ORACLES = {}, {}
@@ -125,12 +125,6 @@ def is_new_id_flag(spark, d):
     return fixture(spark, d, "D").select("det_id", is_new_id(F.col("id_known")).alias("is_new"))
 
 
-@query("select x, y, round(case when v>=65536 or v < -5 then 0e0 else v end,6) as value from (select x, y, value*200e0-1010e0 as v from X)", ["X"])
-def clean_pixels(spark, d):
-    v = F.col("value") * 200.0 - 1010.0
-    return fixture(spark, d, "X").select("x", "y", r6(ph.clean_pixels(v)).alias("value"))
-
-
 @query("select det_id, round(-2.5e0*log10(total_flux)+30e0,6) as mag, round(-2.5e0*log10(total_flux)+30e0+0.752e0+2.5e0*log10(3.141592653589793e0*re_arcsec*re_arcsec*axis_ratio),6) as mu, round(axis_ratio,6) as axis_ratio from D", ["D"])
 def photometry(spark, d):
     raw = fixture(spark, d, "D").select("det_id", "total_flux", F.col("re_arcsec").alias("R_e"), F.lit(1.0).alias("A"), F.col("axis_ratio").alias("B"))
@@ -383,57 +377,6 @@ def separator_metrics(spark, d):
     return out.select(*(r6(c).alias(c) for c in out.columns))
 
 
-# --- pixels ----------------------------------------------------------------------------
-@query(", l as (select X.*, value - greatest(min(value) over (partition by segment_id),0e0) as v from X where segment_id is not null), s as (select segment_id, sum(v) as flux, count(*) as n_pix, max(v) as mu_max, avg(v) as mu_mean, median(v) as mu_median, sum(v*x)/sum(v) as cx, sum(v*y)/sum(v) as cy from l group by segment_id) select segment_id, round(flux,4) as flux, n_pix, round(mu_max,6) as mu_max, round(mu_mean,6) as mu_mean, round(mu_median,6) as mu_median, round(cx,6) as x, round(cy,6) as y from s", ["X"])
-def segment_photometry(spark, d):
-    return pixels.segment_photometry(fixture(spark, d, "X")).select("segment_id", F.round("flux", 4).alias("flux"), "n_pix", r6("mu_max").alias("mu_max"), r6("mu_mean").alias("mu_mean"), r6("mu_median").alias("mu_median"), r6("x").alias("x"), r6("y").alias("y"))
-
-
-@query("select segment_id, x, y, row_number() over w - 1 as rank, round(sum(value) over w,4) as cum from X where segment_id is not null window w as (partition by segment_id order by value desc, y, x)", ["X"])
-def light_curve_of_growth(spark, d):
-    return pixels.light_curve_of_growth(fixture(spark, d, "X").where("segment_id is not null"), value="value").select("segment_id", "x", "y", F.col("rank").cast("long").alias("rank"), F.round("cum", 4).alias("cum"))
-
-
-@query("select x, y, segment_id, cast(case when segment_id is not null then dense_rank() over (order by segment_id) end as int) as new_id from X", ["X"])
-def relabel_segments(spark, d):
-    return pixels.relabel_segments(fixture(spark, d, "X")).select("x", "y", "segment_id", "new_id")
-
-
-@query("select x, y, segment_id, round(case when segment_id is not null then min(value) over (partition by segment_id) end,6) as level from X", ["X"])
-def segment_level(spark, d):
-    return pixels.segment_level(fixture(spark, d, "X")).withColumn("level", r6("level"))
-
-
-@query("select cast(floor(x/4) as int) as bx, cast(floor(y/4) as int) as by, round(avg(value),6) as value from X group by 1,2 having count(*)=16", ["X"])
-def rebin(spark, d):
-    return pixels.rebin(fixture(spark, d, "X")).withColumn("value", r6("value"))
-
-
-@query("select cast(floor(x/8) as int) as cx, cast(floor(y/8) as int) as cy, round(avg(case when value=0 then 1e0 else 0e0 end),6) as zero_share, avg(case when value=0 then 1e0 else 0e0 end) > 0.95e0 as skip from X group by 1,2", ["X"])
-def mostly_zero_tiles(spark, d):
-    return pixels.mostly_zero(fixture(spark, d, "X")).withColumn("zero_share", r6("zero_share"))
-
-
-@query(", q as (select x//2 as bx, y//2 as \"by\", max(value) filter (x%2=0 and y%2=0) as a, max(value) filter (x%2=1 and y%2=0) as b, max(value) filter (x%2=0 and y%2=1) as c, max(value) filter (x%2=1 and y%2=1) as e from X group by 1,2) select bx, \"by\", round((a-b+c-e)/2,6)+0e0 as h, round((a+b-c-e)/2,6)+0e0 as v, round((a-b-c+e)/2,6)+0e0 as dd from q", ["X"])
-def haar_details(spark, d):
-    return pixels.haar_details(fixture(spark, d, "X")).select("bx", "by", r6("h").alias("h"), r6("v").alias("v"), r6("dd").alias("dd"))
-
-
-@query("select distinct x+i as x, y+j as y from X, (values (0,0),(1,0),(-1,0),(0,1),(0,-1)) v(i,j) where segment_id is not null", ["X"])
-def dilate(spark, d):
-    return pixels.dilate(fixture(spark, d, "X").where("segment_id is not null").select("x", "y"))
-
-
-@query("select a.x, a.y, round(sum(b.value*case when abs(a.x-b.x)+abs(a.y-b.y)=0 then 0.5e0 else 0.125e0 end),6) as value from X a, (values (0,0),(1,0),(-1,0),(0,1),(0,-1)) o(i,j), X b where b.x=a.x+o.i and b.y=a.y+o.j group by a.x, a.y", ["X"])
-def convolve(spark, d):
-    return pixels.convolve(fixture(spark, d, "X"), {(0, 0): 0.5, (1, 0): 0.125, (-1, 0): 0.125, (0, 1): 0.125, (0, -1): 0.125}).withColumn("value", r6("value"))
-
-
-@query(", b as (select y*1048576+x as pid, x, y, value from X where value>20e0), t as (with recursive e as materialized (select a.pid as u, c.pid as v from b a, (values (-1),(0),(1)) p(i), (values (-1),(0),(1)) q(j), b c where c.pid=a.pid+q.j*1048576+p.i and a.pid<>c.pid), r(node, c) as (select pid, pid from b union select e.v, r.c from r join e on r.node=e.u) select node, min(c) as component from r group by node) select component, count(*) as npix, min(x) as xmin, max(x) as xmax, min(y) as ymin, max(y) as ymax, round(max(value),6) as peak from t join b on b.pid=t.node group by component having count(*)>=4", ["X"])
-def threshold_segments(spark, d):
-    return pixels.threshold_segments(fixture(spark, d, "X"), 20.0).withColumn("peak", r6("peak"))
-
-
 # --- sets, sorts, sinks ----------------------------------------------------------------
 @query("select id_known, count(*) as n from D where id_known is not null group by id_known having count(*)>1", ["D"])
 def count_duplicates(spark, d):
@@ -539,14 +482,6 @@ def reference_join(spark, d):
     return catalog.reference_join(fixture(spark, d, "D").select("det_id", "band", "ra", "dec"))
 
 
-@query(", s as (select segment_id, var_samp(x*value) as a, var_samp(y) as b, covar_samp(x*value,y) as c from X where segment_id is not null group by 1), e as (select segment_id, (a+b)/2 as h, sqrt(power((a-b)/2,2)+c*c) as r from s) select segment_id, round(sqrt(greatest(h-r,0e0)/(h+r)),6) as axis_ratio, round(sqrt(greatest(h-r,0e0)),6) as minor from e", ["X"])
-def axis_ratio_pca(spark, d):
-    from skycat.operators.training import axis_ratio_pca as pca
-
-    px = fixture(spark, d, "X").where("segment_id is not null").withColumn("x", F.col("x") * F.col("value"))
-    return pca(px, ["segment_id"]).select("segment_id", r6("axis_ratio").alias("axis_ratio"), r6("minor").alias("minor"))
-
-
 @query(", s as (select k, p, y, 0.5e0*p+(k % 7)/10e0 as v, case when y=1 then 100e0 else 1e0 end as w from P), l as (select (sum(w)*sum(w*p*v)-sum(w*p)*sum(w*v))/(sum(w)*sum(w*p*p)-sum(w*p)*sum(w*p)) as m, sum(w) as w, sum(w*p) as sx, sum(w*v) as sv from s), o as (select m, (sv-m*sx)/w as b from l), q as (select quantile_cont(v-m*p-b, 0.05e0) as sh from s, o where y=1 and v-m*p-b<0) select round(m,6)+0e0 as slope, round(b+coalesce(sh,0),6)+0e0 as \"offset\" from o, q", ["P"])
 def fit_linear_separator(spark, d):
     from skycat.operators.training import fit_linear_separator as fit
@@ -579,4 +514,4 @@ def first_tiles(spark, d):
     return selection.first_tiles(fixture(spark, d, "D").select(tiles.tile_key(F.col("tile_x"), F.col("tile_y")).alias("tile")), 3)
 
 
-from skycat.plans import more  # noqa: E402, F401
+from skycat.plans import more, pixel_queries  # noqa: E402, F401
