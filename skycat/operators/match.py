@@ -92,15 +92,32 @@ def attach_redshift(det, zcat, det_id, z_id, max_sep=5.0):
 
 
 def nearest_negatives(df, id_col, k=5, keys=("tile_x", "tile_y")):
-    """Label 1 for lsb rows, 0 for the k nearest other rows of each within its tile, else NULL."""
-    keys = list(keys)
+    """Label 1 for lsb rows, 0 for the k nearest other rows of each within its tile, else NULL; only tiles with a positive.
+
+    Each positive starts with a radius that holds some k rows at its tile's mean density and
+    doubles it only while it is short of k, so a crowded tile is never joined whole.
+    """
     from pyspark.sql.window import Window
 
-    positives = df.where("lsb = 1").select(*keys, F.col(id_col).alias("pid"), F.col("ra").alias("pra"), F.col("dec").alias("pdec"))
-    pairs = positives.join(df.select(*keys, F.col(id_col).alias("oid"), "ra", "dec"), keys).where("pid <> oid")
-    sep = ang_sep_arcsec(F.col("pra"), F.col("pdec"), F.col("ra"), F.col("dec"))
-    rank = F.row_number().over(Window.partitionBy("pid").orderBy("sep", "oid"))
-    chosen = pairs.withColumn("sep", sep).withColumn("rn", rank).where(F.col("rn") <= k).select(F.col("oid").alias(id_col)).distinct().withColumn("hit", F.lit(1))
+    from skycat.operators.training import written
+
+    keys, base, widest = list(keys), 4.0, 10  # arcseconds; 4 x 2^10 is wider than a tile
+    size = df.groupBy(*keys).agg(F.count("*").alias("_n"))
+    start = F.ceil(F.log2(1800 * F.sqrt(k / (3.141592653589793 * F.col("_n"))) / base))
+    positives = df.where("lsb = 1").select(*keys, F.col(id_col).alias("_id"), "ra", "dec").join(size, keys)
+    rest = written(positives.select(*keys, "_id", "ra", "dec", F.least(F.lit(k), F.col("_n") - 1).alias("_want"), F.greatest(F.lit(0), F.least(start, F.lit(widest))).cast("int").alias("_class")).where("_want > 0"), "negatives")
+    others, chosen = df.select(*keys, F.col(id_col).alias("_id"), "ra", "dec"), None
+    for c in range(widest + 1):
+        now = rest.where(F.col("_class") <= c)
+        near = radius_join(now.select("_id", "ra", "dec", "_want", *keys), others, base * 2**c, keys=tuple(keys)).where(F.col("l._id") != F.col("r._id"))
+        rank = Window.partitionBy("pid").orderBy("sep", "oid")
+        near = near.select(F.col("l._id").alias("pid"), F.col("r._id").alias("oid"), F.col("l._want").alias("want"), "sep").withColumns({"rn": F.row_number().over(rank), "found": F.count(F.lit(1)).over(Window.partitionBy("pid"))})
+        picks = written(near.where(f"rn <= want and (found >= want or {c} = {widest})").select("pid", "oid"), "negatives")
+        chosen = picks if chosen is None else chosen.union(picks)
+        rest = written(rest.join(picks.select(F.col("pid").alias("_id")).distinct(), "_id", "left_anti"), "negatives")
+        if rest.isEmpty():
+            break
+    hit = chosen.select(F.col("oid").alias(id_col)).distinct().withColumn("hit", F.lit(1))
     tiles = positives.select(*keys).distinct()
-    out = df.join(tiles, keys, "left_semi").join(chosen, id_col, "left")
+    out = df.join(tiles, keys, "left_semi").join(hit, id_col, "left")
     return out.withColumn("label", F.when(F.col("lsb") == 1, 1).when(F.col("hit") == 1, 0)).drop("hit")

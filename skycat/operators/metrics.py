@@ -1,5 +1,7 @@
 """Score analytics: confusion, ranking, calibration, histograms, ensembles."""
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -105,33 +107,49 @@ def feature_ranges(df, columns):
     return wide.select(F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(f"lo_{c}").cast("double").alias("lo"), F.col(f"hi_{c}").cast("double").alias("hi")) for c in columns))).alias("r")).select("r.*")
 
 
+#: Hashes for balance and folds lie in [0, MODULUS); FACTOR spreads neighbouring keys.
+MODULUS, FACTOR = 1000003, 2654435761
+
+
+def _key_hash(df, key, seed):
+    """A hash of the key of any type and size; whole numbers are reduced before they are multiplied, null keys count as zero."""
+    kind = dict(df.dtypes)[key]
+    whole = F.col(key).cast("long") if kind in ("tinyint", "smallint", "int", "bigint") else F.xxhash64(key)
+    return F.pmod(F.pmod(F.coalesce(whole, F.lit(0)), F.lit(MODULUS)) * (FACTOR % MODULUS) + seed, F.lit(MODULUS))
+
+
 def _ranked(df, group, order, parts=64):
     """Adds ``_rank`` (0-based, by ``order`` within ``group``) and ``_size`` of the group.
 
-    ``order[0]`` must be an integer in [0, 1000003): rows are numbered within ranges of it and
-    only the counts per range meet, so that no task numbers a whole group.
+    ``order[0]`` must be an integer in [0, MODULUS): rows are numbered within ranges of it and
+    only the counts per range meet, so that no task numbers a whole group.  Null groups are
+    groups like any other.
     """
-    cut = df.withColumn("_cut", F.floor(F.col(order[0]) * parts / 1000003))
+    cut = df.withColumn("_cut", F.floor(F.col(order[0]) * parts / MODULUS))
     counts = cut.groupBy(*group, "_cut").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*group).orderBy("_cut").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = counts.select(*group, "_cut", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"), F.sum("_n").over(Window.partitionBy(*group)).alias("_size"))
+    firsts = counts.select(*(F.col(c).alias(f"_g{i}") for i, c in enumerate([*group, "_cut"])), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"), F.sum("_n").over(Window.partitionBy(*group)).alias("_size"))
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate([*group, "_cut"])))
     within = F.row_number().over(Window.partitionBy(*group, "_cut").orderBy(*order)) - 1
-    return cut.withColumn("_within", within).join(firsts, [*group, "_cut"]).withColumn("_rank", F.col("_first") + F.col("_within")).drop("_cut", "_first", "_within")
+    ranked = cut.withColumn("_within", within).join(firsts, same).withColumn("_rank", F.col("_first") + F.col("_within"))
+    return ranked.drop("_cut", "_first", "_within", *(f"_g{i}" for i in range(len(group) + 1)))
 
 
 def balance(df, key, y="y", ratio=3, seed=1):
-    """All positives and the ratio x positives negatives that come first in hash order."""
-    hashed = F.pmod(F.col(key) * 2654435761 + seed, F.lit(1000003))
+    """All positives and the ratio x positives negatives that come first in hash order; null and text keys take part."""
     want = ratio * (df.agg(F.sum((F.col(y) == 1).cast("long"))).first()[0] or 0)
-    negatives = _ranked(df.where(F.col(y) == 0).withColumns({"_h": hashed, "_one": F.lit(1)}), ["_one"], ["_h", key])
+    negatives = _ranked(df.where(F.col(y) == 0).withColumns({"_h": _key_hash(df, key, seed), "_one": F.lit(1)}), ["_one"], ["_h", key])
     return df.where(F.col(y) == 1).unionByName(negatives.where(F.col("_rank") < want).select(df.columns))
 
 
 def stratified_folds(df, key, value, k=10, bins=5, seed=1, test=0.0):
-    """Fold numbers dealt in hash order within each bin of the value; the first ``test`` share of a bin has fold -1."""
+    """Fold numbers dealt in hash order within each bin of the value; the first ``test`` share of a bin has fold -1.
+
+    Null values form a bin of their own; null and text keys take part.
+    """
     b = F.least(F.floor(F.col(value) * bins), F.lit(bins - 1)).cast("int")
-    hashed = F.pmod(F.col(key) * 2654435761 + seed, F.lit(1000003))
-    ranked = _ranked(df.withColumns({"bin": b, "h": hashed}), ["bin"], ["h", key])
+    b = F.when(F.col(value).isNotNull(), b)
+    ranked = _ranked(df.withColumns({"bin": b, "h": _key_hash(df, key, seed)}), ["bin"], ["h", key])
     held = F.floor(F.col("_size") * test)
     return ranked.withColumn("fold", F.when(F.col("_rank") < held, -1).otherwise((F.col("_rank") - held) % k).cast("int")).drop("h", "_rank", "_size")
 

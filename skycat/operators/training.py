@@ -20,44 +20,93 @@ def class_flips(df, x, y, key, ranges=1000):
     return marked.where(F.col("_y").isNotNull() & (F.col("_y") != F.col(y))).withColumn("midpoint", (F.col("_x") + F.col(x)) / 2)
 
 
-def exclusive_negatives(det, k=5, keys=("tile_x", "tile_y")):
-    """Each positive in id order takes its k nearest unused negatives of its tile.
+def written(df, purpose):
+    """Cut lineage: write the rows to the shared folder and read them again."""
+    from skycat.operators.components import shared_folder
 
-    The choice is sequential within a tile, and a tile is bounded by the sky, so one tile is
-    one group.  A positive left with fewer than k is dropped; its picks stay used.
-    """
-    def run(pdf):
-        import numpy as np
-        import pandas as pd
+    path = shared_folder(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-        pdf = pdf.sort_values("det_id")
-        pos, neg = pdf[pdf.lsb == 1], pdf[pdf.lsb != 1]
-        used, out = np.zeros(len(neg), bool), []
-        for p in pos.itertuples():
-            gap = np.where(used, np.inf, np.hypot(neg.ra - p.ra, neg.dec - p.dec))
-            picks = [i for i in np.argsort(gap, kind="stable")[:k] if np.isfinite(gap[i])]
-            used[picks] = True
-            if len(picks) == k:
-                out += [(p.det_id, int(neg.det_id.iat[i])) for i in picks]
-        return pd.DataFrame(out, columns=["positive_id", "negative_id"])
 
-    return det.select("det_id", "ra", "dec", "lsb", *keys).groupBy(*keys).applyInPandas(run, "positive_id long, negative_id long")
+def _plane_pairs(left, right, radius, keys):
+    """(pid, nid, gap) of rows of one tile within a radius in plain coordinates; gap is the squared distance."""
+    cell = lambda c, d: F.floor((F.col(c) + d) / (2 * radius)).cast("long")
+    both = lambda c: F.explode(F.array_distinct(F.array(cell(c, -radius), cell(c, radius))))
+    probes = left.select(*keys, F.col("det_id").alias("pid"), F.col("ra").alias("pra"), F.col("dec").alias("pdec"), both("ra").alias("_cx"), "dec").withColumn("_cy", both("dec")).drop("dec")
+    cells = right.select(*keys, F.col("det_id").alias("nid"), "ra", "dec", cell("ra", 0).alias("_cx"), cell("dec", 0).alias("_cy"))
+    dx, dy = F.col("ra") - F.col("pra"), F.col("dec") - F.col("pdec")
+    return probes.join(cells, [*keys, "_cx", "_cy"]).select("pid", "nid", (dx * dx + dy * dy).alias("gap")).where(F.col("gap") <= radius * radius)
+
+
+def exclusive_negatives(det, k=5, keys=("tile_x", "tile_y")):
+    """(positive_id, negative_id): each positive in id order takes its k nearest unused negatives of its tile.
+
+    The sequence is settled in rounds without ordering a tile.  Every positive proposes to
+    its k nearest candidates, each negative holds the proposal of the least id, and whoever
+    is refused goes on to the next nearest.  A negative's holder only ever changes to a
+    smaller id, so refusals are final, and the outcome is that of the sequence.  Candidates
+    come from a grid; a positive that runs short of them doubles its radius until it has all
+    negatives of its tile.  A positive left with fewer than k is dropped; its picks stay used.
+    """
+    keys = list(keys)
+    positive = F.coalesce(F.col("lsb") == 1, F.lit(False))
+    rows = det.select("det_id", "ra", "dec", *keys)
+    negatives = rows.where(~positive)
+    size = negatives.groupBy(*keys).agg(F.count("*").alias("_n"))
+    base, widest = 0.001, 11  # degrees; 0.001 x 2^11 is wider than a tile
+    start = F.ceil(F.log2(0.5 * F.sqrt(2 * k / (3.141592653589793 * F.col("_n"))) / base))
+    asking = written(rows.where(positive).join(size, keys).withColumn("_class", F.greatest(F.lit(0), F.least(start, F.lit(widest))).cast("int")), "negatives")
+
+    def candidates(some):
+        found = None
+        for c in sorted(r[0] for r in some.select("_class").distinct().collect()):  # a handful of powers of two
+            part = _plane_pairs(some.where(F.col("_class") == c), negatives, base * 2**c, keys)
+            found = part if found is None else found.union(part)
+        return found
+
+    holders, pairs = None, candidates(asking)
+    if pairs is None:
+        return det.sparkSession.createDataFrame([], "positive_id long, negative_id long")
+    pairs = written(pairs, "negatives")
+    while True:
+        alive = pairs if holders is None else pairs.join(holders, "nid", "left").where("holder is null or pid <= holder").drop("holder")
+        near = Window.partitionBy("pid").orderBy("gap", "nid")
+        proposed = written(alive.withColumn("rn", F.row_number().over(near)).where(F.col("rn") <= k).select("pid", "nid", "rn"), "negatives")
+        holders = written(proposed.groupBy("nid").agg(F.min("pid").alias("holder")), "negatives")
+        refused = not proposed.join(holders, "nid").where("pid > holder").isEmpty()
+        # the settled part of a positive in want of more is right as it is, so wider circles can wait until nobody is refused
+        if refused:
+            continue
+        have = proposed.groupBy("pid").agg(F.count("*").alias("_have"))
+        short = asking.join(have.withColumnRenamed("pid", "det_id"), "det_id", "left").where((F.coalesce("_have", F.lit(0)) < k) & (F.col("_class") < widest)).drop("_have")
+        if short.isEmpty():
+            break
+        wider = written(short.withColumn("_class", F.col("_class") + 1), "negatives")
+        asking = written(asking.join(wider.select("det_id"), "det_id", "left_anti").unionByName(wider.select(asking.columns)), "negatives")
+        pairs = written(pairs.join(wider.select(F.col("det_id").alias("pid")), "pid", "left_anti").unionByName(candidates(wider)), "negatives")
+    full = have.where(F.col("_have") == k).select("pid")
+    return proposed.join(full, "pid", "left_semi").select(F.col("pid").alias("positive_id"), F.col("nid").alias("negative_id"))
 
 
 def fit_linear_separator(df, x, y, quantile=0.95, positive_weight=10.0):
     """(slope, offset): weighted least squares with squared weights, shifted so that the given share of positives lies above.
 
-    Sums give the line in one pass; the shift is the (1 - quantile) percentile of the
-    residuals of the positives below the line.
+    Sums give the line in one pass; the shift is the (1 - quantile) quantile of the residuals
+    of the positives below the line, found by counting.
     """
+    from skycat.operators.quantiles import exact_quantiles
+
     w = F.when(F.col(y) == 1, positive_weight * positive_weight).otherwise(1.0)
     v = F.col("v")
     s = df.agg(F.sum(w).alias("w"), *(F.sum(w * e).alias(n) for n, e in (("sx", F.col(x)), ("sv", v), ("sxx", F.col(x) * F.col(x)), ("sxv", F.col(x) * v))))
     line = s.select(((F.col("w") * F.col("sxv") - F.col("sx") * F.col("sv")) / (F.col("w") * F.col("sxx") - F.col("sx") * F.col("sx"))).alias("slope"), "sx", "sv", "w").select("slope", ((F.col("sv") - F.col("slope") * F.col("sx")) / F.col("w")).alias("offset"))
+    line = written(line, "separator")
     residual = v - F.col("slope") * F.col(x) - F.col("offset")
-    # the line is one row
-    low = df.where(F.col(y) == 1).crossJoin(F.broadcast(line)).where(residual < 0).agg(F.percentile(residual, 1 - quantile).alias("shift"))
-    return line.crossJoin(F.broadcast(low)).select("slope", (F.col("offset") + F.coalesce("shift", F.lit(0.0))).alias("offset"))
+    # the line is one row, and so is the shift
+    low = df.where(F.col(y) == 1).crossJoin(F.broadcast(line)).select(residual.alias("_r")).where("_r < 0")
+    shift = exact_quantiles(low, [], "_r", {"shift": 1 - quantile})
+    return line.join(shift, how="left").select("slope", (F.col("offset") + F.coalesce("shift", F.lit(0.0))).alias("offset"))
 
 
 def axis_ratio_pca(df, keys, x="x", y="y"):

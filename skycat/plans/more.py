@@ -196,6 +196,20 @@ def cross_band_catalog(spark, d):
     return out.select("component", "lsb", "id_known", "det_id_r", "det_id_g", "det_id_i", "tile_x", "tile_y", F.col("unique_id").cast("long").alias("unique_id"), *rounded)
 
 
-@query()
+_PREFS = ", ng as (select * from D where coalesce(lsb,0) <> 1), ps as (select det_id, tile_x, tile_y, ra, dec, row_number() over (partition by tile_x, tile_y order by det_id) as step from D where lsb=1), pf as (select p.tile_x, p.tile_y, p.step, p.det_id as pid, list(n.det_id order by (n.ra-p.ra)*(n.ra-p.ra)+(n.dec-p.dec)*(n.dec-p.dec), n.det_id) as prefs from ps p join ng n using (tile_x, tile_y) group by all), pr as (select tile_x, tile_y, pid, prefs, row_number() over (partition by tile_x, tile_y order by step) as step from pf)"
+_CHAIN = " select positive_id, negative_id from (with recursive s(tile_x, tile_y, step, pid, picks, used) as (select tile_x, tile_y, step, pid, prefs[1:{k}], prefs[1:{k}] from pr where step=1 union all select pr.tile_x, pr.tile_y, pr.step, pr.pid, list_filter(pr.prefs, lambda x: not list_contains(s.used, x))[1:{k}], s.used || list_filter(pr.prefs, lambda x: not list_contains(s.used, x))[1:{k}] from s join pr on pr.tile_x=s.tile_x and pr.tile_y=s.tile_y and pr.step=s.step+1) select pid as positive_id, unnest(picks) as negative_id from s where len(picks)={k})"
+
+
+@query(_PREFS + _CHAIN.format(k=2), ["D"])
 def exclusive_negatives(spark, d):
     return training.exclusive_negatives(fixture(spark, d, "D"), 2)
+
+
+#: A crowded rule: positives are every third row, so that most of them compete and many stay short.
+_CROWD = _PREFS.replace("from D where coalesce(lsb,0) <> 1", "from D where k % 3 <> 0").replace("from D where lsb=1", "from D where k % 3 = 0")
+
+
+@query(_CROWD + _CHAIN.format(k=4), ["D"])
+def exclusive_negatives_crowded(spark, d):
+    crowd = fixture(spark, d, "D").withColumn("lsb", F.when(F.col("k") % 3 == 0, 1.0))
+    return training.exclusive_negatives(crowd, 4)
