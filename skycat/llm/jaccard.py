@@ -2,13 +2,13 @@
 
 Tokens are hashes of word shingles.  Documents of equal token sets are one class.  Every set
 has a prefix, its rarest tokens by a frequency sketch, so long that two sets that are similar
-enough share a token of it.  Classes without a shared prefix token have no partner.  The
-others are partitioned into groups of similar sets (by three minima of their hashes, large
-groups cut to bounded size), and a group links its own members first.  The matrix then holds
-the tokens of a group's prefixes; a query looks its own prefix up there and so finds the
-groups that can hold a partner.  It moves to them, where the overlap with the union of all
-tokens of the group bounds the overlap with each member: a group is opened only if the bound
-reaches what the query needs.
+enough share a certain number of tokens of it.  A class that shares fewer with all others
+together has no partner.  The others are partitioned into groups of similar sets (by three
+minima of their hashes, large groups cut to bounded size), and a group links its own members
+first.  The matrix then holds the tokens of a group's prefixes; a query looks its own prefix
+up there, and their overlap says which groups can hold a partner.  The query moves to them,
+where its overlap with the union of all tokens of the group bounds the overlap with each
+member: a group is opened only if the bound reaches what the query needs.
 
 Sets that are linked already are not compared again: a matrix row, a query or a group whose
 labels agree is dropped, for nothing new can come from it.  In the first round only one
@@ -27,7 +27,7 @@ no rows give no rows.  ``docs`` is read three times, so write it down first if i
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skycat.llm.common import bucketed, written
@@ -37,12 +37,18 @@ from skycat.operators.components import connected_components
 WIDTH, PERCENT = 4, 85
 #: Counters of the sketch, bits of the filter, and slots that one row of either holds.
 SLOTS, FILTER, ROW = 1 << 22, 1 << 24, 1 << 12
-#: A task reports a counter from so many occurrences on, and remembers so many sets that it has passed on.
-OFTEN, KNOWN = 3, 200_000
+#: A task reports counters by so many above their mean and two deviations, and remembers so many sets that it has passed on.
+OFTEN, KNOWN = 2, 200_000
+#: Bytes that are hashed at once.
+CHUNK = 1 << 20
+#: A prefix is longer by one of so many tokens than a first shared token asks for, so that more tokens than one must be shared.
+LONGER = 10
 #: Members, queries and tokens of a block.
 MEMBERS, QUERIES, TOKENS = 128, 512, 1 << 18
 #: Tokens that one part of the token range holds.
 PART_TOKENS = 1 << 22
+#: Rounds that drop classes with too few shared tokens, and tokens that are not shared then.
+THINNED = 2
 #: Rounds in which one class of each label asks.
 LEADERS = 1
 
@@ -55,25 +61,91 @@ def _mix(h):
     return h ^ (h >> np.uint64(31))
 
 
-def tokens(text: str | None, width: int = WIDTH):
-    """Sorted distinct 64-bit hashes of the word shingles; words are hashed once each and mixed in order."""
-    import numpy as np
-    import xxhash
+class Shingles:
+    """Sorted distinct 64-bit hashes of the word shingles of many texts, a chunk of texts at a time.
+
+    A byte has a random 64-bit value (the same for both cases of an ASCII letter), a word the
+    sum of its bytes' values times powers of an odd number, taken from running sums and
+    brought to the word's start; shingles mix the words in order.
+    """
+
+    def __init__(self, width: int = WIDTH):
+        import numpy as np
+
+        draw = np.random.default_rng(4)
+        value = draw.integers(1, 2**63, 256, np.uint64)
+        value[65:91] = value[97:123]
+        self.space = np.zeros(256, bool)
+        self.space[[32, 9, 10, 11, 12, 13]] = True
+        value[self.space] = 0
+        self.value, self.width, self.odd = value, width, 0x9E3779B97F4A7C15
+        self.powers = self.inverse = np.ones(1, np.uint64)
+
+    def _grow(self, n):
+        import numpy as np
+
+        if len(self.powers) < n:
+            n = max(n, CHUNK + 1)
+            each = np.full(n, self.odd, np.uint64)
+            back = np.full(n, pow(self.odd, -1, 1 << 64), np.uint64)
+            each[0] = back[0] = 1
+            self.powers, self.inverse = np.cumprod(each), np.cumprod(back)
+
+    def of(self, texts):
+        """One array for each text, in order."""
+        texts = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+        at = 0
+        while at < len(texts):
+            end, size = at + 1, len(texts[at])
+            while end < len(texts) and size + len(texts[end]) < CHUNK:
+                size += len(texts[end]) + 1
+                end += 1
+            yield from self._chunk(texts[at:end])
+            at = end
+
+    def _chunk(self, texts):
+        import numpy as np
 
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if len(words) < width:
-        return np.array([xxhash.xxh64_intdigest(b" ".join(words), width)] if words else [], np.uint64)
-    each = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-    n = len(words) - width + 1
-    h = _mix(each[:n])
-    for k in range(1, width):
-        h = _mix(h + each[k : k + n])
-    return np.unique(h)
+        raw = np.frombuffer(b" ".join([b"", *texts, b""]), np.uint8)
+        self._grow(len(raw))
+        blank = self.space[raw]
+        sums = np.cumsum(self.value[raw] * self.powers[: len(raw)])
+        turns = np.flatnonzero(blank[1:] != blank[:-1])
+        starts, ends = turns[0::2] + 1, turns[1::2]
+        words = _mix((sums[ends] - sums[starts - 1]) * self.inverse[starts])
+        # the words of text i are words[first[i] : first[i + 1]]
+        first = np.searchsorted(starts, np.cumsum([1, *(len(t) + 1 for t in texts)]))
+        k = self.width
+        n = max(0, len(words) - k + 1)
+        every = _mix(words[:n])
+        for j in range(1, k):
+            every = _mix(every + words[j : j + n])
+        for a, b in zip(first[:-1], first[1:]):
+            if b - a >= k:
+                h = np.sort(every[a : b - k + 1])
+                yield h[np.append(True, h[1:] != h[:-1])]
+            elif b > a:  # fewer words than a shingle: the whole sequence, seeded by its length
+                h = np.array([b - a], np.uint64)
+                for w in words[a:b]:
+                    h = _mix(h + w)
+                yield h
+            else:
+                yield words[:0]
 
 
 def needed(n, percent: int = PERCENT):
     """Tokens that a set of n tokens shares with every partner, at least."""
-    return (percent * n + 99) // 100
+    return F.floor((percent * n + 99) / 100) if isinstance(n, Column) else (percent * n + 99) // 100
+
+
+def met(n, percent: int = PERCENT):
+    """Tokens of its prefix that a set of n tokens shares with the prefix of every partner, at least.
+
+    The prefix leaves out needed(n) - 1 - n // LONGER tokens, the last ones in the common
+    order.  So of the needed(n) shared tokens 1 + n // LONGER at least are in the shorter of
+    two prefixes, and a partner has needed(n) tokens itself.
+    """
+    return 1 + (F.floor(needed(n, percent) / LONGER) if isinstance(n, Column) else needed(n, percent) // LONGER)
 
 
 def described(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -86,18 +158,20 @@ def described(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         draw = np.random.default_rng(13)
         masks = draw.integers(0, 2**64, 3, np.uint64)
         factors = draw.integers(0, 2**63, 3, np.uint64) * np.uint64(2) + np.uint64(1)
-        count = np.zeros(SLOTS, np.uint32)
+        count, total = np.zeros(SLOTS, np.uint32), 0
+        shingles = Shingles(width)
         for pdf in batches:
             rows = []
-            for text in pdf.text:
-                t = tokens(text, width)
+            for t in shingles.of(pdf.text):
                 least = b"".join(((t ^ m) * f).min().tobytes() for m, f in zip(masks, factors)) if len(t) else b""
                 rows.append((xxhash.xxh128_digest(t.tobytes()), len(t), xxhash.xxh64_intdigest(least) - 2**63))
                 np.add.at(count, (t % np.uint64(SLOTS)).astype(np.int64), np.uint32(1))
+                total += len(t)
             out = pd.DataFrame(rows, columns=["digest", "n", "family"])
             out.insert(1, "doc_id", pdf.doc_id.astype("Int64"))
             yield out.assign(slot=pd.array([pd.NA] * len(out), "Int32"), seen=pd.array([pd.NA] * len(out), "Int64"))
-        often = np.flatnonzero(count >= OFTEN)
+        mean = total / SLOTS
+        often = np.flatnonzero(count > OFTEN + mean + 2 * mean**0.5)
         for at in range(0, len(often), 100_000):
             part = often[at : at + 100_000]
             yield pd.DataFrame({"digest": None, "doc_id": pd.array([pd.NA] * len(part), "Int64"), "n": pd.array([pd.NA] * len(part), "Int64"), "family": pd.array([pd.NA] * len(part), "Int64"), "slot": part, "seen": count[part]})
@@ -145,16 +219,15 @@ def prefixes(docs: DataFrame, rarity, width: int = WIDTH, percent: int = PERCENT
         import numpy as np
         import xxhash
 
-        known, rare = set(), shared.value
+        known, rare, shingles = set(), shared.value, Shingles(width)
         for pdf in batches:
             rows = []
-            for text in pdf.text:
-                t = tokens(text, width)
+            for t in shingles.of(pdf.text):
                 digest = xxhash.xxh128_digest(t.tobytes())
                 if not len(t) or digest in known:
                     continue
                 known.add(digest)
-                keep = len(t) - needed(len(t), percent) + 1
+                keep = len(t) - needed(len(t), percent) + 1 + len(t) // LONGER
                 # rare first, then by hash: one order for all sets
                 order = (rare[t % np.uint64(SLOTS)].astype(np.uint64) << np.uint64(56)) | (t >> np.uint64(8))
                 rows.append((digest, keep, t[np.argsort(order, kind="stable")[:keep]].tobytes()))
@@ -233,11 +306,10 @@ def sets_of(docs: DataFrame, bits, width: int = WIDTH) -> DataFrame:
     def run(batches):
         import xxhash
 
-        known, held = set(), shared.value
+        known, held, shingles = set(), shared.value, Shingles(width)
         for pdf in batches:
             rows = []
-            for text in pdf.text:
-                t = tokens(text, width).tobytes()
+            for t in map(bytes, shingles.of(pdf.text)):
                 digest = xxhash.xxh128_digest(t)
                 at = int.from_bytes(digest[:3], "big")
                 if t and (held[at >> 3] >> (at & 7)) & 1 and digest not in known:
@@ -314,10 +386,12 @@ def qualifying(postings: DataFrame, leaders: bool, percent: int = PERCENT) -> Da
     queries = postings.select("token", F.col("cid").alias("q"), F.col("grp").alias("q_grp"), F.col("label").alias("q_label"), F.col("n").alias("q_n"))
     if leaders:
         queries = queries.where("q = q_label")
-    met = queries.join(rows, "token").where(F.expr(f"not (lo = hi and lo = q_label) and grp <> q_grp and 100 * q_n >= {percent} * least and 100 * most >= {percent} * q_n"))
+    found = queries.join(rows, "token").where(F.expr(f"not (lo = hi and lo = q_label) and grp <> q_grp and 100 * q_n >= {percent} * least and 100 * most >= {percent} * q_n"))
     # later each pair is asked by its first class only
-    met = met if leaders else met.where("last > q")
-    return met.groupBy("q", "grp").agg(F.first("q_grp").alias("q_grp"), F.first("q_n").alias("q_n"))
+    found = found if leaders else found.where("last > q")
+    # the tokens shared with the group's prefixes bound those shared with one of its members
+    counted = found.groupBy("q", "grp").agg(F.first("q_grp").alias("q_grp"), F.first("q_n").alias("q_n"), F.count("*").alias("tokens"))
+    return counted.where(F.col("tokens") >= met(F.col("q_n"), percent)).drop("tokens")
 
 
 def opened_links(pairs: DataFrame, members: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -366,10 +440,14 @@ def class_labels(docs: DataFrame, classes: DataFrame, seen: DataFrame, width: in
     held = written(prefixes(docs, sketch(seen), width, percent).withColumn("uid", F.monotonically_increasing_id()), "prefixes")
     rows = written(shared_tokens(held), "shared-tokens")
     uids = held.select("uid", "digest").join(classes.select("digest", "cid"), "digest").select("uid", "cid")
-    rows = written(rows.join(uids, "uid").select("token", "cid"), "token-classes")
-    # copies of one set in several tasks share their tokens with themselves only
-    common = rows.groupBy("token").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("lo < hi").select("token")
-    found = written(rows.join(common, "token").distinct(), "shared-tokens")
+    found = written(rows.join(uids, "uid").select("token", "cid").distinct(), "token-classes")
+    for _ in range(THINNED):
+        # copies of one set in several tasks share their tokens with themselves only
+        common = found.groupBy("token").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("lo < hi").select("token")
+        shared = found.join(common, "token")
+        # the tokens that a class shares with all others bound those that it shares with one
+        able = shared.groupBy("cid").agg(F.count("*").alias("tokens")).join(classes, "cid").where(F.col("tokens") >= met(F.col("n"), percent)).select("cid")
+        found = written(shared.join(able, "cid", "left_semi"), "shared-tokens")
     partnered = written(groups(classes.join(found.select("cid").distinct(), "cid", "left_semi")), "jaccard-groups")
     sets = sets_of(docs, filter_bits(partnered.select("digest")), width).join(partnered, "digest").dropDuplicates(["digest"])
     members = bucketed(sets.select("cid", "grp", "several", "tokens"), "grp", "group-sets")
