@@ -2,8 +2,8 @@
 
 Documents are cut into pieces of at most ``limit`` tokens; only the histogram of piece
 lengths (at most ``limit`` entries) reaches the driver.  Lengths are placed longest first,
-each into the packing pattern with the least room that still holds it; patterns are
-counted, never listed one sequence at a time.  The plan joins back to the pieces by their
+each into the shortest pack so far; patterns are counted, never listed one sequence at a
+time.  The plan joins back to the pieces by their
 rank within a length.
 
 Defined cases: null text packs as the end id alone; repeated ids stay separate rows; no
@@ -58,33 +58,32 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = END_ID, limit: i
 
 
 def shortest_pack_first(histogram: dict[int, int], limit: int = LIMIT) -> list[tuple[int, tuple[int, ...]]]:
-    """[(count, lengths)] of packing patterns, lengths placed longest first."""
+    """[(count, lengths)] of packing patterns: lengths longest first, each into the shortest pack, the one with the most room.
+
+    A length opens new packs only when not even the shortest pack holds it.  All packs of one
+    room are alike, so whole counts of a pattern move at once; a pack that has received a
+    length has less room and stands behind the others until its turn comes again.
+    """
     open_patterns: dict[int, dict[tuple[int, ...], int]] = defaultdict(dict)  # room left -> pattern -> count
     for length in sorted(histogram, reverse=True):
         left = histogram[length]
-        # a pattern that has just received this length may receive it again
-        room = length
-        while left and room < limit:
-            choices = open_patterns.get(room)
-            if not choices:
-                room += 1
-                continue
-            pattern, count = choices.popitem()
+        while left:
+            room = max((r for r, choices in open_patterns.items() if choices), default=0)
+            if room < length:
+                # a new pack is the only one with room: it takes the length until it is full
+                full, rest = divmod(left, limit // length)
+                for count, times in ((full, limit // length), (1, rest)):
+                    if count and times:
+                        new = open_patterns[limit - length * times]
+                        new[(length,) * times] = new.get((length,) * times, 0) + count
+                break
+            pattern, count = open_patterns[room].popitem()
             used = min(left, count)
             if used < count:
-                choices[pattern] = count - used
-            longer = pattern + (length,)
+                open_patterns[room][pattern] = count - used
             target = open_patterns[room - length]
-            target[longer] = target.get(longer, 0) + used
+            target[pattern + (length,)] = target.get(pattern + (length,), 0) + used
             left -= used
-            room = min(room, max(length, room - length)) if room - length >= length else room
-        fits = max(1, limit // length)
-        full, rest = divmod(left, fits)
-        for count, times in ((full, fits), (1 if rest else 0, rest)):
-            if count:
-                pattern = (length,) * times
-                bucket = open_patterns[limit - length * times]
-                bucket[pattern] = bucket.get(pattern, 0) + count
     return [(count, pattern) for room in sorted(open_patterns) for pattern, count in sorted(open_patterns[room].items())]
 
 

@@ -13,7 +13,7 @@ import pytest
 from conftest import DATA
 from test_oracles import rows
 
-from skycat.llm import importance, jaccard, queries, spelling
+from skycat.llm import importance, jaccard, packing, queries, spelling
 
 
 @pytest.fixture(scope="module")
@@ -171,3 +171,31 @@ def test_components_by_brute_force(spark, monkeypatch, members, tokens):
 
 def test_jaccard_of_empty_table(spark):
     assert jaccard.jaccard_components(docs(spark, ["x"]).limit(0)).count() == 0
+
+
+# --- packing rule ----------------------------------------------------------------------
+def one_by_one(histogram, limit):
+    """Loads of packs when every length, longest first, goes into the shortest pack that exists, or a new one if that has no room."""
+    packs = []
+    for length in sorted(histogram, reverse=True):
+        for _ in range(histogram[length]):
+            shortest = min(range(len(packs)), key=packs.__getitem__, default=None)
+            if shortest is None or packs[shortest] + length > limit:
+                packs.append(length)
+            else:
+                packs[shortest] += length
+    return sorted(packs)
+
+
+def test_shortest_pack_takes_the_length():
+    assert packing.shortest_pack_first({1500: 1, 1000: 1, 300: 1}) == [(1, (1000, 300)), (1, (1500,))][::-1]
+    assert packing.shortest_pack_first({}) == []
+    for seed in range(100):
+        draw = random.Random(seed)
+        histogram = {draw.randint(1, 2048 if seed % 2 else 300): draw.randint(1, 30) for _ in range(draw.randint(1, 30))}
+        patterns = packing.shortest_pack_first(histogram)
+        assert sorted(sum(p) for n, p in patterns for _ in range(n)) == one_by_one(histogram, 2048)
+        placed = Counter()
+        for n, p in patterns:
+            placed.update({length: n * times for length, times in Counter(p).items()})
+        assert placed == histogram
