@@ -24,9 +24,16 @@ def tiles_containing(points, available, id_col):
 
 
 def assign_tile(points, available, id_col):
-    """The nearest such tile of each point; points in none keep NULL."""
-    best = tiles_containing(points, available, id_col).groupBy(id_col).agg(F.min(F.struct(F.round("sep", 6).alias("sep"), "x", "y")).alias("b"))
-    return points.join(best, id_col, "left").select(*points.columns, "b.x", "b.y")
+    """The nearest such tile of each point, with the point's pixel there (1-based) and, if available tiles name bands, their bands and number.
+
+    Points in none keep NULL.  ``available`` has x and y, and one row for each band or none.
+    """
+    best = tiles_containing(points, available, id_col).groupBy(id_col).agg(F.min(F.struct(F.round("sep", 6).alias("sep"), "x", "y", "px", "py")).alias("b"))
+    out = points.join(best, id_col, "left").select(*points.columns, "b.x", "b.y", "b.px", "b.py")
+    if "band" not in available.columns:
+        return out
+    bands = available.groupBy("x", "y").agg(F.sort_array(F.collect_set("band")).alias("bands")).withColumn("n_bands", F.size("bands"))
+    return out.join(bands, ["x", "y"], "left")
 
 
 def known_in_footprint(known, available, id_col):

@@ -9,41 +9,64 @@ from skycat.operators.footprint import tiles_containing
 from skycat.operators.match import attach_redshift, nearest_match, radius_join, scored_match
 
 
-def label_known(det: DataFrame, known: DataFrame, zcat: DataFrame | None = None, det_id: str = "det_id", known_id: str = "id") -> DataFrame:
+def label_known(det: DataFrame, known: DataFrame, zcat: DataFrame | None = None, det_id: str = "det_id", known_id: str = "id", keys=(), by=()) -> DataFrame:
     """Detections with ``lsb`` 1 and ``id_known`` where a known object chose them, and the redshift of ``zcat``.
 
-    Of several objects that chose one detection the best-scored gives the id, then the least id.
+    Of several objects that chose one detection the best-scored gives the id, then the least
+    id.  With ``keys`` (a tile) objects choose among the detections of their tile only, and
+    with ``by`` (a band) in each band by itself.
     """
     plain = det.drop("lsb", "id_known", *(["zspec"] if zcat is not None else []))
-    chosen = scored_match(known, plain, known_id, det_id)
+    chosen = scored_match(known, plain, known_id, det_id, keys=keys, by=by)
     best = chosen.groupBy(det_id).agg(F.min(F.struct((-F.col("score")).alias("s"), "known_id"))["known_id"].alias("id_known"))
     out = plain.join(best, det_id, "left").withColumn("lsb", F.when(F.col("id_known").isNotNull(), 1.0))
-    return out if zcat is None else attach_redshift(out, zcat, det_id, "id")
+    return out if zcat is None else attach_redshift(out, zcat, det_id, "id", by=by)
 
 
-def known_status(det: DataFrame, det_full: DataFrame, known: DataFrame, corrupted: DataFrame | None = None, det_id: str = "det_id", known_id: str = "id") -> DataFrame:
-    """(id, matched, corrupted, recovered) per known object.
+def placed_known(known: DataFrame, det: DataFrame, known_id: str = "id") -> DataFrame:
+    """The known objects once for every tile of the detections whose footprint holds them, neighbours' objects included."""
+    tiles = det.select(F.col("tile_x").alias("x"), F.col("tile_y").alias("y")).distinct()
+    held = tiles_containing(known, tiles, known_id).select(F.col(known_id), F.col("x").alias("tile_x"), F.col("y").alias("tile_y"))
+    return known.drop("tile_x", "tile_y").join(held, known_id)
+
+
+#: Columns of a tile, and of a tile in one band.
+TILE, IMAGE = ("tile_x", "tile_y"), ("tile_x", "tile_y", "band")
+
+
+def label_images(det: DataFrame, known: DataFrame, zcat: DataFrame | None = None, det_id: str = "det_id", known_id: str = "id") -> DataFrame:
+    """label_known by tile and band, with the known objects of each tile's whole footprint."""
+    return label_known(det, placed_known(known, det, known_id), zcat, det_id, known_id, keys=TILE, by=("band",))
+
+
+def known_status(det: DataFrame, det_full: DataFrame, known: DataFrame, corrupted: DataFrame | None = None, det_id: str = "det_id", known_id: str = "id", images: bool = False) -> DataFrame:
+    """(id, matched, corrupted, recovered) per known object, or per object, tile and band.
 
     ``recovered``: not matched, but found among the unfiltered detections.  ``corrupted`` (id,
-    corrupted) says which unmatched objects lie on bad image regions.
+    corrupted) says which unmatched objects lie on bad image regions; by image it has the
+    tile and band too.  By image, an object counts on every tile whose footprint holds it, in
+    all bands that the unfiltered detections have there.
     """
-    ids = known.select(F.col(known_id).alias("known_id")).distinct()
-    hit = lambda df, rows, name: scored_match(rows, df, known_id, det_id).select("known_id", F.lit(True).alias(name))
-    matched = hit(det, known, "matched")
-    rest = known.join(matched, known[known_id] == matched.known_id, "left_anti")
-    out = ids.join(matched, "known_id", "left").join(hit(det_full, rest, "recovered"), "known_id", "left")
-    bad = None if corrupted is None else corrupted.select(F.col(known_id).alias("known_id"), F.col("corrupted").alias("bad"))
-    out = out.withColumn("bad", F.lit(False)) if bad is None else out.join(bad, "known_id", "left")
+    one, keys, by = ["known_id", *(IMAGE if images else ())], TILE if images else (), ("band",) if images else ()
+    rows = placed_known(known, det_full, known_id) if images else known
+    ids = rows.select(F.col(known_id).alias("known_id"), *keys).distinct()
+    if images:
+        ids = ids.join(det_full.select(*IMAGE).distinct(), list(TILE))
+    hit = lambda df, name: scored_match(rows, df, known_id, det_id, keys=keys, by=by).select(*one, F.lit(True).alias(name))
+    out = ids.join(hit(det, "matched"), one, "left").join(hit(det_full, "found"), one, "left")
+    bad = None if corrupted is None else corrupted.withColumnRenamed(known_id, "known_id").withColumnRenamed("corrupted", "bad").select(*one, "bad")
+    out = out.withColumn("bad", F.lit(False)) if bad is None else out.join(bad, one, "left")
     no = F.lit(False)
-    return out.select("known_id", F.coalesce("matched", no).alias("matched"), (F.coalesce("bad", no) & F.col("matched").isNull()).alias("corrupted"), F.coalesce("recovered", no).alias("recovered"))
+    free = F.col("matched").isNull()
+    return out.select(*one, F.coalesce("matched", no).alias("matched"), (F.coalesce("bad", no) & free).alias("corrupted"), (F.coalesce("found", no) & free).alias("recovered"))
 
 
-def match_stats(status: DataFrame) -> DataFrame:
-    """Known, matched, corrupted, recovered and unmatched objects; unmatched counts those found nowhere and the corrupted ones."""
+def match_stats(status: DataFrame, by=()) -> DataFrame:
+    """Known, matched, corrupted, recovered and unmatched objects, in all or by tile and band; unmatched counts those found nowhere and the corrupted ones."""
     n = lambda c: F.count_if(c)
     m, bad, again = F.col("matched"), F.col("corrupted"), F.col("recovered")
-    c = status.agg(F.count("*").alias("known"), n(m).alias("matched"), n(bad).alias("corrupted"), n(again).alias("recovered"), n(~m & ~again).alias("lost"), n(~m & ~bad).alias("clean"))
-    return c.select("known", "matched", "corrupted", "recovered", F.when(F.col("clean") > 0, F.col("lost") + F.col("corrupted")).otherwise(F.col("corrupted")).alias("unmatched"))
+    c = status.groupBy(*by).agg(F.count("*").alias("known"), n(m).alias("matched"), n(bad).alias("corrupted"), n(again).alias("recovered"), n(~m & ~again).alias("lost"), n(~m & ~bad).alias("clean"))
+    return c.select(*by, "known", "matched", "corrupted", "recovered", F.when(F.col("clean") > 0, F.col("lost") + F.col("corrupted")).otherwise(F.col("corrupted")).alias("unmatched"))
 
 
 def match_rate(matched: DataFrame, tile=("tile_x", "tile_y")) -> DataFrame:

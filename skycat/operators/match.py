@@ -63,31 +63,37 @@ def radius_pairs(df, max_sep, id_col, cross=None, keys=(), inclusive=False):
     return pairs.select(F.col(f"l.{id_col}").alias("u"), F.col(f"r.{id_col}").alias("v"), "sep")
 
 
-def scored_match(known, det, known_id, det_id, max_sep=15.0, k=3.0):
-    """Best-scoring detection of each known object within max(max_sep, k re).
+def scored_match(known, det, known_id, det_id, max_sep=15.0, k=3.0, keys=(), by=()):
+    """Best-scoring detection of each known object within max(max_sep, k re); ties go to the least id, of whatever type.
 
-    NULL, infinite and negative sizes count as none.  Objects are dealt to radius classes (powers of two), so that one huge radius does not
-    widen the grid of all others.
+    ``keys`` are columns of both tables that must agree (a tile), ``by`` columns of the
+    detections that are matched each by itself (a band): both join the result.  NULL,
+    infinite and negative sizes count as none.  Objects are dealt to radius classes (powers
+    of two), so that one huge radius does not widen the grid of all others.
     """
     radius = F.greatest(F.lit(float(max_sep)), F.when((F.col("re") > 0) & (F.col("re") < float("inf")), k * F.col("re")))
     sized = known.withColumn("radius", radius).withColumn("size_class", F.greatest(F.lit(0), F.ceil(F.log2(F.col("radius") / max_sep))).cast("int"))
     classes = [r[0] for r in sized.select("size_class").distinct().collect()]  # a handful of powers of two
     pairs = None
     for c in classes or [0]:
-        part = radius_join(sized.where(F.col("size_class") == c), det, max_sep * 2**c).where(F.col("sep") <= F.col("l.radius"))
+        part = radius_join(sized.where(F.col("size_class") == c), det, max_sep * 2**c, keys=tuple(keys)).where(F.col("sep") <= F.col("l.radius"))
         pairs = part if pairs is None else pairs.unionByName(part)
-    flat = pairs.select(F.col(f"l.{known_id}").alias("known_id"), F.col("l.radius").alias("radius"), F.col(f"r.{det_id}").alias("det_id"), F.col("r.mu").alias("mu"), F.col("r.n_pix").alias("n_pix"), "sep")
-    tops = flat.groupBy("known_id").agg(F.max("mu").alias("top_mu"), F.max("n_pix").alias("top_pix"))
+    one = ["known_id", *keys, *by]
+    flat = pairs.select(F.col(f"l.{known_id}").alias("known_id"), *(F.col(f"r.{c}").alias(c) for c in (*keys, *by)), F.col("l.radius").alias("radius"), F.col(f"r.{det_id}").alias("det_id"), F.col("r.mu").alias("mu"), F.col("r.n_pix").alias("n_pix"), "sep")
+    tops = flat.groupBy(*one).agg(F.max("mu").alias("top_mu"), F.max("n_pix").alias("top_pix"))
     score = 0.2 * F.col("mu") / F.col("top_mu") + 0.4 * F.log1p("n_pix") / F.log1p("top_pix") + 0.4 * (1 - F.col("sep") / F.col("radius"))
-    best = F.max(F.struct(F.round(score, 9).alias("s"), (-F.col("det_id")).alias("neg"), "sep"))
-    return flat.join(tops, "known_id").groupBy("known_id").agg(best.alias("b")).select("known_id", (-F.col("b.neg")).alias("det_id"), F.col("b.s").alias("score"), F.col("b.sep").alias("sep"))
-
-
-def attach_redshift(det, zcat, det_id, z_id, max_sep=5.0):
-    """Detections with the zspec of the nearest catalog row that chose them."""
-    chosen = nearest_match(zcat, det, max_sep, z_id, det_id).withColumnRenamed("left_id", "z").withColumnRenamed("right_id", "d")
-    best = chosen.groupBy("d").agg(F.min(F.struct("sep", "z")).alias("b")).select("d", F.col("b.z").alias("z"))
-    values = best.join(zcat.select(F.col(z_id).alias("z"), "zspec"), "z").select("d", "zspec")
+    score = F.round(score, 9)
+    best = F.min(F.struct(score.isNull().alias("none"), (-score).alias("s"), "det_id", "sep"))
+    return flat.join(tops, one).groupBy(*one).agg(best.alias("b")).select(*one, "b.det_id", (-F.col("b.s")).alias("score"), F.col("b.sep").alias("sep"))
+
+
+def attach_redshift(det, zcat, det_id, z_id, max_sep=5.0, by=()):
+    """Detections with the zspec of the nearest catalog row that chose them; a catalog row chooses one detection, or one for each ``by`` (a band)."""
+    pairs = radius_join(zcat, det, max_sep, False)
+    best = F.min(F.struct("sep", F.col(f"r.{det_id}").alias("d")))
+    chosen = pairs.groupBy(F.col(f"l.{z_id}").alias("z"), *(F.col(f"r.{c}").alias(c) for c in by)).agg(best.alias("b"))
+    near = chosen.groupBy("b.d").agg(F.min(F.struct("b.sep", "z")).alias("n")).select("d", F.col("n.z").alias("z"))
+    values = near.join(zcat.select(F.col(z_id).alias("z"), "zspec"), "z").select("d", "zspec")
     return det.join(values, det[det_id] == F.col("d"), "left").drop("d")
 
 

@@ -52,3 +52,20 @@ def first_pass_cuts(df, mu_limit=22.0, re_limit=1.6):
     """Surface brightness, size and streak cuts of the first pass."""
     top = F.when(F.col("band") == "i", 46.0).otherwise(55.0)
     return df.where((F.col("mu") > mu_limit) & (F.col("re_arcsec") > re_limit) & (F.col("re_arcsec") < top) & ((F.col("axis_ratio") >= 0.17) | (F.col("n_pix") <= 1000)))
+
+
+#: Relations of the extended first pass by band (ANSI SQL, valid in both engines).
+EXTENDED = {
+    "r": ["mu > 0.6060e0*mag + 11.6293e0", "mu_max < 1.2e10*exp(0.84e0*mag)", "r_90 < 12e0*r_10 + 20e0", "r_90 < 3e0*re_arcsec + 9e0", "mu_median < 4e0*re_arcsec + 4e0", "mu_median < 4e0*r_10 + 12e0", "mu_median < 0.3e0*r_90 + 15e0", "mu_max < 120e0*r_90 + 650e0"],
+    "g": ["mu > 0.6981e0*mag + 8.7072e0", "mu_max < -20e0*mag + 500e0", "r_90 > 4.3025e0*r_10 - 1.5e0", "r_90 < 1.9e0*re_arcsec + 3.5e0", "mu_median < 0.15e0*re_arcsec + 3.3e0", "mu_median < 3e0*r_10 + 1e0", "mu_median < 0.08e0*r_90 + 3.5e0", "mu_max < 14e0*r_90 + 20e0"],
+    "i": ["mu > 0.5864e0*mag + 11.9705e0", "mu_max < 5593.3712e0/(1e0 + exp(0.9174e0*(mag - 16.1930e0))) + 200e0", "r_90 < 12e0*r_10 + 3e0", "r_90 < 3e0*re_arcsec + 3.8e0", "mu_median < 2e0*re_arcsec + 8e0", "mu_median < 4e0*r_10 + 12e0", "mu_median < 4e0*r_90 + 9.5e0", "mu_max < 35e0*r_90 + 100e0", "r_25 < 2.5e0*r_10 + 1e0"],
+}
+
+
+def first_pass_extended(df, mu_limit=22.0, re_limit=1.6):
+    """The first pass and its optional relations between features; bands without a set give none."""
+    long_names = "r_10_arcsec" in df.columns
+    text = lambda b: " and ".join(EXTENDED[b])
+    named = lambda b: re.sub(r"\b(r_[0-9]+)\b", r"\1_arcsec", text(b)) if long_names else text(b)
+    passed = reduce(lambda a, b: a | b, [(F.col("band") == b) & F.coalesce(F.expr(named(b)), F.lit(False)) for b in EXTENDED])
+    return first_pass_cuts(df, mu_limit, re_limit).where(passed)

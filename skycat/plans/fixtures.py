@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 D = """
 with p as (select p_partkey k, 150e0 + ((p_partkey*7919) % 20011)/10005.5e0 as ra0, 30e0 + ((p_partkey*6101) % 20021)/10010.5e0 as dec0 from part),
 b as (select * from (values (0,'r'),(1,'g'),(2,'i')) v(bi,band)),
@@ -51,9 +53,9 @@ SEP = "(2e0*degrees(asin(sqrt(power(sin(radians({b}.dec-{a}.dec)/2e0),2)+cos(rad
 
 
 def fixture(spark, sf_dir, name):
-    view, sql = SOURCE[name]
-    spark.read.parquet(f"{sf_dir}/{view}.parquet").createOrReplaceTempView(view)
-    return spark.sql(sql)
+    """The rows of a fixture; no view of the caller's session is touched."""
+    table, sql = SOURCE[name]
+    return spark.sql(re.sub(rf"\bfrom {table}\b", f"from {{{table}}}", sql), **{table: spark.read.parquet(f"{sf_dir}/{table}.parquet")})
 
 
 def with_fixtures(*names, body):

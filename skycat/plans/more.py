@@ -8,7 +8,7 @@ from skycat.functions import photometry as ph
 from skycat.functions import tiles
 from skycat.operators import catalog, jobs, labels, metrics, selection, training
 from skycat.plans.fixtures import SEP, fixture
-from skycat.plans.registry import _AVAIL, _MX, BANDS, _available, _matrix, query, r6
+from skycat.plans.registry import _AVAIL, _MX, BANDS, _available, _matrix, _t, query, r6
 
 # --- selection -------------------------------------------------------------------------
 _RT = ", rt as (select *, cast(floor(ra*2e0*cos(radians(dec))) as int) as tile_x, cast(floor((dec+90e0)*2e0) as int) as tile_y from R)"
@@ -60,32 +60,44 @@ def restrict_tiles(spark, d):
 
 # --- labels ----------------------------------------------------------------------------
 def _scored(name, known, det):
-    return f"{name} as (select known_id, det_id, score from (select *, row_number() over (partition by known_id order by score desc, det_id) as rn from (select known_id, det_id, round(0.2e0*mu/tm+0.4e0*ln(1e0+n_pix)/ln(1e0+tp)+0.4e0*(1e0-sep/radius),9) as score from (select *, max(mu) over (partition by known_id) as tm, max(n_pix) over (partition by known_id) as tp from (select k.id as known_id, greatest(15e0, coalesce(3e0*k.re,0e0)) as radius, d.det_id, d.mu, d.n_pix, {SEP.format(a='k', b='d')} as sep from {known} k, {det} d where abs(k.dec-d.dec)<0.02e0) where sep<=radius))) where rn=1)"
+    one = "known_id, tile_x, tile_y, band"
+    return f"{name} as (select {one}, det_id, score from (select *, row_number() over (partition by {one} order by score desc, det_id) as rn from (select {one}, det_id, round(0.2e0*mu/tm+0.4e0*ln(1e0+n_pix)/ln(1e0+tp)+0.4e0*(1e0-sep/radius),9) as score from (select *, max(mu) over (partition by {one}) as tm, max(n_pix) over (partition by {one}) as tp from (select k.id as known_id, d.tile_x, d.tile_y, d.band, greatest(15e0, coalesce(3e0*k.re,0e0)) as radius, d.det_id, d.mu, d.n_pix, {SEP.format(a='k', b='d')} as sep from {known} k join {det} d on d.tile_x=k.tile_x and d.tile_y=k.tile_y where abs(k.dec-d.dec)<0.02e0) where sep<=radius))) where rn=1)"
 
 
-_CUT = ", dr as (select * from D where band='r'), dc as (select * from dr where mu>24e0 and re_arcsec>2e0)"
-_Z = ", zc as (select rid, zspec, sep from (select r.id, d2.det_id as rid, r.ra/1000e0 as zspec, " + SEP.format(a="r", b="d2") + " as sep, row_number() over (partition by r.id order by " + SEP.format(a="r", b="d2") + ", d2.det_id) as k from R r, dc d2 where abs(r.dec-d2.dec)<0.003e0 and " + SEP.format(a="r", b="d2") + "<5e0) where k=1)"
+#: Known objects on every tile whose footprint holds them, and the detections that pass a cut.
+_CUT = _AVAIL + ", pk as (select R.*, tc.x as tile_x, tc.y as tile_y from tc join R using (id)), dc as (select * from D where mu>24e0 and re_arcsec>2e0)"
+_Z = ", zc as (select rid, id, zspec, sep from (select r.id, d2.det_id as rid, r.ra/1000e0 as zspec, " + SEP.format(a="r", b="d2") + " as sep, row_number() over (partition by r.id, d2.band order by " + SEP.format(a="r", b="d2") + ", d2.det_id) as k from R r, dc d2 where abs(r.dec-d2.dec)<0.003e0 and " + SEP.format(a="r", b="d2") + "<5e0) where k=1)"
 
 
 def _cut(spark, d):
-    full = fixture(spark, d, "D").where("band='r'")
+    full = fixture(spark, d, "D")
     return full.where("mu > 24 and re_arcsec > 2"), full
 
 
-@query(_CUT + ", " + _scored("sc", "R", "dc") + _Z + ", l as (select det_id, known_id from (select *, row_number() over (partition by det_id order by score desc, known_id) as rn from sc) where rn=1), z as (select rid, zspec from (select *, row_number() over (partition by rid order by sep) as rn from zc) where rn=1) select dc.det_id, l.known_id as id_known, case when l.known_id is not null then 1e0 end as lsb, z.zspec from dc left join l on dc.det_id=l.det_id left join z on z.rid=dc.det_id", ["R", "D"])
+@query(_CUT + ", " + _scored("sc", "pk", "dc") + _Z + ", l as (select det_id, known_id from (select *, row_number() over (partition by det_id order by score desc, known_id) as rn from sc) where rn=1), z as (select rid, zspec from (select *, row_number() over (partition by rid order by sep, id) as rn from zc) where rn=1) select dc.det_id, l.known_id as id_known, case when l.known_id is not null then 1e0 end as lsb, z.zspec from dc left join l on dc.det_id=l.det_id left join z on z.rid=dc.det_id", ["R", "D"])
 def label_known(spark, d):
     zcat = fixture(spark, d, "R").select("id", "ra", "dec", (F.col("ra") / 1000.0).alias("zspec"))
-    return labels.label_known(_cut(spark, d)[0], fixture(spark, d, "R"), zcat).select("det_id", "id_known", "lsb", "zspec")
+    return labels.label_images(_cut(spark, d)[0], fixture(spark, d, "R"), zcat).select("det_id", "id_known", "lsb", "zspec")
 
 
-_STATUS = _CUT + ", " + _scored("sc", "R", "dc") + ", un as (select * from R where id not in (select known_id from sc)), " + _scored("sf", "un", "dr") + ", st as (select id, id in (select known_id from sc) as matched, id not in (select known_id from sc) and cast(substr(id,2) as int) % 5 = 0 as corrupted, id in (select known_id from sf) as recovered from R)"
+_STATUS = _CUT + ", " + _scored("sc", "pk", "dc") + ", " + _scored("sf", "pk", "D") + ", st as (select b.*, sc.det_id is not null as matched, sc.det_id is null and cast(substr(b.known_id,2) as int) % 5 = 0 as corrupted, sc.det_id is null and sf.det_id is not null as recovered from (select pk.id as known_id, tile_x, tile_y, band from pk join (select distinct tile_x, tile_y, band from D) using (tile_x, tile_y)) b left join sc using (known_id, tile_x, tile_y, band) left join sf using (known_id, tile_x, tile_y, band))"
+_COUNTED = "count(*) as known, count(*) filter (matched) as matched, count(*) filter (corrupted) as corrupted, count(*) filter (recovered) as recovered, case when count(*) filter (not matched and not corrupted) > 0 then count(*) filter (not matched and not recovered) + count(*) filter (corrupted) else count(*) filter (corrupted) end as unmatched from st"
 
 
-@query(_STATUS + " select count(*) as known, count(*) filter (matched) as matched, count(*) filter (corrupted) as corrupted, count(*) filter (recovered) as recovered, case when count(*) filter (not matched and not corrupted) > 0 then count(*) filter (not matched and not recovered) + count(*) filter (corrupted) else count(*) filter (corrupted) end as unmatched from st", ["R", "D"])
+def _status(spark, d):
+    known, (cut, full) = fixture(spark, d, "R"), _cut(spark, d)
+    bad = labels.placed_known(known, full).join(full.select("tile_x", "tile_y", "band").distinct(), ["tile_x", "tile_y"]).select("id", "tile_x", "tile_y", "band", (F.substring("id", 2, 20).cast("int") % 5 == 0).alias("corrupted"))
+    return labels.known_status(cut, full, known, bad, images=True)
+
+
+@query(_STATUS + f" select tile_x, tile_y, band, {_COUNTED} group by tile_x, tile_y, band", ["R", "D"])
 def match_stats(spark, d):
-    known = fixture(spark, d, "R")
-    bad = known.select("id", (F.substring("id", 2, 20).cast("int") % 5 == 0).alias("corrupted"))
-    return labels.match_stats(labels.known_status(*_cut(spark, d), known, bad))
+    return labels.match_stats(_status(spark, d), ("tile_x", "tile_y", "band"))
+
+
+@query(_STATUS + f" select {_COUNTED}", ["R", "D"])
+def match_totals(spark, d):
+    return labels.match_stats(_status(spark, d))
 
 
 @query("select round(avg(n),6) as match_rate, count(*) as tiles from (select tile_x, tile_y, count(*) filter (lsb=1) as n from D group by 1,2)", ["D"])
@@ -213,3 +225,100 @@ _CROWD = _PREFS.replace("from D where coalesce(lsb,0) <> 1", "from D where k % 3
 def exclusive_negatives_crowded(spark, d):
     crowd = fixture(spark, d, "D").withColumn("lsb", F.when(F.col("k") % 3 == 0, 1.0))
     return training.exclusive_negatives(crowd, 4)
+
+
+# --- sources and sinks, read back ------------------------------------------------------
+def _folder(spark, purpose):
+    from skycat.operators.components import shared_folder
+
+    return shared_folder(spark, purpose)
+
+
+@query("select det_id, band, tile_x, tile_y, round(mag,6) as mag from D where band in ('r','i') and (tile_x, tile_y) in (select tile_x, tile_y from D group by all order by tile_x, tile_y limit 5)", ["D"])
+def scan_detections(spark, d):
+    from skycat.sources.tables import scan_detections as scan
+    from skycat.sources.tables import write_by_tile
+
+    path, det = _folder(spark, "detections"), fixture(spark, d, "D").select("det_id", "band", "tile_x", "tile_y", "mag")
+    write_by_tile(det, path, ("tile_x", "tile_y", "band"))
+    some = [(r.tile_x, r.tile_y) for r in det.select("tile_x", "tile_y").distinct().orderBy("tile_x", "tile_y").limit(5).collect()]  # five tiles are asked for
+    return scan(spark, path, bands=["r", "i"], tiles=some).select("det_id", "band", "tile_x", "tile_y", r6("mag").alias("mag"))
+
+
+@query("select id, round(ra,6) as ra, round(dec,6) as dec, round(re,6) as re from R", ["R"])
+def scan_catalog(spark, d):
+    from skycat.sources.tables import scan_catalog as scan
+
+    path = _folder(spark, "catalog")
+    known = fixture(spark, d, "R").select(F.col("id").alias("name"), F.col("ra").alias("RAJ2000"), F.col("dec").alias("DEJ2000"), F.coalesce("re", F.lit(float("nan"))).alias("re"))
+    known.write.csv(path, header=True)
+    out = scan(spark, path, "RAJ2000", "DEJ2000", "name", "name string, RAJ2000 double, DEJ2000 double, re double")
+    return out.select("id", *(r6(c).alias(c) for c in ("ra", "dec", "re")))
+
+
+@query("select distinct 'CFIS.'||lpad(cast(tile_x as varchar),3,'0')||'.'||lpad(cast(tile_y as varchar),3,'0')||'.r.fits' as name, tile_x as x, tile_y as y from D", ["D"])
+def scan_tile_list(spark, d):
+    from skycat.sources.tables import scan_tile_list as scan
+
+    path = _folder(spark, "tile-list")
+    named = fixture(spark, d, "D").select(tiles.tile_file_name(F.col("tile_x"), F.col("tile_y"), "CFIS", ".", ".r.fits").alias("value")).distinct()
+    # names with blanks around them, and blank lines between
+    named.select(F.explode(F.array(F.concat(F.lit("  "), "value", F.lit(" ")), F.lit("  "))).alias("value")).write.text(path)
+    return scan(spark, path)
+
+
+@query("select det_id, band, cast((row_number() over (order by det_id)-1)//200 as bigint) as chunk from D where lsb=1", ["D"])
+def write_chunks(spark, d):
+    from skycat.sources.tables import write_chunks as write
+
+    path = _folder(spark, "chunks")
+    write(fixture(spark, d, "D").select("det_id", "band", F.col("lsb").alias("label")), "det_id", 200, path, labels=[1])
+    return spark.read.parquet(path).select("det_id", "band", F.col("chunk").cast("long").alias("chunk"))
+
+
+# --- classifiers -----------------------------------------------------------------------
+_FEATURES = ["mag", "mu", "re_arcsec", "axis_ratio", "n_pix"]
+
+
+def _examples(spark, d):
+    return fixture(spark, d, "D").withColumn("label", ((F.col("mu") > 25) & (F.col("re_arcsec") > 3)).cast("int"))
+
+
+@query()
+def model_search(spark, d):
+    """The tries of a random search with their mean metric, best first (rows only: Spark's trees have no SQL)."""
+    from skycat.operators import scoring
+
+    train, _ = scoring.split_by_key(_examples(spark, d), "k")
+    _, tries = scoring.search_classifier(train, _FEATURES, "k", tries=3, folds=3, choices={"numTrees": [5, 10], "maxDepth": [3, 5]})
+    rows = sorted(((str(sorted(s.items())), m) for s, m in tries), key=lambda r: (-r[1], r[0]))
+    return spark.createDataFrame([(i, s, round(m, 6)) for i, (s, m) in enumerate(rows, 1)], "place int, setting string, f1 double")
+
+
+@query()
+def feature_importance(spark, d):
+    """Features by falling importance in boosted trees (rows only)."""
+    from skycat.operators import scoring
+
+    model, _ = scoring.train_classifier(_examples(spark, d), _FEATURES, trees=5, depth=3, kind="boosted")
+    rows = scoring.feature_importance(model, _FEATURES)
+    return spark.createDataFrame([(i, n, s) for i, (n, s) in enumerate(rows, 1)], "place int, feature string, importance double")
+
+
+@query()
+def held_out_scores(spark, d):
+    """Predictions for the held-out share of keys by trees fitted on the others (rows only)."""
+    from skycat.operators import scoring
+
+    train, test = scoring.split_by_key(_examples(spark, d), "k")
+    model, _ = scoring.train_classifier(train, _FEATURES, trees=10)
+    return scoring.classify(test, model, None).select("det_id", "label", F.col("prediction").cast("int").alias("predicted"))
+
+
+@query("select vec_id, round(list_avg(embedding::double[])/2 + list_max(embedding)::double/2,5) as score from embeddings")
+def score_embeddings(spark, d):
+    """Scores of all vectors by two models, one their mean and one their largest value."""
+    from skycat.operators import scoring
+
+    out = scoring.score_arrays(_t(spark, d, "embeddings"), lambda: [lambda x: x.mean(1), lambda x: x.max(1)], "embedding")
+    return out.select("vec_id", F.round("score", 5).alias("score"))

@@ -137,11 +137,26 @@ def sky_median_per_tile(spark, d):
 
 
 # --- filters ---------------------------------------------------------------------------
-@query("select det_id from D where mu>22e0 and re_arcsec>1.6e0 and re_arcsec < (case when band='i' then 46e0 else 55e0 end) and (axis_ratio>=0.17e0 or n_pix<=1000)", ["D"])
+_FIRST_PASS = "mu>22e0 and re_arcsec>1.6e0 and re_arcsec < (case when band='i' then 46e0 else 55e0 end) and (axis_ratio>=0.17e0 or n_pix<=1000)"
+
+
+@query(f"select det_id from D where {_FIRST_PASS}", ["D"])
 def first_pass_cuts(spark, d):
     return rules.first_pass_cuts(fixture(spark, d, "D")).select("det_id")
 
 
+#: The extended relations written out by hand.
+_EXTENDED = """(
+ (band='r' and mu > 0.606e0*mag+11.6293e0 and mu_max < 1.2e10*exp(0.84e0*mag) and r_90 < 12*r_10+20 and r_90 < 3*re_arcsec+9 and mu_median < 4*re_arcsec+4 and mu_median < 4*r_10+12 and mu_median < 0.3e0*r_90+15 and mu_max < 120*r_90+650)
+ or (band='g' and mu > 0.6981e0*mag+8.7072e0 and mu_max < 500-20*mag and r_90 > 4.3025e0*r_10-1.5e0 and r_90 < 1.9e0*re_arcsec+3.5e0 and mu_median < 0.15e0*re_arcsec+3.3e0 and mu_median < 3*r_10+1 and mu_median < 0.08e0*r_90+3.5e0 and mu_max < 14*r_90+20)
+ or (band='i' and mu > 0.5864e0*mag+11.9705e0 and mu_max < 5593.3712e0/(1+exp(0.9174e0*(mag-16.193e0)))+200 and r_90 < 12*r_10+3 and r_90 < 3*re_arcsec+3.8e0 and mu_median < 2*re_arcsec+8 and mu_median < 4*r_10+12 and mu_median < 4*r_90+9.5e0 and mu_max < 35*r_90+100 and r_25 < 2.5e0*r_10+1))"""
+
+
+@query(f"select det_id, band from D where {_FIRST_PASS} and {_EXTENDED}", ["D"])
+def first_pass_extended(spark, d):
+    return rules.first_pass_extended(fixture(spark, d, "D")).select("det_id", "band")
+
+
 #: The rule sets written out by hand, so that a slip in operators/rules.py shows.
 _ALL_RULES = """(
  (band='r' and mu>22 and re_arcsec>1.6 and re_arcsec<55 and axis_ratio>0.17 and r_10>0.353 and r_10<18.2 and r_25>0.4 and r_25<32.1 and r_75>2.16 and r_75<102.1 and r_90>2.5 and r_90<145.1
@@ -211,10 +226,10 @@ def connected_components(spark, d):
     return components.connected_components(match.radius_pairs(det, 10.0, "det_id", "band").select("u", "v"), det.select("det_id"))
 
 
-@query(", pairs as (select k.id as known_id, greatest(15e0, coalesce(3e0*k.re,0e0)) as radius, d.det_id, d.mu, d.n_pix, " + SEP.format(a="k", b="d") + " as sep from R k, D d where abs(k.dec-d.dec)<0.02e0 and d.band='r'), c as (select *, max(mu) over (partition by known_id) as tm, max(n_pix) over (partition by known_id) as tp from pairs where sep<=radius), s as (select known_id, det_id, sep, round(0.2e0*mu/tm+0.4e0*ln(1e0+n_pix)/ln(1e0+tp)+0.4e0*(1e0-sep/radius),9) as score from c) select known_id, det_id, round(score,6) as score, round(sep,6) as sep from (select *, row_number() over (partition by known_id order by score desc, det_id) as rn from s) where rn=1", ["R", "D"])
+@query(", pairs as (select k.id as known_id, d.band, greatest(15e0, coalesce(3e0*k.re,0e0)) as radius, d.det_id, d.mu, d.n_pix, " + SEP.format(a="k", b="d") + " as sep from R k, D d where abs(k.dec-d.dec)<0.02e0), c as (select *, max(mu) over (partition by known_id, band) as tm, max(n_pix) over (partition by known_id, band) as tp from pairs where sep<=radius), s as (select known_id, band, det_id, sep, round(0.2e0*mu/tm+0.4e0*ln(1e0+n_pix)/ln(1e0+tp)+0.4e0*(1e0-sep/radius),9) as score from c) select known_id, band, det_id, round(score,6) as score, round(sep,6) as sep from (select *, row_number() over (partition by known_id, band order by score desc, det_id) as rn from s) where rn=1", ["R", "D"])
 def scored_match(spark, d):
-    out = match.scored_match(fixture(spark, d, "R"), fixture(spark, d, "D").where("band='r'"), "id", "det_id")
-    return out.select("known_id", "det_id", r6("score").alias("score"), r6("sep").alias("sep"))
+    out = match.scored_match(fixture(spark, d, "R"), fixture(spark, d, "D"), "id", "det_id", by=("band",))
+    return out.select("known_id", "band", "det_id", r6("score").alias("score"), r6("sep").alias("sep"))
 
 
 @query(", pairs as (select a.det_id as pid, b.det_id, row_number() over (partition by a.det_id order by " + SEP.format(a="a", b="b") + ", b.det_id) as rn from D a join D b on a.tile_x=b.tile_x and a.tile_y=b.tile_y and a.det_id<>b.det_id where a.lsb=1), h as (select distinct det_id from pairs where rn<=5), t as (select distinct tile_x, tile_y from D where lsb=1) select D.det_id, case when lsb=1 then 1 when h.det_id is not null then 0 end as label from D join t using (tile_x, tile_y) left join h on D.det_id=h.det_id", ["D"])
@@ -228,17 +243,18 @@ def attach_redshift(spark, d):
     return match.attach_redshift(fixture(spark, d, "D"), z, "det_id", "id").select("det_id", "zspec")
 
 
-_FOF = ", q as (select det_id, ra, dec, mag from D where band='r'), e as (select a.det_id as u, b.det_id as v from q a, q b where a.det_id<>b.det_id and abs(a.dec-b.dec)<0.003e0 and " + SEP.format(a="a", b="b") + "<={lim}), t as (with recursive r(node, c) as (select det_id, det_id from q union select e.v, r.c from r join e on r.node=e.u) select node, min(c) as component from r group by node) select det_id, component from (select q.det_id, component, row_number() over (partition by component order by mag desc, q.det_id) as rn from q join t on q.det_id=t.node) where rn=1"
+_FOF = ", q as (select det_id, band, ra, dec, mag, re_arcsec, tile_x, tile_y from D), e as (select a.det_id as u, b.det_id as v from q a, q b where a.det_id<>b.det_id and a.band=b.band and abs(a.dec-b.dec)<0.003e0 and " + SEP.format(a="a", b="b") + "<={lim}), t as (with recursive r(node, c) as (select det_id, det_id from q union select e.v, r.c from r join e on r.node=e.u) select node, min(c) as component from r group by node)"
+_BEST = " select det_id, component from (select q.det_id, component, row_number() over (partition by component order by mag desc, q.det_id) as rn from q join t on q.det_id=t.node) where rn=1"
 
 
-@query(_FOF.format(lim="10e0"), ["D"])
+@query(_FOF.format(lim="10e0") + _BEST, ["D"])
 def fof_dedup(spark, d):
-    return catalog.fof_dedup(fixture(spark, d, "D").where("band='r'").select("det_id", "ra", "dec", "mag"), 10.0, "det_id", "mag").select("det_id", "component")
+    return catalog.fof_dedup(fixture(spark, d, "D").select("det_id", "band", "ra", "dec", "mag"), 10.0, "det_id", "mag", keys=("band",)).select("det_id", "component")
 
 
-@query(_FOF.replace("ra, dec, mag from D", "ra, dec, mag, re_arcsec from D").format(lim="greatest(1e0,1.5e0*greatest(a.re_arcsec,b.re_arcsec))"), ["D"])
+@query(_FOF.format(lim="greatest(1e0,1.5e0*greatest(a.re_arcsec,b.re_arcsec))") + _BEST, ["D"])
 def radius_dedup(spark, d):
-    return catalog.radius_dedup(fixture(spark, d, "D").where("band='r'").select("det_id", "ra", "dec", "mag", "re_arcsec"), "det_id", "mag").select("det_id", "component")
+    return catalog.radius_dedup(fixture(spark, d, "D").select("det_id", "band", "ra", "dec", "mag", "re_arcsec"), "det_id", "mag", keys=("band",)).select("det_id", "component")
 
 
 # --- jobs ------------------------------------------------------------------------------
@@ -435,7 +451,7 @@ def accumulate_positives(spark, d):
 
 
 # --- footprints, reports, fits ---------------------------------------------------------
-_AVAIL = ", av as (select distinct cast(floor(ra*2e0*cos(radians(dec))) as int) as x, cast(floor((dec+90e0)*2e0) as int) as y from D), ac as (select x, y, y/2e0-90e0 as dec, x/2e0/cos(radians(y/2e0-90e0)) as ra from av), pr as (select r.id, a.x, a.y, " + SEP.format(a="r", b="a") + " as sep, radians(r.ra-a.ra) as da, radians(r.dec) as dr, radians(a.dec) as d0 from R r, ac a where abs(r.dec-a.dec)<0.6e0), tc as (select id, x, y, sep from (select *, 5000e0-degrees(cos(dr)*sin(da)/" + _CC + ")/5.160234650248e-05 as px, 5000e0+degrees((cos(d0)*sin(dr)-sin(d0)*cos(dr)*cos(da))/" + _CC + ")/5.160234650248e-05 as py from pr where " + _CC + ">0) where px between 0.5e0 and 10000.5e0 and py between 0.5e0 and 10000.5e0)"
+_AVAIL = ", av as (select distinct cast(floor(ra*2e0*cos(radians(dec))) as int) as x, cast(floor((dec+90e0)*2e0) as int) as y from D), ac as (select x, y, y/2e0-90e0 as dec, x/2e0/cos(radians(y/2e0-90e0)) as ra from av), pr as (select r.id, a.x, a.y, " + SEP.format(a="r", b="a") + " as sep, radians(r.ra-a.ra) as da, radians(r.dec) as dr, radians(a.dec) as d0 from R r, ac a where abs(r.dec-a.dec)<0.6e0), tc as (select id, x, y, sep, px, py from (select *, 5000e0-degrees(cos(dr)*sin(da)/" + _CC + ")/5.160234650248e-05 as px, 5000e0+degrees((cos(d0)*sin(dr)-sin(d0)*cos(dr)*cos(da))/" + _CC + ")/5.160234650248e-05 as py from pr where " + _CC + ">0) where px between 0.5e0 and 10000.5e0 and py between 0.5e0 and 10000.5e0)"
 
 
 def _available(spark, d):
@@ -449,11 +465,13 @@ def tiles_containing(spark, d):
     return containing(fixture(spark, d, "R"), _available(spark, d), "id").select("id", "x", "y", F.round("sep", 4).alias("sep"))
 
 
-@query(_AVAIL + " select R.id, t.x, t.y from R left join (select *, row_number() over (partition by id order by round(sep,6), x, y) as rn from tc) t on R.id=t.id and t.rn=1", ["R", "D"])
+@query(_AVAIL + ", bn as (select tile_x as x, tile_y as y, string_agg(distinct band, ',' order by band) as bands, count(distinct band) as n_bands from D group by 1,2) select R.id, t.x, t.y, round(t.px,3)+0e0 as px, round(t.py,3)+0e0 as py, bn.bands, bn.n_bands from R left join (select *, row_number() over (partition by id order by round(sep,6), x, y) as rn from tc) t on R.id=t.id and t.rn=1 left join bn on bn.x=t.x and bn.y=t.y", ["R", "D"])
 def assign_tile(spark, d):
     from skycat.operators.footprint import assign_tile as assign
 
-    return assign(fixture(spark, d, "R"), _available(spark, d), "id").select("id", "x", "y")
+    available = fixture(spark, d, "D").select(F.col("tile_x").alias("x"), F.col("tile_y").alias("y"), "band").distinct()
+    out = assign(fixture(spark, d, "R").select("id", "ra", "dec"), available, "id")
+    return out.select("id", "x", "y", (F.round("px", 3) + 0.0).alias("px"), (F.round("py", 3) + 0.0).alias("py"), F.array_join("bands", ",").alias("bands"), F.col("n_bands").cast("long").alias("n_bands"))
 
 
 @query(_AVAIL + " select id, lpad(cast(x as varchar),3,'0')||'_'||lpad(cast(y as varchar),3,'0') as tile from tc", ["R", "D"])
@@ -463,9 +481,17 @@ def known_in_footprint(spark, d):
     return inside(fixture(spark, d, "R"), _available(spark, d), "id")
 
 
-@query(_FOF.format(lim="10e0").split(" select det_id, component from (")[0] + ", g as (select q.det_id, component, mag, count(*) over (partition by component) as members, first_value(q.det_id) over (partition by component order by mag desc, q.det_id) as best_id from q join t on q.det_id=t.node) select det_id, component, members, best_id, det_id=best_id as is_best from g where members>1", ["D"])
+_GROUPS = _FOF.format(lim="10e0") + ", g as (select q.*, component, count(*) over (partition by component) as members, first_value(q.det_id) over (partition by component order by mag desc, q.det_id) as best_id from q join t on q.det_id=t.node)"
+
+
+@query(_GROUPS + " select det_id, component, members, best_id, det_id=best_id as is_best from g where members>1", ["D"])
 def duplicate_report(spark, d):
-    return catalog.duplicate_report(fixture(spark, d, "D").where("band='r'").select("det_id", "ra", "dec", "mag"), "det_id", "mag", 10.0)
+    return catalog.duplicate_report(fixture(spark, d, "D").select("det_id", "band", "ra", "dec", "mag"), "det_id", "mag", 10.0, keys=("band",))
+
+
+@query(_GROUPS + " select g.det_id, g.component, g.members, g.best_id, g.det_id=g.best_id as is_best, round(" + SEP.format(a="g", b="b") + ",5) as sep_to_best, g.tile_x=b.tile_x and g.tile_y=b.tile_y as same_tile, 10e0 as threshold from g join q b on b.det_id=g.best_id where g.members>1", ["D"])
+def duplicate_details(spark, d):
+    return catalog.duplicate_details(fixture(spark, d, "D"), "det_id", "mag", 10.0, keys=("band",)).withColumn("sep_to_best", F.round("sep_to_best", 5))
 
 
 @query(", c as (select a.det_id, r.id, row_number() over (partition by a.det_id order by " + SEP.format(a="a", b="r") + ", r.id) as rn from D a, R r where a.id_known is null and abs(a.dec-r.dec)<0.02e0 and " + SEP.format(a="a", b="r") + "<=40e0) select D.det_id, coalesce(D.id_known, c.id) as id_known from D left join c on D.det_id=c.det_id and c.rn=1", ["D", "R"])
@@ -477,11 +503,20 @@ def _near_band(b):
     return "(select l, v as " + b + "_id from (select a.det_id as l, c.det_id as v, row_number() over (partition by a.det_id order by " + SEP.format(a="a", b="c") + ", c.det_id) as rn from D a, D c where a.band='r' and c.band='" + b + "' and abs(a.dec-c.dec)<0.005e0 and " + SEP.format(a="a", b="c") + "<15e0) where rn=1)"
 
 
-@query("select g.l as r_id, g_id, i_id from " + _near_band("g") + " g join " + _near_band("i") + " i on g.l=i.l", ["D"])
+_REFERENCE = "select g.l as r_id, g_id, i_id from " + _near_band("g") + " g join " + _near_band("i") + " i on g.l=i.l"
+
+
+@query(_REFERENCE, ["D"])
 def reference_join(spark, d):
     return catalog.reference_join(fixture(spark, d, "D").select("det_id", "band", "ra", "dec"))
 
 
+@query(", W as (select * replace (case when k % 8 in (1,3) then concat('K', cast(k as varchar)) end as id_known) from D), E as (select * from W where id_known is null), kn as (select id_known, min(det_id) filter (band='r') as r_id, min(det_id) filter (band='g') as g_id, min(det_id) filter (band='i') as i_id from W where id_known is not null group by 1), al as (select * from kn where r_id is not null and g_id is not null and i_id is not null union all select null, r_id, g_id, i_id from (" + _REFERENCE.replace("from D a, D c where", "from E a, E c where") + ")) select al.*, D.tile_x, D.tile_y from al join D on D.det_id=al.r_id", ["D"])
+def reference_catalog(spark, d):
+    named = F.when((F.col("k") % 8).isin(1, 3), F.concat(F.lit("K"), F.col("k").cast("string")))
+    return catalog.reference_catalog(fixture(spark, d, "D").withColumn("id_known", named))
+
+
 @query(", s as (select k, p, y, 0.5e0*p+(k % 7)/10e0 as v, case when y=1 then 100e0 else 1e0 end as w from P), l as (select (sum(w)*sum(w*p*v)-sum(w*p)*sum(w*v))/(sum(w)*sum(w*p*p)-sum(w*p)*sum(w*p)) as m, sum(w) as w, sum(w*p) as sx, sum(w*v) as sv from s), o as (select m, (sv-m*sx)/w as b from l), q as (select quantile_cont(v-m*p-b, 0.05e0) as sh from s, o where y=1 and v-m*p-b<0) select round(m,6)+0e0 as slope, round(b+coalesce(sh,0),6)+0e0 as \"offset\" from o, q", ["P"])
 def fit_linear_separator(spark, d):
     from skycat.operators.training import fit_linear_separator as fit

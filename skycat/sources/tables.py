@@ -54,12 +54,14 @@ def exact_chunks(df: DataFrame, key: str, size: int, buckets: int | None = None)
 
     spark = df.sparkSession
     order = F.col(key).asc_nulls_first()
-    ranged = df.repartitionByRange(buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), order, F.xxhash64(*df.columns)).withColumn("_range", F.spark_partition_id())
+    # maps have no order and no hash; rows that differ in nothing else may stand in any order
+    plain = [c for c, kind in df.dtypes if "map<" not in kind and c != key]
+    ranged = df.repartitionByRange(buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), order, F.xxhash64(key, *plain)).withColumn("_range", F.spark_partition_id())
     path = shared_folder(spark, "chunk-ranges")
     ranged.write.parquet(path)
     ranged = spark.read.schema(ranged.schema).parquet(path)
     counts = ranged.groupBy("_range").agg(F.count("*").alias("n")).withColumn("first", F.sum("n").over(Window.orderBy("_range")) - F.col("n")).drop("n")
-    within = F.row_number().over(Window.partitionBy("_range").orderBy(order, *df.columns)) - 1
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(order, *plain)) - 1
     return ranged.withColumn("_within", within).join(F.broadcast(counts), "_range").withColumn("chunk", F.floor((F.col("first") + F.col("_within")) / size)).drop("_range", "_within", "first")
 
 
