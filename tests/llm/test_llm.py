@@ -377,11 +377,12 @@ def test_html_on_whole_table(spark):
     assert len(wrong) <= 0.01 * len(pages) and all(got[i].text for i in got if "<p>" in pages[i])
 
 
-def brute_spans(w, words):
+def brute_spans(w, words, keys):
     """Best (anchor, covered) of each cluster of anchors: aligned places of one template, straight from the words."""
-    places = defaultdict(list)
+    places, first = defaultdict(list), {}
     for j in range(len(words) - 1):
         places[words[j], words[j + 1]].append(j)
+        first.setdefault(f"{words[j]} {words[j + 1]}", j)
     found = defaultdict(list)
     for i in range(len(w) - 1):
         for j in places.get((w[i], w[i + 1]), ()):
@@ -389,11 +390,11 @@ def brute_spans(w, words):
     covered = {}
     for anchor in {d - b for d in found for b in range(licences.BAND + 1)}:
         at = place = -1
-        seen = set()
+        seen, taken = set(), set()
         for i, j in sorted(h for b in range(licences.BAND + 1) for h in found.get(anchor + b, ())):
             if i > at and j > place:
-                at, place, seen = i, j, seen | {j, j + 1}
-        if len(seen) >= -(-len(words) * 8 // 10):
+                at, place, seen, taken = i, j, seen | {j, j + 1}, taken | {j}
+        if len(seen) >= -(-len(words) * 8 // 10) and all(first[k] in taken for k in keys):
             covered[anchor] = len(seen)
     return {(a, n) for a, n in covered.items() if all((n, -a) >= (m, -b) for b, m in covered.items() if abs(a - b) <= licences.BAND)}
 
@@ -405,7 +406,7 @@ def brute_licences(text):
         p = phrase.split()
         at = [i for i in range(len(w) - len(p) + 1) if w[i : i + len(p)] == p]
         places, labels = places + at, labels | ({label} if at else set())
-    more = {name: brute_spans(w, t.split()) for name, t in licences.TEMPLATES.items()}
+    more = {name: brute_spans(w, t.split(), licences.KEYS.get(name, [])) for name, t in licences.TEMPLATES.items()}
     score = max([float(bool(labels)), *(n / len(licences.TEMPLATES[k].split()) for k, v in more.items() for _, n in v)])
     return len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels)), ",".join(sorted(labels | {k for k, v in more.items() if v})), round(score, 12)
 
@@ -447,6 +448,22 @@ def test_licences(spark, texts, edge, empty):
     assert licences.scan(empty).count() == 0
 
 
+@pytest.mark.parametrize("text, labels", [
+    ("This work is licensed under the GNU General Public License version 2.", "gpl,gpl-2"),
+    ("This work is licensed under the GNU General Public License, version 3 or later", "gpl,gpl-3"),
+    ("This work is licensed under the GNU Lesser General Public License version 3.", "gpl,lgpl-3"),
+    ("This work is licensed under the GNU Lesser General Public License version 2.1", "gpl,lgpl-2.1"),
+    ("This work is licensed under the GNU Affero General Public License version 3", "agpl-3,gpl"),
+    ("This work is licensed under the GNU General Public License version 1", "gpl"),
+    ("licensed under CC BY 4.0", "cc-by,cc-by-4.0"), ("licensed under CC BY-SA 4.0", "cc-by,cc-by-sa-4.0"), ("licensed under CC BY-ND 4.0", "cc-by,cc-by-nd-4.0"),
+    ("licensed under CC BY-NC 4.0", "cc-by,cc-by-nc-4.0"), ("licensed under CC BY-NC-SA 4.0", "cc-by,cc-by-nc-sa-4.0"), ("licensed under CC BY-NC 3.0", "cc-by"),
+    ("Licensed under the Apache License, Version 2.0", "apache-2.0"), ("Licensed under the Apache License, Version 2.1", ""), ("Licensed under the Apache License, Version 1.1", ""),
+    ("Released under the BSD license", ""), ("Released under the MIT license", "mit"),
+])
+def test_near_licences(spark, text, labels):
+    assert licences.scan(spark.createDataFrame([(1, f"Some words first. {text} and some after")], "doc_id long, text string")).first().labels == labels
+
+
 def test_pipeline(spark, docs, texts):
     import corpus_pipeline as cp
 
