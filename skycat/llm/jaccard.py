@@ -3,17 +3,18 @@
 Tokens are hashes of word shingles.  Documents of equal token sets are one class.  Every set
 has a prefix, its rarest tokens by a frequency sketch, so long that two sets that are similar
 enough share a certain number of tokens of it.  A class that shares fewer with all others
-together has no partner.  The others are partitioned into groups of similar sets (by three
-minima of their hashes, large groups cut to bounded size), and a group links its own members
-first.  The matrix then holds the tokens of a group's prefixes; a query looks its own prefix
+together has no partner.  The others are partitioned into groups of similar sets (by the token
+of their prefix that most sets hold, which near copies nearly always have in common; large
+groups are cut to bounded size), and a group links its own members first.  The matrix then holds the tokens of a group's prefixes; a query looks its own prefix
 up there, and their overlap says which groups can hold a partner.  The query moves to them,
 where its overlap with the union of all tokens of the group bounds the overlap with each
 member: a group is opened only if the bound reaches what the query needs.
 
 Sets that are linked already are not compared again: a matrix row, a query or a group whose
-labels agree is dropped, for nothing new can come from it.  In the first round only one
-class of each label asks, so that a large family of near copies grows together before all
-its members ask.  Groups report spanning forests, never pairs, and components follow.
+labels agree is dropped, for nothing new can come from it.  Before the queries ask all their
+groups, in ``HUBS`` rounds every set asks only the group of one holder of each of its tokens,
+so that a large family of near copies grows together at a cost in proportion to its size.
+Groups report spanning forests, never pairs, and components follow.
 
 The sketch has ``SLOTS`` one-byte counters and the filter of classes with partners
 ``FILTER`` bits, whatever the corpus; a full filter costs moves, never links.
@@ -44,13 +45,13 @@ CHUNK = 1 << 20
 #: A prefix is longer by one of so many tokens than a first shared token asks for, so that more tokens than one must be shared.
 LONGER = 10
 #: Members, queries and tokens of a block.
-MEMBERS, QUERIES, TOKENS = 128, 512, 1 << 18
+MEMBERS, QUERIES, TOKENS = 256, 512, 1 << 17
 #: Tokens that one part of the token range holds.
 PART_TOKENS = 1 << 22
 #: Rounds that drop classes with too few shared tokens, and tokens that are not shared then.
 THINNED = 2
-#: Rounds in which one class of each label asks.
-LEADERS = 1
+#: Rounds in which every set asks the group of one holder of each token.
+HUBS = 2
 
 
 def _mix(h):
@@ -149,34 +150,30 @@ def met(n, percent: int = PERCENT):
 
 
 def described(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(digest, doc_id, n, family) of every document, and (slot, seen) of the task's frequent counters, in one pass."""
+    """(digest, doc_id, n) of every document, and (slot, seen) of the task's frequent counters, in one pass."""
 
     def run(batches):
         import numpy as np
         import xxhash
 
-        draw = np.random.default_rng(13)
-        masks = draw.integers(0, 2**64, 3, np.uint64)
-        factors = draw.integers(0, 2**63, 3, np.uint64) * np.uint64(2) + np.uint64(1)
         count, total = np.zeros(SLOTS, np.uint32), 0
         shingles = Shingles(width)
         for pdf in batches:
             rows = []
             for t in shingles.of(pdf.text):
-                least = b"".join(((t ^ m) * f).min().tobytes() for m, f in zip(masks, factors)) if len(t) else b""
-                rows.append((xxhash.xxh128_digest(t.tobytes()), len(t), xxhash.xxh64_intdigest(least) - 2**63))
+                rows.append((xxhash.xxh128_digest(t.tobytes()), len(t)))
                 np.add.at(count, (t % np.uint64(SLOTS)).astype(np.int64), np.uint32(1))
                 total += len(t)
-            out = pd.DataFrame(rows, columns=["digest", "n", "family"])
+            out = pd.DataFrame(rows, columns=["digest", "n"])
             out.insert(1, "doc_id", pdf.doc_id.astype("Int64"))
             yield out.assign(slot=pd.array([pd.NA] * len(out), "Int32"), seen=pd.array([pd.NA] * len(out), "Int64"))
         mean = total / SLOTS
         often = np.flatnonzero(count > OFTEN + mean + 2 * mean**0.5)
         for at in range(0, len(often), 100_000):
             part = often[at : at + 100_000]
-            yield pd.DataFrame({"digest": None, "doc_id": pd.array([pd.NA] * len(part), "Int64"), "n": pd.array([pd.NA] * len(part), "Int64"), "family": pd.array([pd.NA] * len(part), "Int64"), "slot": part, "seen": count[part]})
+            yield pd.DataFrame({"digest": None, "doc_id": pd.array([pd.NA] * len(part), "Int64"), "n": pd.array([pd.NA] * len(part), "Int64"), "slot": part, "seen": count[part]})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "digest binary, doc_id long, n long, family long, slot int, seen long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "digest binary, doc_id long, n long, slot int, seen long")
 
 
 def _table(rows: DataFrame, slots: int, pack):
@@ -380,15 +377,24 @@ def matrix(postings: DataFrame) -> DataFrame:
     return postings.groupBy("token", "grp").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most"), F.max("cid").alias("last"))
 
 
-def qualifying(postings: DataFrame, leaders: bool, percent: int = PERCENT) -> DataFrame:
+def fits(a: str, b: str, percent: int = PERCENT) -> str:
+    """Whether sets of these sizes can be similar enough."""
+    return f"100 * {a} >= {percent} * {b} and 100 * {b} >= {percent} * {a}"
+
+
+def hub_queries(postings: DataFrame, attempt: int, percent: int = PERCENT) -> DataFrame:
+    """(q, q_grp, grp, q_n): every set with the groups of one holder of each of its tokens, drawn by a hash."""
+    hub = F.min_by(F.struct("label", "grp", "n"), F.xxhash64("cid", F.lit(attempt)))
+    hubs = postings.groupBy("token").agg(hub.alias("hub")).select("token", F.col("hub.label").alias("h_label"), F.col("hub.grp").alias("h_grp"), F.col("hub.n").alias("h_n"))
+    asked = postings.join(hubs, "token").where(f"label <> h_label and grp <> h_grp and {fits('n', 'h_n', percent)}")
+    return asked.groupBy(F.col("cid").alias("q"), F.col("h_grp").alias("grp")).agg(F.first("grp").alias("q_grp"), F.first("n").alias("q_n"))
+
+
+def qualifying(postings: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(q, q_grp, grp, q_n): queries with the groups of other labels that can hold a partner."""
-    rows = matrix(postings)
     queries = postings.select("token", F.col("cid").alias("q"), F.col("grp").alias("q_grp"), F.col("label").alias("q_label"), F.col("n").alias("q_n"))
-    if leaders:
-        queries = queries.where("q = q_label")
-    found = queries.join(rows, "token").where(F.expr(f"not (lo = hi and lo = q_label) and grp <> q_grp and 100 * q_n >= {percent} * least and 100 * most >= {percent} * q_n"))
-    # later each pair is asked by its first class only
-    found = found if leaders else found.where("last > q")
+    # each pair is asked by its first class only
+    found = queries.join(matrix(postings), "token").where(F.expr(f"not (lo = hi and lo = q_label) and grp <> q_grp and last > q and 100 * q_n >= {percent} * least and 100 * most >= {percent} * q_n"))
     # the tokens shared with the group's prefixes bound those shared with one of its members
     counted = found.groupBy("q", "grp").agg(F.first("q_grp").alias("q_grp"), F.first("q_n").alias("q_n"), F.count("*").alias("tokens"))
     return counted.where(F.col("tokens") >= met(F.col("q_n"), percent)).drop("tokens")
@@ -436,40 +442,42 @@ def groups(partnered: DataFrame) -> DataFrame:
 
 
 def class_labels(docs: DataFrame, classes: DataFrame, seen: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """(cid, label) of the written classes (digest, cid, n, family) that have a partner by their prefixes."""
+    """(cid, label) of the written classes (digest, cid, n) that have a partner by their prefixes."""
     held = written(prefixes(docs, sketch(seen), width, percent).withColumn("uid", F.monotonically_increasing_id()), "prefixes")
     rows = written(shared_tokens(held), "shared-tokens")
     uids = held.select("uid", "digest").join(classes.select("digest", "cid"), "digest").select("uid", "cid")
     found = written(rows.join(uids, "uid").select("token", "cid").distinct(), "token-classes")
     for _ in range(THINNED):
         # copies of one set in several tasks share their tokens with themselves only
-        common = found.groupBy("token").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("lo < hi").select("token")
-        shared = found.join(common, "token")
+        common = found.groupBy("token").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi"), F.count("*").alias("holders")).where("lo < hi").select("token", "holders")
+        shared = found.select("token", "cid").join(common, "token")
         # the tokens that a class shares with all others bound those that it shares with one
         able = shared.groupBy("cid").agg(F.count("*").alias("tokens")).join(classes, "cid").where(F.col("tokens") >= met(F.col("n"), percent)).select("cid")
         found = written(shared.join(able, "cid", "left_semi"), "shared-tokens")
-    partnered = written(groups(classes.join(found.select("cid").distinct(), "cid", "left_semi")), "jaccard-groups")
+    family = found.groupBy("cid").agg(F.max(F.struct("holders", "token"))["token"].alias("family"))
+    partnered = written(groups(classes.join(family, "cid")), "jaccard-groups")
     sets = sets_of(docs, filter_bits(partnered.select("digest")), width).join(partnered, "digest").dropDuplicates(["digest"])
     members = bucketed(sets.select("cid", "grp", "several", "tokens"), "grp", "group-sets")
-    placed = written(found.join(partnered.select("cid", "grp", "n"), "cid"), "postings")
+    placed = written(found.select("token", "cid").join(partnered.select("cid", "grp", "n"), "cid"), "postings")
     labels = relabelled(partnered.select("cid", F.col("cid").alias("label")), written(inside_links(members, percent), "jaccard-links"))
-    for attempt in range(LEADERS + 1):
+    for attempt in range(HUBS + 1):
         now = placed.join(labels, "cid")
-        # a token whose holders are linked already leads to nothing new
+        # a token whose holders are linked already leads to nothing new, now or later
         open_tokens = now.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
         postings = written(now.join(open_tokens, "token"), "open-postings")
-        pairs = written(qualifying(postings, attempt < LEADERS, percent), "jaccard-queries")
+        pairs = written(hub_queries(postings, attempt, percent) if attempt < HUBS else qualifying(postings, percent), "jaccard-queries")
         labels = relabelled(labels, written(opened_links(pairs, members, percent), "jaccard-links"))
+        placed = postings.drop("label")
     return labels
 
 
 def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every document."""
     every = written(described(docs, width), "described")
-    rows, seen = every.where("slot is null").select("digest", "doc_id", "n", "family"), every.where("slot is not null").select("slot", "seen")
-    classes = rows.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.min("n").alias("n"), F.min("family").alias("family"))
+    rows, seen = every.where("slot is null").select("digest", "doc_id", "n"), every.where("slot is not null").select("slot", "seen")
+    classes = rows.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.min("n").alias("n"))
     classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    labels = class_labels(docs, classes.select("digest", "cid", "n", "family"), seen, width, percent)
+    labels = class_labels(docs, classes.select("digest", "cid", "n"), seen, width, percent)
     labelled = classes.join(labels, "cid", "left").select("digest", "first_id", F.coalesce("label", "cid").alias("label"))
     least = labelled.groupBy("label").agg(F.min("first_id").alias("component_id"))
     of = labelled.join(least, "label").select("digest", "component_id")
