@@ -1,14 +1,16 @@
 """SimHash near-duplicates with a Gray-order hierarchical Hamming index.
 
-Equal fingerprints collapse first.  The distinct ones are sorted by Gray rank and cut into
-ranges of even size.  Fingerprints of one range share most of their leading bits; a tree
-over these shared bits tells for each fingerprint which ranges can hold a partner.  Within a
-range a tree of the same kind goes on: an upper node holds the bits (mask and pattern) that
-all codes below it share, a lower node only what is left, so that differences add up on the
-way down and whole groups are dropped once the sum exceeds ``distance``.  Each range first
-finds the groups that it holds by itself; between two ranges groups are linked, not
-fingerprints, and a task reports a spanning forest of what it has linked, never all pairs.
-Components are found over these edges.  A fingerprint has at most 43,744 others within 3 bits, whatever the corpus.
+Equal fingerprints collapse first.  Two codes within ``distance`` bits agree on one of
+``distance`` + 1 blocks of bits.  So the index is built over as many rotations of the code,
+each of which brings one block to the front, and allows no difference there: a code stands in
+``distance`` + 1 trees, whatever the size of the corpus.  In a rotation the codes of a task
+are sorted by Gray rank, and a tree is built over them: an upper node holds the bits (mask
+and pattern) that all codes below it share, a lower node only what is left, so that
+differences add up on the way down and whole groups are dropped once the sum exceeds
+``distance`` or a bit of the front block differs.  Codes of one front block share a task;
+blocks with very many codes are cut into slices, and each pair of slices is a task.  A task
+reports a spanning forest of what it has linked, never all pairs, and components are found
+over these edges.
 
 Defined cases: null, empty and word-free texts have fingerprint zero and link like any
 other; fewer than three words make one shingle; repeated rows fall into one class; null
@@ -24,9 +26,9 @@ from pyspark.sql import functions as F
 from skycat.llm.common import written
 from skycat.operators.components import connected_components
 
-#: Children of a tree node; least number of Gray ranges; fingerprints of a range beyond that; probes of a task.
+#: Children of a tree node; codes of a slice of one front block; codes of a task.
 FAN = 8
-RANGES, RANGE, PROBES = 64, 1 << 20, 1 << 21
+SLICE, TASK = 1 << 18, 1 << 20
 
 
 def majority(h):
@@ -99,8 +101,8 @@ class GrayIndex:
             pattern, mask = ones, shared
             self.levels.append((pattern, mask))
 
-    def search(self, queries, distance: int, budget: int = 400_000):
-        """Arrays (i, j): query i lies within ``distance`` bits of code j of the given order, in bounded batches."""
+    def search(self, queries, distance: int, budget: int = 400_000, front: int = 0):
+        """Arrays (i, j): query i lies within ``distance`` bits of code j of the given order and differs in no bit of ``front``, in bounded batches."""
         import numpy as np
 
         top, steps = len(self.levels) - 1, np.arange(self.fan)
@@ -112,8 +114,11 @@ class GrayIndex:
             while stack:
                 level, i, j, apart = stack.pop()
                 pattern, mask = self.levels[level]
-                apart = apart + np.bitwise_count((queries[i] ^ pattern[j]) & mask[j])
+                differ = (queries[i] ^ pattern[j]) & mask[j]
+                apart = apart + np.bitwise_count(differ)
                 near = apart <= distance
+                if front:
+                    near &= differ & np.uint64(front) == 0
                 i, j, apart = i[near], j[near], apart[near]
                 if not level:
                     if len(i):
@@ -152,60 +157,49 @@ def spanning_forest(n: int, pairs):
     return root
 
 
-def link_edges(distinct: DataFrame, distance: int = 3, n: int | None = None) -> DataFrame:
-    """(u, v): spanning edges between distinct fingerprints (column ``fp``) within ``distance`` bits.
+def rotations(distinct: DataFrame, distance: int = 3) -> DataFrame:
+    """(fp, turn, code, front): the code of each fingerprint with every block of bits at the front once."""
+    blocks = distance + 1
+    width = 64 // blocks
 
-    The index is one tree: its lowest branches are ranges of the Gray order, one to a task,
-    and its crown is a tree over the bits that the fingerprints of each range share.  The
-    crown (24 bytes a range; ranges hold up to ``RANGE`` fingerprints) goes to every task.
-    """
+    def turned(k):
+        code = F.shiftleft("fp", k * width).bitwiseOR(F.shiftrightunsigned("fp", 64 - k * width)) if k else F.col("fp")
+        return F.struct(F.lit(k).alias("turn"), code.alias("code"), F.shiftrightunsigned(code, 64 - width).alias("front"))
+
+    return distinct.select("fp", F.explode(F.array(*map(turned, range(blocks)))).alias("t")).select("fp", "t.*")
+
+
+def link_edges(distinct: DataFrame, distance: int = 3, n: int | None = None) -> DataFrame:
+    """(u, v): spanning edges between distinct fingerprints (column ``fp``) within ``distance`` bits."""
     import numpy as np
 
     spark = distinct.sparkSession
     n = distinct.count() if n is None else n
-    ranges = max(RANGES, n // RANGE)
-    rank = F.col("fp")
-    for shift in (1, 2, 4, 8, 16, 32):
-        rank = rank.bitwiseXOR(F.shiftrightunsigned(rank, shift))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = distinct.select("fp", rank.alias("rank")).repartitionByRange(ranges, "rank").select("fp", F.spark_partition_id().cast("long").alias("range"))
-
-    def inside(leaves: pd.DataFrame) -> pd.DataFrame:
-        codes = leaves.fp.to_numpy(np.int64).view(np.uint64)
-        root = spanning_forest(len(codes), GrayIndex(codes).search(codes, distance))
-        return leaves.assign(root=codes[root].view(np.int64))
-
-    # links inside a range first: between ranges only their groups are linked
-    held = written(ranged.groupBy("range").applyInPandas(inside, "fp long, range long, root long"), "gray-ranges")
-    crown = held.groupBy("range").agg(F.bit_and("fp").alias("ones"), F.bit_and(F.bitwise_not("fp")).alias("zeros"), F.count("*").alias("n")).orderBy("range").collect()
-    ones, zeros = (np.array([r[c] for r in crown], np.int64).view(np.uint64) for c in ("ones", "zeros"))
-    number = np.array([r["range"] for r in crown], np.int64)
-    #: a range with very many probes is searched by several tasks
-    salts = max(1, 64 * max((r["n"] for r in crown), default=0) // PROBES)
-
-    def probe(batches):
-        index = GrayIndex(ones, ones | zeros)
-        for pdf in batches:
-            fps, roots, own = (pdf[c].to_numpy(np.int64) for c in ("fp", "root", "range"))
-            for i, j in index.search(fps.view(np.uint64), distance):
-                # each pair of ranges meets once
-                later = number[j] > own[i]
-                i, j = i[later], j[later]
-                yield pd.DataFrame({"range": number[j], "salt": fps[i] % salts, "fp": fps[i], "root": roots[i]})
-
-    def between(probes: pd.DataFrame, leaves: pd.DataFrame) -> pd.DataFrame:
-        q, codes = (x.fp.to_numpy(np.int64).view(np.uint64) for x in (probes, leaves))
-        groups, number = np.unique(np.concatenate([probes.root.to_numpy(np.int64), leaves.root.to_numpy(np.int64)]), return_inverse=True)
-        linked = ((number[i], number[len(q) + j]) for i, j in GrayIndex(codes).search(q, distance)) if len(q) and len(codes) else ()
-        root = spanning_forest(len(groups), linked)
-        moved = np.flatnonzero(root != np.arange(len(groups)))
-        return pd.DataFrame({"u": groups[moved], "v": groups[root[moved]]})
-
-    keys = ["range", "salt"]
-    probes = held.mapInPandas(probe, "range long, salt long, fp long, root long").repartition(parts, *keys)
-    leaves = held.select("range", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"), "fp", "root").repartition(parts, *keys)
-    across = probes.groupBy(*keys).cogroup(leaves.groupBy(*keys)).applyInPandas(between, "u long, v long")
-    return held.where("fp <> root").select(F.col("fp").alias("u"), F.col("root").alias("v")).union(across).distinct()
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (distance + 1) * n // TASK)
+    fixed = ((1 << 64 // (distance + 1)) - 1) << (64 - 64 // (distance + 1))
+    codes = rotations(distinct, distance)
+    # at most one row for each value of a front block, and for SLICE codes
+    crowded = codes.groupBy("turn", "front").agg(F.count("*").alias("k")).where(F.col("k") > SLICE)
+    sliced = codes.join(F.broadcast(crowded), ["turn", "front"], "left").withColumn("slices", F.coalesce(F.ceil(F.col("k") / SLICE), F.lit(1)))
+    own = F.pmod(F.xxhash64("fp"), "slices")
+    dealt = sliced.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
+    dealt = dealt.select("fp", "turn", "code", "front", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).repartition(parts, "turn", "front", "i", "j")
+
+    def link(batches):
+        held = [b.to_numpy(np.int64) for b in (pdf[["fp", "code", "turn", "i", "j"]] for pdf in batches) if len(b)]
+        if not held:
+            return
+        rows = np.concatenate(held)
+        # codes of one front block stand side by side, those of a pair of slices apart
+        cell, which = np.unique(rows[:, 2:], axis=0, return_inverse=True)
+        for k in range(len(cell)):
+            some = rows[which.ravel() == k]
+            code = some[:, 1].view(np.uint64).copy()
+            root = spanning_forest(len(code), GrayIndex(code).search(code, distance, front=fixed))
+            moved = np.flatnonzero(root != np.arange(len(code)))
+            yield pd.DataFrame({"u": some[moved, 0], "v": some[root[moved], 0]})
+
+    return dealt.mapInPandas(link, "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, distance: int = 3) -> DataFrame:

@@ -257,7 +257,7 @@ def test_simhash(spark, texts, edge, empty, monkeypatch):
     assert Counter(map(tuple, queries.op6_simhash(spark, DATA).collect())) == brute_components(rows)
     assert Counter(map(tuple, simhash.near_duplicates(edge).collect())) == brute_components(EDGE)
     assert simhash.near_duplicates(empty).count() == 0
-    monkeypatch.setattr(simhash, "PROBES", 40)  # many salts per range give the same links
+    monkeypatch.setattr(simhash, "SLICE", 40)  # front blocks cut into slices give the same links
     rng = random.Random(3)
     ball = sorted({rng.choice([0, 2**40 - 1]) ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 5))) for _ in range(120)})
     signed = [(f - (1 << 64) if f >> 63 else f,) for f in ball]
