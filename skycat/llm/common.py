@@ -39,6 +39,11 @@ def bucketed(df: DataFrame, key: str, purpose: str, shuffle: bool = True) -> Dat
     return back
 
 
+def quoted(name: str) -> str:
+    """A column name as Spark reads it whole, dots and all."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def fresh(df: DataFrame, *stems: str) -> list[str]:
     """A column name for each stem that the table does not have yet, in whatever case."""
     taken = {c.lower() for c in df.columns}

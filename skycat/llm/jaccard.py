@@ -441,8 +441,19 @@ def groups(partnered: DataFrame) -> DataFrame:
     return partnered.join(size, "family").withColumn("grp", F.xxhash64("family", F.pmod(F.xxhash64("cid"), "cuts"))).drop("cuts")
 
 
-def class_labels(docs: DataFrame, classes: DataFrame, seen: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """(cid, label) of the written classes (digest, cid, n) that have a partner by their prefixes."""
+def hinted(hints: DataFrame, partnered: DataFrame) -> DataFrame:
+    """(q, q_grp, grp, q_n): pairs (u, v) of classes as queries, where both have a partner and lie in different groups."""
+    of = lambda c: partnered.select(F.col("cid").alias(c), F.col("grp").alias(f"{c}_grp"), F.col("n").alias(f"{c}_n"))
+    both = hints.join(of("u"), "u").join(of("v"), "v").where("u_grp <> v_grp")
+    return both.select(F.col("u").alias("q"), F.col("u_grp").alias("q_grp"), F.col("v_grp").alias("grp"), F.col("u_n").alias("q_n")).distinct()
+
+
+def class_labels(docs: DataFrame, classes: DataFrame, seen: DataFrame, width: int = WIDTH, percent: int = PERCENT, hints: DataFrame | None = None) -> DataFrame:
+    """(cid, label) of the written classes (digest, cid, n) that have a partner by their prefixes.
+
+    ``hints`` are pairs (u, v) of classes that are worth a look first; they are verified like
+    all others, and whatever they lack is found without them.
+    """
     held = written(prefixes(docs, sketch(seen), width, percent).withColumn("uid", F.monotonically_increasing_id()), "prefixes")
     rows = written(shared_tokens(held), "shared-tokens")
     uids = held.select("uid", "digest").join(classes.select("digest", "cid"), "digest").select("uid", "cid")
@@ -460,6 +471,9 @@ def class_labels(docs: DataFrame, classes: DataFrame, seen: DataFrame, width: in
     members = bucketed(sets.select("cid", "grp", "several", "tokens"), "grp", "group-sets")
     placed = written(found.select("token", "cid").join(partnered.select("cid", "grp", "n"), "cid"), "postings")
     labels = relabelled(partnered.select("cid", F.col("cid").alias("label")), written(inside_links(members, percent), "jaccard-links"))
+    if hints is not None:
+        pairs = written(hinted(hints, partnered), "jaccard-queries")
+        labels = relabelled(labels, written(opened_links(pairs, members, percent), "jaccard-links"))
     for attempt in range(HUBS + 1):
         now = placed.join(labels, "cid")
         # a token whose holders are linked already leads to nothing new, now or later

@@ -8,7 +8,8 @@ from conftest import DATA
 from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
-from skycat.llm import near_copies, packing, quality_classifier, quality_rules
+from skycat.llm import byte_bpe, jaccard, packing, quality_classifier, quality_rules
+from skycat.llm.common import tokenizer_file
 
 
 def shingle_set(text):
@@ -59,9 +60,9 @@ def test_near_dedup_links_pairs_down_to_similarity(spark):
 def test_near_dedup_equals_brute_force(spark, monkeypatch):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
-    for rounds, block in ((near_copies.HUB_ROUNDS, near_copies.BLOCK), (0, 3)):
-        monkeypatch.setattr(near_copies, "HUB_ROUNDS", rounds)
-        monkeypatch.setattr(near_copies, "BLOCK", block)
+    for rounds, members in ((jaccard.HUBS, jaccard.MEMBERS), (0, 3)):
+        monkeypatch.setattr(jaccard, "HUBS", rounds)
+        monkeypatch.setattr(jaccard, "MEMBERS", members)
         kept = cp.near_dedup_stage(spark, docs, DATA)
         assert kept.columns == docs.columns
         assert Counter((False, r.doc_id) for r in kept.collect()) == brute_kept(rows)
@@ -75,9 +76,9 @@ def test_near_dedup_compares_a_dense_group_in_blocks(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     want = brute_kept(rows)
     assert 3 < want.total() < 60
-    for rounds, block in ((1, 8), (0, 512), (0, 5)):
-        monkeypatch.setattr(near_copies, "HUB_ROUNDS", rounds)
-        monkeypatch.setattr(near_copies, "BLOCK", block)
+    for rounds, members in ((1, 8), (0, 5)):
+        monkeypatch.setattr(jaccard, "HUBS", rounds)
+        monkeypatch.setattr(jaccard, "MEMBERS", members)
         assert Counter((False, r.doc_id) for r in cp.near_dedup_stage(spark, docs, DATA).collect()) == want
 
 
@@ -91,6 +92,17 @@ def test_near_dedup_on_null_and_repeated_ids(spark):
     assert cp.near_dedup_stage(spark, docs.where(F.lit(False)), DATA).count() == 0
 
 
+def test_stages_take_columns_of_any_name(spark):
+    """Names with dots and other capitals than the contract's, as Spark itself takes them."""
+    rows = [(i, f"A text of some words, number {i}, and more of them to read than that.", "x", 1.5) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, TEXT string, `a.b` string, `c d` double")
+    for _, stage in cp.STAGES[:-1]:
+        out = stage(spark, docs, DATA)
+        assert [c.lower() for c in out.columns][:4] == ["doc_id", "text", "a.b", "c d"] and out.count() <= 6
+    assert cp.near_dedup_stage(spark, docs, DATA).count() == 6
+    assert byte_bpe.encode(docs.withColumnRenamed("TEXT", "text"), tokenizer_file("byte_bpe_multi_50k.tiktoken"), __import__("public_tokenizers").PATTERN).count() == 6
+
+
 def edge_rows(spark):
     """Good and bad texts, each under an id of its own, under no id, and twice under one id with another text."""
     texts = [r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").orderBy("doc_id").limit(60).collect()]
