@@ -16,8 +16,11 @@ import base64
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from skycat.llm.common import quoted
+
 from skycat.llm.word_tokens import _Cache
 
 #: Entries of each of a worker's two caches before they are emptied, and rows turned into Python objects at once.
@@ -140,38 +143,46 @@ def byte_bpe(path: str, pattern: str) -> ByteBpe:
     return _OPEN[path, pattern]
 
 
+def _plain(kept, out, kind):
+    """Names without dots for these fields, and the schema with them and one more column."""
+    plain = [f"c{i}" for i in range(len(kept))]
+    return plain, T.StructType([*(T.StructField(c, f.dataType) for c, f in zip(plain, kept)), T.StructField(out, kind)])
+
+
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
     """``out`` array<int>, the ids of each whole text, in place of the text; other columns stay."""
     kept = [f for f in docs.schema.fields if f.name not in (out, text)]
-    schema = T.StructType([*kept, T.StructField(out, T.ArrayType(T.IntegerType()))])
+    # Arrow functions look columns up by name, where a dot would mean a field
+    plain, schema = _plain(kept, "ids", T.ArrayType(T.IntegerType()))
 
     def run(batches):
         import numpy as np
 
         bpe = byte_bpe(path, pattern)
         for batch in (part for whole in batches for part in slices(whole)):
-            raw = [bpe.encode(t) for t in batch.column(text).to_pylist()]
+            raw = [bpe.encode(t) for t in batch.column("_text").to_pylist()]
             bpe.trim()
             offsets = np.concatenate([[0], np.cumsum([len(r) // 4 for r in raw])]).astype("int32")
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(raw), "<i4")))
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), ids], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in plain), ids], names=schema.names)
 
-    return docs.select(*(f.name for f in kept), text).mapInArrow(run, schema)
+    return docs.select(*(F.col(quoted(f.name)).alias(c) for f, c in zip(kept, plain)), F.col(text).alias("_text")).mapInArrow(run, schema).toDF(*(f.name for f in kept), out)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Adds ``out`` binary, the bytes that the ids stand for; null ids give null."""
     kept = [f for f in encoded.schema.fields if f.name != out]
-    schema = T.StructType([*kept, T.StructField(out, T.BinaryType())])
+    plain, schema = _plain(kept, "decoded", T.BinaryType())
+    source = plain[[f.name for f in kept].index(ids)]
 
     def run(batches):
         pieces = vocabulary(path)
         for batch in (part for whole in batches for part in slices(whole)):
-            lists = batch.column(ids)
+            lists = batch.column(source)
             data = [b"".join(map(pieces.__getitem__, lists[i].values.to_numpy(zero_copy_only=False).tolist())) if lists[i].is_valid else None for i in range(len(lists))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), pa.array(data, pa.binary())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in plain), pa.array(data, pa.binary())], names=schema.names)
 
-    return encoded.select(*(f.name for f in kept)).mapInArrow(run, schema)
+    return encoded.select(*(F.col(quoted(f.name)).alias(c) for f, c in zip(kept, plain))).mapInArrow(run, schema).toDF(*(f.name for f in kept), out)
 
 
 def digests(decoded: DataFrame, ids: str = "ids", data: str = "decoded") -> DataFrame:
