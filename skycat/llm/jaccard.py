@@ -48,10 +48,10 @@ LONGER = 10
 MEMBERS, QUERIES, TOKENS = 256, 512, 1 << 17
 #: Tokens that one part of the token range holds.
 PART_TOKENS = 1 << 22
-#: Rounds that drop classes with too few shared tokens, and tokens that are not shared then.
-THINNED = 2
+#: Rounds that drop classes with too few shared tokens, and tokens of one class only.
+THINNED = 1
 #: Rounds in which every set asks the group of one holder of each token.
-HUBS = 2
+HUBS = 1
 
 
 def _mix(h):
@@ -456,8 +456,10 @@ def class_labels(docs: DataFrame, classes: DataFrame, seen: DataFrame, width: in
     """
     held = written(prefixes(docs, sketch(seen), width, percent).withColumn("uid", F.monotonically_increasing_id()), "prefixes")
     rows = written(shared_tokens(held), "shared-tokens")
-    uids = held.select("uid", "digest").join(classes.select("digest", "cid"), "digest").select("uid", "cid")
-    found = written(rows.join(uids, "uid").select("token", "cid").distinct(), "token-classes")
+    # one of the rows of each class: copies of a set hold the same tokens
+    chosen = held.groupBy("digest").agg(F.min("uid").alias("uid"))
+    uids = chosen.join(classes.select("digest", "cid"), "digest").select("uid", "cid")
+    found = written(rows.join(uids, "uid").select("token", "cid"), "token-classes")
     for _ in range(THINNED):
         # copies of one set in several tasks share their tokens with themselves only
         common = found.groupBy("token").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi"), F.count("*").alias("holders")).where("lo < hi").select("token", "holders")
