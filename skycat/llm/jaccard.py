@@ -165,7 +165,7 @@ def described(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 np.add.at(count, (t % np.uint64(SLOTS)).astype(np.int64), np.uint32(1))
                 total += len(t)
             out = pd.DataFrame(rows, columns=["digest", "n"])
-            out.insert(1, "doc_id", pdf.doc_id.astype("Int64"))
+            out.insert(1, "doc_id", pdf.doc_id.astype("Int64").mask(pdf.missing))
             yield out.assign(slot=pd.array([pd.NA] * len(out), "Int32"), seen=pd.array([pd.NA] * len(out), "Int64"))
         mean = total / SLOTS
         often = np.flatnonzero(count > OFTEN + mean + 2 * mean**0.5)
@@ -173,7 +173,9 @@ def described(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             part = often[at : at + 100_000]
             yield pd.DataFrame({"digest": None, "doc_id": pd.array([pd.NA] * len(part), "Int64"), "n": pd.array([pd.NA] * len(part), "Int64"), "slot": part, "seen": count[part]})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "digest binary, doc_id long, n long, slot int, seen long")
+    # pandas makes doubles of a column of numbers with nulls, and these do not hold every id
+    doc_id = F.col("doc_id").cast("long")
+    return docs.select(F.coalesce(doc_id, F.lit(0)).alias("doc_id"), doc_id.isNull().alias("missing"), "text").mapInPandas(run, "digest binary, doc_id long, n long, slot int, seen long")
 
 
 def _table(rows: DataFrame, slots: int, pack):
@@ -271,12 +273,15 @@ def shared_tokens(held: DataFrame) -> DataFrame:
         for pdf in batches:
             t, row, several, first = _runs(pdf)
             t, row, several = t[first], row[first], several[first]
-            base = int(pdf.uid.min()) if len(pdf) else 0
-            offset = (pdf.uid.to_numpy() - base)[row].astype("<u4")
-            part = (t >> np.uint64(64 - bits)).astype(np.int64)
-            cuts = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(t) else np.zeros(0, np.int64)
+            uid, part = pdf.uid.to_numpy()[row], (t >> np.uint64(64 - bits)).astype(np.int64)
+            # a batch may hold rows of several files, and their uids lie further apart than four bytes reach
+            base = uid >> 32 << 32
+            order = np.lexsort((base, part))
+            t, uid, part, base, several = t[order], uid[order], part[order], base[order], several[order]
+            offset = (uid - base).astype("<u4")
+            cuts = np.flatnonzero(np.append(True, (part[1:] != part[:-1]) | (base[1:] != base[:-1]))) if len(t) else np.zeros(0, np.int64)
             ends = np.append(cuts[1:], len(t))
-            yield pd.DataFrame({"part": part[cuts], "base": base, "tokens": [t[a:b].tobytes() for a, b in zip(cuts, ends)], "offsets": [offset[a:b].tobytes() for a, b in zip(cuts, ends)], "several": [np.packbits(several[a:b]).tobytes() for a, b in zip(cuts, ends)]})
+            yield pd.DataFrame({"part": part[cuts], "base": base[cuts], "tokens": [t[a:b].tobytes() for a, b in zip(cuts, ends)], "offsets": [offset[a:b].tobytes() for a, b in zip(cuts, ends)], "several": [np.packbits(several[a:b]).tobytes() for a, b in zip(cuts, ends)]})
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         import numpy as np

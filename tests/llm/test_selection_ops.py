@@ -169,6 +169,16 @@ def test_components_by_brute_force(spark, monkeypatch, members, tokens):
     assert sorted((show(r.doc_id), r.n_shingles, show(r.component_id)) for r in got) == components(texts, ids)
 
 
+def test_jaccard_over_many_tasks_with_large_and_null_ids(spark):
+    """Prefixes that several tasks wrote meet in one batch, and ids that no double holds stand beside null ones."""
+    draw = random.Random(5)
+    bases = [" ".join(f"v{draw.randrange(3000)}" for _ in range(60)) for _ in range(40)]
+    texts = [family(draw, base, edits) for base in bases for edits in (0, 1, 1)]
+    ids = [None if i % 11 == 3 else 2**62 + i for i in range(len(texts))]
+    got = jaccard.jaccard_components(docs(spark, texts, ids).repartition(24)).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == components(texts, ids)
+
+
 def test_jaccard_of_empty_table(spark):
     assert jaccard.jaccard_components(docs(spark, ["x"]).limit(0)).count() == 0
 
