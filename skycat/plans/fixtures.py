@@ -48,14 +48,23 @@ S = """
 select c_custkey as source_id, 150e0 + ((c_custkey*7919) % 20011)/10005.5e0 as ra, 30e0 + ((c_custkey*6101) % 20021)/10010.5e0 as dec, 8e0 + (c_custkey*37 % 1400)/100e0 as gmag, c_custkey % 11 = 0 as in_galaxy_candidates,
   concat(lpad(cast(cast(floor(c_custkey/110e0) as int) as string), 3, '0'), '_000') as tile, cast((c_custkey*7) % 120 as int) as x, cast((c_custkey*11) % 40 as int) as y from customer"""
 SOURCE = {"D": ("part", D), "R": ("part", R), "X": ("part", X), "P": ("part", P), "J": ("events", J), "S": ("customer", S)}
+#: Fixtures with many rows for each one of their table, and the key that deals it.
+DEALT = {"D": "p_partkey", "X": "p_partkey"}
 #: Spherical separation of rows a and b, in arcseconds, for brute-force oracles.
 SEP = "(2e0*degrees(asin(sqrt(power(sin(radians({b}.dec-{a}.dec)/2e0),2)+cos(radians({a}.dec))*cos(radians({b}.dec))*power(sin(radians({b}.ra-{a}.ra)/2e0),2))))*3600e0)"
 
 
 def fixture(spark, sf_dir, name):
-    """The rows of a fixture; no view of the caller's session is touched."""
+    """The rows of a fixture; no view of the caller's session is touched.
+
+    A row of part gives 64 pixels or some detections, so that a file of a single task can
+    stand for very many rows: its rows are dealt to all tasks before.
+    """
     table, sql = SOURCE[name]
-    return spark.sql(re.sub(rf"\bfrom {table}\b", f"from {{{table}}}", sql), **{table: spark.read.parquet(f"{sf_dir}/{table}.parquet")})
+    rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    if name in DEALT:
+        rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), DEALT[name])
+    return spark.sql(re.sub(rf"\bfrom {table}\b", f"from {{{table}}}", sql), **{table: rows})
 
 
 def with_fixtures(*names, body):
