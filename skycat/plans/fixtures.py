@@ -47,9 +47,12 @@ select event_id as seq, cast(user_id % 30 as int) as tile, case event_id % 3 whe
 S = """
 select c_custkey as source_id, 150e0 + ((c_custkey*7919) % 20011)/10005.5e0 as ra, 30e0 + ((c_custkey*6101) % 20021)/10010.5e0 as dec, 8e0 + (c_custkey*37 % 1400)/100e0 as gmag, c_custkey % 11 = 0 as in_galaxy_candidates,
   concat(lpad(cast(cast(floor(c_custkey/110e0) as int) as string), 3, '0'), '_000') as tile, cast((c_custkey*7) % 120 as int) as x, cast((c_custkey*11) % 40 as int) as y from customer"""
-SOURCE = {"D": ("part", D), "R": ("part", R), "X": ("part", X), "P": ("part", P), "J": ("events", J), "S": ("customer", S)}
+#: X with tile names of any length: ``lpad`` cuts those of four digits, and ten tiles get one name beyond 150,000 parts.
+#: It goes by the name X in the SQL of the queries that use it.
+WIDE = X.replace("lpad(cast(t as string), 3, '0')", "case when t < 1000 then lpad(cast(t as string), 3, '0') else cast(t as string) end")
+SOURCE = {"D": ("part", D), "R": ("part", R), "X": ("part", X), "WIDE": ("part", WIDE), "P": ("part", P), "J": ("events", J), "S": ("customer", S)}
 #: Fixtures with many rows for each one of their table, and the key that deals it.
-DEALT = {"D": "p_partkey", "X": "p_partkey"}
+DEALT = {"D": "p_partkey", "X": "p_partkey", "WIDE": "p_partkey"}
 #: Spherical separation of rows a and b, in arcseconds, for brute-force oracles.
 SEP = "(2e0*degrees(asin(sqrt(power(sin(radians({b}.dec-{a}.dec)/2e0),2)+cos(radians({a}.dec))*cos(radians({b}.dec))*power(sin(radians({b}.ra-{a}.ra)/2e0),2))))*3600e0)"
 
@@ -69,4 +72,4 @@ def fixture(spark, sf_dir, name):
 
 def with_fixtures(*names, body):
     """DuckDB SQL with these fixtures as common table expressions named like them."""
-    return "with " + ", ".join(f"{n} as ({SOURCE[n][1]})" for n in names) + " " + body
+    return "with " + ", ".join(f"{'X' if n == 'WIDE' else n} as ({SOURCE[n][1]})" for n in names) + " " + body

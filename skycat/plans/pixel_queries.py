@@ -17,6 +17,11 @@ def _x(spark, d):
     return fixture(spark, d, "X")
 
 
+def _wide(spark, d):
+    """X with one name for each tile, however many there are."""
+    return fixture(spark, d, "WIDE")
+
+
 @query("select tile, band, x, y, round(case when v>=65536 or v < -5 then 0e0 else v end,6) as value from (select tile, band, x, y, value*200e0-1010e0 as v from X)", ["X"])
 def clean_pixels(spark, d):
     v = F.col("value") * 200.0 - 1010.0
@@ -41,9 +46,9 @@ def segment_photometry(spark, d):
     return out.select("tile", "band", "segment_id", F.round("flux", 4).alias("flux"), "n_pix", (F.round(F.when(even, 0.0).otherwise(F.col("theta")), 4) + 0.0).alias("theta"), *rounded)
 
 
-@query(f"select {IM}, segment_id, x, y, row_number() over w - 1 as rank, round(sum(value) over w,4) as cum from X where segment_id is not null window w as (partition by {IM}, segment_id order by value desc, y, x)", ["X"])
+@query(f"select {IM}, segment_id, x, y, row_number() over w - 1 as rank, round(sum(value) over w,4) as cum from X where segment_id is not null window w as (partition by {IM}, segment_id order by value desc, y, x)", ["WIDE"])
 def light_curve_of_growth(spark, d):
-    return pixels.light_curve_of_growth(_x(spark, d).where("segment_id is not null"), value="value").select("tile", "band", "segment_id", "x", "y", F.col("rank").cast("long").alias("rank"), F.round("cum", 4).alias("cum"))
+    return pixels.light_curve_of_growth(_wide(spark, d).where("segment_id is not null"), value="value").select("tile", "band", "segment_id", "x", "y", F.col("rank").cast("long").alias("rank"), F.round("cum", 4).alias("cum"))
 
 
 @query(f"select {IM}, x, y, segment_id, cast(case when segment_id is not null then dense_rank() over (partition by {IM} order by segment_id) end as int) as new_id from X", ["X"])
@@ -154,14 +159,14 @@ def _hot(level, quiet):
     return f", f as (select {IM}, x, y from X where value>{level})" + _regions("f", IM) + f", s as (select {IM}, x, y, c from (select *, count(*) over (partition by {IM}, c) as n from t) where n<=3), o as (select distinct {IM}, c, x+i as x, y+j as y from s, (values (-1),(0),(1)) a(i), (values (-1),(0),(1)) b(j)), qu as ({quiet}), u as (select {IM}, o.c, X.value, q from o join X using ({IM}, x, y) join qu using ({IM}) where (o.tile, o.band, o.x, o.y) not in (select {IM}, x, y from s)), k as (select {IM}, c from u group by {IM}, c having avg(case when value<=q then 1e0 else 0e0 end)>=0.2e0), hp as (select s.* from s join k using ({IM}, c))"
 
 
-@query(_hot("70e0", f"select distinct {IM}, 20e0 as q from X") + f" select {IM}, x, y from hp", ["X"])
+@query(_hot("70e0", f"select distinct {IM}, 20e0 as q from X") + f" select {IM}, x, y from hp", ["WIDE"])
 def hot_pixels(spark, d):
-    return pixels.hot_pixels(_x(spark, d), 70.0, 20.0).select("tile", "band", "x", "y")
+    return pixels.hot_pixels(_wide(spark, d), 70.0, 20.0).select("tile", "band", "x", "y")
 
 
-@query(_hot("70e0", f"select {IM}, median(value)+3*stddev_pop(value) as q from X group by {IM}") + f", md as (select {IM}, median(value) as m from X group by {IM}) select {IM}, X.x, X.y, round(case when hp.x is null then value else m end,6) as value from X join md using ({IM}) left join hp using ({IM}, x, y)", ["X"])
+@query(_hot("70e0", f"select {IM}, median(value)+3*stddev_pop(value) as q from X group by {IM}") + f", md as (select {IM}, median(value) as m from X group by {IM}) select {IM}, X.x, X.y, round(case when hp.x is null then value else m end,6) as value from X join md using ({IM}) left join hp using ({IM}, x, y)", ["WIDE"])
 def mask_hot_pixels(spark, d):
-    return pixels.mask_hot_pixels(_x(spark, d), 70.0).select("tile", "band", "x", "y", r6("value").alias("value"))
+    return pixels.mask_hot_pixels(_wide(spark, d), 70.0).select("tile", "band", "x", "y", r6("value").alias("value"))
 
 
 # --- background and fills --------------------------------------------------------------
@@ -313,9 +318,9 @@ def _objects(px):
     return px.where("segment_id is not null").groupBy("tile", "band", F.col("segment_id").alias("object_id")).agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
 
 
-@query(_OBJ + " select tile, band, object_id, pos, round(coalesce(value,0e0),6) as value, case when segment_id=object_id then 1 else 0 end as own, round(case when segment_id=object_id then value else 0e0 end,6) as alone from cu", ["X"])
+@query(_OBJ + " select tile, band, object_id, pos, round(coalesce(value,0e0),6) as value, case when segment_id=object_id then 1 else 0 end as own, round(case when segment_id=object_id then value else 0e0 end,6) as alone from cu", ["WIDE"])
 def cutouts(spark, d):
-    px = _x(spark, d)
+    px = _wide(spark, d)
     both = pixels.cutouts(_objects(px), px, mode="concatenate").join(pixels.cutouts(_objects(px), px, mode="multiply").withColumnRenamed("values", "alone"), ["tile", "band", "object_id"])
     rows = both.select("tile", "band", "object_id", F.posexplode(F.arrays_zip("values", "mask", "alone")))
     return rows.select("tile", "band", "object_id", F.col("pos").cast("long").alias("pos"), r6("col.values").alias("value"), F.col("col.mask").alias("own"), r6("col.alone").alias("alone"))
@@ -336,7 +341,7 @@ def cutout_roundtrip(spark, d):
 
 
 def _channels(spark, d):
-    cut = pixels.cutouts(_objects(_x(spark, d)), _x(spark, d))
+    cut = pixels.cutouts(_objects(_wide(spark, d)), _wide(spark, d))
     times = lambda n, lost: F.transform("values", lambda v: F.when(F.col("object_id") % 4 == lost, 0.0).otherwise(v * n))
     return cut.select("tile", "band", "object_id", times(1.0, 0).alias("r"), times(0.8, 1).alias("g"), times(0.5, 2).alias("b"))
 
@@ -344,14 +349,14 @@ def _channels(spark, d):
 _CH = _OBJ + ", ch as (select tile, band, object_id, pos, case when object_id%4=0 then 0e0 else v end as r, case when object_id%4=1 then 0e0 else v*0.8e0 end as g, case when object_id%4=2 then 0e0 else v*0.5e0 end as b from (select tile, band, object_id, pos, coalesce(value,0e0) as v from cu)), fc as (select tile, band, object_id, pos, case when object_id%4=0 then g else r end as r, case when object_id%4=0 then (g+b)/2 when object_id%4=1 then (r+b)/2 when object_id%4=2 then (r+g)/2 else g end as g, case when object_id%4=2 then g else b end as b from ch)"
 
 
-@query(_CH + " select tile, band, object_id, pos, round(r,6) as r, round(g,6) as g, round(b,6) as b from fc", ["X"])
+@query(_CH + " select tile, band, object_id, pos, round(r,6) as r, round(g,6) as g, round(b,6) as b from fc", ["WIDE"])
 def fill_channel(spark, d):
     r, g, b = pixels.fill_channel(F.col("r"), F.col("g"), F.col("b"))
     rows = _channels(spark, d).select("tile", "band", "object_id", r.alias("r"), g.alias("g"), b.alias("b")).select("tile", "band", "object_id", F.posexplode(F.arrays_zip("r", "g", "b")))
     return rows.select("tile", "band", "object_id", F.col("pos").cast("long").alias("pos"), *(r6(f"col.{c}").alias(c) for c in "rgb"))
 
 
-@query(_CH + ", m as (select *, (r+g+b)/(case when object_id%4<3 then 2 else 3 end) as m from ch) select tile, band, object_id, pos, " + ", ".join(f"round(case when {c}=0 or m=0 then 0e0 else power(least(greatest({c}*0.1e0*asinh(7e0*m/125e0)/(asinh(0.7e0)*m),0e0),1e0),0.25e0) end,6) as {c}" for c in "rgb") + " from m", ["X"])
+@query(_CH + ", m as (select *, (r+g+b)/(case when object_id%4<3 then 2 else 3 end) as m from ch) select tile, band, object_id, pos, " + ", ".join(f"round(case when {c}=0 or m=0 then 0e0 else power(least(greatest({c}*0.1e0*asinh(7e0*m/125e0)/(asinh(0.7e0)*m),0e0),1e0),0.25e0) end,6) as {c}" for c in "rgb") + " from m", ["WIDE"])
 def to_rgb(spark, d):
     out = pixels.to_rgb(F.col("r"), F.col("g"), F.col("b"))
     rows = _channels(spark, d).select("tile", "band", "object_id", *(c.alias(n) for n, c in zip("rgb", out))).select("tile", "band", "object_id", F.posexplode(F.arrays_zip("r", "g", "b")))

@@ -2,11 +2,14 @@
 
 import time
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from test_oracles import rows
 
 from skycat.operators import pixels
+from skycat.plans import registry
 
 
 def test_background_of_large_cells(spark):
@@ -28,3 +31,14 @@ def test_background_with_nan_and_empty_cells(spark):
     assert np.isnan(got[0, 0][0]) and np.isnan(got[0, 0][2])
     assert got[0, 1] == got[0, 1] and got[0, 1] == (1.5, 1.5, 0.5)
     assert got[1, 1] == got[1, 0] == (3.5, 3.5, 0.5)
+
+
+@pytest.mark.parametrize("name", ["light_curve_of_growth", "hot_pixels", "mask_hot_pixels", "cutouts", "fill_channel", "to_rgb"])
+def test_tiles_of_four_digits_are_no_others(spark, tmp_path, name):
+    """Tiles 100 and 1000 hold different images, and the queries equal their SQL on both."""
+    con = duckdb.connect()
+    con.execute(f"copy (select 15000 + i + 135000 * j as p_partkey from range(150) a(i), range(2) b(j)) to '{tmp_path}/part.parquet'")
+    con.execute(f"create view part as select * from '{tmp_path}/part.parquet'")
+    ours, theirs = registry.queries()[name](spark, str(tmp_path)).toPandas(), con.execute(registry.oracle_sql()[name]).df()
+    assert set(ours.tile) == {"100_000", "1000_000"}
+    assert rows(ours) == rows(theirs)
