@@ -1,7 +1,7 @@
 """Spherical matching as equi-joins on a 3-D grid of unit vectors.
 
 A point lies in one cell of edge ``K`` chords; a probe is copied to the at most eight cells
-that its chord box touches.  The cell join is a hash equi-join; the exact separation filters
+that its chord ball touches.  The cell join is a hash equi-join; the exact separation filters
 afterwards.  There is no pole and no wrap at 0/360 degrees.
 """
 
@@ -14,7 +14,10 @@ from pyspark.sql import functions as F
 
 from skycat.functions.sphere import ang_sep_arcsec, unit_vector
 
-K = 8
+#: Cells of this size hold few points beyond the chord, and a probe few cells.
+K = 3
+#: nearest_match looks within these shares of its separation, one after the other.
+SHARES = (1 / 16, 1 / 4, 1)
 
 
 def _cells(df, chord, probe, ra="ra", dec="dec"):
@@ -24,7 +27,8 @@ def _cells(df, chord, probe, ra="ra", dec="dec"):
         return df.withColumns({c: F.floor(v / edge).cast("long") for c, v in zip(("cx", "cy", "cz"), axes)})
     for c, v in zip(("cx", "cy", "cz"), axes):
         df = df.withColumn(c, F.explode(F.array_distinct(F.array(F.floor((v - chord) / edge).cast("long"), F.floor((v + chord) / edge).cast("long")))))
-    return df
+    gaps = [F.greatest(F.lit(0.0), F.col(c) * edge - v, v - (F.col(c) + 1) * edge) for c, v in zip(("cx", "cy", "cz"), axes)]
+    return df.where(sum(g * g for g in gaps) <= chord * chord * (1 + 1e-6))
 
 
 def radius_join(left: DataFrame, right: DataFrame, max_sep: float, inclusive: bool = True, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -43,10 +47,22 @@ def radius_join(left: DataFrame, right: DataFrame, max_sep: float, inclusive: bo
 
 
 def nearest_match(left, right, max_sep, left_id, right_id, inclusive=False, keys=()):
-    """(left id, right id, sep): the nearest right row of each left row; ties go to the least id."""
-    pairs = radius_join(left, right, max_sep, inclusive, keys)
-    best = F.min(F.struct("sep", F.col(f"r.{right_id}").alias("rid")))
-    return pairs.groupBy(F.col(f"l.{left_id}").alias("left_id")).agg(best.alias("b")).select("left_id", F.col("b.rid").alias("right_id"), F.col("b.sep").alias("sep"))
+    """(left id, right id, sep): the nearest right row of each left row; ties go to the least id.
+
+    Rows look within a share of ``max_sep`` first and go on to wider circles only while they
+    have found nothing, so that dense tables are not joined over the whole of it.
+    """
+    from skycat.operators.training import written
+
+    rest, found = left, None
+    for share in SHARES:
+        pairs = radius_join(rest, right, max_sep * share, inclusive or share < 1, keys)
+        best = F.min(F.struct("sep", F.col(f"r.{right_id}").alias("rid")))
+        near = pairs.groupBy(F.col(f"l.{left_id}").alias("left_id")).agg(best.alias("b")).select("left_id", F.col("b.rid").alias("right_id"), F.col("b.sep").alias("sep"))
+        near = written(near, "nearest") if share < 1 else near
+        found = near if found is None else found.union(near)
+        rest = rest.join(near.select("left_id"), rest[left_id].eqNullSafe(near["left_id"]), "left_anti")
+    return found
 
 
 def match_split(left, right, max_sep, left_id, right_id):

@@ -96,3 +96,38 @@ def test_write_by_tile_replaces_only_its_tiles(spark, tmp_path):
     tables.write_by_tile(row(1, 1, 1).union(row(2, 2, 2)), path)
     tables.write_by_tile(row(2, 2, 5), path)
     assert {(r.tile_x, r.v) for r in spark.read.parquet(path).collect()} == {(1, 1), (2, 5)}
+
+
+def test_exclusive_negatives_in_a_crowded_tile(spark):
+    """More positives than negatives, in many batches, against the sequence; positives that find none are no work."""
+    import random
+
+    draw = random.Random(5)
+    rows = [(i, draw.random() / 100, draw.random() / 100, 0, 0, 1.0 if i % 3 == 0 else None) for i in range(240)]
+    df = spark.createDataFrame(rows, "det_id long, ra double, dec double, tile_x int, tile_y int, lsb double")
+    got = {tuple(r) for r in training.exclusive_negatives(df, 4).collect()}
+    free, want = {r[0]: r for r in rows if r[5] is None}, set()
+    for p in (r for r in rows if r[5]):
+        picks = sorted(free.values(), key=lambda n: ((n[1] - p[1]) ** 2 + (n[2] - p[2]) ** 2, n[0]))[:4]
+        free = {i: n for i, n in free.items() if n not in picks}
+        want |= {(p[0], n[0]) for n in picks if len(picks) == 4}
+    assert got == want
+
+
+def test_nearest_match_in_steps(spark, monkeypatch):
+    """Rows with a near partner are not joined over the whole separation; ties, borders and null ids stay as they were."""
+    from skycat.operators import match
+
+    left = spark.createDataFrame([(1, 10.0, 0.0), (2, 20.0, 0.0), (3, 30.0, 0.0), (None, 40.0, 0.0)], "a long, ra double, dec double")
+    right = spark.createDataFrame([(9, 10.0, 1 / 3600), (8, 10.0, -1 / 3600), (7, 10.0, 30 / 3600), (6, 20.0, 39 / 3600), (4, 40.0, 2 / 3600)], "b long, ra double, dec double")
+    sizes, real = [], match.radius_join
+
+    def counted(*args, **kw):
+        out = real(*args, **kw)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(match, "radius_join", counted)
+    got = {r.left_id: (r.right_id, round(r.sep, 6)) for r in match.nearest_match(left, right, 40.0, "a", "b").collect()}
+    assert got == {1: (8, 1.0), 2: (6, 39.0), None: (4, 2.0)}
+    assert sizes == [3, 0, 1]  # the partner of 1 that lies 30 arcseconds away is never met
