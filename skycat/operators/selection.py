@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from skycat.functions.tiles import bands_contain
 
+#: Points that go to the pixels as a broadcast; more of them meet the pixels by a shuffle.
+FEW_POINTS = 100_000
+
 
 def box_scan(df: DataFrame, ra_range, dec_range, columns=None) -> DataFrame:
     """Rows in a closed box; on Parquet both ranges and the columns reach the scan."""
@@ -83,13 +86,19 @@ def near_pixels(points: DataFrame, px: DataFrame, radius: int, keys=()) -> DataF
 def corrupted_at(points: DataFrame, px: DataFrame, id_col: str, radius: int, share: float = 0.6) -> DataFrame:
     """(image, id, zero_share, corrupted): zero pixels in the square around each point, as far as its image goes.
 
-    Points with a tile are looked up on every band of their tile.
+    Points with a tile are looked up on every band of their tile.  Up to ``FEW_POINTS`` points
+    are broadcast.
     """
     from skycat.operators.pixels import image_keys
+    from skycat.operators.training import written
 
     keys, shared = image_keys(px), image_keys(px, points)
     zero = F.avg(F.when(F.col("value") == 0, 1.0).otherwise(0.0))
     whole = points.select(*shared, id_col, F.rint("x").cast("long").alias("x"), F.rint("y").cast("long").alias("y"))
+    # few points go to the pixels, so that these need not move
+    whole = written(whole, "points")
+    if whole.count() <= FEW_POINTS:
+        whole = F.broadcast(whole)
     near = near_pixels(whole, px.select(*keys, "x", "y", "value"), radius, shared)
     return near.groupBy(*keys, F.col(f"p_{id_col}").alias(id_col)).agg(zero.alias("zero_share")).withColumn("corrupted", F.col("zero_share") > share)
 

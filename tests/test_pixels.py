@@ -107,3 +107,19 @@ def test_convolve_of_shared_places(spark):
     px = spark.createDataFrame(rows, "x int, y int, value double")
     got = {r.x: r.value for r in pixels.convolve(px, {(1, 0): 0.5, (-1, 0): 0.25}).where("value is not null").collect()}
     assert got[0] == 2 * 4.0 * 0.25 and got[1] == 3.0 * 0.5 and got[3] == 8.0 * 0.25 and np.isnan(got[4])
+
+
+def test_few_points_go_to_the_pixels(spark, monkeypatch):
+    """Pixels do not move for few points; many points give the same by a shuffle."""
+    from skycat.operators import selection
+
+    px = _copies(spark, 2).withColumn("value", F.when(F.col("x") < 4, 0.0).otherwise(1.0))
+    points = spark.createDataFrame([(1, 3, 3), (2, 8, 8), (3, 0, 0)], "id int, x int, y int")
+    got = {}
+    for few in (100, 0):
+        monkeypatch.setattr(selection, "FEW_POINTS", few)
+        out = selection.corrupted_at(points, px, "id", 2)
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert ("broadcast" in plan) == bool(few)
+        got[few] = sorted(map(tuple, out.collect()))
+    assert got[100] == got[0] == [(1, 0.6, False), (2, 0.0, False), (3, 1.0, True)]
