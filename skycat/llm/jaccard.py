@@ -1,17 +1,18 @@
-"""Exact n-gram Jaccard join over a token-group matrix.
+"""Exact n-gram Jaccard join over a token-family matrix.
 
 Tokens are hashes of word shingles.  Documents of equal token sets are one class.  Every set
 has a prefix, its rarest tokens by a frequency sketch, so long that two sets that are similar
 enough share a certain number of tokens of it.  A class that shares fewer with all others
 together has no partner.  The others are partitioned into groups of similar sets (by the token
 of their prefix that most sets hold, which near copies nearly always have in common; large
-groups are cut to bounded size), and a group links its own members first.  The matrix then holds the tokens of a group's prefixes; a query looks its own prefix
-up there, and their overlap says which groups can hold a partner.  The query moves to them,
+groups are cut to bounded size), and a group links its own members first.  The matrix then
+holds the tokens of the prefixes of whole families; a query looks its own prefix up there, and
+their overlap says which families can hold a partner.  The query moves to their groups,
 where its overlap with the union of all tokens of the group bounds the overlap with each
 member: a group is opened only if the bound reaches what the query needs.
 
-Sets that are linked already are not compared again: a matrix row, a query or a group whose
-labels agree is dropped, for nothing new can come from it.  Before the queries ask all their
+Sets that are linked already are not compared again, and of two labels only the smaller one
+asks: a matrix row or a group is met only by queries whose label it exceeds.  Before the queries ask all their
 groups, in ``HUBS`` rounds every set asks only the group of one holder of each of its tokens,
 so that a large family of near copies grows together at a cost in proportion to its size.
 Groups report spanning forests, never pairs, and components follow.
@@ -378,8 +379,8 @@ def inside_links(members: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def matrix(postings: DataFrame) -> DataFrame:
-    """(token, grp, lo, hi, least, most, last): the rows of the token-group matrix with the labels, sizes and last class of the group's holders."""
-    return postings.groupBy("token", "grp").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most"), F.max("cid").alias("last"))
+    """(token, family, top, least, most): the rows of the token-family matrix with the greatest label and the sizes of the family's holders."""
+    return postings.groupBy("token", "family").agg(F.max(F.struct("size", "label")).alias("top"), F.min("n").alias("least"), F.max("n").alias("most"))
 
 
 def fits(a: str, b: str, percent: int = PERCENT) -> str:
@@ -395,14 +396,22 @@ def hub_queries(postings: DataFrame, attempt: int, percent: int = PERCENT) -> Da
     return asked.groupBy(F.col("cid").alias("q"), F.col("h_grp").alias("grp")).agg(F.first("grp").alias("q_grp"), F.first("n").alias("q_n"))
 
 
-def qualifying(postings: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(q, q_grp, grp, q_n): queries with the groups of other labels that can hold a partner."""
-    queries = postings.select("token", F.col("cid").alias("q"), F.col("grp").alias("q_grp"), F.col("label").alias("q_label"), F.col("n").alias("q_n"))
-    # each pair is asked by its first class only
-    found = queries.join(matrix(postings), "token").where(F.expr(f"not (lo = hi and lo = q_label) and grp <> q_grp and last > q and 100 * q_n >= {percent} * least and 100 * most >= {percent} * q_n"))
-    # the tokens shared with the group's prefixes bound those shared with one of its members
-    counted = found.groupBy("q", "grp").agg(F.first("q_grp").alias("q_grp"), F.first("q_n").alias("q_n"), F.count("*").alias("tokens"))
-    return counted.where(F.col("tokens") >= met(F.col("q_n"), percent)).drop("tokens")
+def qualifying(postings: DataFrame, members: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(q, q_grp, grp, q_n): queries with the groups of other labels that can hold a partner.
+
+    Labels are ordered by their number of classes, and a class asks only where a greater label
+    is: so one side asks for each pair of labels, and the largest family of linked sets asks
+    nobody.  A query meets the matrix once for each token and family, however many groups the
+    family is cut into, and goes on to those of its groups that have a greater label.
+    """
+    queries = postings.select("token", F.col("cid").alias("q"), F.col("grp").alias("q_grp"), "size", "label", F.col("n").alias("q_n"))
+    near = F.expr(f"top > struct(size, label) and 100 * q_n >= {percent} * least and 100 * most >= {percent} * q_n")
+    found = queries.join(matrix(postings), "token").where(near)
+    # the tokens shared with the family's prefixes bound those shared with one of its members
+    counted = found.groupBy("q", "family").agg(*(F.first(c).alias(c) for c in ("q_grp", "q_n", "size", "label")), F.count("*").alias("tokens"))
+    counted = counted.where(F.col("tokens") >= met(F.col("q_n"), percent)).drop("tokens")
+    held = members.groupBy("family", "grp").agg(F.max(F.struct("size", "label")).alias("top"), F.min("n").alias("least"), F.max("n").alias("most"))
+    return counted.join(held, "family").where(near).where("grp <> q_grp").select("q", "q_grp", "grp", "q_n")
 
 
 def opened_links(pairs: DataFrame, members: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -439,6 +448,11 @@ def relabelled(labels: DataFrame, edges: DataFrame) -> DataFrame:
     return written(labels.join(parts, labels.label == parts.node, "left").select("cid", F.coalesce("component", "label").alias("label")), "jaccard-labels")
 
 
+def sized(labels: DataFrame) -> DataFrame:
+    """Adds ``size``, the number of classes of each label."""
+    return labels.join(labels.groupBy("label").agg(F.count("*").alias("size")), "label")
+
+
 def groups(partnered: DataFrame) -> DataFrame:
     """Adds ``grp`` and ``several``: families of similar sets, cut by classes and tokens into groups of bounded size, and whether the family has more than one set."""
     size = partnered.groupBy("family").agg(F.count("*").alias("k"), F.sum("n").alias("k_tokens"))
@@ -476,19 +490,21 @@ def class_labels(docs: DataFrame, classes: DataFrame, seen: DataFrame, width: in
     partnered = written(groups(classes.join(family, "cid")), "jaccard-groups")
     sets = sets_of(docs, filter_bits(partnered.select("digest")), width).join(partnered, "digest").dropDuplicates(["digest"])
     members = bucketed(sets.select("cid", "grp", "several", "tokens"), "grp", "group-sets")
-    placed = written(found.select("token", "cid").join(partnered.select("cid", "grp", "n"), "cid"), "postings")
+    placed = written(found.select("token", "cid").join(partnered.select("cid", "family", "grp", "n"), "cid"), "postings")
     labels = relabelled(partnered.select("cid", F.col("cid").alias("label")), written(inside_links(members, percent), "jaccard-links"))
     if hints is not None:
         pairs = written(hinted(hints, partnered), "jaccard-queries")
         labels = relabelled(labels, written(opened_links(pairs, members, percent), "jaccard-links"))
     for attempt in range(HUBS + 1):
-        now = placed.join(labels, "cid")
+        known = written(sized(labels), "jaccard-sizes")
+        now = placed.join(known, "cid")
         # a token whose holders are linked already leads to nothing new, now or later
         open_tokens = now.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
         postings = written(now.join(open_tokens, "token"), "open-postings")
-        pairs = written(hub_queries(postings, attempt, percent) if attempt < HUBS else qualifying(postings, percent), "jaccard-queries")
+        asking = hub_queries(postings, attempt, percent) if attempt < HUBS else qualifying(postings, partnered.join(known, "cid"), percent)
+        pairs = written(asking, "jaccard-queries")
         labels = relabelled(labels, written(opened_links(pairs, members, percent), "jaccard-links"))
-        placed = postings.drop("label")
+        placed = postings.drop("label", "size")
     return labels
 
 

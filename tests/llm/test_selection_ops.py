@@ -179,6 +179,21 @@ def test_jaccard_over_many_tasks_with_large_and_null_ids(spark):
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == components(texts, ids)
 
 
+def test_jaccard_asks_a_family_once_a_token(spark, monkeypatch):
+    """Linked sets do not ask the few others of their family, and a query meets a token once a family, not once a group."""
+    from pyspark.sql import Row
+
+    size = {7: 40, **{k: 1 for k in range(100, 120)}}
+    held = [(cid, 7 if cid < 40 else cid + 60) for cid in range(60)]
+    rows = [Row(token=t, cid=cid, grp=cid % 10, family=1, label=label, size=size[label], n=10) for cid, label in held for t in (1, 2, 3)]
+    seen = []
+    monkeypatch.setattr(jaccard, "matrix", lambda p, f=jaccard.matrix: seen.append(f(p)) or seen[-1])
+    postings = spark.createDataFrame(rows)
+    got = jaccard.qualifying(postings, postings.where("token = 1").drop("token")).collect()
+    assert seen[0].count() == 3
+    assert {r.q for r in got} == set(range(40, 60)) and len(got) == 20 * 9
+
+
 def test_jaccard_of_empty_table(spark):
     assert jaccard.jaccard_components(docs(spark, ["x"]).limit(0)).count() == 0
 
