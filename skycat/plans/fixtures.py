@@ -53,6 +53,8 @@ WIDE = X.replace("lpad(cast(t as string), 3, '0')", "case when t < 1000 then lpa
 SOURCE = {"D": ("part", D), "R": ("part", R), "X": ("part", X), "WIDE": ("part", WIDE), "P": ("part", P), "J": ("events", J), "S": ("customer", S)}
 #: Fixtures with many rows for each one of their table, and the key that deals it.
 DEALT = {"D": "p_partkey", "X": "p_partkey", "WIDE": "p_partkey"}
+#: Rows of the table that one task takes at most: some 1.3 million pixels or 50,000 detections.
+TASK_ROWS = 20_000
 #: Spherical separation of rows a and b, in arcseconds, for brute-force oracles.
 SEP = "(2e0*degrees(asin(sqrt(power(sin(radians({b}.dec-{a}.dec)/2e0),2)+cos(radians({a}.dec))*cos(radians({b}.dec))*power(sin(radians({b}.ra-{a}.ra)/2e0),2))))*3600e0)"
 
@@ -61,12 +63,14 @@ def fixture(spark, sf_dir, name):
     """The rows of a fixture; no view of the caller's session is touched.
 
     A row of part gives 64 pixels or some detections, so that a file of a single task can
-    stand for very many rows: its rows are dealt to all tasks before.
+    stand for very many rows: its rows are dealt to all tasks before, and to more tasks if
+    the table is large, so that what one task holds does not grow with it.
     """
     table, sql = SOURCE[name]
     rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
     if name in DEALT:
-        rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), DEALT[name])
+        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // TASK_ROWS))
+        rows = rows.repartition(tasks, DEALT[name])
     return spark.sql(re.sub(rf"\bfrom {table}\b", f"from {{{table}}}", sql), **{table: rows})
 
 
