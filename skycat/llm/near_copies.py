@@ -3,9 +3,9 @@
 Rows are known by a written key, never by doc_id.  Rows with the same set of five-word
 shingles fall into one class.  The SimHash index over the five-word fingerprints of the
 classes names the first pairs: its three bits find nearly all pairs of similarity 0.98 and
-few at 0.8, where some ten of 64 bits differ.  The token-group join finds all others that
-reach 0.8, and verifies those of SimHash by their whole sets too, so the groups are those
-of all pairs compared.
+few at 0.8, where some ten of 64 bits differ.  The token-family join links all pairs of sets
+that reach 0.8.  A fingerprint counts repeats and a set does not, so of the pairs that SimHash
+names (spanning edges of its groups) those link as well that reach 0.8 when repeats count.
 
 Defined cases: words are runs of anything but ASCII white space in ASCII lower case; fewer
 than five words make one shingle; texts without words, null included, are copies of each
@@ -14,6 +14,7 @@ other; doc_id may repeat or be null, and null comes last when the row to keep is
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +35,27 @@ def simhash_pairs(classes: DataFrame) -> DataFrame:
     return same.union(near).distinct()
 
 
+def counted_links(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs (u, v) of rows whose texts are similar enough when each repeat of a shingle counts."""
+
+    @F.pandas_udf("boolean")
+    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
+        from collections import Counter
+
+        def counted(text):
+            w = text.encode("utf-8", "surrogatepass").lower().split()
+            return Counter(zip(*(w[i:] for i in range(WIDTH)))) if len(w) >= WIDTH else Counter([tuple(w)])
+
+        def reach(x, y):
+            both = (x & y).total()
+            return 100 * both >= percent * (x.total() + y.total() - both)
+
+        return pd.Series([reach(counted(x), counted(y)) for x, y in zip(a, b)], dtype=bool)
+
+    of = lambda c: texts.select(F.col("row").alias(c), F.col("text").alias(f"{c}_text"))
+    return pairs.join(of("u"), "u").join(of("v"), "v").where(alike("u_text", "v_text")).select("u", "v")
+
+
 def grouped(texts: DataFrame) -> DataFrame:
     """(row, component) for written rows (row, text); the component of texts without words is -1."""
     numbered = texts.select(F.col("row").alias("doc_id"), "text")
@@ -44,7 +66,11 @@ def grouped(texts: DataFrame) -> DataFrame:
     prints = fingerprints(numbered, WIDTH).withColumnRenamed("doc_id", "cid").join(classes.select("cid"), "cid")
     first = written(simhash_pairs(written(prints, "fingerprints")), "simhash-pairs")
     labels = jaccard.class_labels(texts, classes, seen, WIDTH, PERCENT, first)
-    of = classes.join(labels, "cid", "left").select("digest", F.coalesce("label", "cid").alias("component"))
+    labelled = written(classes.join(labels, "cid", "left").select("digest", "cid", F.coalesce("label", "cid").alias("label")), "near-labels")
+    label = lambda c: labelled.select(F.col("cid").alias(c), F.col("label").alias(f"{c}_label"))
+    apart = written(first.join(label("u"), "u").join(label("v"), "v").where("u_label <> v_label").select("u", "v"), "simhash-apart")
+    links = written(counted_links(apart, texts), "simhash-links")
+    of = jaccard.relabelled(labelled.select("cid", "label"), links).join(labelled.select("digest", "cid"), "cid").select("digest", F.col("label").alias("component"))
     return rows.join(of, "digest", "left").select("row", F.coalesce("component", F.lit(-1).cast("long")).alias("component"))
 
 

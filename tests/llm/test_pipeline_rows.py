@@ -82,6 +82,18 @@ def test_near_dedup_compares_a_dense_group_in_blocks(spark, monkeypatch):
         assert Counter((False, r.doc_id) for r in cp.near_dedup_stage(spark, docs, DATA).collect()) == want
 
 
+def test_near_dedup_links_what_simhash_links(spark):
+    """Texts that differ little when repeats count: their sets of shingles share less than 0.8."""
+    rng = random.Random(3)
+    line = " ".join(f"w{rng.randrange(10**6)}" for _ in range(20))
+    tails = [" ".join(f"t{rng.randrange(10**6)}" for _ in range(15)) for _ in range(2)]
+    rows = [(i, f"{line} " * 200 + tail) for i, tail in enumerate(tails)] + [(2, line), (3, tails[0])]
+    a, b = (shingle_set(t) for _, t in rows[:2])
+    assert len(a & b) < 0.8 * len(a | b)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in cp.near_dedup_stage(spark, docs, DATA).collect()) == [0, 2, 3]
+
+
 def test_near_dedup_on_null_and_repeated_ids(spark):
     rows = [(None, "a text without an id of its own here"), (None, "a text without an id of its own here"), (5, "the same row twice in the table"), (5, "the same row twice in the table"),
             (6, "one id"), (6, "and another text under it"), (None, None), (7, ""), (8, " \n"), (None, "copy of a row with an id"), (9, "copy of a row with an id")]
