@@ -66,7 +66,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Each row is packed, whatever its doc_id; null and empty texts give the end id alone;
     texts beyond 2,048 tokens give several pieces; no rows give no rows.
     """
-    pieces = packing.token_pieces(docs, tokenizer_file("word_bpe_49k.json"), ids=False)
+    pieces = packing.token_pieces(docs, tokenizer_file("word_bpe_49k.json"), ids=False, keep=False)
     return packing.pack(written(pieces, "pieces")).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 

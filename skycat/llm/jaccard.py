@@ -42,7 +42,7 @@ SLOTS, FILTER, ROW = 1 << 22, 1 << 24, 1 << 12
 #: A task reports counters by so many above their mean and two deviations, and remembers so many sets that it has passed on.
 OFTEN, KNOWN = 2, 200_000
 #: Bytes that are hashed at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 16
 #: A prefix is longer by one of so many tokens than a first shared token asks for, so that more tokens than one must be shared.
 LONGER = 10
 #: Members, queries and tokens of a block.

@@ -26,11 +26,12 @@ END_ID = 1
 SUBGROUP = 250
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = END_ID, limit: int = LIMIT, ids: bool = True) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = END_ID, limit: int = LIMIT, ids: bool = True, keep: bool = True) -> DataFrame:
     """(row, doc_id, start, length, doc_tokens, ids_crc32[, ids]) for every piece of every document.
 
     ``row`` tells rows apart that share a doc_id; write the pieces down before they are used
-    twice, so that it stays the same.
+    twice, so that it stays the same.  With ``keep`` a worker's encoder keeps its cache for
+    the next task; without it the memory is free for what runs beside or after this stage.
     """
     schema = T.StructType([T.StructField(c, T.LongType()) for c in ("row", "doc_id", "start", "length", "doc_tokens", "ids_crc32")])
     if ids:
@@ -53,6 +54,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = END_ID, limit: i
             out = pd.DataFrame(rows, columns=schema.names)
             out["doc_id"] = out["doc_id"].astype("Int64")
             yield out
+        if not keep:
+            words.forget()
 
     return docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(cut, schema)
 

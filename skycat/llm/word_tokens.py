@@ -87,6 +87,11 @@ class WordTokens:
             if len(cache) > CACHE_ENTRIES:
                 cache.clear()
 
+    def forget(self) -> None:
+        """Empty both caches: a worker lives on after its task, beside those of later stages."""
+        self.chunks.clear()
+        self.words.clear()
+
 
 class _Cache(dict):
     def __init__(self, make):

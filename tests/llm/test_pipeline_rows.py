@@ -4,6 +4,8 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
+import pytest
 from conftest import DATA
 from pyspark.sql import functions as F
 
@@ -166,3 +168,30 @@ def test_pii_and_packing_hold_every_row(spark):
         assert (g.offset.to_numpy()[1:] >= (g.offset + g.length).to_numpy()[:-1]).all() and (g.offset + g.length).max() <= packing.LIMIT
     for stage in (cp.quality_rule_stage, cp.pii_stage, cp.packing_stage):
         assert stage(spark, docs.where(F.lit(False)), DATA).count() == 0
+
+
+def test_packing_leaves_no_cache_in_the_worker(spark, monkeypatch):
+    """A worker outlives its task, so what the encoder keeps counts beside the later stages."""
+
+    class Planned(Exception):
+        pass
+
+    class Docs:
+        def select(self, *_):
+            return self
+
+        def mapInPandas(self, cut, schema):
+            self.cut = cut
+
+    def stop(*_):
+        raise Planned
+
+    from skycat.llm.word_tokens import word_tokens
+
+    docs = Docs()
+    monkeypatch.setattr(cp, "written", stop)
+    with pytest.raises(Planned):
+        cp.packing_stage(spark, docs, "")
+    out = pd.concat(docs.cut(iter([pd.DataFrame({"row": [1], "doc_id": [1], "text": ["some words stay behind"]})])))
+    held = word_tokens(tokenizer_file("word_bpe_49k.json"))
+    assert len(out) == 1 and not held.chunks and not held.words
