@@ -123,3 +123,30 @@ def test_few_points_go_to_the_pixels(spark, monkeypatch):
         assert ("broadcast" in plan) == bool(few)
         got[few] = sorted(map(tuple, out.collect()))
     assert got[100] == got[0] == [(1, 0.6, False), (2, 0.0, False), (3, 1.0, True)]
+
+
+def test_quantiles_of_close_values_beside_one_far_away(spark, monkeypatch):
+    """A far value leaves all others in one part of the range; they are sorted once they are few enough, in every way the same."""
+    from skycat.operators import quantiles
+
+    near = [5.0 + i * 1e-15 for i in range(50)] * 2
+    groups = {"a": [*near, 1e6], "b": [3.0], "c": [1.0, 2.0, 4.0], "d": [7.0] * 60}
+    df = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in [*vs, None]] + [("none", None)], "k string, v double")
+    writes, write = [], quantiles._written
+    monkeypatch.setattr(quantiles, "_written", lambda d: writes.append(1) or write(d))
+    wanted = {"low": 0.05, "mid": 0.5, "high": 0.99, "top": 1.0}
+    for size in (1000, 20):
+        writes.clear()
+        bound = {} if size == 1000 else {"sorted_at_once": size}
+        got = {r["k"]: r for r in quantiles.exact_quantiles(df, ["k"], "v", wanted, 64, **bound).collect()}
+        assert set(got) == set(groups)
+        for k, vs in groups.items():
+            for name, q in wanted.items():
+                assert abs(got[k][name] - np.quantile(vs, q)) <= 1e-15 * abs(np.quantile(vs, q))
+        # groups of usual size need no round at all
+        assert size == 20 or len(writes) == 1
+    for rows, bound in ((df, 1000), (df, 20), (df.where("v is null"), 20)):
+        every = [v for vs in groups.values() for v in vs] if rows is df else []
+        got = quantiles.exact_quantiles(rows, [], "v", wanted, 64, bound).collect()
+        assert len(got) == (1 if every else 0)
+        assert all(abs(got[0][name] - np.quantile(every, q)) <= 1e-14 * abs(np.quantile(every, q)) for name, q in wanted.items() if every)
