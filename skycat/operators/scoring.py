@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -116,6 +117,16 @@ def _estimator(kind: str, label: str, seed: int):
     return one(labelCol=label, featuresCol="features", weightCol="_weight", seed=seed)
 
 
+@contextmanager
+def _examples(df: DataFrame, features: list[str], label: str, **more):
+    """The columns a classifier needs, held for as long as it is fitted: every tree and fold goes over them, the table is worked out once."""
+    rows = df.withColumns({"_weight": class_weights(df, label)} | more).select(*dict.fromkeys([*features, label, "_weight", *more])).persist()
+    try:
+        yield rows
+    finally:
+        rows.unpersist()
+
+
 def _light(model):
     """The pipeline model without the training summary, which holds on to the session."""
     from pyspark import SparkContext
@@ -139,7 +150,8 @@ def train_classifier(df: DataFrame, features: list[str], label: str = "label", t
 
     tree = _estimator(kind, label, seed).setMaxDepth(depth)
     tree = tree.setNumTrees(trees) if kind == "forest" else tree.setMaxIter(trees)
-    model = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep"), tree]).fit(df.withColumn("_weight", class_weights(df, label)))
+    with _examples(df, features, label) as rows:
+        model = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep"), tree]).fit(rows)
     return _light(model), dict(feature_importance(model, features))
 
 
@@ -179,9 +191,9 @@ def search_classifier(df: DataFrame, features: list[str], key: str, label: str =
     tree = _estimator(kind, label, seed)
     settings = random_settings(kind, tries, seed, choices)
     grid = [{tree.getParam(k): v for k, v in s.items()} for s in settings]
-    rows = df.withColumns({"_weight": class_weights(df, label), "_fold": _hashed(key, seed + 1, folds).cast("int")})
     pipeline = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep"), tree])
-    found = CrossValidator(estimator=pipeline, estimatorParamMaps=grid, evaluator=judges[metric](), numFolds=folds, foldCol="_fold", seed=seed).fit(rows)
+    with _examples(df, features, label, _fold=_hashed(key, seed + 1, folds).cast("int")) as rows:
+        found = CrossValidator(estimator=pipeline, estimatorParamMaps=grid, evaluator=judges[metric](), numFolds=folds, foldCol="_fold", seed=seed).fit(rows)
     return _light(found.bestModel), list(zip(settings, map(float, found.avgMetrics)))
 
 

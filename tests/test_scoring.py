@@ -73,3 +73,19 @@ def test_folds_and_balance_keep_all_rows(spark, keys, kind):
     assert folded.count() == 8 and folded.where("bin is null").count() == 1 and folded.where("fold is null").count() == 0
     assert metrics.balance(rows, "k", ratio=3).count() == 8
     assert metrics.balance(rows, "k", ratio=1).count() == 4
+
+
+def test_a_search_works_its_examples_out_once(spark):
+    """All folds, settings and trees go over held columns, not over the table's own plan again."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def feature(k):
+        made.add(1)
+        return float(k % 7)
+
+    rows = spark.range(60).select(F.col("id").alias("k"), feature("id").alias("a"), (F.col("id") % 2).cast("int").alias("label"), F.lit("wide").alias("other"))
+    _, tries = scoring.search_classifier(rows, ["a"], "k", tries=2, folds=2, choices={"numTrees": [2, 3], "maxDepth": [1]})
+    assert len(tries) == 2 and made.value == 60
+    model, _ = scoring.train_classifier(rows, ["a"], trees=2, depth=1, kind="boosted")
+    assert made.value == 120 and scoring.classify(rows, model, None).count() == 60
