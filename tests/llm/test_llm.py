@@ -451,6 +451,21 @@ def test_licences(spark, texts, edge, empty):
     assert licences.scan(empty).count() == 0
 
 
+def test_licence_hits_of_texts_without_keys(spark):
+    """Every 2-gram of every text meets the templates, also where no key of any template stands."""
+    cases = {1: "Without warranty of any kind, the software is provided as is and the author disclaims all warranties", 2: "A general public license of the authors of the software", 3: "no such words", 4: "word", 5: "", 6: None}
+    templates = [(f"base:{v}", k) for k, v in licences.PHRASES.items()] + list(licences.TEMPLATES.items())
+    want = Counter()
+    for i, text in cases.items():
+        grams = licences._pairs(" ".join(re.findall(licences.WORDS, (text or "").lower())))
+        want.update((i, at, name, place) for at, gram in enumerate(grams) for name, words in templates for place, other in enumerate(licences._pairs(words)) if gram == other)
+        assert not any(gram in keys for keys in licences.KEYS.values() for gram in grams)
+    docs = spark.createDataFrame(list(cases.items()), "doc_id long, text string")
+    found = licences.hits(docs).where("place is not null").collect()
+    assert Counter((r.doc_id, r.doc_place, r.template, r.place) for r in found) == want and len({i for i, *_ in want}) == 2
+    assert {r.doc_id: r.labels for r in licences.scan(docs).collect()} == {1: "", 2: "gpl", 3: "", 4: "", 5: "", 6: ""}
+
+
 @pytest.mark.parametrize("text, labels", [
     ("This work is licensed under the GNU General Public License version 2.", "gpl,gpl-2"),
     ("This work is licensed under the GNU General Public License, version 3 or later", "gpl,gpl-3"),
